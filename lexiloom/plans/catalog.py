@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import tagging
+from . import corpora, packing, runs, streams, tagging, vectors
 
-FAMILIES = [tagging]
+FAMILIES = [tagging, corpora, packing, vectors, runs, streams]
 QUERIES = {name: fn for family in FAMILIES for name, fn in family.QUERIES.items()}
 ORACLES = {name: sql for family in FAMILIES for name, sql in family.ORACLES.items()}

@@ -104,4 +104,4 @@ def epochs(spark: SparkSession, folder: str) -> DataFrame:
     """``(run_id, ts, event_id, score, bucket)``: an event is an epoch of its user's run, in time order."""
     return table(spark, folder, "events").select(
         F.col("user_id").alias("run_id"), "ts", "event_id", F.col("value").alias("score"),
-        F.shiftright(F.unix_micros("ts"), 32).alias("bucket"))
+        F.shiftright(F.unix_micros(F.col("ts").cast("timestamp")), 32).alias("bucket"))

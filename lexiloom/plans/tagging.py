@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.tags import is_valid_tag, tag_prefix, tag_type
+from ..functions.text import md5_number
 from ..operators import labels, metrics, spans
+from ..operators.ordered import dense_index
+from ..session import shared_dir
 from ..sources import render, tagged
 from . import inputs
+from .registry import registry
 
 TAGS = labels.fixed_catalogue("news")
 
@@ -67,16 +71,7 @@ PRF_SQL = """
   round(coalesce((2 * correct)::DOUBLE / nullif(gold + pred, 0), 0) * 100.0, 4) AS f1"""
 
 COUNTS = "type, correct::BIGINT AS correct, gold::BIGINT AS gold, pred::BIGINT AS pred"
-QUERIES, ORACLES = {}, {}
-
-
-def query(name, sql=None):
-    def register(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-    return register
+QUERIES, ORACLES, query = registry()
 
 
 @query("span_prf", f"""WITH {SENTENCES_SQL}, {counts_sql('doc_id, sent', 'pos')}
@@ -294,7 +289,6 @@ SELECT doc_id, sent::BIGINT AS sent, array_to_string(list_resize(ids, 48, 0), ',
   array_to_string(list_resize(list_reverse(ids[1:48]), 48, 0), ',') AS input_ids_backward,
   array_to_string(list_resize(sub_labels, 48, -100), ',') AS labels FROM coded""")
 def features(spark, folder):
-    from ..functions.text import md5_number
     rows = labels.subword_rows(_label_sentences(spark, folder), "tokens", "ids", None)
     coded = rows.select("doc_id", "sent", "sub_labels", F.transform(
         "pieces", lambda p: (md5_number(p, digits=4) + 1).cast("int")).alias("ids"))
@@ -360,8 +354,6 @@ SELECT row_number() OVER (ORDER BY doc_id, sent) - 1 AS place, array_to_string(t
   array_to_string(gold, ' ') AS tags FROM sents""")
 def tagged_file_round_trip(spark, folder):
     """Write tagged text in order, read it back, number the sentences over all files."""
-    from ..operators.ordered import dense_index
-    from ..session import shared_dir
     path = shared_dir(spark, "tagged-text")
     sentences = inputs.tagged_sentences(spark, folder)
     tagged.write_sentences(sentences, tagged.tagged_text(F.col("tokens"), F.col("gold")), path, ["doc_id", "sent"])
@@ -373,7 +365,6 @@ def tagged_file_round_trip(spark, folder):
 SELECT {COUNTS}, {PRF_SQL} FROM counts""")
 def prediction_file_eval(spark, folder):
     """Write predictions as text, read the file back and score it."""
-    from ..session import shared_dir
     path = shared_dir(spark, "predictions")
     sentences = inputs.tagged_sentences(spark, folder)
     text = tagged.prediction_text(F.col("tokens"), F.col("gold"), F.col("pred"))
