@@ -42,15 +42,10 @@ def parsed(tag: Column) -> Column:
     )
 
 
-def outside() -> Column:
-    """The parsed form of the tag outside any chunk."""
-    return parsed(F.lit(OUTSIDE))
-
-
 def _border(before: Column, after: Column) -> Column:
     return (
-        (before["type"] != after["type"])
-        | after["prefix"].isin("B", "S")
+        after["prefix"].isin("B", "S")
+        | (before["type"] != after["type"])
         | before["prefix"].isin("E", "S")
     )
 
@@ -65,51 +60,57 @@ def chunk_ends(here: Column, after: Column) -> Column:
     return ~here["out"] & (after["out"] | _border(here, after))
 
 
-def with_chunks(df: DataFrame, tags: str, out: str, before: Column | None = None,
-                after: Column | None = None) -> DataFrame:
+def _around(tags: str, names: tuple[str, str, str], before: Column, after: Column) -> list[Column]:
+    return [shifted_right(F.col(tags), before).alias(names[0]), F.col(tags).alias(names[1]),
+            shifted_left(F.col(tags), after).alias(names[2])]
+
+
+def with_chunks(df: DataFrame, tags: str, out: str) -> DataFrame:
     """Add ``out``: the chunks of one tag array, ``array<struct<start,end,type>>``.
 
     The k-th chunk start belongs to the k-th chunk end, so no window and no shuffle is needed. Columns are
     added step by step, because an expression referred to inside a lambda would be computed once per entry,
-    and none is filtered on, because a pushed-down filter computes its whole expression again.
+    and none is filtered on, because a pushed-down filter computes its whole expression again. Positions
+    outside every chunk leave first, on a comparison of the raw tags.
     """
-    p, s, e = f"__{out}_p", f"__{out}_s", f"__{out}_e"
-    before = outside() if before is None else before
-    after = outside() if after is None else after
+    s, o = f"__{out}_s", F.lit(OUTSIDE)
+    places = F.when(F.size(tags) > 0, F.sequence(F.lit(0), F.size(tags) - 1)).otherwise(
+        F.array().cast("array<int>"))
+    zipped = F.arrays_zip(*_around(tags, ("b", "h", "a"), o, o), places.alias("i"))
+
+    def look(z: Column) -> Column:
+        return F.struct(z["i"].cast("bigint").alias("i"), parsed(z["b"]).alias("b"), parsed(z["h"]).alias("h"),
+                        parsed(z["a"]).alias("a"))
+
+    def border(z: Column) -> Column:
+        return F.struct(z["i"].alias("i"), z["h"]["type"].alias("type"), chunk_starts(z["b"], z["h"]).alias("s"),
+                        chunk_ends(z["h"], z["a"]).alias("e"))
+
     return (
-        df.withColumn(p, F.transform(tags, parsed))
-        .withColumn(s, F.arrays_zip(shifted_right(F.col(p), before).alias("b"), F.col(p).alias("h")))
-        .withColumn(e, F.arrays_zip(F.col(p).alias("h"), shifted_left(F.col(p), after).alias("a")))
-        .withColumn(s, F.filter(F.transform(s, lambda z, i: F.when(
-            chunk_starts(z["b"], z["h"]), F.struct(i.alias("pos"), z["h"]["type"].alias("type")))),
-            lambda x: x.isNotNull()))
-        .withColumn(e, F.filter(F.transform(e, lambda z, i: F.when(chunk_ends(z["h"], z["a"]), i)),
-                                lambda x: x.isNotNull()))
-        .withColumn(out, F.zip_with(s, e, lambda a, b: F.struct(
-            a["pos"].cast("bigint").alias("start"), b.cast("bigint").alias("end"), a["type"].alias("type"))))
-        .drop(p, s, e)
+        df.withColumn(s, F.filter(zipped, lambda z: (z["h"] != OUTSIDE)))
+        .withColumn(s, F.transform(F.transform(s, look), border))
+        .withColumn(out, F.zip_with(
+            F.filter(s, lambda x: x["s"]), F.filter(s, lambda x: x["e"]), lambda a, b: F.struct(
+                a["i"].alias("start"), b["i"].alias("end"), a["type"].alias("type"))))
+        .drop(s)
     )
 
 
 def with_chunk_events(df: DataFrame, gold: str, pred: str, out: str, edges: bool = False) -> DataFrame:
     """Add ``out``: the positions where a chunk of either side starts or ends, in order.
 
-    Entry: ``struct<g_start, p_start, g_type, p_type, joint_start, any_end, joint_end>``, types NULL where
-    no chunk starts. NULL for a row that holds an invalid tag. With ``edges`` the columns ``<gold>_before``, ``<gold>_after`` and so on hold the tags
-    around the array; without it the array stands alone.
+    Entry: ``struct<g_type, p_type, joint_start, any_end, joint_end>``, types NULL where no chunk starts. NULL
+    for a row that holds an invalid tag. With ``edges`` the columns ``<gold>_before``, ``<gold>_after`` and
+    so on hold the tags around the array; without it the array stands alone.
     """
-    def parse_edge(side: str, where: str) -> Column:
-        return parsed(F.coalesce(F.col(f"{side}_{where}"), F.lit(OUTSIDE))) if edges else outside()
-
-    gp, pp = "__gp", "__pp"
-    zipped = F.arrays_zip(
-        shifted_right(F.col(gp), parse_edge(gold, "before")).alias("gb"),
-        F.col(gp).alias("g"),
-        shifted_left(F.col(gp), parse_edge(gold, "after")).alias("ga"),
-        shifted_right(F.col(pp), parse_edge(pred, "before")).alias("pb"),
-        F.col(pp).alias("p"),
-        shifted_left(F.col(pp), parse_edge(pred, "after")).alias("pa"),
-    )
+    def edge(side: str, where: str) -> Column:
+        return F.coalesce(F.col(f"{side}_{where}"), F.lit(OUTSIDE)) if edges else F.lit(OUTSIDE)
+
+    zipped = F.arrays_zip(*_around(gold, ("gb", "g", "ga"), edge(gold, "before"), edge(gold, "after")),
+                          *_around(pred, ("pb", "p", "pa"), edge(pred, "before"), edge(pred, "after")))
+
+    def look(z: Column) -> Column:
+        return F.struct(*[parsed(z[n]).alias(n) for n in ("gb", "g", "ga", "pb", "p", "pa")])
 
     def flags(z: Column) -> Column:
         return F.struct(
@@ -127,12 +128,12 @@ def with_chunk_events(df: DataFrame, gold: str, pred: str, out: str, edges: bool
             (f["ge"] & f["pe"]).alias("joint_end"),
         )
 
+    raw = f"__{out}_z"
+    good = F.forall(raw, lambda z: is_valid_tag(z["g"]) & is_valid_tag(z["p"]))
     return (
-        df.withColumn(gp, F.transform(gold, parsed))
-        .withColumn(pp, F.transform(pred, parsed))
-        .withColumn(out, F.when(F.forall(gold, is_valid_tag) & F.forall(pred, is_valid_tag), zipped))
-        .withColumn(out, F.transform(out, flags))
-        .withColumn(out, F.filter(out, lambda f: f["gs"] | f["ps"] | f["ge"] | f["pe"]))
-        .withColumn(out, F.transform(out, event))
-        .drop(gp, pp)
+        df.withColumn(raw, F.filter(zipped, lambda z: (z["g"] != OUTSIDE) | (z["p"] != OUTSIDE)))
+        .withColumn(out, F.transform(F.transform(F.when(good, F.col(raw)), look), flags))
+        .withColumn(out, F.transform(
+            F.filter(out, lambda f: f["gs"] | f["ps"] | f["ge"] | f["pe"]), event))
+        .drop(raw)
     )

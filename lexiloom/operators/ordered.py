@@ -3,10 +3,13 @@
 Spark rows have no order, and ``Window.partitionBy(key)`` sends all rows of a hot key to a single task. Here
 rows are cut into *buckets*: runs of neighbouring rows of one key, by default the rows whose integer order
 key agrees above its lowest ``bits`` bits. With unique order keys a bucket holds at most ``2 ** bits`` rows,
-whatever the key. The work is done inside buckets, on tasks of bounded size. What crosses a bucket border
-is found on a summary with one narrow row per bucket and is joined back on the bucket columns, on which the
-rows are already partitioned. Ten billion rows with dense ids leave 2.4 million summary rows. Ids with wide holes
-leave more: ``levels`` then repeats the method on the summary, ``bits`` more bits each time.
+whatever the key. The work is done inside buckets, on tasks of bounded size.
+
+What crosses a bucket border comes from a summary with one narrow row per bucket. Its values are put into the
+bucket as *border rows* before the first and after the last row, so that one window sees them in place: the
+wide rows are shuffled once and joined with nothing. Ten billion rows with dense ids make 2.4 million summary
+rows. Ids with wide holes make more: ``levels`` then repeats the method on the summary, ``bits`` more bits
+each time.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 
 BUCKET = "__bucket"
 BITS = 12
+BEFORE, ROW, AFTER = 0, 1, 2
 
 
 def _bucketed(df: DataFrame, order: Sequence[str], bucket: Sequence[str] | None, bits: int):
@@ -26,14 +30,11 @@ def _bucketed(df: DataFrame, order: Sequence[str], bucket: Sequence[str] | None,
     return df.withColumn(BUCKET, F.shiftright(F.col(order[0]).cast("bigint"), bits)), [BUCKET]
 
 
-def _join_back(df: DataFrame, summary: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Left join on columns that may be NULL; the summary has one row per bucket."""
-    names = [f"__r{i}" for i in range(len(columns))]
-    right = summary.withColumnsRenamed(dict(zip(columns, names)))
-    condition = F.lit(True)
-    for left_name, right_name in zip(columns, names):
-        condition = condition & F.col(left_name).eqNullSafe(F.col(right_name))
-    return df.join(right, condition, "left").drop(*names)
+def _with_borders(df: DataFrame, *borders: DataFrame) -> DataFrame:
+    rows = df.withColumn("__kind", F.lit(ROW))
+    for border in borders:
+        rows = rows.unionByName(border, allowMissingColumns=True)
+    return rows
 
 
 def running(df: DataFrame, value: Column, out: str, order: Sequence[str], keys: Sequence[str] = (),
@@ -41,38 +42,39 @@ def running(df: DataFrame, value: Column, out: str, order: Sequence[str], keys:
             keep_bucket: bool = False) -> DataFrame:
     """Add ``out``: the ``sum``, ``max`` or ``min`` of ``value`` over all rows *before* this one.
 
-    NULL (0 for ``sum``) on a key's first row. ``value`` is a narrow expression; the wide columns of ``df``
-    are shuffled once, by bucket. With ``keep_bucket`` the bucket stays, with the total before it in
-    ``__low`` and the total up to its end in ``__high`` (for ``sum``).
+    NULL (0 for ``sum``) on a key's first row. With ``keep_bucket`` the bucket stays, with the total before
+    it in ``__low`` and the total up to its end in ``__high`` (for ``sum``).
     """
     fold = {"sum": F.sum, "max": F.max, "min": F.min}[how]
     df, buckets = _bucketed(df, order, bucket, bits)
     df = df.withColumn("__value", value)
     group = [*keys, *buckets]
-    inside = (Window.partitionBy(*group).orderBy(*order)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    summary = df.groupBy(*group).agg(fold("__value").alias("__total"))
-    carry = _carry(summary, fold, keys, buckets, bucket is None, how, bits, levels)
-    joined = _join_back(df.withColumn("__in", fold("__value").over(inside)), carry, group)
-    if how == "sum":
-        result = F.coalesce("__in", F.lit(0)) + F.coalesce("__carry", F.lit(0))
-    else:
-        result = (F.greatest if how == "max" else F.least)("__in", "__carry")
-    joined = joined.withColumn(out, result)
+    carry = _carry(df.groupBy(*group).agg(fold("__value").alias("__total")), fold, keys, buckets,
+                   bucket is None, how, bits, levels)
+    border = carry.select(*group, F.col("__carry").alias("__value"), F.lit(BEFORE).alias("__kind"),
+                          F.struct("__carry", "__total").alias("__edge"))
+    rows = _with_borders(df, border)
+    inside = Window.partitionBy(*group).orderBy("__kind", *order)
+    past = inside.rowsBetween(Window.unboundedPreceding, -1)
+    result = fold("__value").over(past)
+    made = {out: F.coalesce(result, F.lit(0)) if how == "sum" else result}
+    dropped = ["__value", "__kind", "__edge"]
+    if keep_bucket:
+        edge = F.first("__edge").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+        made["__e"] = edge
+    done = rows.withColumns(made).where(F.col("__kind") == ROW).drop(*dropped)
     if keep_bucket:
-        low = F.coalesce("__carry", F.lit(0))
-        return (joined.withColumns({"__low": low, "__high": low + F.col("__total")})
-                .drop("__value", "__in", "__carry", "__total"))
-    return joined.drop("__value", "__in", "__carry", "__total", BUCKET)
+        low = F.coalesce(F.col("__e.__carry"), F.lit(0))
+        return done.withColumns({"__low": low, "__high": low + F.col("__e.__total")}).drop("__e")
+    return done.drop(BUCKET)
 
 
 def _carry(summary, fold, keys, buckets, is_integer, how, bits, levels) -> DataFrame:
     group = [*keys, *buckets]
     if is_integer and levels > 0:
-        renamed = summary.withColumnsRenamed({BUCKET: "__order", "__total": "__bucket_total"})
-        carried = running(renamed, F.col("__bucket_total"), "__carry", ["__order"], keys, None, how, bits, levels - 1)
-        carried = carried.withColumnRenamed("__order", BUCKET)
-        return carried.select(*group, "__carry", "__bucket_total").withColumnRenamed("__bucket_total", "__total")
+        renamed = summary.withColumnsRenamed({BUCKET: "__order", "__total": "__sub"})
+        carried = running(renamed, F.col("__sub"), "__carry", ["__order"], keys, None, how, bits, levels - 1)
+        return carried.withColumnsRenamed({"__order": BUCKET, "__sub": "__total"})
     before = (Window.partitionBy(*keys).orderBy(*buckets)
               .rowsBetween(Window.unboundedPreceding, -1))
     return summary.select(*group, "__total", fold("__total").over(before).alias("__carry"))
@@ -95,23 +97,25 @@ def neighbours(df: DataFrame, columns: Sequence[str], order: Sequence[str], keys
     """Add structs of ``columns`` of the previous row (``lag``) and of the next row (``lead``) of the key."""
     df, buckets = _bucketed(df, order, bucket, bits)
     group = [*keys, *buckets]
-    here = F.struct(*columns)
-    rank = F.struct(*order)
-    inside = Window.partitionBy(*group).orderBy(*order)
-    edges, adds = [], {}
+    here, rank = F.struct(*columns), F.struct(*order)
+    edges = ([F.max_by(here, rank).alias("__last")] if lag else []) + (
+        [F.min_by(here, rank).alias("__first")] if lead else [])
+    carry = _edge_carry(df.groupBy(*group).agg(*edges), keys, buckets, bucket is None, lag, lead, bits, levels)
+    borders = []
     if lag:
-        edges.append(F.max_by(here, rank).alias("__last"))
-        adds["__lag"] = F.lag(here).over(inside)
+        borders.append(carry.where("__before IS NOT NULL").select(
+            *group, "__before.*", F.lit(BEFORE).alias("__kind")))
     if lead:
-        edges.append(F.min_by(here, rank).alias("__first"))
-        adds["__lead"] = F.lead(here).over(inside)
-    carry = _edge_carry(df.groupBy(*group).agg(*edges), keys, buckets, bucket is None, lag, lead, bits, levels)
-    joined = _join_back(df.withColumns(adds), carry, group)
+        borders.append(carry.where("__after IS NOT NULL").select(
+            *group, "__after.*", F.lit(AFTER).alias("__kind")))
+    inside = Window.partitionBy(*group).orderBy("__kind", *order)
+    made = {}
     if lag:
-        joined = joined.withColumn(lag, F.coalesce("__lag", "__before"))
+        made[lag] = F.lag(here).over(inside)
     if lead:
-        joined = joined.withColumn(lead, F.coalesce("__lead", "__after"))
-    return joined.drop("__lag", "__lead", "__before", "__after", BUCKET)
+        made[lead] = F.lead(here).over(inside)
+    done = _with_borders(df, *borders).withColumns(made).where(F.col("__kind") == ROW).drop("__kind")
+    return done if bucket else done.drop(BUCKET)
 
 
 def _edge_carry(summary, keys, buckets, is_integer, lag, lead, bits, levels) -> DataFrame:

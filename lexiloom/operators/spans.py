@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tags import is_valid_tag, with_chunk_events, with_chunks
+from ..session import stored
 from .ordered import BITS, neighbours
 
 
@@ -91,7 +92,8 @@ def chunk_counts_flat(df: DataFrame, order: Sequence[str], gold: str = "gold", p
 
     A chunk may run on over any number of rows. Each row learns only the last tags before it and the first
     tags after it (bucketed, so one stream may hold every row). An open joint start at a row's end is
-    settled by the next row that has any event, found on narrow rows in the same way.
+    settled by the next row that has any event, found on narrow rows in the same way. The event lists have
+    two readers and are written to the shared folder in between.
     """
     df = df.where(F.size(gold) > 0).select(
         *keys, *dict.fromkeys([*order, *(bucket or ())]), gold, pred,
@@ -106,22 +108,21 @@ def chunk_counts_flat(df: DataFrame, order: Sequence[str], gold: str = "gold", p
         with_chunk_events(ready, gold, pred, "__e", edges=True)
         .withColumn("__n", F.concat(F.slice("__e", F.lit(2), F.greatest(F.size("__e") - 1, F.lit(0))),
                                     F.array(F.lit(None).cast(_EVENT))))
-        .withColumn("__r", F.zip_with("__e", "__n", _resolved))
-        # counts inside the row, per type: at most two rows per type are left of a document
         .select(*keys, *dict.fromkeys([*order, *(bucket or ())]),
-                F.try_element_at("__e", F.lit(1))["joint_end"].alias("__first_end"),
+                F.try_element_at("__e", F.lit(1))["joint_end"].alias("first_end"),
                 F.when(F.try_element_at("__e", F.lit(-1))["joint_start"]
                        & ~F.try_element_at("__e", F.lit(-1))["any_end"],
-                       F.try_element_at("__e", F.lit(-1))["g_type"]).alias("__open"),
-                "__r")
+                       F.try_element_at("__e", F.lit(-1))["g_type"]).alias("open"),
+                F.flatten(F.transform(F.zip_with("__e", "__n", _resolved),
+                                      lambda r: _shares(r["event"], r["correct"]))).alias("shares"))
     )
-    settled = _count(
-        events.select(*keys, F.explode_outer("__r").alias("r"))
-        .select(*keys, F.inline_outer(_shares(F.col("r.event"), F.col("r.correct")))), keys)
-    edge = neighbours(events.drop("__r").where(F.col("__first_end").isNotNull()), ["__first_end"], order, keys, bucket, None, "__next", bits, levels)
+    events = stored(events, "chunk-events")
+    settled = _count(events.select(*keys, F.inline_outer("shares")), keys)
+    edge = neighbours(events.drop("shares").where("first_end IS NOT NULL"), ["first_end"], order, keys, bucket,
+                      None, "__next", bits, levels)
     late = (
-        edge.where(F.col("__open").isNotNull() & F.col("__next.__first_end"))
-        .groupBy(*keys, F.col("__open").alias("type"))
+        edge.where(F.col("open").isNotNull() & F.col("__next.first_end"))
+        .groupBy(*keys, F.col("open").alias("type"))
         .agg(F.count("*").alias("correct"))
         .select(*keys, "type", "correct", F.lit(0).cast("bigint").alias("gold"),
                 F.lit(0).cast("bigint").alias("pred"))
