@@ -100,19 +100,20 @@ def evaluation_summary(df: DataFrame, gold: str = "gold", pred: str = "pred", se
     ``separators`` counts one ``O`` pair per sequence as a token, as files with blank-line separators do.
     """
     counts = chunk_counts(df, gold, pred)
-    kinds = (counts.rollup("type").agg(*[F.sum(c).alias(c) for c in ("correct", "gold", "pred")],
-                                       F.grouping("type").alias("__all")))
-    kinds = kinds.select(F.when(F.col("__all") == 1, "ALL").otherwise(F.col("type")).alias("type"),
-                         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("correct", "gold", "pred")])
+    names = ("correct", "gold", "pred")
+    kinds = counts.rollup("type").agg(*[F.sum(c).alias(c) for c in names], F.grouping("type").alias("__all"))
+    kinds = kinds.select(F.when(F.col("__all") == 1, "ALL").otherwise(F.col("type")).alias("type"), *names)
     pairs = confusion(df, gold, pred)
     if separators:
         outside = df.agg(F.lit(OUTSIDE).alias("gold"), F.lit(OUTSIDE).alias("pred"), F.count("*").alias("n"))
         pairs = pairs.unionByName(outside)
     tokens = token_summary(pairs).withColumn("type", F.lit("ALL"))
-    shown = with_prf(kinds, digits=digits).join(F.broadcast(tokens), "type", "left")
-    if digits is not None:
-        shown = shown.withColumns({c: F.round(c, digits) for c in ("accuracy", "accuracy_inside")})
-    return shown
+    # a full join: without any chunk the roll-up is empty, and the overall row must still be there
+    both = kinds.join(tokens, "type", "full").withColumns({c: F.coalesce(c, F.lit(0)) for c in names})
+    accuracies = ["accuracy", "accuracy_inside"]
+    shown = [F.col(c) if digits is None else F.round(c, digits).alias(c) for c in accuracies]
+    return with_prf(both, digits=digits).select(
+        "type", *names, "precision", "recall", "f1", "tokens", *shown)
 
 
 def report_lines(summary: DataFrame) -> DataFrame:
@@ -121,8 +122,8 @@ def report_lines(summary: DataFrame) -> DataFrame:
     head = F.array(
         F.format_string("processed %d tokens with %d phrases; found: %d phrases; correct: %d.",
                         "tokens", "gold", "pred", "correct"),
-        F.concat(F.lit("accuracy: "), F.coalesce(F.format_string("%6.2f%%", "accuracy_inside"), F.lit("undefined")),
-                 F.lit("; (non-O)")),
+        F.when(F.col("accuracy_inside").isNull(), "accuracy: undefined; (non-O)").otherwise(
+            F.format_string("accuracy: %6.2f%%; (non-O)", "accuracy_inside")),
         F.format_string("accuracy: %6.2f%%; precision: %6.2f%%; recall: %6.2f%%; FB1: %6.2f",
                         "accuracy", "precision", "recall", "f1"),
     )
