@@ -17,7 +17,7 @@ TRAILING_SPACE = f"[{UNICODE_SPACE}]+\\z"
 
 def words(text: Column, gap: str = TOKEN_GAP) -> Column:
     """Tokens of a text: split on white space, empty strings dropped."""
-    return F.filter(F.split(text, gap), lambda w: w != "")
+    return F.array_remove(F.split(text, gap), "")
 
 
 def is_blank(text: Column) -> Column:

@@ -30,11 +30,8 @@ def _bucketed(df: DataFrame, order: Sequence[str], bucket: Sequence[str] | None,
     return df.withColumn(BUCKET, F.shiftright(F.col(order[0]).cast("bigint"), bits)), [BUCKET]
 
 
-def _with_borders(df: DataFrame, *borders: DataFrame) -> DataFrame:
-    rows = df.withColumn("__kind", F.lit(ROW))
-    for border in borders:
-        rows = rows.unionByName(border, allowMissingColumns=True)
-    return rows
+def _with_borders(df: DataFrame, border: DataFrame) -> DataFrame:
+    return df.withColumn("__kind", F.lit(ROW)).unionByName(border, allowMissingColumns=True)
 
 
 def running(df: DataFrame, value: Column, out: str, order: Sequence[str], keys: Sequence[str] = (),
@@ -101,20 +98,17 @@ def neighbours(df: DataFrame, columns: Sequence[str], order: Sequence[str], keys
     edges = ([F.max_by(here, rank).alias("__last")] if lag else []) + (
         [F.min_by(here, rank).alias("__first")] if lead else [])
     carry = _edge_carry(df.groupBy(*group).agg(*edges), keys, buckets, bucket is None, lag, lead, bits, levels)
-    borders = []
-    if lag:
-        borders.append(carry.where("__before IS NOT NULL").select(
-            *group, "__before.*", F.lit(BEFORE).alias("__kind")))
-    if lead:
-        borders.append(carry.where("__after IS NOT NULL").select(
-            *group, "__after.*", F.lit(AFTER).alias("__kind")))
+    sides = ([F.struct(F.lit(BEFORE).alias("__kind"), F.col("__before").alias("__v"))] if lag else []) + (
+        [F.struct(F.lit(AFTER).alias("__kind"), F.col("__after").alias("__v"))] if lead else [])
+    border = (carry.select(*group, F.inline(F.array(*sides))).where("__v IS NOT NULL")
+              .select(*group, "__kind", "__v.*"))
     inside = Window.partitionBy(*group).orderBy("__kind", *order)
     made = {}
     if lag:
         made[lag] = F.lag(here).over(inside)
     if lead:
         made[lead] = F.lead(here).over(inside)
-    done = _with_borders(df, *borders).withColumns(made).where(F.col("__kind") == ROW).drop("__kind")
+    done = _with_borders(df, border).withColumns(made).where(F.col("__kind") == ROW).drop("__kind")
     return done if bucket else done.drop(BUCKET)
 
 

@@ -66,7 +66,7 @@ def pack_stream(df: DataFrame, length: int, order: Sequence[str] = ("row_id",),
 def pack_batches(df: DataFrame, length: int, order: Sequence[str] = ("row_id",),
                  columns: Sequence[str] = ("tokens",), keys: Sequence[str] = (),
                  rows_per_batch: int = BATCH_ROWS, index: str | None = None, shards: int | None = None,
-                 rows: int | None = None) -> DataFrame:
+                 rows: int | Column | None = None) -> DataFrame:
     """Per-batch packing: ``(*keys, batch_id, block_id, *columns)``; each batch's last part is dropped.
 
     A batch is ``rows_per_batch`` consecutive rows. ``index`` names a dense zero-based row index; without it
@@ -81,10 +81,11 @@ def pack_batches(df: DataFrame, length: int, order: Sequence[str] = ("row_id",),
     if shards:
         if rows is None:
             raise ValueError("shards need the row count")
-        small, larger = divmod(rows, shards)
+        rows = rows if isinstance(rows, Column) else F.lit(rows)
+        small, larger = F.floor(rows / shards), rows % shards
         edge = larger * (small + 1)
         shard = F.when(F.col(index) < edge, F.floor(F.col(index) / (small + 1))).otherwise(
-            larger + F.floor((F.col(index) - edge) / max(small, 1)))
+            larger + F.floor((F.col(index) - edge) / F.greatest(small, F.lit(1))))
         first = F.least(F.col("shard") * (small + 1), F.col("shard") * small + larger)
         df = df.withColumn("shard", shard.cast("bigint"))
         df = df.withColumn("batch_id", F.floor((F.col(index) - first) / rows_per_batch).cast("bigint"))

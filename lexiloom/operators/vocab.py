@@ -25,8 +25,13 @@ def tokenize_with(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator
 
 
 def token_counts(df: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """``(token, count)``; counted in the map tasks first, so a frequent token costs one row per task."""
-    return df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("count"))
+    """``(token, count)``; counted in the map tasks first, so a frequent token costs one row per task.
+
+    The outer form of ``explode``: the plain one adds a filter on the array's size, which is pushed down to the
+    scan and tokenizes every text once more.
+    """
+    occurrences = df.select(F.explode_outer(tokens).alias("token")).where("token IS NOT NULL")
+    return occurrences.groupBy("token").agg(F.count("*").alias("count"))
 
 
 def build_vocab(counts: DataFrame, first_id: int = 0, size: int | None = None) -> DataFrame:
@@ -36,7 +41,9 @@ def build_vocab(counts: DataFrame, first_id: int = 0, size: int | None = None) -
     its rank in its (count, bucket) group plus the sizes of the groups before it. Distinct counts are at
     most the square root of twice the number of tokens: the last window is over a small table.
     """
-    spread = counts.withColumn("__h", F.conv(F.substring(F.md5("token"), 1, 3), 16, 10).cast("int"))
+    # never NULL, or the joins would test it on every occurrence of a token
+    place = F.coalesce(F.conv(F.substring(F.md5("token"), 1, 3), 16, 10).cast("int"), F.lit(0))
+    spread = counts.withColumn("__h", place)
     group = Window.partitionBy("count", "__h").orderBy("token")
     ranked = spread.withColumn("__r", F.row_number().over(group))
     groups = spread.groupBy("count", "__h").agg(F.count("*").alias("__n"))
@@ -59,7 +66,7 @@ def encode(df: DataFrame, vocab: DataFrame, keys: Sequence[str] = ("row_id",), t
     Frequent tokens have the low ids: those below ``hot_below`` are broadcast, a fixed number of rows, and
     their many occurrences are answered in place. The rest of the vocabulary is joined by shuffle.
     """
-    exploded = df.select(*keys, F.posexplode(tokens).alias("__pos", "token"))
+    exploded = df.select(*keys, F.posexplode_outer(tokens).alias("__pos", "token")).where("token IS NOT NULL")
     hot = vocab.where(F.col("id") < hot_below).select("token", "id")
     found = lookup(exploded, vocab.select("token", "id", F.col("count")), ["token"], "count", hot=hot,
                    spread=[*keys, "__pos"], how="left")

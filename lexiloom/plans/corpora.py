@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import corpus, ngram, vocab
-from ..session import shared_dir
+from ..session import shared_dir, stored
 from ..sources import corpora as readers
 from . import inputs
 from .registry import registry
@@ -70,7 +70,7 @@ def written_splits(spark, folder):
     path = shared_dir(spark, "corpus")
     split = corpus.holdout(corpus.union_corpora(inputs.corpora(spark, folder)), keys=["corpus", "row_id"])
     readers.write_once(split, path)
-    readers.write_once(split.limit(0), path)
+    readers.write_once(split.where("false"), path)
     return spark.read.parquet(path).groupBy("split", "corpus").agg(F.count("*").alias("n"))
 
 
@@ -149,9 +149,7 @@ def vocabulary(spark, folder):
 
 def _stored_vocab(spark, folder, size=None):
     """The vocabulary as a table: it is used by every encoding job, so it is made once and written."""
-    path = shared_dir(spark, "vocab")
-    vocab.build_vocab(vocab.token_counts(inputs.document_tokens(spark, folder)), size=size).write.parquet(path)
-    return spark.read.parquet(path)
+    return stored(vocab.build_vocab(vocab.token_counts(inputs.document_tokens(spark, folder)), size=size), "vocab")
 
 
 @query("encode", f"""WITH {VOCAB_SQL},
@@ -204,7 +202,7 @@ scored AS (SELECT -ln((coalesce(n, 0) + 0.5::DOUBLE) / (coalesce(t, 0) + 0.5::DO
 SELECT count(*) AS tokens, round(avg(nll), 4) AS nll, round(exp(avg(nll)), 2) AS perplexity FROM scored""")
 def backward_bigram_nll(spark, folder):
     split = corpus.holdout(inputs.documents(spark, folder), keys=["doc_id"])
-    counted = ngram.backward_pairs(vocab.tokenize(split, ["split"]), by=["split"])
+    counted = stored(ngram.backward_pairs(vocab.tokenize(split, ["split"]), by=["split"]), "pairs")
     train = counted.where(F.col("split") == "train").drop("split")
     held_out = counted.where(F.col("split") == "validation").drop("split")
     scored = ngram.backward_nll(train, held_out, 0.5)

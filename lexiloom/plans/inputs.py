@@ -9,6 +9,8 @@ from ..functions.arrays import shifted_right
 from ..functions.text import words
 
 TYPES = ["PER", "ORG", "LOC", "MISC"]
+# a bucket of a run's events is 2 ** 26 microseconds, 67 seconds
+BUCKET_BITS = 26
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -49,7 +51,7 @@ def tagged_sentences(spark: SparkSession, folder: str) -> DataFrame:
     nothing = F.lit(None).cast("string")
     return (
         documents(spark, folder).where(F.col("lang") == "en")
-        .select("doc_id", F.posexplode(F.split("text", "[.\\n]+")).alias("sent", "piece"))
+        .select("doc_id", F.posexplode_outer(F.split("text", "[.\\n]+")).alias("sent", "piece"))
         .where(F.col("piece").rlike("[^ \\t\\r]"))
         .select("doc_id", F.col("sent").cast("bigint").alias("sent"),
                 words(F.col("piece"), "[ \\t\\r]+").alias("tokens"))
@@ -76,7 +78,7 @@ def document_tokens(spark: SparkSession, folder: str) -> DataFrame:
 def document_lines(spark: SparkSession, folder: str) -> DataFrame:
     """``(row_id, doc_id, line_no, text)``: lines of the documents, some made headings, some with blanks after
     them."""
-    lines = documents(spark, folder).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = documents(spark, folder).select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
     text = (F.when(F.col("line_no") % 10 == 3, F.concat(F.lit(" = "), "line", F.lit(" = ")))
             .when(F.col("line_no") % 4 == 1, F.concat("line", F.lit(" \t"))).otherwise(F.col("line")))
     return lines.select((F.col("doc_id") * 1_000_000 + F.col("line_no")).alias("row_id"), "doc_id",
@@ -104,4 +106,4 @@ def epochs(spark: SparkSession, folder: str) -> DataFrame:
     """``(run_id, ts, event_id, score, bucket)``: an event is an epoch of its user's run, in time order."""
     return table(spark, folder, "events").select(
         F.col("user_id").alias("run_id"), "ts", "event_id", F.col("value").alias("score"),
-        F.shiftright(F.unix_micros(F.col("ts").cast("timestamp")), 32).alias("bucket"))
+        F.shiftright(F.unix_micros(F.col("ts").cast("timestamp")), BUCKET_BITS).alias("bucket"))

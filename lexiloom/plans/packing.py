@@ -81,7 +81,7 @@ SELECT shard::BIGINT AS shard, batch_id::BIGINT AS batch_id, (g // {LENGTH})::BI
 FROM placed GROUP BY shard, batch_id, g // {LENGTH} HAVING count(*) = {LENGTH}""")
 def pack_sharded(spark, folder):
     """Batches that do not cross the four worker shards."""
-    rows = inputs.table(spark, folder, "documents").count()
+    rows = inputs.table(spark, folder, "documents").agg(F.count("*")).scalar()
     blocks = packing.pack_batches(inputs.document_tokens(spark, folder), LENGTH, ["doc_id"], rows_per_batch=ROWS,
                                   shards=SHARDS, rows=rows)
     return blocks.select("shard", "batch_id", "block_id", F.array_join("tokens", " ").alias("block"))

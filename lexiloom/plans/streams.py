@@ -38,18 +38,18 @@ def stream_by_split(spark, folder):
     return text.drain(rows, "splits", ["split"]).groupBy("split").agg(F.count("*").alias("n"))
 
 
-SHARDS, LENGTH = 4, 32
+SHARD_IDS, LENGTH = 50_000, 32
 
 
 @query("stream_pack", f"""
-WITH flat AS (SELECT role, (conv_id * 1000 + turn) % {SHARDS} AS shard, conv_id * 1000 + turn AS r,
+WITH flat AS (SELECT role, (conv_id * 1000 + turn) // {SHARD_IDS} AS shard, conv_id * 1000 + turn AS r,
   generate_subscripts({WORDS_SQL}, 1) AS pos, unnest({WORDS_SQL}) AS tok FROM conversations),
 placed AS (SELECT role, shard, tok, row_number() OVER (PARTITION BY role, shard ORDER BY r, pos) - 1 AS g FROM flat)
-SELECT role, shard::INT AS shard, (g // {LENGTH})::BIGINT AS block_id, string_agg(tok, ' ' ORDER BY g DESC) AS block
+SELECT role, shard::BIGINT AS shard, (g // {LENGTH})::BIGINT AS block_id, string_agg(tok, ' ' ORDER BY g DESC) AS block
 FROM placed GROUP BY role, shard, g // {LENGTH} HAVING count(*) = {LENGTH}""")
 def stream_pack(spark, folder):
     words = tokenize(_talks(spark, folder), ["role", "row_id"])
-    packed = packing.pack_carry(packing.with_shard(words, "row_id", SHARDS), LENGTH, ["role", "shard"])
+    packed = packing.pack_carry(packing.with_shard(words, "row_id", SHARD_IDS), LENGTH, ["role", "shard"])
     done = text.drain(packed, "blocks")
     return done.select("role", "shard", "block_id", F.array_join("tokens", " ").alias("block"))
 

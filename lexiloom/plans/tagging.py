@@ -357,7 +357,8 @@ def tagged_file_round_trip(spark, folder):
     path = shared_dir(spark, "tagged-text")
     sentences = inputs.tagged_sentences(spark, folder)
     tagged.write_sentences(sentences, tagged.tagged_text(F.col("tokens"), F.col("gold")), path, ["doc_id", "sent"])
-    back = dense_index(tagged.read_tagged(spark, path), "place", ["file", "sent_id"], bucket=["file"])
+    rows = tagged.read_tagged(spark, path).withColumn("run", F.shiftright("sent_id", 12))
+    back = dense_index(rows, "place", ["file", "sent_id"], bucket=["file", "run"])
     return back.select("place", F.array_join("tokens", " ").alias("tokens"), F.array_join("tags", " ").alias("tags"))
 
 

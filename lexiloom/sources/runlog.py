@@ -32,13 +32,14 @@ def write_log(metrics: DataFrame, run: Sequence[str] = ("run_id",), out: str = "
 
 def read_log(logs: DataFrame, run: Sequence[str] = ("run_id",), column: str = "log") -> DataFrame:
     """``(*run, epoch, phase, metric, value, end_time)`` of JSON logs; nested reports get dotted metric names."""
-    epochs = logs.select(*run, F.explode(F.from_json(column, "map<string,string>")).alias("__k", "__v"))
+    epochs = logs.select(*run, F.explode_outer(F.from_json(column, "map<string,string>")).alias("__k", "__v"))
     epochs = epochs.select(*run, F.regexp_extract("__k", "([0-9]+)", 1).cast("bigint").alias("epoch"),
                            F.from_json("__v", "map<string,string>").alias("__m"))
     phases = epochs.select(*run, "epoch", F.col("__m")["end_time"].alias("end_time"),
-                           F.explode(F.map_filter("__m", lambda k, v: k.endswith("_log"))).alias("__p", "__j"))
+                           F.explode_outer(F.map_filter("__m", lambda k, v: k.endswith("_log"))).alias("__p", "__j"))
     rows = phases.select(*run, "epoch", F.regexp_replace("__p", "_log$", "").alias("phase"), "end_time",
-                         F.explode(F.from_json("__j", "map<string,string>")).alias("metric", "__x"))
+                         F.explode_outer(F.from_json("__j", "map<string,string>")).alias("metric", "__x"))
+    rows = rows.where("metric IS NOT NULL")
     flat = _unnest(_unnest(rows, run), run)
     return flat.select(*run, "epoch", "phase", "metric", F.col("__x").cast("double").alias("value"), "end_time")
 

@@ -13,20 +13,19 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.packing import pack_batches, reverse_blocks
 from .text import start_batches
 
-SHARDS = 64
+SHARD_IDS = 65_536
 
 
-def with_shard(df: DataFrame, row: str, shards: int = SHARDS, out: str = "shard") -> DataFrame:
-    """Spread the rows of every key over ``shards`` packing states, by row id."""
-    return df.withColumn(out, F.pmod(F.col(row), F.lit(shards)).cast("int"))
+def with_shard(df: DataFrame, row: str, ids: int = SHARD_IDS, out: str = "shard") -> DataFrame:
+    """Number the runs of ``ids`` neighbouring row ids: no packing state gets more rows, whatever the key."""
+    return df.withColumn(out, F.floor(F.col(row) / ids).cast("bigint"))
 
 
 def pack_carry(df: DataFrame, length: int, keys: Sequence[str], row: str = "row_id", tokens: str = "tokens",
                reverse: bool = True) -> DataFrame:
     """``(*keys, block_id, tokens)``: blocks per key, the remainder kept in state for the next micro-batch.
 
-    ``keys`` should end with the ``shard`` of :func:`with_shard`: one state then takes a bounded share of a
-    frequent key. The rows of a micro-batch are taken in the order of ``row``; micro-batches follow in file
+    ``keys`` should end with the ``shard`` of :func:`with_shard`, so that a frequent key is many states. The rows of a micro-batch are taken in the order of ``row``; micro-batches follow in file
     order. State per key is the remainder, fewer than ``length`` tokens, and the next block number.
     """
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
