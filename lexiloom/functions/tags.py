@@ -33,31 +33,30 @@ def is_valid_tag(tag: Column) -> Column:
     return (tag == OUTSIDE) | (F.instr(tag, "-") > 0)
 
 
-def parsed(tag: Column) -> Column:
-    """The tag as a struct, so that a tag is taken apart once and compared many times."""
-    return F.struct(
-        (tag == OUTSIDE).alias("out"),
-        tag_prefix(tag).alias("prefix"),
-        tag_type_or_empty(tag).alias("type"),
-    )
+def _opens(tag: Column) -> Column:
+    return tag.startswith("B-") | tag.startswith("S-")
+
+
+def _closes(tag: Column) -> Column:
+    return tag.startswith("E-") | tag.startswith("S-")
 
 
 def _border(before: Column, after: Column) -> Column:
-    return (
-        after["prefix"].isin("B", "S")
-        | (before["type"] != after["type"])
-        | before["prefix"].isin("E", "S")
-    )
+    """Whether two neighbouring tags other than ``O`` belong to different chunks.
+
+    Equal tags have equal types, so the types are cut out only where the tags differ.
+    """
+    return _opens(after) | _closes(before) | ((before != after) & ~tag_type(before).eqNullSafe(tag_type(after)))
 
 
 def chunk_starts(before: Column, here: Column) -> Column:
-    """Whether a chunk begins at ``here``, both tags parsed."""
-    return ~here["out"] & (before["out"] | _border(before, here))
+    """Whether a chunk begins at the tag ``here``."""
+    return (here != OUTSIDE) & ((before == OUTSIDE) | _border(before, here))
 
 
 def chunk_ends(here: Column, after: Column) -> Column:
-    """Whether a chunk ends at ``here``, both tags parsed."""
-    return ~here["out"] & (after["out"] | _border(here, after))
+    """Whether a chunk ends at the tag ``here``."""
+    return (here != OUTSIDE) & ((after == OUTSIDE) | _border(here, after))
 
 
 def _around(tags: str, names: tuple[str, str, str], before: Column, after: Column) -> list[Column]:
@@ -78,20 +77,16 @@ def with_chunks(df: DataFrame, tags: str, out: str) -> DataFrame:
         F.array().cast("array<int>"))
     zipped = F.arrays_zip(*_around(tags, ("b", "h", "a"), o, o), places.alias("i"))
 
-    def look(z: Column) -> Column:
-        return F.struct(z["i"].cast("bigint").alias("i"), parsed(z["b"]).alias("b"), parsed(z["h"]).alias("h"),
-                        parsed(z["a"]).alias("a"))
-
     def border(z: Column) -> Column:
-        return F.struct(z["i"].alias("i"), z["h"]["type"].alias("type"), chunk_starts(z["b"], z["h"]).alias("s"),
+        return F.struct(z["i"].cast("bigint").alias("i"), z["h"].alias("h"), chunk_starts(z["b"], z["h"]).alias("s"),
                         chunk_ends(z["h"], z["a"]).alias("e"))
 
     return (
         df.withColumn(s, F.filter(zipped, lambda z: (z["h"] != OUTSIDE)))
-        .withColumn(s, F.transform(F.transform(s, look), border))
+        .withColumn(s, F.transform(s, border))
         .withColumn(out, F.zip_with(
             F.filter(s, lambda x: x["s"]), F.filter(s, lambda x: x["e"]), lambda a, b: F.struct(
-                a["i"].alias("start"), b["i"].alias("end"), a["type"].alias("type"))))
+                a["i"].alias("start"), b["i"].alias("end"), tag_type_or_empty(a["h"]).alias("type"))))
         .drop(s)
     )
 
@@ -100,7 +95,7 @@ def with_chunk_events(df: DataFrame, gold: str, pred: str, out: str, edges: bool
     """Add ``out``: the positions where a chunk of either side starts or ends, in order.
 
     Entry: ``struct<g_type, p_type, joint_start, any_end, joint_end>``, types NULL where no chunk starts. NULL
-    for a row that holds an invalid tag. With ``edges`` the columns ``<gold>_before``, ``<gold>_after`` and
+    for a row without chunks and for a row that holds an invalid tag. With ``edges`` the columns ``<gold>_before``, ``<gold>_after`` and
     so on hold the tags around the array; without it the array stands alone.
     """
     def edge(side: str, where: str) -> Column:
@@ -109,30 +104,29 @@ def with_chunk_events(df: DataFrame, gold: str, pred: str, out: str, edges: bool
     zipped = F.arrays_zip(*_around(gold, ("gb", "g", "ga"), edge(gold, "before"), edge(gold, "after")),
                           *_around(pred, ("pb", "p", "pa"), edge(pred, "before"), edge(pred, "after")))
 
-    def look(z: Column) -> Column:
-        return F.struct(*[parsed(z[n]).alias(n) for n in ("gb", "g", "ga", "pb", "p", "pa")])
-
     def flags(z: Column) -> Column:
         return F.struct(
             chunk_starts(z["gb"], z["g"]).alias("gs"), chunk_starts(z["pb"], z["p"]).alias("ps"),
             chunk_ends(z["g"], z["ga"]).alias("ge"), chunk_ends(z["p"], z["pa"]).alias("pe"),
-            z["g"]["type"].alias("gt"), z["p"]["type"].alias("pt"),
+            z["g"].alias("g"), z["p"].alias("p"),
         )
 
     def event(f: Column) -> Column:
         return F.struct(
-            F.when(f["gs"], f["gt"]).alias("g_type"),
-            F.when(f["ps"], f["pt"]).alias("p_type"),
-            (f["gs"] & f["ps"] & (f["gt"] == f["pt"])).alias("joint_start"),
+            F.when(f["gs"], tag_type(f["g"])).alias("g_type"),
+            F.when(f["ps"], tag_type(f["p"])).alias("p_type"),
+            (f["gs"] & f["ps"] & ((f["g"] == f["p"]) | (tag_type(f["g"]) == tag_type(f["p"])))).alias("joint_start"),
             (f["ge"] | f["pe"]).alias("any_end"),
             (f["ge"] & f["pe"]).alias("joint_end"),
         )
 
     raw = f"__{out}_z"
+    # most sentences hold no chunk: two compiled loops settle them before any lambda runs
+    some = (F.size(F.array_remove(gold, OUTSIDE)) > 0) | (F.size(F.array_remove(pred, OUTSIDE)) > 0)
     good = F.forall(raw, lambda z: is_valid_tag(z["g"]) & is_valid_tag(z["p"]))
     return (
-        df.withColumn(raw, F.filter(zipped, lambda z: (z["g"] != OUTSIDE) | (z["p"] != OUTSIDE)))
-        .withColumn(out, F.transform(F.transform(F.when(good, F.col(raw)), look), flags))
+        df.withColumn(raw, F.when(some, F.filter(zipped, lambda z: (z["g"] != OUTSIDE) | (z["p"] != OUTSIDE))))
+        .withColumn(out, F.transform(F.when(good, F.col(raw)), flags))
         .withColumn(out, F.transform(
             F.filter(out, lambda f: f["gs"] | f["ps"] | f["ge"] | f["pe"]), event))
         .drop(raw)

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.functions.tags import chunk_ends, chunk_starts, parsed
+from lexiloom.functions.tags import chunk_ends, chunk_starts
 from lexiloom.operators import metrics, spans
 
 
@@ -55,8 +55,7 @@ def as_table(df):
     ("E-PER", "I-PER", True, True), ("S-PER", "S-PER", True, True), ("I-PER", "E-PER", False, False)])
 def test_start_and_end_table(spark, before, here, start, end):
     row = spark.range(1).select(
-        chunk_starts(parsed(F.lit(before)), parsed(F.lit(here))).alias("s"),
-        chunk_ends(parsed(F.lit(before)), parsed(F.lit(here))).alias("e")).first()
+        chunk_starts(F.lit(before), F.lit(here)).alias("s"), chunk_ends(F.lit(before), F.lit(here)).alias("e")).first()
     assert (row["s"], row["e"]) == (start, end)
 
 
