@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, is_heading_or_empty, md5_number, right_trim
-from .ordered import dense_index
+from .ordered import dense_index, lookup
 
 HOLDOUT_RATE = 0.05
 
@@ -48,12 +48,12 @@ def holdout_exact(df: DataFrame, rate: float = HOLDOUT_RATE, seed: int = 42, key
     """As :func:`holdout` with exactly ``ceil(rate * n)`` validation rows of every group of ``by``.
 
     Rows are ranked by their draw. Draws are even, so the ranking buckets are, whatever the group's size.
-    ``by`` is the corpus name: the broadcast group sizes are one row per corpus of the caller's list.
     """
     drawn = df.withColumn("__draw", md5_number(F.lit(seed), *[F.col(k) for k in keys]))
     ranked = dense_index(drawn, "__rank", ["__draw", *keys], by, bits=16)
     if by:
-        joined = ranked.join(F.broadcast(df.groupBy(*by).agg(F.count("*").alias("__n"))), list(by))
+        sizes = df.groupBy(*by).agg(F.count("*").alias("__n")).withColumn("__weight", F.col("__n"))
+        joined = lookup(ranked, sizes, by, "__weight", spread=keys)
     else:
         joined = ranked.withColumn("__n", df.agg(F.count("*")).scalar())
     chosen = F.col("__rank") < F.ceil(F.col("__n") * rate)

@@ -158,7 +158,8 @@ SELECT doc_id, count(*) AS n, count(*) FILTER (id IS NULL) AS n_unknown,
   string_agg(coalesce(id, -1)::VARCHAR, ',' ORDER BY pos) AS ids
 FROM flat LEFT JOIN (SELECT token, id FROM vocab WHERE id < 5000) USING (token) GROUP BY doc_id""")
 def encode(spark, folder):
-    coded = vocab.encode(inputs.document_tokens(spark, folder), _stored_vocab(spark, folder, 5000), ["doc_id"])
+    coded = vocab.encode(inputs.document_tokens(spark, folder), _stored_vocab(spark, folder, 5000), ["doc_id"],
+                         size=5000)
     return coded.select("doc_id", F.size("input_ids").cast("bigint").alias("n"),
                         F.size(F.filter("input_ids", lambda i: i == -1)).cast("bigint").alias("n_unknown"),
                         F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("ids"))

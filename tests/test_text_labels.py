@@ -61,6 +61,8 @@ def test_vocabulary_and_encoding(spark):
     for hot in (0, 3, 4096):
         got = {r["row_id"]: r["input_ids"] for r in vocab.encode(df, small, hot_below=hot).collect()}
         assert got == {i: [ids.get(t, -1) for t in doc] for i, doc in docs}
+    got = {r["row_id"]: r["input_ids"] for r in vocab.encode(df, small, size=20).collect()}
+    assert got == {i: [ids.get(t, -1) for t in doc] for i, doc in docs}
 
 
 def test_encode_lines_with_and_without_padding(spark):
