@@ -87,7 +87,7 @@ def invalid_rows(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataF
 
 def chunk_counts_flat(df: DataFrame, order: Sequence[str], gold: str = "gold", pred: str = "pred",
                       keys: Sequence[str] = (), bucket: Sequence[str] | None = None, bits: int = BITS,
-                      levels: int = 0) -> DataFrame:
+                      levels: int = 1) -> DataFrame:
     """As :func:`chunk_counts`, with all rows of a key read as *one* stream, in the given order.
 
     A chunk may run on over any number of rows. Each row learns only the last tags before it and the first
