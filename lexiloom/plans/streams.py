@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..operators.vocab import tokenize
 from ..session import shared_dir
 from ..streaming import packing, text
-from . import inputs
 from .registry import registry
 
 QUERIES, ORACLES, query = registry()
