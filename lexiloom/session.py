@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -32,16 +36,24 @@ def local_session(app: str = "lexiloom", cores: int | str = "*", **conf: str) ->
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new sub-folder path of the cluster's shared folder, ``spark.checkpoint.dir``.
 
-    The setting is read from the session. Only where it is unset (tests, a laptop) is a local folder made
-    and recorded, so that executors on other machines never depend on the driver's own disk.
+    The setting is read from the session. Where it is unset, a single-process master (tests, a laptop) gets a
+    temporary folder; on a cluster that is an error, because no other machine would see such a folder.
     """
     base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
     if not base:
-        base = tempfile.mkdtemp(prefix="lexiloom-")
-        spark.conf.set(CHECKPOINT_KEY, base)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all machines share")
+        base = _local_folder()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+@functools.cache
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="lexiloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
