@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import cost_packing, ecoc_lang, gray_simhash, word_aligned
+from . import cost_packing, ecoc_lang, gray_simhash, hilbert, impact_topk, line_chunks, window_decontam, word_aligned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,44 @@ def op7_ecoc_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = ecoc_lang.fit(docs.where(~held_out))
     found = ecoc_lang.predict(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query
+def op3_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards along a Hilbert curve over size, language and source."""
+    dims = {"size_cell": hilbert.level(F.octet_length("text")), "lang_cell": hilbert.place(F.col("lang")),
+            "source_cell": hilbert.place(F.col("source"))}
+    found = hilbert.shards(table(spark, sf_dir, "documents"), dims)
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"), "hilbert", *dims)
+
+
+@query
+def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without repeated runs of lines: what went and a digest of what stays."""
+    found = line_chunks.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "removed", F.length("text").cast("long").alias("kept_chars"),
+                        F.crc32(F.encode("text", "UTF-8")).alias("kept_crc32"))
+
+
+@query
+def op9_window_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in all documents."""
+    found = window_decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query
+def op10_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every twentieth vector."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), impact_topk.integers(F.col("embedding")).alias("vector"))
+    return impact_topk.top_k(vectors, F.col("id") % 20 == 0)
+
+
+ORACLES["op10_impact_topk"] = """
+WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT for x in embedding] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 20"""

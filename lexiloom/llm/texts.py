@@ -146,17 +146,22 @@ def words(buf: np.ndarray, off: np.ndarray, lower: bool = True) -> Words:
 
 def string_hashes(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     """One hash per string of ``bytes_of``."""
-    out = np.zeros(len(off) - 1, np.uint64)
+    return span_hashes(buf, off[:-1], off[1:])
+
+
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """One hash per span of bytes; starts and ends ascend. Equal bytes have equal hashes wherever they lie."""
+    out = np.zeros(len(start), np.uint64)
     at = 0
     with np.errstate(over="ignore"):
         while at < len(out):
-            to = max(at + 1, int(np.searchsorted(off, off[at] + SEGMENT, "right")) - 1)
-            part = BYTE_VALUE[buf[off[at] : off[to]]]
-            total = np.zeros(len(part) + 1, np.uint64)
+            base = int(start[at])
+            to = max(at + 1, int(np.searchsorted(end, base + SEGMENT, "right")))
+            part = BYTE_VALUE[buf[base : end[to - 1]]]
             if len(part) <= SEGMENT:
+                total = np.zeros(len(part) + 1, np.uint64)
                 np.cumsum(part * POWER[: len(part)], out=total[1:])
-                begin = off[at : to + 1] - off[at]
-                out[at:to] = (total[begin[1:]] - total[begin[:-1]]) * POWER[SEGMENT - begin[:-1]]
+                out[at:to] = (total[end[at:to] - base] - total[start[at:to] - base]) * POWER[SEGMENT - (start[at:to] - base)]
             else:
                 out[at] = np.sum(part * _powers(len(part)), dtype=np.uint64) * POWER[SEGMENT]
             at = to
