@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import stored
 from .texts import mix, pieces
@@ -106,8 +107,9 @@ def _fingerprint_task(width: int, seed: int, words: int):
                         found.append(np.array(part, np.uint64))
                         size[i] += len(part)
                 fps = wide_fingerprints(np.concatenate(found) if found else np.zeros(0, np.uint64), size, words)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(fp.view(np.int64)) for fp in fps)],
-                                                 names=["doc_id", *word_names(words)])
+                kept = [i for i, name in enumerate(rows.schema.names) if name != "text"]
+                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in kept), *(pa.array(fp.view(np.int64)) for fp in fps)],
+                                                 names=[*(rows.schema.names[i] for i in kept), *word_names(words)])
 
     return run
 
@@ -117,9 +119,10 @@ def word_names(words: int) -> list[str]:
 
 
 def with_fingerprint(docs: DataFrame, width: int = SHINGLE, seed: int = SEED, words: int = 1) -> DataFrame:
-    """doc_id and the fingerprint's words fp, fp1, ... as signed longs."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, " + ", ".join(f"{name} long" for name in word_names(words))
+    """The columns of ``docs`` but the text, and the fingerprint's words fp, fp1, ... as signed longs."""
+    plain = docs.drop(*word_names(words)).withColumn("text", F.col("text").cast("string"))
+    fields = [f for f in plain.schema.fields if f.name != "text"]
+    schema = T.StructType([*fields, *(T.StructField(name, T.LongType()) for name in word_names(words))])
     return plain.mapInArrow(_fingerprint_task(width, seed, words), schema)
 
 
@@ -296,14 +299,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, words: int = 1,
-                    limit: int | None = None, split: int = SPLIT) -> DataFrame:
-    """doc_id, fp and component_id: the smallest doc_id reachable over codes within ``limit`` bits."""
+                    limit: int | None = None, split: int = SPLIT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp, component (a key of the group), component_id (its smallest doc_id) and the columns of ``carry``."""
     names = word_names(words)
-    prints = stored(with_fingerprint(docs, width, seed, words), "fingerprints")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, "text")
+    prints = stored(with_fingerprint(plain, width, seed, words), "fingerprints")
     entry = F.col("fp") if words == 1 else F.xxhash64(*names)
     codes = stored(prints.groupBy(*names).agg(F.min("doc_id").alias("first")).withColumn("v", entry), "codes")
     roots = components(links(codes, words, radius, limit, split))
-    rooted = codes.join(roots, "v", "left").select("v", "first", F.coalesce("root", "v").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("v", "component_id")
-    return prints.withColumn("v", entry).join(named, "v").select("doc_id", "fp", "component_id")
+    rooted = codes.join(roots, "v", "left").select("v", "first", F.coalesce("root", "v").alias("component"))
+    least = rooted.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = rooted.join(least, "component").select("v", "component", "component_id")
+    return prints.withColumn("v", entry).join(named, "v").select("doc_id", *carry, "fp", "component", "component_id")
