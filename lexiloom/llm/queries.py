@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import cost_packing, ecoc_lang, elias_fano_lm, gray_simhash, hilbert, impact_topk, line_chunks, window_decontam, word_aligned
+from . import cost_packing, ecoc_lang, elias_fano_lm, gray_simhash, hilbert, impact_topk, license_ngrams, line_chunks, window_decontam, word_aligned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +104,11 @@ def op5_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
     found = elias_fano_lm.score(docs, ~held_out)
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op2_license_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in the paragraphs of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = license_ngrams.scan(docs, license_ngrams.fit(docs))
+    return found.withColumn("probability", F.round("probability", 4)).withColumn("similarity", F.round("similarity", 4))
