@@ -44,7 +44,7 @@ from .texts import U64, bytes_of, counts, pieces, words
 END = U64(0x5D1E9C7B3A482F61)
 MU = 20.0
 HEAVY = 2000
-SHARD_TOKENS = 5_000_000
+SHARD_TOKENS = 2_000_000
 #: distinct words that a task gathers before it hands them on
 GATHERED = 1_500_000
 
@@ -349,10 +349,10 @@ def _score_task(shared, mu: float):
             by = np.argsort(run_word, kind="stable")
             token = _spread(run_first[by], run_size[by])
             before = np.concatenate([p[2] for p in parts])[token]
-            part = np.repeat(np.arange(len(parts)), np.diff(at))
-            text = np.concatenate([p[3] for p in parts]).astype(np.int64)
+            part = np.repeat(np.arange(len(parts), dtype=np.int32), np.diff(at))
+            text = np.concatenate([p[3] for p in parts]).astype(np.int32)
             train = (text < n_train[part])[token]
-            text = (text + base[part])[token]
+            text = (text + base.astype(np.int32)[part])[token]
             del part, token
             sorted_word = run_word[by]
             first = np.flatnonzero(np.append(True, sorted_word[1:] != sorted_word[:-1]))
