@@ -66,9 +66,17 @@ def shuffle_key(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
-def shuffled(df: DataFrame, seed: int, keys: Sequence[str] = ("row_id",)) -> DataFrame:
-    """Rows in a repeatable random order: a range-partitioned sort, no single task."""
-    return df.withColumn("shuffle_key", shuffle_key(seed, *keys)).orderBy("shuffle_key", *keys)
+def shuffled(df: DataFrame, seed: int, keys: Sequence[str] = ("row_id",), place: str | None = None) -> DataFrame:
+    """Rows in a repeatable random order: a range-partitioned sort, no single task.
+
+    ``place`` adds a column with the row's place in that order. Keys are even, so ranges of their first digits
+    are bounded buckets.
+    """
+    keyed = df.withColumn("shuffle_key", shuffle_key(seed, *keys))
+    if place:
+        head = F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("bigint")
+        keyed = dense_index(keyed.withColumn("__head", head), place, ["__head", "shuffle_key", *keys], bits=16).drop("__head")
+    return keyed.orderBy("shuffle_key", *keys)
 
 
 def drop_headings(df: DataFrame, text: str = "text") -> DataFrame:

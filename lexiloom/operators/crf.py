@@ -18,6 +18,9 @@ from ..functions.numeric import bind, log_sum_exp, total
 from .ordered import neighbours
 
 
+IGNORED = -100
+
+
 @dataclass(frozen=True)
 class CrfParams:
     """Transition scores (from, to), start scores and stop scores: K*K + 2K numbers, sent as literals."""
@@ -66,32 +69,41 @@ def _check(emissions: Column, params: CrfParams) -> Column:
         .cast("array<array<double>>"))
 
 
-def sequence_score(emissions: Column, tags: Column, params: CrfParams, ignored: int = -100,
+def labelled(emissions: Column, tags: Column, params: CrfParams, ignored: int = IGNORED,
+             pad_as_zero: bool = False) -> Column:
+    """Positions as ``array<struct<e, t>>``: those tagged -100 are left out with their emissions, or
+    (``pad_as_zero``) stay as tag 0. Any other tag outside the parameters raises."""
+    zipped = F.arrays_zip(emissions.alias("e"), tags.alias("t"))
+    if pad_as_zero:
+        zipped = F.transform(zipped, lambda z: F.struct(z["e"].alias("e"), F.when(z["t"] == ignored, 0).otherwise(z["t"]).alias("t")))
+    else:
+        zipped = F.filter(zipped, lambda z: z["t"] != ignored)
+    known = F.forall(zipped, lambda z: (z["t"] >= 0) & (z["t"] < params.size))
+    return F.when(known, zipped).otherwise(
+        F.raise_error(F.lit(f"a tag is neither {ignored} nor 0 to {params.size - 1}")).cast("array<struct<e:array<double>,t:int>>"))
+
+
+def sequence_score(emissions: Column, tags: Column, params: CrfParams, ignored: int = IGNORED,
                    pad_as_zero: bool = False) -> Column:
     """Score of a given tag path: emissions, transitions, start and stop.
 
     Positions tagged -100 are left out together with their emissions. ``pad_as_zero`` scores them as tag 0
     instead.
     """
-    if pad_as_zero:
-        kept = F.zip_with(emissions, tags, lambda e, t: F.struct(
-            e.alias("e"), F.when(t == ignored, 0).otherwise(t).alias("t")))
-    else:
-        kept = F.filter(F.arrays_zip(emissions.alias("e"), tags.alias("t")), lambda z: z["t"] != ignored)
-    flat = _row([x for row in params.transitions for x in row])
-    start, stop, k = _row(params.start), _row(params.stop), params.size
+    return bind(labelled(emissions, tags, params, ignored, pad_as_zero), lambda z: _path_score(z, params))
 
-    def path(z: Column) -> Column:
-        steps = F.zip_with(
-            F.slice(z, F.lit(1), F.size(z) - 1), F.slice(z, F.lit(2), F.size(z) - 1),
-            lambda a, b: F.element_at(flat, (a["t"] * k + b["t"] + 1).cast("int")))
-        seen = F.transform(z, lambda x: F.element_at(x["e"], x["t"].cast("int") + 1))
-        return F.when(F.size(z) > 0, (
-            total(seen) + total(steps)
-            + F.element_at(start, F.element_at(z, 1)["t"].cast("int") + 1)
-            + F.element_at(stop, F.element_at(z, -1)["t"].cast("int") + 1)))
 
-    return bind(kept, path)
+def _path_score(z: Column, params: CrfParams) -> Column:
+    flat = _row([x for row in params.transitions for x in row])
+    start, stop, k = _row(params.start), _row(params.stop), params.size
+    steps = F.zip_with(
+        F.slice(z, F.lit(1), F.greatest(F.size(z) - 1, F.lit(0))), F.slice(z, F.lit(2), F.greatest(F.size(z) - 1, F.lit(0))),
+        lambda a, b: F.element_at(flat, (a["t"] * k + b["t"] + 1).cast("int")))
+    seen = F.transform(z, lambda x: F.element_at(x["e"], x["t"].cast("int") + 1))
+    return F.when(F.size(z) > 0, (
+        total(seen) + total(steps)
+        + F.element_at(start, F.element_at(z, 1)["t"].cast("int") + 1)
+        + F.element_at(stop, F.element_at(z, -1)["t"].cast("int") + 1)))
 
 
 def log_partition(emissions: Column, params: CrfParams) -> Column:
@@ -137,12 +149,19 @@ def viterbi(emissions: Column, params: CrfParams) -> Column:
 
 
 def mean_nll(df: DataFrame, params: CrfParams, emissions: str = "emissions", tags: str = "tags",
-             by: Sequence[str] = ()) -> DataFrame:
-    """Mean over sequences of log partition minus path score."""
+             by: Sequence[str] = (), ignored: int = IGNORED, pad_as_zero: bool = False) -> DataFrame:
+    """Mean over sequences of log partition minus path score, both over the same positions.
+
+    A sequence with no position left says nothing and is not counted.
+    """
     same = F.when(F.size(emissions) == F.size(tags), F.col(emissions)).otherwise(
         F.raise_error(F.lit("emissions and tags must have the same length")).cast("array<array<double>>"))
-    loss = log_partition(F.col("__e"), params) - sequence_score(F.col("__e"), F.col(tags), params)
-    return df.withColumn("__e", same).groupBy(*by).agg(F.avg(loss).alias("nll"))
+
+    def loss(z: Column) -> Column:
+        return F.when(F.size(z) > 0, log_partition(F.transform(z, lambda x: x["e"]), params) - _path_score(z, params))
+
+    kept = labelled(F.col("__e"), F.col(tags), params, ignored, pad_as_zero)
+    return df.withColumn("__e", same).groupBy(*by).agg(F.avg(bind(kept, loss)).alias("nll"))
 
 
 def label_bigrams(df: DataFrame, label: str, order: Sequence[str], keys: Sequence[str], **options) -> DataFrame:
@@ -183,47 +202,72 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def _observed_minus_expected(e: np.ndarray, tags: np.ndarray, t, start, stop):
-    """Gradient of one sequence's log-likelihood, and the log-likelihood."""
-    n, k = e.shape
-    alpha, beta = np.empty((n, k)), np.empty((n, k))
-    alpha[0], beta[-1] = e[0] + start, stop
+def _kept_positions(batch: pd.DataFrame, emissions: str, tags: str, k: int, ignored: int, pad_as_zero: bool):
+    """Padded emissions (sequence, position, tag), tags and lengths of a batch, ignored positions left out."""
+    kept = []
+    for e, y in zip(batch[emissions], batch[tags]):
+        y = np.asarray(y, dtype=int)
+        keep = np.ones(len(y), bool) if pad_as_zero else y != ignored
+        y = np.where(y == ignored, 0, y)[keep]
+        if ((y < 0) | (y >= k)).any():
+            raise ValueError(f"a tag is neither {ignored} nor 0 to {k - 1}")
+        if len(y):
+            kept.append((np.stack(list(e)).astype(float)[keep], y))
+    length = np.array([len(y) for _, y in kept], dtype=int)
+    x, tag = np.zeros((len(kept), int(length.max(initial=0)), k)), np.zeros((len(kept), int(length.max(initial=0))), int)
+    for i, (e, y) in enumerate(kept):
+        x[i, :len(y)], tag[i, :len(y)] = e, y
+    return x, tag, length
+
+
+def _observed_minus_expected(x: np.ndarray, tag: np.ndarray, length: np.ndarray, t, start, stop):
+    """Summed gradient of the log-likelihoods of a batch, and their sum: one step per position for all sequences."""
+    m, n, k = x.shape
+    rows, last = np.arange(m), length - 1
+    alpha, beta = np.empty((n, m, k)), np.empty((n, m, k))
+    alpha[0], beta[n - 1] = x[:, 0] + start, stop
     for i in range(1, n):
-        alpha[i] = _lse(alpha[i - 1][:, None] + t, 0) + e[i]
+        step = _lse(alpha[i - 1][:, :, None] + t, 1) + x[:, i]
+        alpha[i] = np.where((i <= last)[:, None], step, alpha[i - 1])
     for i in range(n - 2, -1, -1):
-        beta[i] = _lse(t + (e[i + 1] + beta[i + 1])[None, :], 1)
-    log_z = _lse(alpha[-1] + stop, 0)
+        step = _lse(t + (x[:, i + 1] + beta[i + 1])[:, None, :], 2)
+        beta[i] = np.where((i < last)[:, None], step, stop)
+    log_z = _lse(alpha[n - 1] + stop, 1)
     d_t, d_start, d_stop = np.zeros((k, k)), np.zeros(k), np.zeros(k)
     for i in range(n - 1):
-        d_t -= np.exp(alpha[i][:, None] + t + (e[i + 1] + beta[i + 1])[None, :] - log_z)
-        d_t[tags[i], tags[i + 1]] += 1
-    d_start -= np.exp(alpha[0] + beta[0] - log_z)
-    d_stop -= np.exp(alpha[-1] + stop - log_z)
-    d_start[tags[0]] += 1
-    d_stop[tags[-1]] += 1
-    path = e[np.arange(n), tags].sum() + t[tags[:-1], tags[1:]].sum() + start[tags[0]] + stop[tags[-1]]
-    return d_t, d_start, d_stop, float(path - log_z)
-
-
-def gradient(df: DataFrame, params: CrfParams, emissions: str = "emissions", tags: str = "tags") -> DataFrame:
+        on = i < last
+        d_t -= np.exp(alpha[i][on][:, :, None] + t + (x[on, i + 1] + beta[i + 1][on])[:, None, :]
+                      - log_z[on][:, None, None]).sum(axis=0)
+        np.add.at(d_t, (tag[on, i], tag[on, i + 1]), 1)
+    d_start -= np.exp(alpha[0] + beta[0] - log_z[:, None]).sum(axis=0)
+    d_stop -= np.exp(alpha[n - 1] + stop - log_z[:, None]).sum(axis=0)
+    np.add.at(d_start, tag[:, 0], 1)
+    np.add.at(d_stop, tag[rows, last], 1)
+    on = np.arange(n)[None, :] <= last[:, None]
+    path = (np.take_along_axis(x, tag[:, :, None], 2)[:, :, 0] * on).sum() + start[tag[:, 0]].sum() + stop[tag[rows, last]].sum()
+    path += (t[tag[:, :-1], tag[:, 1:]] * on[:, 1:]).sum()
+    return d_t, d_start, d_stop, float(path - log_z.sum())
+
+
+def gradient(df: DataFrame, params: CrfParams, emissions: str = "emissions", tags: str = "tags",
+             ignored: int = IGNORED, pad_as_zero: bool = False) -> DataFrame:
     """``(slot, value)``: the summed gradient and log-likelihood of all sequences.
 
     Slots 0..K*K-1 are transitions, then start, then stop; -1 is the log-likelihood and -2 the number of
-    sequences. Every Arrow batch is added up in its task: K*K + 2K + 2 rows leave it.
+    sequences with a position left. Every Arrow batch is one padded array and is added up in its task:
+    K*K + 2K + 2 rows leave it.
     """
     k = params.size
     t, start, stop = np.array(params.transitions), np.array(params.start), np.array(params.stop)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d_t, d_start, d_stop, score, count = np.zeros((k, k)), np.zeros(k), np.zeros(k), 0.0, 0
+        values = np.zeros(k * k + 2 * k + 2)
         for batch in batches:
-            for e, y in zip(batch[emissions], batch[tags]):
-                a, b, c, s = _observed_minus_expected(
-                    np.stack(list(e)).astype(float), np.asarray(y, dtype=int), t, start, stop)
-                d_t, d_start, d_stop, score, count = d_t + a, d_start + b, d_stop + c, score + s, count + 1
-        values = np.concatenate([d_t.ravel(), d_start, d_stop, [score, count]])
-        slots = list(range(k * k + 2 * k)) + [-1, -2]
-        yield pd.DataFrame({"slot": slots, "value": values})
+            x, tag, length = _kept_positions(batch, emissions, tags, k, ignored, pad_as_zero)
+            if len(length):
+                d_t, d_start, d_stop, score = _observed_minus_expected(x, tag, length, t, start, stop)
+                values += np.concatenate([d_t.ravel(), d_start, d_stop, [score, len(length)]])
+        yield pd.DataFrame({"slot": [*range(k * k + 2 * k), -1, -2], "value": values})
 
     return (df.select(emissions, tags).mapInPandas(partial, "slot int, value double")
             .groupBy("slot").agg(F.sum("value").alias("value")))

@@ -68,21 +68,25 @@ def kshot_type(tags: Column) -> Column:
     return F.when(eligible, tag_type_or_empty(F.array_min(F.filter(kinds, lambda t: t != "O"))))
 
 
-WINDOW_LIMIT = 1000
+#: runs into which the sentences of a type are dealt for the first cut
+KSHOT_RUNS = 64
 
 
 def kshot(df: DataFrame, k: int, order: Sequence[str], tags: str = "tags") -> DataFrame:
     """The first ``k`` eligible sentences of every type, in ``order``; adds ``type``.
 
-    Spark cuts each map task to ``k`` rows per type before the shuffle (``WindowGroupLimit``), so a type
-    that holds most sentences costs ``k`` rows per task. That rule has a limit,
-    ``spark.sql.optimizer.windowGroupLimitThreshold``; a larger ``k`` takes :func:`kshot_by_prefix`.
+    ``order`` names a row. Only these keys are ranked: first inside ``KSHOT_RUNS`` runs per type, so that a type
+    that holds most sentences is many tasks, then among the runs' first ``k``. The rows themselves come by a join
+    with the chosen keys.
     """
-    if k > WINDOW_LIMIT:
-        return kshot_by_prefix(df, k, order, tags)
-    typed = df.withColumn("type", kshot_type(F.col(tags))).where(F.col("type").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("type").orderBy(*order))
-    return typed.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
+    kind = kshot_type(F.col(tags))
+    typed = df.select(*order, kind.alias("type")).where(F.col("type").isNotNull())
+    run = F.pmod(F.xxhash64(*order), F.lit(KSHOT_RUNS))
+    first = typed.withColumn("__run", run)
+    for group in (["type", "__run"], ["type"]):
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        first = first.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
+    return df.join(first.drop("__run"), list(order)).select(*df.columns, "type")
 
 
 def kshot_by_prefix(df: DataFrame, k: int, order: Sequence[str], tags: str = "tags", bits: int = 12) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .ordered import lookup
+from .ordered import lookup, running_total
 
 
 def sequence_lengths(df: DataFrame, seq: str = "seq_id", mask: str | None = None) -> DataFrame:
@@ -28,9 +28,11 @@ def mirror_join(forward: DataFrame, backward: DataFrame, seq: str = "seq_id", po
                 lengths: DataFrame | None = None) -> DataFrame:
     """``(seq, pos, vec)``: forward state and un-reversed backward state of every token, concatenated.
 
-    The backward state of valid position p of n stands at n-1-p; pads stay where they are. The join key is
-    sequence *and* position, so a long sequence spreads like many short ones, and the length of a sequence
-    comes from :func:`lookup`, which does not gather a sequence's rows. A forward row without a backward row
+    ``mask`` is that of both sides, pads anywhere. As in un-reversing an array, the backward states of valid
+    positions, last one first, belong to the first positions, and those of pads follow in their own order; with
+    pads at the end that is position n-1-p for p of n, and pads in place. Positions count from 0 without holes.
+    The join keys are sequence *and* position, so a long sequence spreads like many short ones; places come from
+    narrow rows, by bucketed counts and :func:`lookup`, which do not gather a sequence's rows. A forward row without a backward row
     raises. ``mode="forward"`` keeps the forward states alone.
     """
     if mode == "forward":
@@ -38,12 +40,19 @@ def mirror_join(forward: DataFrame, backward: DataFrame, seq: str = "seq_id", po
     if mode != "concat":
         raise ValueError(f"mode {mode!r} is neither 'concat' nor 'forward'")
     lengths = sequence_lengths(forward, seq, mask) if lengths is None else lengths
-    keep = [seq, pos, vec] + ([mask] if mask else [])
-    sized = lookup(forward.select(*keep), lengths.select(seq, "n", "rows"), [seq], "rows", spread=[seq, pos])
-    mirrored = F.col("n") - 1 - F.col(pos)
-    place = F.when(F.col(mask) == 1, mirrored).otherwise(F.col(pos)) if mask else mirrored
-    left = sized.withColumn("__at", place.cast("bigint"))
-    right = backward.select(seq, F.col(pos).cast("bigint").alias("__at"), F.col(vec).alias("__back"))
+    # narrow rows: where the backward state of every position goes
+    places = forward.select(seq, pos, *([mask] if mask else []))
+    if mask:
+        places = running_total(places, F.col(mask).cast("bigint"), "__valid", [pos], [seq])
+    places = lookup(places, lengths.select(seq, "n", "rows"), [seq], "rows", spread=[seq, pos])
+    if mask:
+        at = F.when(F.col(mask) == 1, F.col("n") - 1 - F.col("__valid")).otherwise(F.col("n") + F.col(pos) - F.col("__valid"))
+    else:
+        at = F.col("n") - 1 - F.col(pos)
+    placed = places.select(seq, F.col(pos).cast("bigint").alias("__from"), at.cast("bigint").alias("__at"))
+    right = (backward.select(seq, F.col(pos).cast("bigint").alias("__from"), F.col(vec).alias("__back"))
+             .join(placed, [seq, "__from"]).drop("__from"))
+    left = forward.select(seq, pos, vec, F.col(pos).cast("bigint").alias("__at"))
     joined = left.join(right, [seq, "__at"], "left")
     both = F.when(F.col("__back").isNotNull(), F.concat(vec, "__back")).otherwise(
         F.raise_error(F.format_string("no backward state for position %d", F.col(pos))).cast("array<float>"))
@@ -65,6 +74,32 @@ def head_scores(df: DataFrame, hidden: np.ndarray, hidden_bias: np.ndarray, out:
     return df.withColumn(logits, score(vec))
 
 
+def head_gradient(df: DataFrame, weights: np.ndarray, bias: np.ndarray, vec: str = "vec", label: str = "label") -> DataFrame:
+    """``(label, dim, slope)`` of the mean cross-entropy of a linear head at given weights; dim -1 is the bias.
+
+    Every Arrow batch is one matrix product, added up in its task: labels x (dimensions + 1) rows leave it.
+    """
+    w, b = np.asarray(weights, "float64"), np.asarray(bias, "float64")
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros((len(b), w.shape[1] + 1)), 0
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch[vec].to_numpy()).astype("float64")
+                z = x @ w.T + b
+                p = np.exp(z - z.max(axis=1, keepdims=True))
+                p /= p.sum(axis=1, keepdims=True)
+                p[np.arange(len(p)), batch[label].to_numpy(int)] -= 1
+                total[:, 0] += p.sum(axis=0)
+                total[:, 1:] += p.T @ x
+                n += len(x)
+        labels, dims = np.indices(total.shape)
+        yield pd.DataFrame({"label": labels.ravel(), "dim": dims.ravel() - 1, "total": total.ravel(), "n": n})
+
+    parts = df.select(vec, label).mapInPandas(partial, "label int, dim int, total double, n bigint")
+    return parts.groupBy("label", "dim").agg((F.sum("total") / F.sum("n")).alias("slope"))
+
+
 def _learner(kind: str, vec: str, label: str, layers: Sequence[int] | None, settings: dict):
     if kind == "linear":
         return LogisticRegression(featuresCol="__x", labelCol=label, **settings)

@@ -12,7 +12,6 @@ from ..functions.arrays import fit_length, fit_mask, special_mask
 from ..functions.text import is_blank, words
 from .ordered import lookup
 
-SMALL_VOCAB = 65_536
 
 def tokenize(df: DataFrame, keys: Sequence[str], text: str = "text", out: str = "tokens") -> DataFrame:
     """Token arrays of every text; other columns are dropped. No shuffle."""
@@ -61,29 +60,19 @@ def build_vocab(counts: DataFrame, first_id: int = 0, size: int | None = None) -
 
 
 def encode(df: DataFrame, vocab: DataFrame, keys: Sequence[str] = ("row_id",), tokens: str = "tokens",
-           out: str = "input_ids", unk_id: int = -1, hot_below: int = 4096,
-           size: int | None = None) -> DataFrame:
-    """``(*keys, out)``: token arrays as id arrays, unknown tokens as ``unk_id``.
+           out: str = "input_ids", unk_id: int = -1) -> DataFrame:
+    """``(*keys, out)``: token arrays as id arrays, tokens outside ``vocab`` as ``unk_id``.
 
-    Frequent tokens have the low ids: those below ``hot_below`` are broadcast, a fixed number of rows, and
-    their many occurrences are answered in place. The rest of the vocabulary is joined by shuffle. A vocabulary
-    cut to a ``size`` of at most ``SMALL_VOCAB`` ids is broadcast whole.
+    The table decides alone which tokens have ids; a cut is made in :func:`build_vocab`. ``keys`` name a row: rows
+    of one key become one. The most frequent tokens are answered in place, the others joined by shuffle (see
+    :func:`lookup`). A row without tokens keeps one empty occurrence, so the text is read once.
     """
-    exploded = df.select(*keys, F.posexplode_outer(tokens).alias("__pos", "token")).where("token IS NOT NULL")
-    if size is not None and size <= SMALL_VOCAB:
-        # ids are dense from 0, so the filter holds the broadcast to the named number of rows
-        small = vocab.select("token", "id").where((F.col("id") >= 0) & (F.col("id") < size))
-        found = exploded.join(F.broadcast(small), "token", "left")
-    else:
-        hot = vocab.where(F.col("id") < hot_below).select("token", "id")
-        found = lookup(exploded, vocab.select("token", "id", F.col("count")), ["token"], "count", hot=hot,
-                       spread=[*keys, "__pos"], how="left")
-    ids = (found.groupBy(*keys)
-           .agg(F.sort_array(F.collect_list(F.struct("__pos", F.coalesce("id", F.lit(unk_id)).alias("id"))))
-                .alias("__l"))
-           .select(*keys, F.col("__l")["id"].alias(out)))
-    empty = df.where(F.size(tokens) == 0).select(*keys, F.array().cast("array<bigint>").alias(out))
-    return ids.withColumn(out, F.col(out).cast("array<bigint>")).unionByName(empty)
+    exploded = df.select(*keys, F.posexplode_outer(tokens).alias("__pos", "token"))
+    found = lookup(exploded, vocab.select("token", "id", F.col("count")), ["token"], "count",
+                   spread=[*keys, "__pos"], how="left")
+    occurrence = F.when(F.col("token").isNotNull(), F.struct("__pos", F.coalesce("id", F.lit(unk_id)).alias("id")))
+    ids = found.groupBy(*keys).agg(F.sort_array(F.collect_list(occurrence)).alias("__l"))
+    return ids.select(*keys, F.col("__l")["id"].cast("array<bigint>").alias(out))
 
 
 def encode_lines(df: DataFrame, vocab: DataFrame, length: int, keys: Sequence[str] = ("row_id",),

@@ -17,16 +17,16 @@ SPACE = r"\t-\r\x1c-\x1f\x{85}\p{Z}"
 
 CORPORA_SQL = """
 corpora AS (
-  SELECT 'documents' AS corpus, 0 AS corpus_rank, doc_id AS row_id, text FROM documents
-  UNION ALL SELECT 'conversations', 1, conv_id * 1000 + turn, text FROM conversations
-  UNION ALL SELECT 'benchmark', 2, item_id, text FROM benchmark)"""
+  SELECT 'documents' AS corpus, 0 AS corpus_rank, doc_id::VARCHAR AS row_id, text FROM documents
+  UNION ALL SELECT 'conversations', 1, conv_id || ':' || turn, text FROM conversations
+  UNION ALL SELECT 'benchmark', 2, item_id::VARCHAR, text FROM benchmark)"""
 
 LINES_SQL = r"""
 split_lines AS (
   SELECT doc_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
 lines AS (
-  SELECT doc_id * 1000000 + line_no AS row_id, doc_id, line_no,
+  SELECT doc_id, line_no,
     CASE WHEN line_no % 10 = 3 THEN ' = ' || line || ' = ' WHEN line_no % 4 = 1 THEN line || ' ' || chr(9)
          ELSE line END AS text
   FROM split_lines)"""
@@ -39,7 +39,7 @@ DRAW_SQL = "('0x' || substr(md5('42:' || {key}), 1, 8))::BIGINT"
 
 
 @query("corpus_union", f"""WITH {CORPORA_SQL}
-SELECT corpus, corpus_rank::INT AS corpus_rank, row_id::BIGINT AS row_id, length(text)::BIGINT AS n_chars FROM corpora""")
+SELECT corpus, corpus_rank::INT AS corpus_rank, row_id, length(text)::BIGINT AS n_chars FROM corpora""")
 def corpus_union(spark, folder):
     united = corpus.union_corpora(inputs.corpora(spark, folder))
     return united.select("corpus", "corpus_rank", "row_id", F.char_length("text").cast("bigint").alias("n_chars"))
@@ -91,9 +91,10 @@ def holdout_exact(spark, folder):
 
 
 @query("shuffle_order", """
-SELECT doc_id, md5('7:' || doc_id) AS shuffle_key FROM documents""")
+SELECT doc_id, md5('7:' || doc_id) AS shuffle_key, row_number() OVER (ORDER BY md5('7:' || doc_id), doc_id) - 1 AS place
+FROM documents""")
 def shuffle_order(spark, folder):
-    return corpus.shuffled(inputs.table(spark, folder, "documents").select("doc_id"), 7, ["doc_id"])
+    return corpus.shuffled(inputs.table(spark, folder, "documents").select("doc_id"), 7, ["doc_id"], place="place")
 
 
 @query("corpus_filter", f"""WITH {LINES_SQL}
@@ -110,13 +111,14 @@ def blank_lines(spark, folder):
 
 
 @query("corpus_clean", f"""WITH {LINES_SQL},
-parts AS (SELECT 0 AS corpus_rank, row_id, text FROM lines UNION ALL SELECT 1, item_id, text FROM benchmark)
-SELECT corpus_rank::INT AS corpus_rank, row_id::BIGINT AS row_id,
+parts AS (SELECT 0 AS corpus_rank, doc_id || ':' || line_no AS row_id, text FROM lines
+  UNION ALL SELECT 1, item_id::VARCHAR, text FROM benchmark)
+SELECT corpus_rank::INT AS corpus_rank, row_id,
   regexp_replace(text, '[{SPACE}]+\\z', '') AS text
 FROM parts WHERE text <> '' AND NOT starts_with(text, ' =')""")
 def corpus_clean(spark, folder):
-    second = inputs.table(spark, folder, "benchmark").select(F.col("item_id").alias("row_id"), "text")
-    first = inputs.document_lines(spark, folder).select("row_id", "text")
+    second = inputs.table(spark, folder, "benchmark").select(inputs.joined_key("item_id").alias("row_id"), "text")
+    first = inputs.document_lines(spark, folder).select(inputs.joined_key("doc_id", "line_no").alias("row_id"), "text")
     return corpus.two_corpus_documents(first, second, "train").select("corpus_rank", "row_id", "text")
 
 
@@ -147,37 +149,36 @@ def vocabulary(spark, folder):
     return vocab.build_vocab(vocab.token_counts(inputs.document_tokens(spark, folder)))
 
 
-def _stored_vocab(spark, folder, size=None):
+def _stored_vocab(spark, folder):
     """The vocabulary as a table: it is used by every encoding job, so it is made once and written."""
-    return stored(vocab.build_vocab(vocab.token_counts(inputs.document_tokens(spark, folder)), size=size), "vocab")
+    return stored(vocab.build_vocab(vocab.token_counts(inputs.document_tokens(spark, folder))), "vocab")
 
 
 @query("encode", f"""WITH {VOCAB_SQL},
 flat AS (SELECT doc_id, generate_subscripts(toks, 1) AS pos, unnest(toks) AS token FROM toks)
 SELECT doc_id, count(*) AS n, count(*) FILTER (id IS NULL) AS n_unknown,
   string_agg(coalesce(id, -1)::VARCHAR, ',' ORDER BY pos) AS ids
-FROM flat LEFT JOIN (SELECT token, id FROM vocab WHERE id < 5000) USING (token) GROUP BY doc_id""")
+FROM flat LEFT JOIN vocab USING (token) GROUP BY doc_id""")
 def encode(spark, folder):
-    coded = vocab.encode(inputs.document_tokens(spark, folder), _stored_vocab(spark, folder, 5000), ["doc_id"],
-                         size=5000)
+    coded = vocab.encode(inputs.document_tokens(spark, folder), _stored_vocab(spark, folder), ["doc_id"])
     return coded.select("doc_id", F.size("input_ids").cast("bigint").alias("n"),
                         F.size(F.filter("input_ids", lambda i: i == -1)).cast("bigint").alias("n_unknown"),
                         F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("ids"))
 
 
 @query("encode_lines", f"""WITH {VOCAB_SQL}, {LINES_SQL},
-kept AS (SELECT row_id, list_filter(string_split_regex(text, '[ \\t\\r\\n]+'), lambda x: x <> '') AS l FROM lines
+kept AS (SELECT doc_id, line_no, list_filter(string_split_regex(text, '[ \\t\\r\\n]+'), lambda x: x <> '') AS l FROM lines
   WHERE regexp_matches(text, '[^{SPACE}]')),
-flat AS (SELECT row_id, generate_subscripts(l, 1) AS pos, unnest(l) AS token FROM kept),
-coded AS (SELECT row_id, list(coalesce(id, -1) ORDER BY pos) AS ids FROM flat LEFT JOIN vocab USING (token)
-  GROUP BY row_id)
-SELECT row_id::BIGINT AS row_id, array_to_string(list_resize(ids, 16, 0), ',') AS input_ids,
+flat AS (SELECT doc_id, line_no, generate_subscripts(l, 1) AS pos, unnest(l) AS token FROM kept),
+coded AS (SELECT doc_id, line_no, list(coalesce(id, -1) ORDER BY pos) AS ids FROM flat LEFT JOIN vocab USING (token)
+  GROUP BY doc_id, line_no)
+SELECT doc_id, line_no::BIGINT AS line_no, array_to_string(list_resize(ids, 16, 0), ',') AS input_ids,
   least(len(ids), 16)::BIGINT AS n_valid, array_to_string(list_transform(list_resize(ids, 16, 0),
     lambda i: (i IN (0, 1))::INT), ',') AS special_tokens_mask FROM coded""")
 def encode_lines(spark, folder):
     lines = inputs.document_lines(spark, folder)
-    made = vocab.encode_lines(lines, _stored_vocab(spark, folder), 16, ["row_id"], pad_id=0, special=[0, 1])
-    return made.select("row_id", F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("input_ids"),
+    made = vocab.encode_lines(lines, _stored_vocab(spark, folder), 16, ["doc_id", "line_no"], pad_id=0, special=[0, 1])
+    return made.select("doc_id", "line_no", F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("input_ids"),
                        F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_valid"),
                        F.array_join(F.col("special_tokens_mask").cast("array<string>"), ",")
                        .alias("special_tokens_mask"))

@@ -17,18 +17,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Repartition a table of fewer scan splits than cores; leave a larger one as it is.
-
-    A small file with one row group is one split and would keep one core busy. A large table has many splits
-    and is never shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "documents"), "doc_id")
+    return table(spark, folder, "documents")
 
 
 def _bio(kind: Column, previous: Column) -> Column:
@@ -38,7 +28,7 @@ def _bio(kind: Column, previous: Column) -> Column:
 
 
 def tagged_sentences(spark: SparkSession, folder: str) -> DataFrame:
-    """``(doc_id, sent, tokens, gold, pred)``: one row per non-empty sentence of the English documents."""
+    """``(doc_id, sent, tokens, gold, pred)``: one row per non-empty sentence of the documents."""
     kinds = F.array(*[F.lit(t) for t in TYPES])
 
     def gold_kind(w: Column, i: Column) -> Column:
@@ -50,7 +40,7 @@ def tagged_sentences(spark: SparkSession, folder: str) -> DataFrame:
 
     nothing = F.lit(None).cast("string")
     return (
-        documents(spark, folder).where(F.col("lang") == "en")
+        documents(spark, folder)
         .select("doc_id", F.posexplode_outer(F.split("text", "[.\\n]+")).alias("sent", "piece"))
         .where(F.col("piece").rlike("[^ \\t\\r]"))
         .select("doc_id", F.col("sent").cast("bigint").alias("sent"),
@@ -76,30 +66,33 @@ def document_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """``(row_id, doc_id, line_no, text)``: lines of the documents, some made headings, some with blanks after
-    them."""
+    """``(doc_id, line_no, text)``: lines of the documents, some made headings, some with blanks after them."""
     lines = documents(spark, folder).select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
     text = (F.when(F.col("line_no") % 10 == 3, F.concat(F.lit(" = "), "line", F.lit(" = ")))
             .when(F.col("line_no") % 4 == 1, F.concat("line", F.lit(" \t"))).otherwise(F.col("line")))
-    return lines.select((F.col("doc_id") * 1_000_000 + F.col("line_no")).alias("row_id"), "doc_id",
-                        F.col("line_no").cast("bigint").alias("line_no"), text.alias("text"))
+    return lines.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), text.alias("text"))
+
+
+def joined_key(*columns: str) -> Column:
+    """A text key of several columns."""
+    return F.concat_ws(":", *[F.col(c).cast("string") for c in columns])
 
 
 def corpora(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame]]:
     """The three text tables as ``(name, (row_id, text))``."""
     talks = table(spark, folder, "conversations")
     return [
-        ("documents", documents(spark, folder).select(F.col("doc_id").alias("row_id"), "text")),
-        ("conversations", talks.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text")),
-        ("benchmark", table(spark, folder, "benchmark").select(F.col("item_id").alias("row_id"), "text")),
+        ("documents", documents(spark, folder).select(joined_key("doc_id").alias("row_id"), "text")),
+        ("conversations", talks.select(joined_key("conv_id", "turn").alias("row_id"), "text")),
+        ("benchmark", table(spark, folder, "benchmark").select(joined_key("item_id").alias("row_id"), "text")),
     ]
 
 
 def emissions(spark: SparkSession, folder: str) -> DataFrame:
-    """``(seq_id, pos, vec, tag)``: ten vectors are one sequence, five dimensions are five tag scores."""
+    """``(seq_id, pos, vec, tag)``: ten vectors are one sequence, ten dimensions are the scores of the ten labels."""
     return table(spark, folder, "embeddings").select(
         F.floor(F.col("vec_id") / 10).cast("bigint").alias("seq_id"), (F.col("vec_id") % 10).alias("pos"),
-        F.slice("embedding", 1, 5).cast("array<double>").alias("vec"), (F.col("label") % 5).cast("int").alias("tag"))
+        F.slice("embedding", 1, 10).cast("array<double>").alias("vec"), F.col("label").cast("int").alias("tag"))
 
 
 def epochs(spark: SparkSession, folder: str) -> DataFrame:

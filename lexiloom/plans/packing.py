@@ -115,57 +115,66 @@ def fit_length(spark, folder):
     return made.select("doc_id", _text("input_ids"), _text("attention_mask"), _text("special_tokens_mask"))
 
 
-def _fitted(spark, folder):
+STEP = 64
+# a document's ids padded to the next multiple of STEP
+PADDED_SQL = f"""{IDS_SQL},
+padded AS (SELECT doc_id, ids, (len(ids) + {STEP - 1}) // {STEP} * {STEP} AS width FROM ids)"""
+
+
+def _padded(spark, folder):
+    """Whole documents, each padded to its own length rounded up."""
+    pads = F.pmod(-F.size("ids"), F.lit(STEP))
     return _ids(spark, folder).select(
-        "doc_id", arrays.fit_length(F.col("ids"), FIT, 0).alias("input_ids"),
-        arrays.fit_mask(F.col("ids"), FIT).alias("attention_mask"))
+        "doc_id", "ids", pads.alias("pads"), F.concat("ids", F.array_repeat(F.lit(0), pads)).alias("input_ids"),
+        F.concat(F.transform("ids", lambda i: F.lit(1)), F.array_repeat(F.lit(0), pads)).alias("attention_mask"))
 
 
-@query("masked_reverse", f"""WITH {IDS_SQL}
-SELECT doc_id, array_to_string(list_resize(list_reverse(ids[1:{FIT}]), {FIT}, 0), ',') AS input_ids,
-  array_to_string(list_transform(range({FIT}), lambda i: (i < len(ids))::INT), ',') AS attention_mask FROM ids""")
+@query("masked_reverse", f"""WITH {PADDED_SQL}
+SELECT doc_id, array_to_string(list_resize(list_reverse(ids), width, 0), ',') AS input_ids,
+  array_to_string(list_transform(range(width), lambda i: (i < len(ids))::INT), ',') AS attention_mask FROM padded""")
 def masked_reverse(spark, folder):
-    made = _fitted(spark, folder).withColumn(
+    made = _padded(spark, folder).withColumn(
         "input_ids", arrays.masked_reverse(F.col("input_ids"), F.col("attention_mask")))
     return made.select("doc_id", _text("input_ids"), _text("attention_mask"))
 
 
-@query("masked_reverse_left", f"""WITH {IDS_SQL},
-cut AS (SELECT doc_id, ids[1:{FIT}] AS v, range({FIT} - least(len(ids), {FIT})) AS p FROM ids)
+@query("masked_reverse_left", f"""WITH {PADDED_SQL},
+cut AS (SELECT doc_id, ids AS v, range(width - len(ids)) AS p FROM padded)
 SELECT doc_id, array_to_string(list_concat(list_reverse(v), list_reverse(list_transform(p, lambda x: -1 - x))), ',')
     AS input_ids,
   array_to_string(list_concat(list_transform(p, lambda x: 0), list_transform(v, lambda x: 1)), ',') AS attention_mask
 FROM cut""")
 def masked_reverse_left(spark, folder):
     """Left padding with pads that differ: the ids come out right-padded, the mask stays as it was."""
-    cut = _ids(spark, folder).withColumn("v", F.slice("ids", 1, FIT))
-    count = F.lit(FIT) - F.size("v")
-    pads = F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: -i)).otherwise(
+    pads = F.when(F.col("pads") > 0, F.transform(F.sequence(F.lit(1), F.col("pads")), lambda i: -i)).otherwise(
         F.array().cast("array<int>"))
-    padded = cut.withColumn("p", pads).select(
-        "doc_id", F.concat("p", "v").alias("input_ids"),
-        F.concat(F.transform("p", lambda x: F.lit(0)), F.transform("v", lambda x: F.lit(1))).alias("attention_mask"))
+    padded = _padded(spark, folder).withColumn("p", pads).select(
+        "doc_id", F.concat("p", "ids").alias("input_ids"),
+        F.concat(F.transform("p", lambda x: F.lit(0)), F.transform("ids", lambda x: F.lit(1))).alias("attention_mask"))
     made = padded.withColumn("input_ids", arrays.masked_reverse(F.col("input_ids"), F.col("attention_mask")))
     return made.select("doc_id", _text("input_ids"), _text("attention_mask"))
 
 
-@query("unreverse", f"""WITH {IDS_SQL}
-SELECT doc_id, array_to_string(list_resize(ids, {FIT}, 0), ',') AS input_ids FROM ids""")
+@query("unreverse", f"""WITH {PADDED_SQL}
+SELECT doc_id, array_to_string(list_resize(ids, width, 0), ',') AS input_ids FROM padded""")
 def unreverse(spark, folder):
     """The reversal and its inverse give the ids back."""
-    made = _fitted(spark, folder)
+    made = _padded(spark, folder)
     made = made.withColumn("input_ids", arrays.masked_reverse(F.col("input_ids"), F.col("attention_mask")))
     made = made.withColumn("input_ids", arrays.unreverse(F.col("input_ids"), F.col("attention_mask")))
     return made.select("doc_id", _text("input_ids"))
 
 
-@query("stack_batches", f"""WITH {IDS_SQL},
-numbered AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i,
-  array_to_string(list_resize(ids, {FIT}, 0), ',') AS line FROM ids)
-SELECT (i // 8)::BIGINT AS batch_id, count(*) AS n, string_agg(line, ';' ORDER BY i) AS batch FROM numbered
+@query("stack_batches", f"""WITH {TOKENS_SQL},
+flat AS (SELECT doc_id, generate_subscripts(toks, 1) AS pos, unnest(toks) AS tok FROM toks),
+stream AS (SELECT tok, row_number() OVER (ORDER BY doc_id, pos DESC) - 1 AS g FROM flat),
+blocks AS (SELECT g // {LENGTH} AS i, string_agg(tok, ' ' ORDER BY g) AS line FROM stream GROUP BY 1 HAVING count(*) = {LENGTH})
+SELECT (i // 8)::BIGINT AS batch_id, count(*) AS n, string_agg(line, ';' ORDER BY i) AS batch FROM blocks
 GROUP BY i // 8""")
 def stack_batches(spark, folder):
-    made = packing.stack_batches(_fitted(spark, folder), 8, FIT, ["doc_id"])
-    lines = F.transform("input_ids", lambda r: F.array_join(r.cast("array<string>"), ","))
-    return made.select("batch_id", F.size("input_ids").cast("bigint").alias("n"),
+    """Batches of eight packed blocks; a block's number is its index, so nothing has to be counted."""
+    blocks = packing.pack_stream(inputs.document_tokens(spark, folder), LENGTH, ["doc_id"])
+    made = packing.stack_batches(blocks, 8, LENGTH, ["block_id"], ["tokens"], index="block_id")
+    lines = F.transform("tokens", lambda r: F.array_join(r, " "))
+    return made.select("batch_id", F.size("tokens").cast("bigint").alias("n"),
                        F.array_join(lines, ";").alias("batch"))

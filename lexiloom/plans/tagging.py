@@ -18,7 +18,7 @@ TAGS = labels.fixed_catalogue("news")
 SENTENCES_SQL = r"""
 pieces AS (
   SELECT doc_id, generate_subscripts(l, 1) - 1 AS sent, unnest(l) AS piece
-  FROM (SELECT doc_id, string_split_regex(text, '[.\n]+') AS l FROM documents WHERE lang = 'en')),
+  FROM (SELECT doc_id, string_split_regex(text, '[.\n]+') AS l FROM documents)),
 words AS (
   SELECT doc_id, sent, list_filter(string_split_regex(piece, '[ \t\r]+'), lambda x: x <> '') AS toks FROM pieces),
 kinds AS (

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric
 from ..operators import crf, metrics, represent
+from ..session import stored
 from . import inputs
 from .registry import registry
 from .tagging import REPORT_SQL
 
 QUERIES, ORACLES, query = registry()
 
-K = 5
+K = 10
 PARAMS = crf.CrfParams.of(
     [[((3 * i + 5 * j) % 7 - 3) / 10.0 for j in range(K)] for i in range(K)],
     [(i - 2) / 10.0 for i in range(K)], [(2 - i) / 10.0 for i in range(K)])
@@ -84,6 +85,23 @@ def mirror_join(spark, folder):
                          F.round(numeric.total(weighted), 4).alias("checksum"))
 
 
+@query("mirror_join_left", """
+SELECT vec_id // 10 AS seq_id, vec_id % 10 AS pos, len(embedding)::BIGINT AS width,
+  round(list_sum(list_transform(embedding, lambda v, i: v::DOUBLE * i)), 4) AS checksum FROM embeddings""")
+def mirror_join_left(spark, folder):
+    """Pads in front: the backward states of valid positions stand behind them, in reversed order."""
+    rows = inputs.table(spark, folder, "embeddings").select(
+        F.floor(F.col("vec_id") / 10).cast("bigint").alias("seq_id"), (F.col("vec_id") % 10).alias("pos"), "embedding")
+    pads = F.col("seq_id") % 4
+    forward = rows.select("seq_id", "pos", (F.col("pos") >= pads).cast("int").alias("mask"), F.slice("embedding", 1, 32).alias("vec"))
+    place = F.when(F.col("pos") < 10 - pads, 9 - F.col("pos")).otherwise(F.col("pos") - 10 + pads)
+    backward = rows.select("seq_id", place.alias("pos"), F.slice("embedding", 33, 32).alias("vec"))
+    joined = represent.mirror_join(forward, backward, mask="mask")
+    weighted = F.transform("vec", lambda v, i: v.cast("double") * (i + 1))
+    return joined.select("seq_id", "pos", F.size("vec").cast("bigint").alias("width"),
+                         F.round(numeric.total(weighted), 4).alias("checksum"))
+
+
 @query("forward_states", """
 SELECT vec_id // 10 AS seq_id, vec_id % 10 AS pos,
   round(list_sum(list_transform(embedding[1:32], lambda v, i: v::DOUBLE * i)), 4) AS checksum FROM embeddings""")
@@ -113,6 +131,21 @@ def head_scores(spark, folder):
     return scored.select("vec_id", F.array_join(shown, ",").alias("logits"))
 
 
+@query("head_gradient", f"""
+WITH z AS (SELECT vec_id, label, k, embedding, (k - 5) / 10.0::DOUBLE + list_sum(list_transform(embedding,
+    lambda v, j: v::DOUBLE * (((3 * k + 5 * (j - 1)) % 7) - 3) / 50.0::DOUBLE)) AS z FROM embeddings, range({LABELS}) t(k)),
+d AS (SELECT k, embedding, exp(z) / sum(exp(z)) OVER (PARTITION BY vec_id) - (label = k)::INT AS d FROM z),
+flat AS (SELECT k, d, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::DOUBLE AS v FROM d)
+SELECT k::INT AS label, dim::INT AS dim, round(avg(d * v), 5) + 0.0::DOUBLE AS slope FROM flat GROUP BY k, dim
+UNION ALL SELECT k::INT, -1, round(avg(d), 5) + 0.0::DOUBLE FROM d GROUP BY k""")
+def head_gradient(spark, folder):
+    """Slope of the mean cross-entropy of the linear head in every weight, and (dim -1) in every bias."""
+    rows = inputs.table(spark, folder, "embeddings").select(F.col("embedding").alias("vec"), "label")
+    weights = np.array([[((3 * k + 5 * j) % 7 - 3) / 50.0 for j in range(64)] for k in range(LABELS)])
+    found = represent.head_gradient(rows, weights, (np.arange(LABELS) - 5) / 10.0)
+    return found.select("label", "dim", (F.round("slope", 5) + F.lit(0.0)).alias("slope"))
+
+
 @query("head_fit")
 def head_fit(spark, folder):
     """Linear head fitted by distributed L-BFGS; how often each label is predicted for each label."""
@@ -143,19 +176,20 @@ def head_grid(spark, folder):
 
 
 EMISSIONS_SQL = f"""
-em AS (SELECT vec_id // 10 AS s, vec_id % 10 AS p, (label % 5)::INT AS tag, j::INT AS j,
+em AS (SELECT vec_id // 10 AS s, vec_id % 10 AS p, label::INT AS tag, j::INT AS j,
   embedding[j + 1]::DOUBLE AS x FROM embeddings, range({K}) t(j)),
 tr AS (SELECT i::INT AS i, j::INT AS j, (((3 * i + 5 * j) % 7) - 3) / 10.0::DOUBLE AS w
   FROM range({K}) a(i), range({K}) b(j)),
 ends AS (SELECT s, max(p) AS z FROM em GROUP BY s)"""
 
-SCORE_SQL = f"""{EMISSIONS_SQL},
+PATH_SQL = """
 path AS (SELECT s, p, x, tag, lag(tag) OVER (PARTITION BY s ORDER BY p) AS prev FROM em WHERE j = tag),
 scores AS (SELECT path.s, sum(x + coalesce(w, 0) + CASE WHEN p = 0 THEN (tag - 2) / 10.0::DOUBLE ELSE 0 END
   + CASE WHEN p = z THEN (2 - tag) / 10.0::DOUBLE ELSE 0 END) AS score
   FROM path JOIN ends ON ends.s = path.s LEFT JOIN tr ON tr.i = prev AND tr.j = tag GROUP BY path.s)"""
+SCORE_SQL = f"{EMISSIONS_SQL},{PATH_SQL}"
 
-PARTITION_SQL = f"""
+PARTITION_SQL = """
 al(s, p, j, v) AS (
   SELECT s, p, j, x + (j - 2) / 10.0::DOUBLE FROM em WHERE p = 0
   UNION ALL
@@ -165,8 +199,9 @@ logz AS (SELECT al.s, ln(sum(exp(v + (2 - j) / 10.0::DOUBLE))) AS log_z FROM al
   GROUP BY al.s)"""
 
 
-def _sequences(spark, folder):
-    return crf.assemble_sequences(inputs.emissions(spark, folder), columns=["vec", "tag"],
+def _sequences(spark, folder, rows=None):
+    rows = inputs.emissions(spark, folder) if rows is None else rows
+    return crf.assemble_sequences(rows, columns=["vec", "tag"],
                                   names=["emissions", "tags"])
 
 
@@ -189,6 +224,63 @@ def crf_nll(spark, folder):
     return crf.mean_nll(_sequences(spark, folder), PARAMS).select(F.round("nll", 4).alias("nll"))
 
 
+# every third vector's label is ignored: its position is left out, or counts as tag 0
+MASKED_SQL = EMISSIONS_SQL.replace("em AS (", "em_all AS (", 1).replace("label::INT AS tag", "CASE WHEN vec_id % 3 = 0 THEN -100 ELSE label END AS tag") .replace(
+    "tr AS (", """em AS (SELECT s, dense_rank() OVER (PARTITION BY s ORDER BY p) - 1 AS p, tag::INT AS tag, j, x FROM em_all
+  WHERE tag <> -100),
+tr AS (""", 1)
+ZERO_SQL = EMISSIONS_SQL.replace("label::INT AS tag", "CASE WHEN vec_id % 3 = 0 THEN 0 ELSE label END::INT AS tag")
+
+
+def _masked(spark, folder):
+    rows = inputs.table(spark, folder, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 10).cast("bigint").alias("seq_id"))
+    ignored = rows.where("vec_id % 3 = 0").select("seq_id", (F.col("vec_id") % 10).alias("pos"), F.lit(True).alias("off"))
+    return _sequences(spark, folder, inputs.emissions(spark, folder).join(ignored, ["seq_id", "pos"], "left").withColumn(
+        "tag", F.when(F.col("off"), -100).otherwise(F.col("tag"))))
+
+
+@query("crf_nll_masked", f"""WITH RECURSIVE {MASKED_SQL},{PATH_SQL}, {PARTITION_SQL}
+SELECT round(avg(log_z - score), 4) AS nll FROM logz JOIN scores USING (s)""")
+def crf_nll_masked(spark, folder):
+    return crf.mean_nll(_masked(spark, folder), PARAMS).select(F.round("nll", 4).alias("nll"))
+
+
+@query("crf_nll_pad_zero", f"""WITH RECURSIVE {ZERO_SQL},{PATH_SQL}, {PARTITION_SQL}
+SELECT round(avg(log_z - score), 4) AS nll FROM logz JOIN scores USING (s)""")
+def crf_nll_pad_zero(spark, folder):
+    return crf.mean_nll(_masked(spark, folder), PARAMS, pad_as_zero=True).select(F.round("nll", 4).alias("nll"))
+
+
+# observed less expected counts, by the forward and backward recursions
+GRADIENT_SQL = f"""{PARTITION_SQL},
+bt(s, p, j, v) AS (
+  SELECT em.s, em.p, em.j, (2 - em.j) / 10.0::DOUBLE FROM em JOIN ends ON ends.s = em.s AND em.p = z
+  UNION ALL
+  SELECT e.s, e.p - 1, tr.i, ln(sum(exp(tr.w + e.x + bt.v)))
+  FROM bt JOIN em e ON e.s = bt.s AND e.p = bt.p AND e.j = bt.j JOIN tr ON tr.j = e.j WHERE e.p > 0
+  GROUP BY e.s, e.p, tr.i),
+parts(slot, v) AS (
+  SELECT prev * {K} + tag, 1.0::DOUBLE FROM path WHERE prev IS NOT NULL
+  UNION ALL SELECT {K * K} + tag, 1.0 FROM path WHERE prev IS NULL
+  UNION ALL SELECT {K * K + K} + tag, 1.0 FROM path JOIN ends ON ends.s = path.s AND p = z
+  UNION ALL SELECT tr.i * {K} + tr.j, -exp(al.v + tr.w + e.x + bt.v - log_z) FROM al JOIN tr ON tr.i = al.j
+    JOIN em e ON e.s = al.s AND e.p = al.p + 1 AND e.j = tr.j
+    JOIN bt ON bt.s = e.s AND bt.p = e.p AND bt.j = e.j JOIN logz ON logz.s = al.s
+  UNION ALL SELECT {K * K} + al.j, -exp(al.v + bt.v - log_z) FROM al JOIN bt USING (s, p, j) JOIN logz USING (s) WHERE p = 0
+  UNION ALL SELECT {K * K + K} + al.j, -exp(al.v + (2 - al.j) / 10.0::DOUBLE - log_z) FROM al
+    JOIN ends ON ends.s = al.s AND p = z JOIN logz ON logz.s = al.s
+  UNION ALL SELECT -1, score - log_z FROM scores JOIN logz USING (s)
+  UNION ALL SELECT -2, 1.0 FROM logz)"""
+
+
+@query("crf_gradient", f"""WITH RECURSIVE {MASKED_SQL},{PATH_SQL}, {GRADIENT_SQL}
+SELECT slot::INT AS slot, round(sum(v), 4) + 0.0::DOUBLE AS value FROM parts GROUP BY slot""")
+def crf_gradient(spark, folder):
+    """Slope of the log-likelihood in every transition, start and stop score, with ignored labels."""
+    found = crf.gradient(_masked(spark, folder), PARAMS)
+    return found.select("slot", (F.round("value", 4) + F.lit(0.0)).alias("value"))
+
+
 @query("crf_viterbi", f"""WITH RECURSIVE {EMISSIONS_SQL},
 vit(s, p, j, v, path) AS (
   SELECT s, p, j, x + (j - 2) / 10.0::DOUBLE, j::VARCHAR FROM em WHERE p = 0
@@ -207,7 +299,7 @@ def crf_viterbi(spark, folder):
 @query("crf_fit")
 def crf_fit(spark, folder):
     """Mean negative log-likelihood before each of six gradient steps over all sequences."""
-    _, losses = crf.fit(_sequences(spark, folder), K, iterations=6, rate=0.5)
+    _, losses = crf.fit(stored(_sequences(spark, folder), "sequences"), K, iterations=6, rate=0.5)
     return spark.createDataFrame(list(enumerate(losses)), "step int, nll double")
 
 
