@@ -79,10 +79,14 @@ def _resolved(event: Column, following: Column) -> Column:
     return F.struct(event.alias("event"), (event["joint_start"] & ends_here).alias("correct"))
 
 
+def validity(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
+    """Add ``valid``: false for rows with a tag that is neither ``O`` nor ``prefix-type``; their counts are none."""
+    return df.withColumn("valid", F.forall(gold, is_valid_tag) & F.forall(pred, is_valid_tag))
+
+
 def invalid_rows(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
     """Rows that hold a tag without a type, with ``valid = false``."""
-    valid = F.forall(gold, is_valid_tag) & F.forall(pred, is_valid_tag)
-    return df.withColumn("valid", valid).where(~F.col("valid"))
+    return validity(df, gold, pred).where(~F.col("valid"))
 
 
 def chunk_counts_flat(df: DataFrame, order: Sequence[str], gold: str = "gold", pred: str = "pred",

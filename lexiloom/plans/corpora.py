@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from ..operators import corpus, ngram, vocab
+from ..operators import corpus, ngram, packing, vocab
 from ..session import shared_dir, stored
 from ..sources import corpora as readers
 from . import inputs
@@ -209,3 +211,73 @@ def backward_bigram_nll(spark, folder):
     held_out = counted.where(F.col("split") == "validation").drop("split")
     scored = ngram.backward_nll(train, held_out, 0.5)
     return scored.select("tokens", F.round("nll", 4).alias("nll"), F.round("perplexity", 2).alias("perplexity"))
+
+
+BLOCK = 128
+BLOCKS_SQL = f"""
+parts AS (SELECT 'documents' AS corpus, doc_id AS a, 0 AS b, doc_id::VARCHAR AS key, text FROM documents
+  UNION ALL SELECT 'conversations', conv_id, turn, conv_id || ':' || turn, text FROM conversations
+  UNION ALL SELECT 'benchmark', item_id, 0, item_id::VARCHAR, text FROM benchmark),
+drawn AS (SELECT corpus, a, b, list_filter(string_split_regex(text, '[ \\t\\r\\n]+'), lambda x: x <> '') AS l,
+  CASE WHEN {DRAW_SQL.format(key="corpus || ':' || key")} % 10000 < 500 THEN 'validation' ELSE 'train' END AS split FROM parts),
+flat AS (SELECT split, corpus, a, b, generate_subscripts(l, 1) AS pos, unnest(l) AS tok FROM drawn),
+placed AS (SELECT *, row_number() OVER (PARTITION BY split, corpus ORDER BY a, b, pos) - 1 AS g FROM flat)"""
+
+
+@query("corpus_to_blocks", f"""WITH {BLOCKS_SQL}
+SELECT split, corpus, (g // {BLOCK})::BIGINT AS block_id, string_agg(tok, ' ' ORDER BY g DESC) AS input_ids,
+  string_agg(tok, ' ' ORDER BY g DESC) AS labels
+FROM placed GROUP BY split, corpus, g // {BLOCK} HAVING count(*) = {BLOCK}""")
+def corpus_to_blocks(spark, folder):
+    """The whole preparation: corpora, hold-out, tokens, packed blocks, reversal, one folder per split, read back."""
+    talks = inputs.table(spark, folder, "conversations")
+    united = corpus.union_corpora([
+        ("documents", inputs.documents(spark, folder).select(
+            F.col("doc_id").alias("a"), F.lit(0).cast("bigint").alias("b"), inputs.joined_key("doc_id").alias("row_id"), "text")),
+        ("conversations", talks.select(
+            F.col("conv_id").alias("a"), F.col("turn").alias("b"), inputs.joined_key("conv_id", "turn").alias("row_id"), "text")),
+        ("benchmark", inputs.table(spark, folder, "benchmark").select(
+            F.col("item_id").alias("a"), F.lit(0).cast("bigint").alias("b"), inputs.joined_key("item_id").alias("row_id"), "text"))])
+    split = corpus.holdout(united, keys=["corpus", "row_id"])
+    words = vocab.tokenize(split, ["split", "corpus", "a", "b"], out="input_ids")
+    blocks = packing.pack_stream(words, BLOCK, ["a", "b"], ["input_ids"], ["split", "corpus"], reverse=False)
+    path = shared_dir(spark, "packed")
+    readers.write_once(packing.reverse_blocks(blocks), path)
+    return spark.read.parquet(path).select("split", "corpus", "block_id", F.array_join("input_ids", " ").alias("input_ids"),
+                                           F.array_join("labels", " ").alias("labels"))
+
+
+@query("text_files_read", """
+SELECT kind, count(*) AS n, sum(length(text))::BIGINT AS n_chars, sum(item_id)::BIGINT AS ids
+FROM (SELECT item_id, text, unnest(['csv', 'json', 'txt']) AS kind FROM (
+  SELECT item_id, replace(text, chr(10), ' ') AS text FROM benchmark)) GROUP BY kind""")
+def text_files_read(spark, folder):
+    """The benchmark as csv, json and txt files, each read by its extension."""
+    rows = inputs.table(spark, folder, "benchmark").select("item_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
+    csv, js, txt = (f"{shared_dir(spark, 'text')}.{kind}" for kind in readers.TEXT_EXTENSIONS)
+    rows.write.option("escape", '"').csv(csv, header=True)
+    rows.write.json(js)
+    rows.select(F.concat_ws("\t", "item_id", "text").alias("value")).write.text(txt)
+    lines = readers.read_text_file(spark, txt)
+    parts = [readers.read_text_file(spark, csv, "item_id bigint, text string", escape='"').withColumn("kind", F.lit("csv")),
+             readers.read_text_file(spark, js, "item_id bigint, text string").withColumn("kind", F.lit("json")),
+             lines.select(F.split("text", "\t", 2)[0].cast("bigint").alias("item_id"), F.split("text", "\t", 2)[1].alias("text"),
+                          F.lit("txt").alias("kind"))]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.char_length("text").cast("bigint")).alias("n_chars"),
+                                     F.sum("item_id").alias("ids"))
+
+
+def _python_words(batches):
+    for batch in batches:
+        batch["tokens"] = [None if t is None else [w for w in re.split("[ \t\r\n]+", t) if w] for t in batch["text"]]
+        yield batch[["doc_id", "tokens"]]
+
+
+@query("tokens_by_function", f"""WITH {TOKENS_SQL}
+SELECT doc_id, len(toks)::BIGINT AS n, md5(array_to_string(toks, ' ')) AS digest FROM toks""")
+def tokens_by_function(spark, folder):
+    """Tokens by a caller's own batch function."""
+    rows = inputs.documents(spark, folder).select("doc_id", "text")
+    made = vocab.tokenize_with(rows, _python_words, "doc_id bigint, tokens array<string>")
+    return made.select("doc_id", F.size("tokens").cast("bigint").alias("n"), F.md5(F.array_join("tokens", " ")).alias("digest"))

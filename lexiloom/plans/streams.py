@@ -17,53 +17,65 @@ WORDS_SQL = r"list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda x: x <>
 
 def _talks(spark, folder):
     # a pattern, because a stream's plain path must be a folder and the table may be one file
-    stream = text.read_stream(spark, f"{folder}/conversations.parque[t]", TALKS)
-    return stream.withColumn("row_id", F.col("conv_id") * 1000 + F.col("turn"))
+    return text.read_stream(spark, f"{folder}/conversations.parque[t]", TALKS, files_per_trigger=1)
 
 
 @query("stream_tokens", f"""
-SELECT conv_id * 1000 + turn AS row_id, array_to_string({WORDS_SQL}, ' ') AS tokens FROM conversations
+SELECT conv_id, turn, array_to_string({WORDS_SQL}, ' ') AS tokens FROM conversations
 WHERE text <> '' AND NOT starts_with(text, ' =') AND regexp_matches(text, '[^ \\t\\r\\n]')""")
 def stream_tokens(spark, folder):
-    done = text.drain(text.clean_tokens(_talks(spark, folder), ["row_id"]), "tokens")
-    return done.select("row_id", F.array_join("tokens", " ").alias("tokens"))
+    done = text.drain(text.clean_tokens(_talks(spark, folder), ["conv_id", "turn"]), "tokens")
+    return done.select("conv_id", "turn", F.array_join("tokens", " ").alias("tokens"))
 
 
 @query("stream_by_split", """
 SELECT role AS split, count(*) AS n FROM conversations GROUP BY role""")
 def stream_by_split(spark, folder):
     """A streaming Parquet sink with one folder per split."""
-    rows = _talks(spark, folder).select("row_id", "text", F.col("role").alias("split"))
+    rows = _talks(spark, folder).select("conv_id", "turn", "text", F.col("role").alias("split"))
     return text.drain(rows, "splits", ["split"]).groupBy("split").agg(F.count("*").alias("n"))
 
 
-SHARD_IDS, LENGTH = 50_000, 32
+LENGTH = 32
+CARRY_SQL = f"""
+WITH flat AS (SELECT role, conv_id, turn, generate_subscripts({WORDS_SQL}, 1) AS pos, unnest({WORDS_SQL}) AS tok
+  FROM conversations),
+placed AS (SELECT role, tok, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn, pos) - 1 AS g FROM flat)"""
+
+
+def _carried(spark, folder):
+    words = tokenize(_talks(spark, folder), ["role", "conv_id", "turn"])
+    return text.drain(packing.pack_carry(words, LENGTH, ["role"], ["conv_id", "turn"], rest=True), "blocks")
 
 
-@query("stream_pack", f"""
-WITH flat AS (SELECT role, (conv_id * 1000 + turn) // {SHARD_IDS} AS shard, conv_id * 1000 + turn AS r,
-  generate_subscripts({WORDS_SQL}, 1) AS pos, unnest({WORDS_SQL}) AS tok FROM conversations),
-placed AS (SELECT role, shard, tok, row_number() OVER (PARTITION BY role, shard ORDER BY r, pos) - 1 AS g FROM flat)
-SELECT role, shard::BIGINT AS shard, (g // {LENGTH})::BIGINT AS block_id, string_agg(tok, ' ' ORDER BY g DESC) AS block
-FROM placed GROUP BY role, shard, g // {LENGTH} HAVING count(*) = {LENGTH}""")
+@query("stream_pack", f"""{CARRY_SQL}
+SELECT role, (g // {LENGTH})::BIGINT AS block_id, string_agg(tok, ' ' ORDER BY g DESC) AS block
+FROM placed GROUP BY role, g // {LENGTH} HAVING count(*) = {LENGTH}""")
 def stream_pack(spark, folder):
-    words = tokenize(_talks(spark, folder), ["role", "row_id"])
-    packed = packing.pack_carry(packing.with_shard(words, "row_id", SHARD_IDS), LENGTH, ["role", "shard"])
-    done = text.drain(packed, "blocks")
-    return done.select("role", "shard", "block_id", F.array_join("tokens", " ").alias("block"))
+    """One stream per role: its last tokens, fewer than a block, are all that waits."""
+    return _carried(spark, folder).where("full").select("role", "block_id", F.array_join("tokens", " ").alias("block"))
+
+
+@query("stream_pack_rest", f"""{CARRY_SQL},
+ends AS (SELECT role, count(*) AS n FROM placed GROUP BY role)
+SELECT role, (n // {LENGTH})::BIGINT AS block_id, coalesce(string_agg(tok, ' ' ORDER BY g)
+  FILTER (g >= n // {LENGTH} * {LENGTH}), '') AS rest FROM placed JOIN ends USING (role) GROUP BY role, n""")
+def stream_pack_rest(spark, folder):
+    last = packing.last_rest(_carried(spark, folder), ["role"])
+    return last.select("role", "block_id", F.array_join("tokens", " ").alias("rest"))
 
 
 @query("stream_pack_drop", f"""
-WITH numbered AS (SELECT row_number() OVER (ORDER BY conv_id * 1000 + turn) - 1 AS i, {WORDS_SQL} AS w
+WITH numbered AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS i, {WORDS_SQL} AS w
   FROM conversations),
 flat AS (SELECT i // 100 AS batch_id, i, generate_subscripts(w, 1) AS pos, unnest(w) AS tok FROM numbered),
 placed AS (SELECT batch_id, tok, row_number() OVER (PARTITION BY batch_id ORDER BY i, pos) - 1 AS g FROM flat)
-SELECT batch_id::BIGINT AS batch_id, (g // {LENGTH})::BIGINT AS block_id, string_agg(tok, ' ' ORDER BY g DESC) AS block
+SELECT 0 AS micro_batch, batch_id::BIGINT AS batch_id, (g // {LENGTH})::BIGINT AS block_id,
+  string_agg(tok, ' ' ORDER BY g DESC) AS block
 FROM placed GROUP BY batch_id, g // {LENGTH} HAVING count(*) = {LENGTH}""")
 def stream_pack_drop(spark, folder):
-    """Micro-batches packed by the batch operator; remainders are dropped. The table is one file here, so one
-    micro-batch."""
+    """Micro-batches packed by the batch operator; remainders are dropped. Each file is one micro-batch."""
     path, log = shared_dir(spark, "blocks-out"), shared_dir(spark, "blocks-log")
-    words = tokenize(_talks(spark, folder), ["row_id"])
-    packing.pack_drop(words, LENGTH, path, log, rows_per_batch=100).awaitTermination()
-    return spark.read.parquet(path).select("batch_id", "block_id", F.array_join("tokens", " ").alias("block"))
+    words = tokenize(_talks(spark, folder), ["conv_id", "turn"])
+    packing.pack_drop(words, LENGTH, path, log, ["conv_id", "turn"], rows_per_batch=100).awaitTermination()
+    return spark.read.parquet(path).select("micro_batch", "batch_id", "block_id", F.array_join("tokens", " ").alias("block"))

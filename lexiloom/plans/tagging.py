@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from ..functions.tags import is_valid_tag, tag_prefix, tag_type
 from ..functions.text import md5_number
 from ..operators import labels, metrics, spans
+from ..operators.corpus import holdout
 from ..operators.ordered import dense_index
 from ..session import shared_dir
 from ..sources import render, tagged
+from ..sources.corpora import read_processed, write_once
 from . import inputs
 from .registry import registry
 
@@ -371,3 +373,33 @@ def prediction_file_eval(spark, folder):
     text = tagged.prediction_text(F.col("tokens"), F.col("gold"), F.col("pred"))
     tagged.write_sentences(sentences, text, path, ["doc_id", "sent"])
     return metrics.with_prf(spans.chunk_counts(tagged.read_predictions(spark, path)), digits=4)
+
+
+# every fifth sentence has its first gold tag spoilt
+SPOILT_SQL = f"""{SENTENCES_SQL.replace('tagged AS (', 'tagged_s AS (')},
+tagged AS (SELECT doc_id, sent, pos, tok, CASE WHEN pos = 0 AND (doc_id + sent) % 5 = 0 THEN 'NN' ELSE gold END AS gold, pred
+  FROM tagged_s)"""
+
+
+@query("span_validity", f"""WITH {SPOILT_SQL},
+checked AS (SELECT doc_id, sent, bool_and(regexp_matches(gold, '^(O|[^-]+-.+)$') AND regexp_matches(pred, '^(O|[^-]+-.+)$')) AS valid
+  FROM tagged GROUP BY doc_id, sent)
+SELECT valid, count(*) AS n FROM checked GROUP BY valid""")
+def span_validity(spark, folder):
+    """How many sentences have scores, and how many count nothing because of a bad tag."""
+    rows = inputs.tagged_sentences(spark, folder)
+    spoilt = F.transform("gold", lambda t, i: F.when((i == 0) & ((F.col("doc_id") + F.col("sent")) % 5 == 0), "NN").otherwise(t))
+    return spans.validity(rows.withColumn("gold", spoilt)).groupBy("valid").agg(F.count("*").alias("n"))
+
+
+@query("processed_split", f"""WITH {SENTENCES_SQL},
+train AS (SELECT * FROM tagged WHERE ('0x' || substr(md5('42:' || doc_id), 1, 8))::BIGINT % 10000 >= 500),
+kinds3 AS (SELECT doc_id, sent, min(gold) FILTER (gold <> 'O') AS least FROM train GROUP BY doc_id, sent
+  HAVING count(DISTINCT gold) = 3 AND bool_or(starts_with(gold, 'I-'))),
+shots AS (SELECT doc_id, sent, row_number() OVER (PARTITION BY substr(least, 3) ORDER BY doc_id, sent) AS n FROM kinds3)
+SELECT doc_id, sent::BIGINT AS sent FROM shots WHERE n <= 4""")
+def processed_split(spark, folder):
+    """Tagged sentences written once per split, the train split read back with four sentences per type."""
+    path = shared_dir(spark, "processed")
+    write_once(holdout(inputs.tagged_sentences(spark, folder), keys=["doc_id"]), path)
+    return read_processed(spark, path, "train", 4, ["doc_id", "sent"], "gold").select("doc_id", "sent")

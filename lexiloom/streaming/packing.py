@@ -13,53 +13,67 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.packing import pack_batches, reverse_blocks
 from .text import start_batches
 
-SHARD_IDS = 65_536
-
-
-def with_shard(df: DataFrame, row: str, ids: int = SHARD_IDS, out: str = "shard") -> DataFrame:
-    """Number the runs of ``ids`` neighbouring row ids: no packing state gets more rows, whatever the key."""
+def with_shard(df: DataFrame, row: str, ids: int, out: str = "shard") -> DataFrame:
+    """Number the runs of ``ids`` neighbouring row ids. As a key of :func:`pack_carry` a run is a stream of its own,
+    with a remainder of its own."""
     return df.withColumn(out, F.floor(F.col(row) / ids).cast("bigint"))
 
 
-def pack_carry(df: DataFrame, length: int, keys: Sequence[str], row: str = "row_id", tokens: str = "tokens",
-               reverse: bool = True) -> DataFrame:
+def pack_carry(df: DataFrame, length: int, keys: Sequence[str], row: str | Sequence[str] = "row_id", tokens: str = "tokens",
+               reverse: bool = True, rest: bool = False) -> DataFrame:
     """``(*keys, block_id, tokens)``: blocks per key, the remainder kept in state for the next micro-batch.
 
-    ``keys`` should end with the ``shard`` of :func:`with_shard`, so that a frequent key is many states. The rows of a micro-batch are taken in the order of ``row``; micro-batches follow in file
-    order. State per key is the remainder, fewer than ``length`` tokens, and the next block number.
+    The rows of a micro-batch are taken in the order of ``row``; micro-batches follow in file order. A key's state
+    is one remainder, fewer than ``length`` tokens, and the next block number. With ``rest`` every micro-batch also
+    gives each of its keys' remainder, unreversed, as the row of the next block with ``full`` false (a column added
+    for it): the last such row is the end of the stream (:func:`last_rest`). A micro-batch's rows of one key are
+    sorted in one task; ``files_per_trigger`` of the reader bounds them.
     """
+    order = [row] if isinstance(row, str) else list(row)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     key_fields = ", ".join(f"{k} {types[k]}" for k in keys)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rest, block = state.get if state.exists else ([], 0)
-        rest = list(rest)
-        rows = pd.concat(list(frames)).sort_values(row)
+        left, block = state.get if state.exists else ([], 0)
+        left = list(left)
+        rows = pd.concat(list(frames)).sort_values(order)
         made: list[list[str]] = []
         for words in rows[tokens]:
-            rest.extend(words)
-            full = len(rest) // length
-            made.extend(rest[i * length:(i + 1) * length] for i in range(full))
-            rest = rest[full * length:]
-        state.update((rest, block + len(made)))
-        out = {k: [v] * len(made) for k, v in zip(keys, key)}
-        out["block_id"] = list(range(block, block + len(made)))
-        out[tokens] = [b[::-1] if reverse else b for b in made]
+            left.extend(words)
+            full = len(left) // length
+            made.extend(left[i * length:(i + 1) * length] for i in range(full))
+            left = left[full * length:]
+        state.update((left, block + len(made)))
+        blocks = [b[::-1] if reverse else b for b in made] + ([left] if rest else [])
+        out = {k: [v] * len(blocks) for k, v in zip(keys, key)}
+        out["block_id"] = list(range(block, block + len(blocks)))
+        out[tokens] = blocks
+        if rest:
+            out["full"] = [True] * len(made) + [False]
         yield pd.DataFrame(out)
 
-    return (df.select(*keys, row, tokens).groupBy(*keys).applyInPandasWithState(
-        step, f"{key_fields}, block_id bigint, {tokens} array<string>",
-        "rest array<string>, block bigint", "append", "NoTimeout"))
+    fields = f"{key_fields}, block_id bigint, {tokens} array<string>" + (", full boolean" if rest else "")
+    return (df.select(*keys, *order, tokens).groupBy(*keys).applyInPandasWithState(
+        step, fields, "rest array<string>, block bigint", "append", "NoTimeout"))
+
 
+def last_rest(written: DataFrame, keys: Sequence[str], tokens: str = "tokens") -> DataFrame:
+    """``(*keys, block_id, tokens)``: what no block holds yet, from the rows that ``pack_carry(rest=True)`` wrote."""
+    later = F.struct("block_id", F.size(tokens).alias("n"))
+    return (written.where("NOT full").groupBy(*keys)
+            .agg(F.max_by(F.struct("block_id", tokens), later).alias("__r")).select(*keys, "__r.*"))
 
-def pack_drop(df: DataFrame, length: int, path: str, checkpoint: str, row: str = "row_id", tokens: str = "tokens",
+
+def pack_drop(df: DataFrame, length: int, path: str, checkpoint: str, row: str | Sequence[str] = "row_id", tokens: str = "tokens",
               rows_per_batch: int = 1000) -> StreamingQuery:
     """Batch packing of every micro-batch; each batch of rows drops its remainder.
 
     A micro-batch writes its own folder, overwriting it when it is repeated after a failure.
     """
+    order = [row] if isinstance(row, str) else list(row)
+
     def handle(batch: DataFrame, number: int) -> None:
-        packed = pack_batches(batch, length, [row], [tokens], rows_per_batch=rows_per_batch)
+        packed = pack_batches(batch, length, order, [tokens], rows_per_batch=rows_per_batch)
         reverse_blocks(packed, tokens).write.mode("overwrite").parquet(f"{path}/micro_batch={number}")
 
     return start_batches(df, handle, checkpoint)
