@@ -113,3 +113,51 @@ def test_label_bigrams_of_a_hot_sequence(spark):
     assert len(scored) == 8
     for prev in ("<s>", "A", "B"):
         assert math.isclose(sum(math.exp(r["log_p"]) for r in scored if r["prev"] == prev), 1.0, abs_tol=1e-9)
+
+
+def masked(rows):
+    return [(i, [e for e, y in zip(es, ys) if y != -100], [y for y in ys if y != -100]) for i, es, ys in rows]
+
+
+def ignored_rows(rng, n=40):
+    rows = []
+    for i in range(n):
+        size = rng.integers(1, 7)
+        tags = [-100 if rng.random() < 0.4 else int(rng.integers(0, K)) for _ in range(size)]
+        rows.append((i, [[float(v) for v in rng.normal(size=K) * 3] for _ in range(size)], tags))
+    return rows
+
+
+def test_ignored_positions_are_left_out_of_both_terms(spark):
+    rng = np.random.default_rng(8)
+    params = crf.CrfParams.of(rng.normal(size=(K, K)), rng.normal(size=K), rng.normal(size=K))
+    rows = ignored_rows(rng)
+    kept = [r for r in masked(rows) if r[1]]
+    want = crf.mean_nll(frame(spark, kept), params).first()["nll"]
+    assert crf.mean_nll(frame(spark, rows), params).first()["nll"] == pytest.approx(want)
+    one = crf.mean_nll(frame(spark, rows), params, by=["id"]).collect()
+    assert all(r["nll"] is None or r["nll"] >= 0 for r in one)
+    zero = [(i, e, [0 if y == -100 else y for y in ys]) for i, e, ys in rows]
+    want = crf.mean_nll(frame(spark, zero), params).first()["nll"]
+    assert crf.mean_nll(frame(spark, rows), params, pad_as_zero=True).first()["nll"] == pytest.approx(want)
+    for pad, plain in ((False, kept), (True, zero)):
+        got = {r["slot"]: r["value"] for r in crf.gradient(frame(spark, rows), params, pad_as_zero=pad).collect()}
+        wanted = {r["slot"]: r["value"] for r in crf.gradient(frame(spark, plain).repartition(3), params).collect()}
+        assert got.keys() == wanted.keys() and all(got[s] == pytest.approx(wanted[s], abs=1e-9) for s in got)
+
+
+def test_hand_case_of_an_ignored_tag(spark):
+    params = crf.CrfParams.of([[0.0, 0.0]] * 2, [0.0] * 2, [0.0] * 2)
+    df = frame(spark, [(0, [[0.0, 0.0], [-50.0, -50.0]], [0, -100])])
+    assert crf.mean_nll(df, params).first()["nll"] == pytest.approx(np.log(2))
+    assert crf.mean_nll(frame(spark, [(0, [[0.0, 0.0]], [-100])]), params).first()["nll"] is None
+
+
+@pytest.mark.parametrize("tag", [-1, 9])
+def test_other_tags_raise(spark, tag):
+    params = crf.CrfParams.of(np.zeros((K, K)), np.zeros(K), np.zeros(K))
+    df = frame(spark, [(0, [[0.0] * K], [tag])])
+    with pytest.raises(PySparkException):
+        crf.mean_nll(df, params).collect()
+    with pytest.raises(PySparkException):
+        crf.gradient(df, params).collect()

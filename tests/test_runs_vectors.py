@@ -10,16 +10,16 @@ from lexiloom.operators import metrics, represent, runs
 
 
 def states(spark, mask):
+    """Backward states stand where un-reversing the array by the mask puts them in place."""
     n = len(mask)
-    valid = sum(mask)
     forward = [(0, p, m, [float(p), 1.0]) for p, m in enumerate(mask)]
-    backward = [(0, valid - 1 - p if m else p, [float(10 + p)]) for p, m in enumerate(mask)]
-    assert len({b[1] for b in backward}) == n
+    order = [p for p in range(n) if mask[p]][::-1] + [p for p in range(n) if not mask[p]]
+    backward = [(0, b, [float(10 + p)]) for p, b in enumerate(order)]
     return (spark.createDataFrame(forward, "seq_id bigint, pos bigint, mask int, vec array<float>"),
             spark.createDataFrame(backward, "seq_id bigint, pos bigint, vec array<float>"))
 
 
-@pytest.mark.parametrize("mask", [[1, 1, 1, 0, 0], [1], [0, 0], [1, 1]])
+@pytest.mark.parametrize("mask", [[1, 1, 1, 0, 0], [1], [0, 0], [1, 1], [0, 0, 1, 1, 1], [0, 1, 0, 1, 1, 0]])
 def test_mirror_join_keeps_pads_in_place(spark, mask):
     rows = represent.mirror_join(*states(spark, mask), mask="mask").orderBy("pos").collect()
     assert [r["vec"] for r in rows] == [[float(p), 1.0, float(10 + p)] for p in range(len(mask))]

@@ -45,6 +45,16 @@ def test_remainders_are_carried_over_micro_batches(spark, source, ids):
         assert {r["block_id"]: r["tokens"] for r in got if r["shard"] == s} == want
 
 
+def test_one_remainder_per_key_is_shown(spark, source):
+    words = stream(spark, source).select(F.lit("all").alias("key"), "row_id", F.filter(F.split("text", " "), lambda w: w != "").alias("tokens"))
+    written = text.drain(packing.pack_carry(words, 8, ["key"], rest=True), "r")
+    flat = [w for _, line in source[1] for w in line.split(" ") if w]
+    full = len(flat) // 8
+    got = {r["block_id"]: r["tokens"] for r in written.where("full").collect()}
+    assert got == {i: flat[8 * i:8 * i + 8][::-1] for i in range(full)}
+    assert [tuple(r) for r in packing.last_rest(written, ["key"]).collect()] == [("all", full, flat[8 * full:])]
+
+
 def test_drop_packing_equals_the_batch_operator(spark, source, tmp_path):
     out, log = str(tmp_path / "out"), str(tmp_path / "log")
     words = stream(spark, source).select("row_id", F.split("text", " ").alias("tokens"))

@@ -44,6 +44,8 @@ def test_shuffle_is_repeatable_and_real(spark):
     assert first == [r["row_id"] for r in corpus.shuffled(df.repartition(5), 1).collect()]
     assert sorted(first) == list(range(200)) != first
     assert first != [r["row_id"] for r in corpus.shuffled(df, 2).collect()]
+    placed = corpus.shuffled(df, 1, place="place").collect()
+    assert [r["place"] for r in placed] == list(range(200)) and [r["row_id"] for r in placed] == first
 
 
 def test_vocabulary_and_encoding(spark):
@@ -58,13 +60,30 @@ def test_vocabulary_and_encoding(spark):
     assert by_id[0]["token"] == "the" and all(a["count"] >= b["count"] for a, b in zip(by_id, by_id[1:]))
     small = vocab.build_vocab(vocab.token_counts(df), size=20)
     ids = {r["token"]: r["id"] for r in small.collect()}
-    for hot in (0, 3, 4096):
-        got = {r["row_id"]: r["input_ids"] for r in vocab.encode(df, small, hot_below=hot).collect()}
-        assert got == {i: [ids.get(t, -1) for t in doc] for i, doc in docs}
-    got = {r["row_id"]: r["input_ids"] for r in vocab.encode(df, small, size=20).collect()}
+    got = {r["row_id"]: r["input_ids"] for r in vocab.encode(df, small).collect()}
     assert got == {i: [ids.get(t, -1) for t in doc] for i, doc in docs}
 
 
+def test_the_vocabulary_alone_decides_what_has_an_id(spark):
+    df = spark.createDataFrame([(0, [f"w{i % (j + 1)}" for i in range(60) for j in range(30)]), (1, ["new"])], "row_id bigint, tokens array<string>")
+    counts = vocab.token_counts(df)
+    cut = vocab.build_vocab(counts, first_id=5, size=20)
+    ids = {r["token"]: r["id"] for r in cut.collect()}
+    assert sorted(ids.values()) == list(range(5, 25))
+    got = {r["row_id"]: r["input_ids"] for r in vocab.encode(df, cut).collect()}
+    assert set(got[0]) == {-1, *range(5, 25)} and got[1] == [-1]
+    whole = vocab.encode(df, vocab.build_vocab(counts)).collect()
+    assert all(i >= 0 for r in whole for i in r["input_ids"])
+
+
+@pytest.mark.parametrize("k", [1000, 1001])
+def test_kshot_by_text_keys(spark, k):
+    rows = [(f"s{i:05d}", ["O", "B-PER", "I-PER"]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "name string, tags array<string>")
+    got = sorted(r["name"] for r in labels.kshot(df, k, ["name"]).collect())
+    assert got == [f"s{i:05d}" for i in range(k)]
+
+
 def test_encode_lines_with_and_without_padding(spark):
     df = spark.createDataFrame([(0, "a b c d"), (1, "  "), (2, "a")], "row_id bigint, text string")
     table = spark.createDataFrame([("a", 9, 0), ("b", 5, 1)], "token string, count bigint, id bigint")
