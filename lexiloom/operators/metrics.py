@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import cross_entropy
 from ..functions.tags import OUTSIDE
 from .ordered import running
-from .spans import chunk_counts
+from .spans import with_resolved
 
 
 def ratio(part: Column, whole: Column, percent: bool = True) -> Column:
@@ -95,30 +95,54 @@ def token_summary(confused: DataFrame) -> DataFrame:
 
 def evaluation_summary(df: DataFrame, gold: str = "gold", pred: str = "pred", separators: bool = False,
                        digits: int | None = 4) -> DataFrame:
-    """Chunk scores per type and overall (type ``ALL``), with the token counts on the overall row.
+    """Chunk scores per type and overall (``overall``, type ``ALL``), with the token counts on the overall row.
 
-    ``separators`` counts one ``O`` pair per sequence as a token, as files with blank-line separators do.
+    ``separators`` counts one ``O`` pair per sequence as a token, as files with blank-line separators do. Chunk
+    shares and tag pairs of a row leave it together, so the rows are read once and their counts shuffled once; what
+    follows works on types and pairs of tags.
     """
-    counts = chunk_counts(df, gold, pred)
-    names = ("correct", "gold", "pred")
-    kinds = counts.rollup("type").agg(*[F.sum(c).alias(c) for c in names], F.grouping("type").alias("__all"))
-    kinds = kinds.select(F.when(F.col("__all") == 1, "ALL").otherwise(F.col("type")).alias("type"), *names)
-    pairs = confusion(df, gold, pred)
-    if separators:
-        outside = df.agg(F.lit(OUTSIDE).alias("gold"), F.lit(OUTSIDE).alias("pred"), F.count("*").alias("n"))
-        pairs = pairs.unionByName(outside)
-    tokens = token_summary(pairs).withColumn("type", F.lit("ALL"))
-    # a full join: without any chunk the roll-up is empty, and the overall row must still be there
-    both = kinds.join(tokens, "type", "full").withColumns({c: F.coalesce(c, F.lit(0)) for c in names})
-    accuracies = ["accuracy", "accuracy_inside"]
-    shown = [F.col(c) if digits is None else F.round(c, digits).alias(c) for c in accuracies]
+    none, one = F.lit(0), F.lit(1)
+
+    def cell(kind: str, a: Column, b: Column, *counts: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"),
+                        *[c.alias(n) for c, n in zip(counts, ("correct", "gold", "pred", "n"))])
+
+    nothing = F.lit(None).cast("string")
+    rows = with_resolved(df.select(gold, pred), gold, pred, "__r")
+    chunks = F.coalesce(F.flatten(F.transform("__r", lambda r: F.array(
+        cell("chunk", r["event"]["g_type"], nothing, r["correct"].cast("int"), one, none, none),
+        cell("chunk", r["event"]["p_type"], nothing, none, none, one, none)))),
+        F.array().cast("array<struct<kind:string,a:string,b:string,correct:int,gold:int,pred:int,n:int>>"))
+    pairs = F.zip_with(gold, pred, lambda g, p: cell("token", g, p, none, none, none, one))
+    between = [F.array(cell("token", F.lit(OUTSIDE), F.lit(OUTSIDE), none, none, none, one))] if separators else []
+    cells = rows.select(F.inline_outer(F.concat(chunks, pairs, *between))).where("a IS NOT NULL")
+    sums = [F.sum(c).cast("bigint").alias(c) for c in ("correct", "gold", "pred", "n")]
+    counted = cells.groupBy("kind", "a", "b").agg(*sums)
+    # every count also goes to the overall row, which is there without any
+    chunk, token = F.col("kind") == "chunk", F.col("kind") == "token"
+    same, inside = F.col("a") == F.col("b"), F.col("a") != OUTSIDE
+    zero = F.lit(0).cast("bigint")
+    marks = [F.when(chunk, F.col(c)).otherwise(zero).alias(c) for c in ("correct", "gold", "pred")] + [
+        F.when(token, F.col("n")).otherwise(zero).alias("tokens"), F.when(token & same, F.col("n")).otherwise(zero).alias("same"),
+        F.when(token & inside, F.col("n")).otherwise(zero).alias("inside"),
+        F.when(token & inside & same, F.col("n")).otherwise(zero).alias("same_inside")]
+    names = ["correct", "gold", "pred", "tokens", "same", "inside", "same_inside"]
+    start = df.sparkSession.createDataFrame([(True, "ALL", *[0] * 7)], "overall boolean, type string, " + ", ".join(f"{n} bigint" for n in names))
+    kinds = counted.where(chunk).select(F.lit(False).alias("overall"), F.col("a").alias("type"), *marks)
+    overall = counted.select(F.lit(True).alias("overall"), F.lit("ALL").alias("type"), *marks)
+    both = kinds.unionByName(overall).unionByName(start).groupBy("overall", "type").agg(*[F.sum(n).alias(n) for n in names])
+    top = F.col("overall")
+    percent = {"accuracy": F.try_divide(F.col("same").cast("double"), F.col("tokens").cast("double")),
+               "accuracy_inside": F.try_divide(F.col("same_inside").cast("double"), F.col("inside").cast("double"))}
+    shown = [F.when(top, 100.0 * c if digits is None else F.round(100.0 * c, digits)).alias(n) for n, c in percent.items()]
     return with_prf(both, digits=digits).select(
-        "type", *names, "precision", "recall", "f1", "tokens", *shown)
+        "overall", "type", "correct", "gold", "pred", "precision", "recall", "f1", F.when(top, F.col("tokens")).alias("tokens"), *shown)
 
 
 def report_lines(summary: DataFrame) -> DataFrame:
     """``(line_no, line)``: the summary as text, overall lines first, then one line per type."""
-    overall = F.col("type") == "ALL"
+    overall = F.col("overall")
+    # fixed values: the formats of the report's lines
     head = F.array(
         F.format_string("processed %d tokens with %d phrases; found: %d phrases; correct: %d.",
                         "tokens", "gold", "pred", "correct"),
@@ -129,8 +153,10 @@ def report_lines(summary: DataFrame) -> DataFrame:
     )
     row = F.array(F.format_string("%17s: precision: %6.2f%%; recall: %6.2f%%; FB1: %6.2f  %d",
                                   "type", "precision", "recall", "f1", "pred"))
-    lines = summary.select("type", F.posexplode(F.when(overall, head).otherwise(row)).alias("i", "line"))
-    return lines.orderBy(F.when(F.col("type") == "ALL", 0).otherwise(1), "type", "i").select("line")
+    lines = summary.select("overall", "type", F.posexplode(F.when(overall, head).otherwise(row)).alias("i", "line"))
+    # as many rows as there are types
+    place = F.row_number().over(Window.orderBy(F.desc("overall"), "type", "i"))
+    return lines.select((place - 1).alias("line_no"), "line").orderBy("line_no")
 
 
 def mean_loss(df: DataFrame, logits: str = "logits", label: str = "label", by: Sequence[str] = ()) -> DataFrame:

@@ -59,15 +59,19 @@ def chunk_counts(df: DataFrame, gold: str = "gold", pred: str = "pred", by: Sequ
     maps and adds up before its only shuffle, which carries one row per type and task. Rows with a tag that
     is neither ``O`` nor ``prefix-type`` count nothing; see :func:`invalid_rows`.
     """
-    with_next = (
-        with_chunk_events(df.select(*by, gold, pred), gold, pred, "__e")
+    shares = with_resolved(df.select(*by, gold, pred), gold, pred, "__r").select(*by, F.explode_outer("__r").alias("r")).select(
+        *by, F.inline_outer(_shares(F.col("r.event"), F.col("r.correct"))))
+    return _count(shares, by)
+
+
+def with_resolved(df: DataFrame, gold: str, pred: str, out: str) -> DataFrame:
+    """Add ``out``: the chunk events of every row, each with whether it begins a correct chunk."""
+    return (
+        with_chunk_events(df, gold, pred, "__e")
         .withColumn("__n", F.concat(F.slice("__e", F.lit(2), F.greatest(F.size("__e") - 1, F.lit(0))),
                                     F.array(F.lit(None).cast(_EVENT))))
-        .select(*by, F.zip_with("__e", "__n", _resolved).alias("__r"))
+        .withColumn(out, F.zip_with("__e", "__n", _resolved)).drop("__e", "__n")
     )
-    shares = with_next.select(*by, F.explode_outer("__r").alias("r")).select(
-        *by, F.inline_outer(_shares(F.col("r.event"), F.col("r.correct"))))
-    return _count(shares, by)
 
 
 _EVENT = ("struct<g_type:string,p_type:string,joint_start:boolean,any_end:boolean,joint_end:boolean>")

@@ -147,15 +147,15 @@ def tag_report(spark, folder):
 
 def summary_sql(extra: str = "") -> str:
     return f"""WITH {SENTENCES_SQL}, {counts_sql('doc_id, sent', 'pos')},
-kinds_all AS (SELECT type, correct, gold, pred FROM counts
-  UNION ALL SELECT 'ALL', sum(correct), sum(gold), sum(pred) FROM counts),
+kinds_all AS (SELECT false AS overall, type, correct, gold, pred FROM counts
+  UNION ALL SELECT true, 'ALL', sum(correct), sum(gold), sum(pred) FROM counts),
 pairs AS (SELECT gold, pred FROM tagged {extra}),
 toks AS (SELECT count(*) AS tokens, round(100.0 * avg((gold = pred)::INT), 4) AS accuracy,
   round(100.0 * sum((gold = pred AND gold <> 'O')::INT)::DOUBLE / nullif(sum((gold <> 'O')::INT), 0), 4)
     AS accuracy_inside FROM pairs)
-SELECT {COUNTS}, {PRF_SQL}, CASE WHEN type = 'ALL' THEN tokens END AS tokens,
-  CASE WHEN type = 'ALL' THEN accuracy END AS accuracy,
-  CASE WHEN type = 'ALL' THEN accuracy_inside END AS accuracy_inside FROM kinds_all, toks"""
+SELECT overall, {COUNTS}, {PRF_SQL}, CASE WHEN overall THEN tokens END AS tokens,
+  CASE WHEN overall THEN accuracy END AS accuracy,
+  CASE WHEN overall THEN accuracy_inside END AS accuracy_inside FROM kinds_all, toks"""
 
 
 @query("eval_summary", summary_sql())
@@ -169,14 +169,15 @@ def eval_summary_separators(spark, folder):
     return metrics.evaluation_summary(inputs.tagged_sentences(spark, folder), separators=True)
 
 
-@query("eval_report", f"""WITH s AS ({summary_sql()})
-SELECT printf('processed %d tokens with %d phrases; found: %d phrases; correct: %d.', tokens, gold, pred, correct)
-  AS line FROM s WHERE type = 'ALL'
-UNION ALL SELECT printf('accuracy: %6.2f%%; (non-O)', accuracy_inside) FROM s WHERE type = 'ALL'
-UNION ALL SELECT printf('accuracy: %6.2f%%; precision: %6.2f%%; recall: %6.2f%%; FB1: %6.2f', accuracy, precision,
-  recall, f1) FROM s WHERE type = 'ALL'
-UNION ALL SELECT printf('%17s: precision: %6.2f%%; recall: %6.2f%%; FB1: %6.2f  %d', type, precision, recall, f1,
-  pred) FROM s WHERE type <> 'ALL'""")
+@query("eval_report", f"""WITH s AS ({summary_sql()}),
+lines AS (SELECT 0 AS part, '' AS type, printf('processed %d tokens with %d phrases; found: %d phrases; correct: %d.', tokens, gold, pred,
+    correct) AS line FROM s WHERE overall
+  UNION ALL SELECT 1, '', printf('accuracy: %6.2f%%; (non-O)', accuracy_inside) FROM s WHERE overall
+  UNION ALL SELECT 2, '', printf('accuracy: %6.2f%%; precision: %6.2f%%; recall: %6.2f%%; FB1: %6.2f', accuracy, precision,
+    recall, f1) FROM s WHERE overall
+  UNION ALL SELECT 3, type, printf('%17s: precision: %6.2f%%; recall: %6.2f%%; FB1: %6.2f  %d', type, precision, recall, f1,
+    pred) FROM s WHERE NOT overall)
+SELECT (row_number() OVER (ORDER BY part, type) - 1)::INT AS line_no, line FROM lines""")
 def eval_report(spark, folder):
     return metrics.report_lines(metrics.evaluation_summary(inputs.tagged_sentences(spark, folder)))
 
