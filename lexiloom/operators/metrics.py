@@ -101,36 +101,33 @@ def evaluation_summary(df: DataFrame, gold: str = "gold", pred: str = "pred", se
     shares and tag pairs of a row leave it together, so the rows are read once and their counts shuffled once; what
     follows works on types and pairs of tags.
     """
-    none, one = F.lit(0), F.lit(1)
+    names = ["correct", "gold", "pred", "tokens", "same", "inside", "same_inside"]
 
-    def cell(kind: str, a: Column, b: Column, *counts: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"),
-                        *[c.alias(n) for c, n in zip(counts, ("correct", "gold", "pred", "n"))])
+    def cell(overall: bool, kind: Column, **counts: Column) -> Column:
+        return F.struct(F.lit(overall).alias("overall"), kind.alias("type"),
+                        *[counts.get(n, F.lit(0)).cast("int").alias(n) for n in names])
 
-    nothing = F.lit(None).cast("string")
+    one = F.lit(1)
     rows = with_resolved(df.select(gold, pred), gold, pred, "__r")
-    chunks = F.coalesce(F.flatten(F.transform("__r", lambda r: F.array(
-        cell("chunk", r["event"]["g_type"], nothing, r["correct"].cast("int"), one, none, none),
-        cell("chunk", r["event"]["p_type"], nothing, none, none, one, none)))),
-        F.array().cast("array<struct<kind:string,a:string,b:string,correct:int,gold:int,pred:int,n:int>>"))
-    pairs = F.zip_with(gold, pred, lambda g, p: cell("token", g, p, none, none, none, one))
-    between = [F.array(cell("token", F.lit(OUTSIDE), F.lit(OUTSIDE), none, none, none, one))] if separators else []
-    cells = rows.select(F.inline_outer(F.concat(chunks, pairs, *between))).where("a IS NOT NULL")
-    sums = [F.sum(c).cast("bigint").alias(c) for c in ("correct", "gold", "pred", "n")]
-    counted = cells.groupBy("kind", "a", "b").agg(*sums)
-    # every count also goes to the overall row, which is there without any
-    chunk, token = F.col("kind") == "chunk", F.col("kind") == "token"
-    same, inside = F.col("a") == F.col("b"), F.col("a") != OUTSIDE
-    zero = F.lit(0).cast("bigint")
-    marks = [F.when(chunk, F.col(c)).otherwise(zero).alias(c) for c in ("correct", "gold", "pred")] + [
-        F.when(token, F.col("n")).otherwise(zero).alias("tokens"), F.when(token & same, F.col("n")).otherwise(zero).alias("same"),
-        F.when(token & inside, F.col("n")).otherwise(zero).alias("inside"),
-        F.when(token & inside & same, F.col("n")).otherwise(zero).alias("same_inside")]
-    names = ["correct", "gold", "pred", "tokens", "same", "inside", "same_inside"]
+    zipped = F.arrays_zip(F.col(gold).alias("g"), F.col(pred).alias("p"))
+    rows = rows.withColumn("__same", F.filter(zipped, lambda z: z["g"] == z["p"]))
+    outside = F.size("__same") - F.size(F.array_remove(F.col("__same.g"), OUTSIDE))
+    between = one if separators else F.lit(0)
+    facts = F.struct((F.size(gold) + between).alias("tokens"), (F.size("__same") + between).alias("same"),
+                     F.size(F.array_remove(gold, OUTSIDE)).alias("inside"), (F.size("__same") - outside).alias("same_inside"))
+    events = rows.select(facts.alias("t"), F.posexplode_outer("__r").alias("i", "r"))
+    # a row's token counts leave with its first event; a row without events has one empty one
+    first = F.when(F.coalesce("i", F.lit(0)) == 0, F.lit("ALL"))
+    cells = events.select(F.inline(F.array(
+        cell(False, F.col("r.event.g_type"), correct=F.coalesce("r.correct", F.lit(False)), gold=one),
+        cell(False, F.col("r.event.p_type"), pred=one),
+        cell(True, first, **{n: F.col(f"t.{n}") for n in ("tokens", "same", "inside", "same_inside")})))).where("type IS NOT NULL")
+    counted = cells.groupBy("overall", "type").agg(*[F.sum(n).cast("bigint").alias(n) for n in names])
+    # chunks also go to the overall row, which is there without any
     start = df.sparkSession.createDataFrame([(True, "ALL", *[0] * 7)], "overall boolean, type string, " + ", ".join(f"{n} bigint" for n in names))
-    kinds = counted.where(chunk).select(F.lit(False).alias("overall"), F.col("a").alias("type"), *marks)
-    overall = counted.select(F.lit(True).alias("overall"), F.lit("ALL").alias("type"), *marks)
-    both = kinds.unionByName(overall).unionByName(start).groupBy("overall", "type").agg(*[F.sum(n).alias(n) for n in names])
+    total = counted.select(F.lit(True).alias("overall"), F.lit("ALL").alias("type"), *names)
+    both = (counted.where(~F.col("overall")).unionByName(total).unionByName(start)
+            .groupBy("overall", "type").agg(*[F.sum(n).alias(n) for n in names]))
     top = F.col("overall")
     percent = {"accuracy": F.try_divide(F.col("same").cast("double"), F.col("tokens").cast("double")),
                "accuracy_inside": F.try_divide(F.col("same_inside").cast("double"), F.col("inside").cast("double"))}
