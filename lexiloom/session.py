@@ -39,12 +39,22 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     The setting is read from the session. Where it is unset, a single-process master (tests, a laptop) gets a
     temporary folder; on a cluster that is an error, because no other machine would see such a folder.
     """
+    return f"{_application_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def _application_folder(spark: SparkSession) -> str:
     base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all machines share")
         base = _local_folder()
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/lexiloom-{spark.sparkContext.applicationId}"
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete everything that this application has stored in the shared folder. Results that read it become void."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @functools.cache
