@@ -108,12 +108,15 @@ def select_rows(df: DataFrame, chosen: DataFrame, keys: Sequence[str]) -> DataFr
 
 
 def subword_rows(df: DataFrame, tokens: str, labels: str, length: int | None, width: int = 4,
-                 pieces: Callable[[Column], Column] | None = None, pad_piece: str = "") -> DataFrame:
+                 pieces: Callable[[Column], Column] | None = None, pad_piece: str = "", before: Sequence[str] = (),
+                 after: Sequence[str] = ()) -> DataFrame:
     """Add ``pieces``, ``word_ids``, ``attention_mask`` and ``sub_labels``, cut or padded to ``length``.
 
     The first piece of a word carries the word's label, other pieces and pads carry -100. ``pieces`` cuts a
     word (a column function); the default cuts every ``width`` characters. A word without pieces takes no
-    place and its label is lost, as with a tokenizer that returns nothing for it.
+    place and its label is lost, as with a tokenizer that returns nothing for it. ``before`` and ``after`` are
+    special pieces around every sentence: they carry -100 and no word, are counted in ``length`` and never cut, and
+    ``special_tokens_mask`` marks them and the pads.
     """
     cut = pieces or (lambda w: fixed_pieces(w, width))
     df = df.withColumn("__pieces", F.transform(tokens, cut))
@@ -124,6 +127,8 @@ def subword_rows(df: DataFrame, tokens: str, labels: str, length: int | None, wi
             F.size(p) > 0, F.concat(F.array(t), F.array_repeat(F.lit(IGNORED), F.size(p) - 1)))
             .otherwise(F.array().cast("array<int>")))),
     }).drop("__pieces")
+    if before or after:
+        df = _with_specials(df, before, after, length)
     if length is None:
         return df.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("pieces")))
     return df.withColumns({
@@ -134,6 +139,27 @@ def subword_rows(df: DataFrame, tokens: str, labels: str, length: int | None, wi
     })
 
 
+def _with_specials(df: DataFrame, before: Sequence[str], after: Sequence[str], length: int | None) -> DataFrame:
+    room = None if length is None else length - len(before) - len(after)
+    if room is not None and room < 0:
+        raise ValueError(f"{length} places hold no {len(before) + len(after)} special pieces")
+
+    def around(name: str, first: list[Column], last: list[Column], kind: str) -> Column:
+        body = F.col(name) if room is None else F.slice(name, 1, room)
+        ends = [F.array(*x).cast(f"array<{kind}>") for x in (first, last)]
+        return F.concat(ends[0], body, ends[1])
+
+    b, a = len(before), len(after)
+    size = F.size("pieces") if room is None else F.least(F.size("pieces"), F.lit(room))
+    mask = F.concat(F.array_repeat(F.lit(1), b), F.array_repeat(F.lit(0), size), F.array_repeat(F.lit(1), a))
+    return df.withColumns({
+        "pieces": around("pieces", [F.lit(p) for p in before], [F.lit(p) for p in after], "string"),
+        "word_ids": around("word_ids", [F.lit(None)] * b, [F.lit(None)] * a, "int"),
+        "sub_labels": around("sub_labels", [F.lit(IGNORED)] * b, [F.lit(IGNORED)] * a, "int"),
+        "special_tokens_mask": mask if length is None else fit_length(mask, length, 1),
+    })
+
+
 def features(df: DataFrame, length: int, pad_id: int = 0, ids: str = "ids", labels: str = "labels") -> DataFrame:
     """Training examples: ``input_ids``, ``attention_mask``, ``input_ids_backward``, ``labels``."""
     fitted = df.withColumns({

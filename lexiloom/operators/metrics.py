@@ -168,17 +168,20 @@ def epoch_loss(df: DataFrame, batch: str, by: Sequence[str] = (), logits: str =
 
 
 def improvements(df: DataFrame, score: str, order: Sequence[str], run: Sequence[str] = ("run_id",),
-                 higher: bool = True, bucket: Sequence[str] | None = None, **options) -> DataFrame:
+                 higher: bool = True, bucket: Sequence[str] | None = None, start: float | None = None,
+                 **options) -> DataFrame:
     """Add ``improved``: strictly better than every earlier epoch of the run.
 
-    The start value is 0 for a score and infinity for a loss, so an epoch at or below 0 never improves.
+    The start value is 0 for a score and infinity for a loss, so an epoch at or below 0 never improves. A run that is
+    resumed from its log starts from the best value there (``start``).
     """
+    start = start if start is not None else 0.0 if higher else float("inf")
     best = running(df, F.col(score).cast("double"), "__best", order, run, bucket=bucket,
                    how="max" if higher else "min", **options)
     if higher:
-        better = F.col(score) > F.greatest(F.coalesce("__best", F.lit(0.0)), F.lit(0.0))
+        better = F.col(score) > F.greatest(F.coalesce("__best", F.lit(start)), F.lit(start))
     else:
-        better = F.col(score) < F.coalesce("__best", F.lit(float("inf")))
+        better = F.col(score) < F.least(F.coalesce("__best", F.lit(start)), F.lit(start))
     return best.withColumn("improved", better).drop("__best")
 
 

@@ -284,6 +284,21 @@ def subword_labels(spark, folder):
                        _joined("word_ids").alias("word_ids"), F.array_join("pieces", ",").alias("pieces"))
 
 
+@query("subword_labels_special", f"""WITH {PIECES_SQL}
+SELECT doc_id, sent::BIGINT AS sent,
+  array_to_string(list_resize(list_concat([-100], sub_labels[1:{LENGTH - 2}], [-100]), {LENGTH}, -100), ',') AS sub_labels,
+  array_to_string(list_transform(list_resize(list_concat([NULL], word_ids[1:{LENGTH - 2}]), {LENGTH}),
+    lambda x: coalesce(x::VARCHAR, '-')), ',') AS word_ids,
+  array_to_string(list_resize(list_concat(['<s>'], pieces[1:{LENGTH - 2}], ['</s>']), {LENGTH}, ''), ',') AS pieces,
+  array_to_string(list_transform(range({LENGTH}), lambda i: (i = 0 OR i > len(pieces[1:{LENGTH - 2}]))::INT), ',')
+    AS special_tokens_mask FROM sub""")
+def subword_labels_special(spark, folder):
+    """Sub-word rows between two special pieces."""
+    rows = labels.subword_rows(_label_sentences(spark, folder), "tokens", "ids", LENGTH, before=["<s>"], after=["</s>"])
+    return rows.select("doc_id", "sent", _joined("sub_labels").alias("sub_labels"), _joined("word_ids").alias("word_ids"),
+                       F.array_join("pieces", ",").alias("pieces"), _joined("special_tokens_mask").alias("special_tokens_mask"))
+
+
 @query("features", f"""WITH {PIECES_SQL},
 coded AS (SELECT doc_id, sent, sub_labels, list_transform(pieces, lambda p: ('0x' || substr(md5(p), 1, 4))::INT + 1)
   AS ids FROM sub)

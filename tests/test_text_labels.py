@@ -183,3 +183,18 @@ def test_features_reverse_only_valid_ids(spark):
     assert row["labels"] == [0, -100, 2, -100, -100] and row["attention_mask"] == [1, 1, 1, 0, 0]
     kept = labels.drop_ignored(labels.features(df, 5), "labels", "input_ids").collect()
     assert [(r["pos"], r["gold"], r["pred"]) for r in kept] == [(0, 0, 7), (2, 2, 9)]
+
+
+def test_special_pieces_around_a_sentence(spark):
+    df = spark.createDataFrame([(["abcde", "fg"], [3, 4])], "tokens array<string>, ids array<int>")
+    whole = labels.subword_rows(df, "tokens", "ids", None, before=["<s>"], after=["</s>"]).first()
+    assert whole["pieces"] == ["<s>", "abcd", "e", "fg", "</s>"] and whole["sub_labels"] == [-100, 3, -100, 4, -100]
+    assert whole["word_ids"] == [None, 0, 0, 1, None] and whole["special_tokens_mask"] == [1, 0, 0, 0, 1]
+    assert whole["attention_mask"] == [1] * 5
+    cut = labels.subword_rows(df, "tokens", "ids", 4, before=["<s>"], after=["</s>"]).first()
+    assert cut["pieces"] == ["<s>", "abcd", "e", "</s>"] and cut["special_tokens_mask"] == [1, 0, 0, 1]
+    padded = labels.subword_rows(df, "tokens", "ids", 7, before=["<s>"]).first()
+    assert padded["pieces"] == ["<s>", "abcd", "e", "fg", "", "", ""] and padded["special_tokens_mask"] == [1, 0, 0, 0, 1, 1, 1]
+    assert padded["attention_mask"] == [1, 1, 1, 1, 0, 0, 0]
+    with pytest.raises(ValueError):
+        labels.subword_rows(df, "tokens", "ids", 1, before=["<s>"], after=["</s>"])
