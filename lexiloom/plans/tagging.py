@@ -213,6 +213,40 @@ def encode_tags(spark, folder):
                         F.array_join(labels.decode_tags(F.col("__i"), TAGS), ",").alias("tags"))
 
 
+def _types(name: str) -> list[str]:
+    """Types of a catalogue, in id order."""
+    return list(dict.fromkeys(t.split("-", 1)[1] for t in labels.fixed_catalogue(name) if t != "O"))
+
+
+CATALOGUES = ["news", "social", "fine"]
+MOVED_SQL = "UNION ALL ".join(
+    f"""SELECT '{name}' AS catalogue, list_position({labels.fixed_catalogue(name)!r},
+  CASE WHEN gold = 'O' THEN 'O' ELSE substr(gold, 1, 2) || {_types(name)!r}[1 + (list_position(['PER', 'ORG', 'LOC', 'MISC'],
+    substr(gold, 3)) - 1 + tok_size) % {len(_types(name))}] END) - 1 AS label_id FROM sized """ for name in CATALOGUES)
+
+
+def _moved(types: list[str]):
+    kinds, names = (F.array(*[F.lit(t) for t in x]) for x in (inputs.TYPES, types))
+
+    def move(tag, word):
+        place = (F.array_position(kinds, tag_type(tag)) - 1 + F.char_length(word)) % len(types)
+        return F.when(tag == "O", tag).otherwise(F.concat(F.substring(tag, 1, 2), F.element_at(names, place.cast("int") + 1)))
+
+    return move
+
+
+@query("fixed_catalogues", f"""WITH {SENTENCES_SQL},
+sized AS (SELECT gold, length(tok) AS tok_size FROM tagged), moved AS ({MOVED_SQL})
+SELECT catalogue, label_id::INT AS label_id, count(*) AS n FROM moved GROUP BY catalogue, label_id""")
+def fixed_catalogues(spark, folder):
+    """Tags in the types of every fixed catalogue, encoded with it: a token's type moves on by the token's length."""
+    rows = inputs.tagged_sentences(spark, folder)
+    coded = [F.struct(F.lit(name).alias("catalogue"), labels.encode_tags(
+        F.zip_with("gold", "tokens", _moved(_types(name))), labels.fixed_catalogue(name)).alias("ids")) for name in CATALOGUES]
+    each = rows.select(F.inline(F.array(*coded))).select("catalogue", F.explode_outer("ids").alias("label_id"))
+    return each.groupBy("catalogue", "label_id").agg(F.count("*").alias("n"))
+
+
 KSHOT_SQL = f"""WITH {SENTENCES_SQL},
 kinds3 AS (SELECT doc_id, sent, min(gold) FILTER (gold <> 'O') AS least FROM tagged GROUP BY doc_id, sent
   HAVING count(DISTINCT gold) = 3 AND bool_or(starts_with(gold, 'I-'))),
