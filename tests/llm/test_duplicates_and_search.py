@@ -86,29 +86,44 @@ def test_wide_codes_find_similar_texts(spark):
 
 
 def brute_chunks(rows):
-    """Texts after removal, in the order of doc_id, text hash and place."""
-    found = {i: line_chunks.Chunks(pa.array([r[1]])) for i, r in enumerate(rows)}
-    chunks = {i: [(c.buf[a:b].tobytes(), bool(q)) for a, b, q in zip(c.start, c.end, c.counts)] for i, c in found.items()}
-    for i, cs in chunks.items():
-        assert b"\n".join(x for x, _ in cs) == (rows[i][1] or "").encode()
-        for x, counts in cs:
-            assert counts == (len(x.split()) >= 50 or (b"\n" in x and len(x.split()) >= 10))
-    owner, out = {}, {}
-    for i in sorted(chunks, key=lambda i: (rows[i][0] is None, rows[i][0] or 0)):
-        kept = []
-        for place, (x, counts) in enumerate(chunks[i]):
-            if counts and owner.setdefault(x, (rows[i][1], place)) != (rows[i][1], place):
-                continue
-            kept.append(x)
-        out[i] = b"\n".join(kept).decode()
-    return [(rows[i][0], None if rows[i][1] is None else out[i]) for i in range(len(rows))]
+    """Texts without the lines of repeated chunks, in the order of doc_id and line, and the chunks."""
+    spans, owner, places = {}, {}, {}
+    for i, (_, text, _) in enumerate(rows):
+        lines = (text or "").split("\n")
+        found = line_chunks.Chunks(pa.array([text]))
+        spans[i] = {(a, a + n) for a, n in zip(found.line.tolist(), found.lines.tolist())}
+        for a, b in spans[i]:
+            words = [len(x.encode().split()) for x in lines[a:b]]
+            assert sum(words) >= 50 or (b - a > 1 and sum(words) >= 10)
+        for a in range(len(lines)):  # the shortest run of 50 words from every line with words
+            b = next((b for b in range(a + 1, len(lines) + 1) if len(" ".join(lines[a:b]).encode().split()) >= 50), None)
+            assert b is None or not lines[a].encode().split() or (a, b) in spans[i]
+    for i in sorted(spans, key=lambda i: (rows[i][0] is None, rows[i][0] or 0)):
+        for a, b in sorted(spans[i]):
+            chunk = "\n".join(rows[i][1].split("\n")[a:b])
+            owner.setdefault(chunk, (rows[i][1], a))
+            places.setdefault(chunk, set()).add((rows[i][1], a))
+    out = []
+    for i, (doc_id, text, _) in enumerate(rows):
+        lines = (text or "").split("\n")
+        again, stay, gone = set(), set(), set()
+        for a, b in spans[i]:
+            chunk = "\n".join(lines[a:b])
+            if len(places[chunk]) > 1:
+                (stay if owner[chunk] == (text, a) else again if owner[chunk][0] == text else gone).update(range(a, b))
+        kept = [x for k, x in enumerate(lines) if k not in gone and (k not in again or k in stay)]
+        out.append((doc_id, None if text is None else "\n".join(kept)))
+    return out
 
 
 def test_line_chunks(spark):
     lines = [f"line {k} with some words that fill it {k * 7}" for k in range(12)]
     shared = "\n".join(lines)
+    pair = "\n".join(" ".join(f"{c}{k}" for k in range(30)) for c in "pq")
     rows = TEXTS + [(30, "before\n" + shared + "\nafter", "en"), (31, shared, "en"), (32, "x y z\nother start\n" + shared + "\n" + PASSAGE, "en"),
-                    (33, PASSAGE + "\n" + PASSAGE + "\nshort", "en"), (34, "a b\n" * 40, "en")]
+                    (33, PASSAGE + "\n" + PASSAGE + "\nshort", "en"), (34, "a b\n" * 40, "en"), (35, "a\n" + pair + "\nb", "en"),
+                    (36, "c d\n\n" + pair + "\n\ne", "en"), (37, pair + "\n" + pair, "en"), (38, pair.split("\n")[0] + "\nalone", "en"),
+                    (39, "a first line\n" + PASSAGE, "en"), (40, "a first line\n" + PASSAGE + "\n" + "z " * 9, "en")]
     got = line_chunks.dedup(documents(spark, rows))
     assert got.columns == [*(c for c in documents(spark, []).columns if c != "removed"), "removed"]
     got = got.collect()
@@ -116,14 +131,16 @@ def test_line_chunks(spark):
     assert {r["doc_id"] for r in got if r["removed"]} >= {9, 31, 32, 33}
     by = {r["doc_id"]: r["text"] for r in got}
     assert PASSAGE not in by[9] and PASSAGE not in by[33] and by[3] == by[5]
+    assert by[35] == "a\n" + pair + "\nb" and by[36] == "c d\n\n\ne" and by[37] == "" and by[38].endswith("\nalone")
+    assert by[39] == "a first line" and PASSAGE not in by[40]
     assert line_chunks.dedup(documents(spark, [])).count() == 0
 
 
 def test_equal_hashes_with_other_bytes_stay():
-    rows = [{"hash": 1, "text": t, "first_null": False, "first_doc": d, "first_key": d, "first_place": 0,
-             "members": [{"doc_id": d, "text_key": d, "place": 0}]} for d, t in ((1, b"a"), (2, b"b"), (3, b"a"))]
+    rows = [{"hash": 1, "text": t, "first_null": False, "first_doc": d, "first_key": d, "first_line": 0,
+             "members": [{"doc_id": d, "text_key": d, "line": 0, "lines": 2}]} for d, t in ((1, b"a"), (2, b"b"), (3, b"a"))]
     got = [r for b in line_chunks._repeats(iter([pa.RecordBatch.from_pylist(rows, schema=line_chunks._OCCURRENCES)])) for r in b.to_pylist()]
-    assert got == [{"doc_id": 3, "text_key": 3, "place": 0}]
+    assert [(r["doc_id"], r["fate"]) for r in got] == [(1, line_chunks.STAYS), (2, line_chunks.STAYS), (3, line_chunks.GOES)]
 
 
 def similarity(a, b):
