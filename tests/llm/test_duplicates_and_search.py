@@ -79,7 +79,7 @@ def test_wide_codes_find_similar_texts(spark):
     for g in range(30):
         words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
         made.append((2 * g, " ".join(words), "en"))
-        words[100] = words[200] = "changed"
+        words[50] = words[100] = words[150] = words[200] = "changed"  # a similarity of 0.87
         made.append((2 * g + 1, " ".join(words), "en"))
     got = gray_simhash.near_duplicates(documents(spark, made), 5, 10, words=4, limit=46).collect()
     assert {(r["doc_id"], r["component_id"]) for r in got} == {(d, d - d % 2) for d, _, _ in made}
