@@ -5,7 +5,7 @@ and hands it to the next. All but the last return the columns of documents.
 
 1. language: texts without a letter have no language and go.
 2. lines: repeated runs of lines go from the texts; a text of which nothing is left goes too.
-3. near duplicates: of each group of near copies the document with the smallest id stays.
+3. near duplicates: of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays.
 4. decontamination: documents that hold a passage of the benchmark go.
 5. packing: token sequences of balanced cost.
 
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from lexiloom.llm import cost_packing, ecoc_lang, gray_simhash, line_chunks, window_decontam
 from lexiloom.session import stored
 
-#: near copies: five-word shingles, codes of four words, all pairs within 10 bits of the first word and 46 of 256
-NEAR = {"width": 5, "radius": 10, "words": 4, "limit": 46}
+#: near copies: Jaccard similarity of the sets of five-word shingles; codes of four words name the candidates, within 72 of 256 bits
+NEAR = {"width": 5, "words": 4, "limit": 72, "similarity": 0.8}
 
 ORACLE_SQL = None
 

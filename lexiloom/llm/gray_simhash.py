@@ -14,6 +14,13 @@ the whole code, whose share estimates the angle between two texts, and buckets c
 drawn from all words: a pair with a share p of differing bits is met with probability 1 - (1 - (1-p)^16)^64, which is 0.99 for
 p = 0.15 (a similarity of 0.8) and above 0.9999 for p = 0.1 (0.9). ``radius`` then plays no part.
 
+With ``similarity``, codes only say which texts meet, and a link is a pair whose sets of shingles have at least that
+Jaccard similarity. Bits are then votes of distinct shingles and equal sets, not equal codes, are one entry. First the links of
+the search above are compared by their shingles, joined by entry in Spark. Groups of entries that met but did not become one
+component are then searched again: every entry beside the nearest entry of each other component in its buckets, then all
+pairs of different components, so no pair that met is left out. A large group of true copies costs one comparison per entry and
+bucket; one whose entries met and are mostly less similar is compared pair by pair.
+
 Buckets larger than ``split`` entries are dealt out again by blocks of bits they have not used yet, one more than a pair may
 differ in, so that the pair agrees in one of them.
 
@@ -47,6 +54,8 @@ RUN = 1 << 16
 LANES = np.uint64(0x0101010101010101)
 #: of codes of several words: masks, a multiple of the words times 64 over the bits of a mask
 MASK_BITS, MASKS = 16, 64
+#: masks when the pairs met are verified, and tasks over which the pairs of one entry are dealt
+VERIFIED_MASKS, SALTS = 96, 64
 
 
 # ---- fingerprints
@@ -99,6 +108,37 @@ def wide_fingerprints(hashes: np.ndarray, size: np.ndarray, words: int) -> list[
     return out
 
 
+def _set_of(parts: Iterator[list[int]]) -> np.ndarray:
+    """The distinct hashes, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.array(part, np.uint64) for part in parts)]))
+
+
+def _set_fingerprint_task(width: int, seed: int, words: int):
+    """Fingerprints by distinct shingles, and the entry v: a hash of their set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in pieces(batch, limit=2 << 20):
+                sets = [_set_of(shingle_hashes(text, width, seed)) for text in rows.column("text").to_pylist()]
+                size = np.array([len(x) for x in sets], np.int64)
+                fps = wide_fingerprints(np.concatenate(sets), size, words)
+                v = np.array([xxhash.xxh64_intdigest(x.tobytes(), seed) for x in sets], np.uint64)
+                kept = [i for i, name in enumerate(rows.schema.names) if name != "text"]
+                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in kept), *(pa.array(x.view(np.int64)) for x in [*fps, v])],
+                                                 names=[*(rows.schema.names[i] for i in kept), *word_names(words), "v"])
+
+    return run
+
+
+def _shingle_set_task(width: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in pieces(batch, limit=2 << 20):
+                sets = [_set_of(shingle_hashes(text, width, seed)).view(np.int64) for text in rows.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([rows.column("v"), pa.array(sets, pa.list_(pa.int64()))], names=["v", "grams"])
+
+    return run
+
+
 def _fingerprint_task(width: int, seed: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,12 +161,16 @@ def word_names(words: int) -> list[str]:
     return ["fp", *(f"fp{k}" for k in range(1, words))]
 
 
-def with_fingerprint(docs: DataFrame, width: int = SHINGLE, seed: int = SEED, words: int = 1) -> DataFrame:
-    """The columns of ``docs`` but the text, and the fingerprint's words fp, fp1, ... as signed longs."""
-    plain = docs.drop(*word_names(words)).withColumn("text", F.col("text").cast("string"))
+def with_fingerprint(docs: DataFrame, width: int = SHINGLE, seed: int = SEED, words: int = 1, sets: bool = False) -> DataFrame:
+    """The columns of ``docs`` but the text, and the fingerprint's words fp, fp1, ... as signed longs.
+
+    ``sets``: of distinct shingles, and with a key v of their set.
+    """
+    names = [*word_names(words), *(["v"] if sets else [])]
+    plain = docs.drop(*names).withColumn("text", F.col("text").cast("string"))
     fields = [f for f in plain.schema.fields if f.name != "text"]
-    schema = T.StructType([*fields, *(T.StructField(name, T.LongType()) for name in word_names(words))])
-    return plain.mapInArrow(_fingerprint_task(width, seed, words), schema)
+    schema = T.StructType([*fields, *(T.StructField(name, T.LongType()) for name in names)])
+    return plain.mapInArrow((_set_fingerprint_task if sets else _fingerprint_task)(width, seed, words), schema)
 
 
 # ---- buckets
@@ -136,10 +180,10 @@ def blocks(bits: list[int], n: int) -> list[list[int]]:
     return [list(map(int, x)) for x in np.array_split(np.array(bits), n)]
 
 
-def drawn_masks(words: int) -> list[list[int]]:
-    """MASKS sets of MASK_BITS bits of codes of several words; every round of them uses each bit once."""
+def drawn_masks(words: int, masks: int = MASKS) -> list[list[int]]:
+    """``masks`` sets of MASK_BITS bits of codes of several words; every round of them uses each bit once."""
     rng = np.random.Generator(np.random.PCG64(2))
-    rounds = MASKS * MASK_BITS // (64 * words)
+    rounds = masks * MASK_BITS // (64 * words)
     return [sorted(map(int, bits)) for _ in range(rounds) for bits in rng.permutation(64 * words).reshape(-1, MASK_BITS)]
 
 
@@ -247,48 +291,131 @@ def bucket_links(bucket: np.ndarray, codes: np.ndarray, limit: int) -> np.ndarra
     return label
 
 
-def _link_task(words: int, limit: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, words + 2), np.int64)  # bucket, entry, code
+def cross_pairs(codes: np.ndarray, part: np.ndarray, limit: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of entries of different parts that differ in at most ``limit`` bits: all, or for an entry and a part the nearest."""
+    n = len(codes)
+    step = max(1, (1 << 20) // max(n, 1))
+    for at in range(0, n, step):
+        apart = np.bitwise_count(codes[at : at + step, None, 0] ^ codes[None, :, 0]).astype(np.int64)
+        for w in range(1, codes.shape[1]):
+            apart += np.bitwise_count(codes[at : at + step, None, w] ^ codes[None, :, w])
+        i, j = np.nonzero((apart <= limit) & (part[at : at + step, None] != part[None]))
+        far = apart[i, j]
+        i = i + at
+        if every:
+            yield i[i < j], j[i < j]
+        elif len(i):
+            order = np.lexsort((far, part[j], i))
+            i, j = i[order], j[order]
+            best = np.append(True, (i[1:] != i[:-1]) | (part[j[1:]] != part[j[:-1]]))
+            yield i[best], j[best]
+
 
-        def links(rows: np.ndarray) -> pa.RecordBatch:
-            label = bucket_links(rows[:, 0], np.ascontiguousarray(rows[:, 2:]).view(np.uint64), limit)
-            far = np.flatnonzero(label != np.arange(len(label)))
-            return pa.RecordBatch.from_arrays([pa.array(rows[far, 1]), pa.array(rows[label[far], 1])], names=["a", "b"])
+def _link_task(words: int, limit: int, every: bool | None = None):
+    """Links of the search; with ``every`` given, rows have a part before the code and all or the nearest cross pairs count."""
+    head = 2 if every is None else 3
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, words + head), np.int64)  # bucket, entry, part, code
+
+        def links(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            codes = np.ascontiguousarray(rows[:, head:]).view(np.uint64)
+            if every is None:
+                label = bucket_links(rows[:, 0], codes, limit)
+                far = np.flatnonzero(label != np.arange(len(label)))
+                yield pa.RecordBatch.from_arrays([pa.array(rows[far, 1]), pa.array(rows[label[far], 1])], names=["a", "b"])
+                return
+            start = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+            for s, e in zip(start.tolist(), [*start[1:].tolist(), len(rows)], strict=True):
+                for i, j in cross_pairs(codes[s:e], rows[s:e, 2], limit, every) if e - s > 1 else ():
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[s + i, 1]), pa.array(rows[s + j, 1])], names=["a", "b"])
 
         for batch in batches:
             rows = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
             last = int(np.argmax(rows[:, 0] == rows[-1, 0])) if len(rows) else 0
             if last:
-                yield links(rows[:last])
+                yield from links(rows[:last])
             held = rows[last:]
         if len(held):
-            yield links(held)
+            yield from links(held)
 
     return run
 
 
-def links(codes: DataFrame, words: int = 1, radius: int = RADIUS, limit: int | None = None, split: int = SPLIT) -> DataFrame:
-    """Links a, b between entries ``v`` of distinct codes fp, fp1, ...: enough of the near ones to join their components."""
+def links(codes: DataFrame, words: int = 1, radius: int = RADIUS, limit: int | None = None, split: int = SPLIT,
+          masks: int = MASKS, every: bool | None = None) -> DataFrame:
+    """Links a, b between entries ``v`` of codes fp, fp1, ...: enough of the near ones to join their components.
+
+    With ``every`` given, of the entries' column ``part``: pairs of different parts, all or the nearest (see cross_pairs).
+    """
     names = word_names(words)
     limit = radius if limit is None else limit
     if words == 1:
         parts = blocks(list(range(64)), radius + 2)
         first = [parts[i] + parts[j] for i, j in combinations(range(len(parts)), 2)]
     else:
-        first = drawn_masks(words)
+        first = drawn_masks(words, masks)
+    kept = ["v", *(["part"] if every is not None else []), *names]
     finer = [blocks([b for b in range(64 * words) if b not in bits], limit + 1) for bits in first]
     masked = F.xxhash64(*[F.col(name).bitwiseAND(F.col("mask")[w]) for w, name in enumerate(names)])
-    dealt = (codes.select("v", *names, F.posexplode(F.lit([_masks(bits, words) for bits in first])).alias("t", "mask"))
-             .select("v", *names, "t", masked.alias("key")))
-    large = dealt.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > split).select("t", "key", F.lit(True).alias("large"))
-    again = F.element_at(F.array(*[F.lit([_masks(bits, words) for bits in parts]) for parts in finer]), F.col("t") + 1)
+    dealt = (codes.select(*kept, F.posexplode(F.lit([_masks(bits, words) for bits in first])).alias("t", "mask"))
+             .select(*kept, "t", masked.alias("key")))
+    large = dealt.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > split).select("t", "key")
+    again = codes.sparkSession.createDataFrame([(t, [_masks(bits, words) for bits in parts]) for t, parts in enumerate(finer)],
+                                               "t int, again array<array<bigint>>")
+    large = large.join(F.broadcast(again), "t")
     whole = F.lit([[0] * words]).cast("array<array<bigint>>")
     placed = (dealt.join(large, ["t", "key"], "left")
-              .select("v", *names, "t", "key", F.explode(F.when(F.col("large"), again).otherwise(whole)).alias("mask"))
-              .select(F.xxhash64("t", "key", "mask", masked).alias("bucket"), "v", *names))
+              .select(*kept, "t", "key", F.explode(F.coalesce("again", whole)).alias("mask"))
+              .select(F.xxhash64("t", "key", "mask", masked).alias("bucket"), *kept))
     in_order = placed.repartition("bucket").sortWithinPartitions("bucket", gray_rank(F.col("fp")))
-    return in_order.mapInArrow(_link_task(words, limit), "a long, b long").distinct()
+    return in_order.mapInArrow(_link_task(words, limit, every), "a long, b long").distinct()
+
+
+# ---- verified links
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs a, b those whose sets (v, grams) reach the Jaccard similarity. A hot a or b is dealt over SALTS tasks."""
+    def beside(rows: DataFrame, this: str, other: str) -> DataFrame:
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)))
+        held = salted.select(this, "salt").distinct().join(sets.select(F.col("v").alias(this), F.col("grams").alias(f"grams_{this}")), this)
+        return salted.join(held, [this, "salt"]).drop("salt")
+
+    both = beside(beside(pairs, "a", "b"), "b", "a")
+    common, total = F.size(F.array_intersect("grams_a", "grams_b")), F.size("grams_a") + F.size("grams_b")
+    return both.where(common >= similarity * (total - common) - 1e-9).select("a", "b")
+
+
+def roots_of(entries: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """The entries with the least entry of their component under ``name``."""
+    return entries.join(components(edges).withColumnRenamed("root", name), "v", "left").withColumn(name, F.coalesce(name, "v"))
+
+
+def verified_links(plain: DataFrame, prints: DataFrame, codes: DataFrame, width: int, seed: int, words: int, limit: int, split: int,
+                   similarity: float) -> DataFrame:
+    """Links between entries of at least the similarity: enough to join the components of all such pairs that met."""
+    met = stored(links(codes, words, 0, limit, split, VERIFIED_MASKS), "met")
+    ids = met.select(F.col("a").alias("v")).unionAll(met.select(F.col("b").alias("v"))).distinct()
+    holders = prints.groupBy("v").agg(F.min("_at").alias("_at")).join(ids, "v")
+    texts = plain.select("_at", "text").join(holders, "_at").dropDuplicates(["v"]).select("v", "text")
+    sets = stored(texts.mapInArrow(_shingle_set_task(width, seed), "v long, grams array<long>"), "sets")
+    good = stored(similar(met, sets, similarity), "similar")
+    loose = None
+    for every in (False, True):
+        if loose is None:
+            if good.count() == met.count():
+                break
+            loose = stored(roots_of(ids, met, "loose"), "loose")
+        parts = stored(roots_of(loose, good, "part"), "parts")
+        open_ = parts.groupBy("loose").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("loose")
+        left = stored(codes.join(parts.join(open_, "loose").select("v", "part"), "v"), "open")
+        if left.isEmpty():
+            break
+        pairs = links(left, words, 0, limit, split, VERIFIED_MASKS, every)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        good = stored(good.unionAll(similar(pairs, sets, similarity)), "similar")
+    return good
 
 
 # ---- components
@@ -315,14 +442,25 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, words: int = 1,
-                    limit: int | None = None, split: int = SPLIT, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, fp, component (a key of the group), component_id (its smallest doc_id) and the columns of ``carry``."""
+                    limit: int | None = None, split: int = SPLIT, carry: tuple[str, ...] = (), similarity: float | None = None) -> DataFrame:
+    """doc_id, fp, component (a key of the group), component_id (its smallest doc_id) and the columns of ``carry``.
+
+    ``similarity``: of codes of several words, join only texts whose sets of shingles have it.
+    """
     names = word_names(words)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, "text")
-    prints = stored(with_fingerprint(plain, width, seed, words), "fingerprints")
-    entry = F.col("fp") if words == 1 else F.xxhash64(*names)
-    codes = stored(prints.groupBy(*names).agg(F.min("doc_id").alias("first")).withColumn("v", entry), "codes")
-    roots = components(links(codes, words, radius, limit, split))
+    if similarity is None:
+        prints = stored(with_fingerprint(plain, width, seed, words), "fingerprints")
+        entry = F.col("fp") if words == 1 else F.xxhash64(*names)
+        codes = stored(prints.groupBy(*names).agg(F.min("doc_id").alias("first")).withColumn("v", entry), "codes")
+        edges = links(codes, words, radius, limit, split)
+    else:
+        plain = plain.withColumn("_at", F.xxhash64("doc_id", "text"))
+        prints = stored(with_fingerprint(plain, width, seed, words, sets=True), "fingerprints")
+        entry = F.col("v")
+        codes = stored(prints.groupBy("v", *names).agg(F.min("doc_id").alias("first")), "codes")
+        edges = verified_links(plain, prints, codes, width, seed, words, limit, split, similarity)
+    roots = components(edges)
     rooted = codes.join(roots, "v", "left").select("v", "first", F.coalesce("root", "v").alias("component"))
     least = rooted.groupBy("component").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "component").select("v", "component", "component_id")

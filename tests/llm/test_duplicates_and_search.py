@@ -85,6 +85,42 @@ def test_wide_codes_find_similar_texts(spark):
     assert {(r["doc_id"], r["component_id"]) for r in got} == {(d, d - d % 2) for d, _, _ in made}
 
 
+def test_verified_near_duplicates_are_all_pairs_of_the_similarity(spark):
+    """Components of verified links are those of all pairs of texts by their sets of five-word shingles."""
+    rng = np.random.default_rng(9)
+    made = []
+    for g in range(30):  # four changed words of 300: similarity about 0.87
+        words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        made.append((2 * g, " ".join(words), "en"))
+        words[50] = words[100] = words[150] = words[200] = "changed"
+        made.append((2 * g + 1, " ".join(words), "en"))
+    for g in range(30, 42):  # from 0.6 to 0.85
+        words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        for k in range(6):
+            other = list(words)
+            for at in rng.choice(60, 2 + 2 * (k % 5), replace=False).tolist():
+                other[5 * at] = f"x{at}_{k}"
+            made.append((100 + 6 * g + k, " ".join(other), "en"))
+    line = " ".join(f"line{k}" for k in range(9))
+    for k in range(2):  # a repeated line outvotes all else, and has a small part in the sets
+        own = [f"own{k}_{x}" for x in range(700)]
+        made.append((1000 + k, " ".join(own[:350]) + "\n" + (line + "\n") * 34 + " ".join(own[350:]), "en"))
+    same = " ".join(f"s{x}" for x in range(200))
+    made += [(1010, same + " " + (line + " ") * 3, "en"), (1011, same + " " + (line + " ") * 60, "en"), (1012, "", "en"), (1013, None, "en"), (1014, "few words", "en")]
+    made += [(None, made[0][1], "en")]
+    sets = []
+    for _, text, _ in made:
+        w = tokens(text)
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    near = np.array([[a == b or len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    label = closure(near)
+    want = {made[i][0]: min(made[k][0] for k in np.flatnonzero(label == label[i]) if made[k][0] is not None) for i in range(len(made))}
+    got = gray_simhash.near_duplicates(documents(spark, made), 5, words=4, limit=72, similarity=0.8).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and len(got) == len(made)
+    assert all(want[2 * g + 1] == 2 * g for g in range(30)) and want[1001] == 1001 and want[1011] == 1010
+    assert len({want[100 + 6 * g + k] for g in range(30, 42) for k in range(6)}) not in (12, 72)
+
+
 def brute_chunks(rows):
     """Texts without the lines of repeated chunks, in the order of doc_id and line, and the chunks."""
     spans, owner, places = {}, {}, {}
