@@ -53,6 +53,18 @@ def test_stages_take_effect(spark, tmp_path):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, d).collect()} == set(kept[3])
 
 
+def test_decontamination_takes_rows_not_ids(spark, tmp_path):
+    """A leak goes alone: other rows without an id or with the same id stay, equal rows go together."""
+    leak = " ".join(f"item{k}" for k in range(20))
+    rows = [(None, "a clean text without an id", "en"), (None, "before " + leak, "en"), (None, None, "en"), (7, leak + " after", "en"),
+            (7, leak + " after", "en"), (7, "another text of the same id", "en"), (8, "clean", "en")]
+    d = folder_of(spark, tmp_path, rows, [(1, leak)])
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    got = corpus_pipeline.decontaminate(spark, docs, d)
+    assert got.columns == docs.columns
+    assert {tuple(r) for r in got.collect()} == {rows[k] for k in (0, 2, 5, 6)} and got.count() == 4
+
+
 @pytest.mark.parametrize("rows", [TEXTS, []])
 def test_awkward_and_empty_tables(spark, tmp_path, rows):
     d = folder_of(spark, tmp_path, rows, [])
