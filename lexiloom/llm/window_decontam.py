@@ -6,13 +6,17 @@ item whose fingerprint lies within ``radius`` of a window's: two such codes agre
 is then verified by the exact weighted similarity of its shingles (sum of least over sum of greatest weights, with
 repeats), and reported at ``similarity`` or more.
 
+An item with more shingles than a document has no window in it: there the whole document is the window. Such items are met by
+any shared shingle, not by fingerprint, and verified in the same way, so ``distance`` may lie beyond the radius.
+
 Windows that cannot reach the similarity are not fingerprinted: a window scores at most the weight of its shingles
 that occur in some item, over its whole weight. That bound comes from prefix sums and loses nothing.
 
 Items go to the tasks by broadcast in blocks of about ``BLOCK_BYTES`` of text, dealt by hash; a larger benchmark takes one
 pass over the documents per block. Documents are neither shuffled nor collected.
 
-Cases: null and blank texts and items match nothing; items with fewer words than a shingle are too short to tell and
+Cases: null and blank texts and items match nothing; items without an id are searched and reported with a null id, a row for
+each text; items with fewer words than a shingle are too short to tell and
 are not searched; equal rows are reported alike; an empty benchmark or table gives no row; ties between windows of a
 document take the first; other columns are ignored. A document of any length is searched whole.
 """
@@ -40,11 +44,14 @@ HITS = "doc_id long, item_id long, first_word long, n_words long, similarity dou
 class Index(NamedTuple):
     """One block of items, by the number of their shingles."""
 
-    item: np.ndarray  # ids
+    item: list[int | None]  # ids
     size: np.ndarray  # shingles
     code: np.ndarray  # fingerprints
     grams: list[dict[int, int]]  # weight by shingle
     known: np.ndarray  # all shingles, sorted
+    owner: np.ndarray  # items of each shingle, one shingle after the other
+    owned: np.ndarray  # where a shingle's items begin, one more at the end
+    weight: np.ndarray  # of all shingles of an item
     sieve: np.ndarray
     tables: dict[int, list[tuple[np.ndarray, np.ndarray]]]  # by size: per block of bits, sorted keys and their items
 
@@ -78,7 +85,7 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return grams, w.doc[at], at - first, size[at + SHINGLE] - size[at]
 
 
-def build(ids: list[int], texts: list[str], radius: int = RADIUS) -> Index:
+def build(ids: list[int | None], texts: list[str], radius: int = RADIUS) -> Index:
     grams, doc, _, weight = shingles(pa.array(texts, pa.string()))
     item, size, code, bags = [], [], [], []
     for i in np.unique(doc).tolist():
@@ -100,7 +107,12 @@ def build(ids: list[int], texts: list[str], radius: int = RADIUS) -> Index:
         for k in keys(code[of], radius):
             order = np.argsort(k, kind="stable")
             tables[n].append((k[order], of[order]))
-    return Index(np.array(item, np.int64), size, code, bags, np.unique(grams), sieve, tables)
+    held = np.concatenate([np.zeros(0, np.uint64), *(np.fromiter(bag, np.uint64, len(bag)) for bag in bags)])
+    owner = np.repeat(np.arange(len(bags)), [len(bag) for bag in bags])
+    order = np.argsort(held, kind="stable")
+    known, first = np.unique(held[order], return_index=True)
+    total = np.array([sum(bag.values()) for bag in bags], np.int64)
+    return Index(item, size, code, bags, known, owner[order], np.append(first, len(held)), total, sieve, tables)
 
 
 def near(index: Index, size: int, code: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,6 +165,24 @@ def search(index: Index, grams: np.ndarray, weight: np.ndarray, hit: np.ndarray,
     return best
 
 
+def search_whole(index: Index, grams: np.ndarray, weight: np.ndarray, hit: np.ndarray, similarity: float) -> dict[int, tuple[float, int, int, int]]:
+    """The whole document against the items with more shingles, as ``search`` gives it."""
+    total = int(weight.sum())
+    if weight[hit].sum() < similarity * total:
+        return {}
+    place = np.unique(np.searchsorted(index.known, grams[hit]))
+    items = np.unique(index.owner[ragged(index.owned[place + 1] - index.owned[place], index.owned[place])])
+    items = items[(index.size[items] > len(grams)) & (similarity * index.weight[items] <= total)]
+    out: dict[int, tuple[float, int, int, int]] = {}
+    if len(items):
+        code = codes(votes(grams, weight).sum(0)[None])[0]
+    for i in items.tolist():
+        score = overlap(index.grams[i], grams, weight)
+        if score >= similarity:
+            out[i] = (score, 0, len(grams), int(np.bitwise_count(code ^ index.code[i])))
+    return out
+
+
 def _search_task(shared, radius: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
@@ -178,6 +208,11 @@ def _search_task(shared, radius: int, similarity: float):
                     a, b = max(a, run_[0] - widest), min(b, run_[-1] + widest + 1)
                     found = search(index, grams[a:b], weight[a:b], hit[a:b], radius, similarity)
                     out += [(d, i, int(first[a + s]), size, score, apart) for i, (score, s, size, apart) in found.items()]
+                for d in np.unique(doc[at]).tolist():
+                    a, b = np.searchsorted(doc, d), np.searchsorted(doc, d, "right")
+                    if b - a < widest:
+                        found = search_whole(index, grams[a:b], weight[a:b], hit[a:b], similarity)
+                        out += [(d, i, 0, size, score, apart) for i, (score, _, size, apart) in found.items()]
                 best: dict[tuple[int, int], tuple] = {}
                 for d, i, s, size, score, apart in out:
                     if (d, i) not in best or score > best[d, i][2]:
@@ -185,7 +220,7 @@ def _search_task(shared, radius: int, similarity: float):
                 if best:
                     ids = rows.column("doc_id").to_pylist()
                     yield pa.RecordBatch.from_pylist(
-                        [{"doc_id": ids[d], "item_id": int(index.item[i]), "first_word": s, "n_words": size + SHINGLE - 1,
+                        [{"doc_id": ids[d], "item_id": index.item[i], "first_word": s, "n_words": size + SHINGLE - 1,
                           "similarity": score, "distance": apart} for (d, i), (s, size, score, apart) in best.items()],
                         schema=_HITS)
 
@@ -200,7 +235,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, si
                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, first_word, n_words, similarity, distance: every document's best window for every item it holds."""
     spark = docs.sparkSession
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
+    items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0]
     n_blocks = -(-(total or 0) // block_bytes)
     blocks = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n_blocks))))

@@ -227,6 +227,33 @@ def test_decontamination(spark, block_bytes):
     assert window_decontam.contaminated(documents(spark, docs), benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_of_short_documents_and_items_without_id(spark):
+    """Documents smaller than an item are compared whole; items without an id count by text."""
+    rng = np.random.default_rng(6)
+    items = [(1, " ".join(f"p{x}" for x in rng.integers(0, 900, 59))), (2, " ".join(f"q{x}" for x in rng.integers(0, 900, 59))),
+             (None, " ".join(f"r{x}" for x in range(25))), (None, " ".join(f"s{x}" for x in range(25))), (3, "one two three four five six")]
+    own = [t.split() for _, t in items]
+    docs = [(1, " ".join(own[0][:-2]), "en"), (2, " ".join(own[1][:30] + own[1][31:]), "en"), (3, " ".join(own[0][:40]), "en"),
+            (4, "before " + items[2][1] + " after", "en"), (5, " ".join(own[3][1:]), "en"), (6, "one two three four five", "en"),
+            (7, " ".join(own[1][3:-3]), "en"), (8, " ".join(own[0][:-2]) + " x y z", "en"), (9, items[2][1] + " then " + items[3][1], "en"), *TEXTS[:4]]
+    want = Counter()
+    for d, text, _ in docs:
+        w = tokens(text)
+        grams = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        for i, item in items:
+            v = tokens(item)
+            its = [tuple(v[k : k + 5]) for k in range(len(v) - 4)]
+            size = min(len(its), len(grams))
+            best = max((similarity(bag(grams[s : s + size]), bag(its)) for s in range(len(grams) - size + 1)), default=0)
+            want[d, i, round(best, 9)] += best >= 0.8
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = window_decontam.contaminated(documents(spark, docs), benchmark).collect()
+    assert Counter((r["doc_id"], r["item_id"], round(r["similarity"], 9)) for r in got) == +want
+    assert {(1, 1), (2, 2), (4, None), (5, None), (7, 2)} <= {(r["doc_id"], r["item_id"]) for r in got} and sum(want.values()) >= 8
+    row = next(r for r in got if r["doc_id"] == 1)
+    assert (row["first_word"], row["n_words"]) == (0, 57)
+
+
 def test_multi_index_finds_all_within_the_radius():
     rng = np.random.default_rng(1)
     index = window_decontam.build(list(range(50)), [" ".join(f"a{x}" for x in rng.integers(0, 99, 20)) for _ in range(50)])
