@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import cost_packing, ecoc_lang, elias_fano_lm, gray_simhash, hilbert, impact_topk, license_ngrams, line_chunks, window_decontam, word_aligned
+from . import cost_packing, ecoc_lang, elias_fano_lm, gray_simhash, hilbert, impact_topk, license_ngrams, line_chunks, resident_lloyd, window_decontam, word_aligned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +112,33 @@ def op2_license_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = license_ngrams.scan(docs, license_ngrams.fit(docs))
     return found.withColumn("probability", F.round("probability", 4)).withColumn("similarity", F.round("similarity", 4))
+
+
+@query
+def op13_resident_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of 16 parts for all vectors, by codebooks of 64 entries after two rounds."""
+    found = resident_lloyd.compress(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _lloyd_round(k: int) -> str:
+    """Assignment to the codebook ``c{k}``, and the codebook that follows from it."""
+    return f"""
+d{k} AS (SELECT vec_id, v.p, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+  FROM v JOIN c{k} ON c{k}.p = v.p),
+a{k} AS (SELECT vec_id, p, arg_min(e, d * 64 + e) AS e, min(d) AS d FROM d{k} GROUP BY vec_id, p),
+m{k} AS (SELECT p, e, list(m ORDER BY j) AS c FROM (SELECT a{k}.p, e, j, floor(sum(x[j])::DOUBLE / count(*))::BIGINT AS m
+  FROM a{k} JOIN v USING (vec_id, p), range(1, 5) t(j) GROUP BY a{k}.p, e, j) GROUP BY p, e),
+c{k + 1} AS (SELECT p, e, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (p, e))"""
+
+
+ORACLES["op13_resident_lloyd"] = f"""
+WITH kept AS (SELECT vec_id, label, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+v AS (SELECT vec_id, p, x[4 * p + 1 : 4 * p + 4] AS x FROM kept, range(16) t(p)),
+c0 AS (SELECT p, e, x AS c FROM v JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept
+  QUALIFY e < 64) USING (vec_id)),{_lloyd_round(0)},{_lloyd_round(1)},{_lloyd_round(2)},
+codes AS (SELECT vec_id, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM c2) AS codebooks_sha256
+FROM codes JOIN kept USING (vec_id)"""
