@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import cost_packing, ecoc_lang, elias_fano_lm, gray_simhash, hilbert, impact_topk, license_ngrams, line_chunks, resident_lloyd, window_decontam, word_aligned
+from . import cost_packing, ecoc_lang, elias_fano_lm, gray_simhash, hilbert, impact_topk, interval_align, license_ngrams, line_chunks, resident_lloyd, window_decontam, word_aligned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,6 +114,13 @@ def op2_license_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("probability", F.round("probability", 4)).withColumn("similarity", F.round("similarity", 4))
 
 
+@query
+def op11_interval_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens of two tokenizers aligned by their bytes."""
+    return interval_align.score(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op13_resident_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of 16 parts for all vectors, by codebooks of 64 entries after two rounds."""
