@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import cost_packing, ecoc_lang, elias_fano_lm, gray_simhash, hilbert, impact_topk, interval_align, license_ngrams, line_chunks, resident_lloyd, window_decontam, word_aligned
+from . import cost_packing, ecoc_lang, elias_fano_lm, gray_simhash, hilbert, impact_topk, interval_align, license_ngrams, line_chunks, line_crf, resident_lloyd, window_decontam, word_aligned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,6 +121,16 @@ def op11_interval_align(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op12_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from the labels of four fifths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))  # no id: no remainder
+    model = line_crf.fit(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
+    found = line_crf.predict(docs, model, keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op13_resident_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of 16 parts for all vectors, by codebooks of 64 entries after two rounds."""
