@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import numeric
-from ..operators import crf, metrics, represent
+from ..operators import crf, crf_long, metrics, represent
+from ..operators.ordered import dense_index
 from ..session import stored
 from . import inputs
 from .registry import registry
@@ -296,6 +297,93 @@ def crf_viterbi(spark, folder):
         "seq_id", F.array_join(path.cast("array<string>"), ",").alias("path"))
 
 
+# ---- one sequence of all vectors, and 133 labels ----
+
+LONG_SQL = EMISSIONS_SQL.replace("vec_id // 10 AS s, vec_id % 10 AS p", "0::BIGINT AS s, p").replace(
+    "FROM embeddings,", "FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS p FROM embeddings),")
+WIDE = 133
+WIDE_PARAMS = crf.CrfParams.of(
+    [[((3 * i + 5 * j) % 7 - 3) / 10.0 for j in range(WIDE)] for i in range(WIDE)],
+    [(i - 2) / 100.0 for i in range(WIDE)], [(2 - i) / 100.0 for i in range(WIDE)])
+WIDE_SQL = EMISSIONS_SQL.replace(f"range({K})", f"range({WIDE})").replace(
+    "embedding[j + 1]::DOUBLE AS x", "embedding[(j % 64)::INT + 1]::DOUBLE * (1 + j // 64) AS x")
+
+
+def _hundredths(sql):
+    return sql.replace("(j - 2) / 10.0", "(j - 2) / 100.0").replace("(2 - j) / 10.0", "(2 - j) / 100.0")
+
+
+def _long(spark, folder):
+    """All vectors in one sequence, in the order of their ids."""
+    rows = inputs.table(spark, folder, "embeddings").select(
+        "vec_id", F.lit(0).cast("long").alias("seq_id"), F.slice("embedding", 1, K).cast("array<double>").alias("vec"), F.col("label").cast("int").alias("tag"))
+    return dense_index(rows, "pos", ["vec_id"], ["seq_id"]).drop("vec_id")
+
+
+def _wide(spark, folder):
+    """Sequences of ten vectors; the 133 scores are the 64 dimensions once, twice and three times as large."""
+    vec = F.transform(F.sequence(F.lit(0), F.lit(WIDE - 1)), lambda j: F.element_at("embedding", j % 64 + 1).cast("double") * (1 + F.floor(j / 64)))
+    return inputs.table(spark, folder, "embeddings").select(
+        F.floor(F.col("vec_id") / 10).cast("bigint").alias("seq_id"), (F.col("vec_id") % 10).alias("pos"), vec.alias("vec"))
+
+
+def _stable(sql):
+    """Sums of exponentials taken from their greatest term, as the scores of a long sequence need it."""
+    lse = "list_max(l) + ln(list_sum(list_transform(l, lambda q: exp(q - list_max(l)))))"
+    forward = """SELECT e.s, e.p, e.j, any_value(e.x) + ln(sum(exp(al.v + tr.w)))
+  FROM al JOIN tr ON tr.i = al.j JOIN em e ON e.s = al.s AND e.p = al.p + 1 AND e.j = tr.j GROUP BY e.s, e.p, e.j"""
+    ends = """SELECT al.s, ln(sum(exp(v + (2 - j) / 10.0::DOUBLE))) AS log_z FROM al JOIN ends ON ends.s = al.s AND p = z
+  GROUP BY al.s"""
+    back = """SELECT e.s, e.p - 1, tr.i, ln(sum(exp(tr.w + e.x + bt.v)))
+  FROM bt JOIN em e ON e.s = bt.s AND e.p = bt.p AND e.j = bt.j JOIN tr ON tr.j = e.j WHERE e.p > 0
+  GROUP BY e.s, e.p, tr.i"""
+    for old, columns, plus in ((forward, "s, p, j", "x + "), (ends, "s", ""), (back, "s, p, i", "")):
+        inner = old.replace("any_value(e.x) + ", "any_value(e.x) AS x, ").replace(" AS log_z", "").replace("e.p - 1", "e.p - 1 AS p")
+        inner = inner.replace("ln(sum(exp(", "list(").replace(")))", ") AS l", 1) if old is not ends else inner.replace("ln(sum(exp(v + (2 - j) / 10.0::DOUBLE)))", "list(v + (2 - j) / 10.0::DOUBLE) AS l")
+        sql = sql.replace(old, f"SELECT {columns}, {plus}{lse}{' AS log_z' if old is ends else ''} FROM ({inner})")
+    return sql
+
+
+@query("crf_partition_long", f"""WITH RECURSIVE {LONG_SQL}, {_stable(PARTITION_SQL)}
+SELECT s AS seq_id, round(log_z, 4) AS log_z FROM logz""")
+def crf_partition_long(spark, folder):
+    return crf_long.log_partition(_long(spark, folder), PARAMS, ["seq_id"]).withColumn("log_z", F.round("log_z", 4))
+
+
+@query("crf_partition_wide", f"""WITH RECURSIVE {WIDE_SQL}, {_hundredths(PARTITION_SQL)}
+SELECT s AS seq_id, round(log_z, 4) AS log_z FROM logz""")
+def crf_partition_wide(spark, folder):
+    return crf_long.log_partition(_wide(spark, folder), WIDE_PARAMS, ["seq_id"]).withColumn("log_z", F.round("log_z", 4))
+
+
+VITERBI_SQL = """
+vit(s, p, j, v, path) AS (
+  SELECT s, p, j, x + (j - 2) / 10.0::DOUBLE, j::VARCHAR FROM em WHERE p = 0
+  UNION ALL
+  SELECT e.s, e.p, e.j, any_value(e.x) + max(vit.v + tr.w), arg_max(vit.path, vit.v + tr.w) || ',' || e.j
+  FROM vit JOIN tr ON tr.i = vit.j JOIN em e ON e.s = vit.s AND e.p = vit.p + 1 AND e.j = tr.j
+  GROUP BY e.s, e.p, e.j),
+best AS (SELECT vit.s, arg_max(path, v + (2 - j) / 10.0::DOUBLE) AS path FROM vit JOIN ends ON ends.s = vit.s AND p = z GROUP BY vit.s)
+SELECT s AS seq_id, generate_subscripts(string_split(path, ','), 1) - 1 AS pos, unnest(string_split(path, ','))::INT AS tag FROM best"""
+
+
+@query("crf_viterbi_long", f"WITH RECURSIVE {LONG_SQL}, {VITERBI_SQL}")
+def crf_viterbi_long(spark, folder):
+    return crf_long.viterbi(_long(spark, folder), PARAMS, ["seq_id"])
+
+
+@query("crf_viterbi_wide", f"WITH RECURSIVE {WIDE_SQL}, {_hundredths(VITERBI_SQL)}")
+def crf_viterbi_wide(spark, folder):
+    return crf_long.viterbi(_wide(spark, folder), WIDE_PARAMS, ["seq_id"])
+
+
+@query("crf_gradient_long", f"""WITH RECURSIVE {LONG_SQL},{PATH_SQL}, {_stable(GRADIENT_SQL)}
+SELECT slot::INT AS slot, round(sum(v), 4) + 0.0::DOUBLE AS value FROM parts GROUP BY slot""")
+def crf_gradient_long(spark, folder):
+    found = crf_long.gradient(_long(spark, folder), PARAMS, ["seq_id"])
+    return found.select("slot", (F.round("value", 4) + F.lit(0.0)).alias("value"))
+
+
 @query("crf_fit")
 def crf_fit(spark, folder):
     """Mean negative log-likelihood before each of six gradient steps over all sequences."""
