@@ -12,7 +12,8 @@ number, so a task sees one pair of blocks. Each pair returns at most k rows per
 
 Cases: vectors that are null or hold a null or non-finite component take no part; vectors of another length than the
 first one's raise; equal vectors are separate candidates (ties by id); fewer candidates than k give all; a null id takes
-no part; an empty table gives no row. Other columns are ignored.
+no part; an empty table gives no row. Rows that share an id are rows of their own: each is a candidate of the others, and
+each that asks is a query with ranks of its own, so that its id has several rankings. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -99,21 +100,22 @@ class BlockIndex:
 
 def _pair(k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
+        pdf = pdf.sort_values(["id", "row"], kind="stable")
         here, asked = pdf[~pdf["is_query"]], pdf[pdf["is_query"]]
-        query, vec, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        query, row, vec, score = ([np.zeros(0, np.int64)] for _ in range(4))
         if len(here) and len(asked):
-            ids, asks = here["id"].to_numpy(np.int64), asked["id"].to_numpy(np.int64)
+            ids, asks, rows = here["id"].to_numpy(np.int64), asked["id"].to_numpy(np.int64), asked["row"].to_numpy(np.int64)
+            place = pd.Series(np.arange(len(here)), here["row"].to_numpy(np.int64))
             index = BlockIndex(np.stack(here["vector"].to_numpy()).astype(np.int64))
             wanted = np.stack(asked["vector"].to_numpy()).astype(np.int64)
-            at = np.minimum(np.searchsorted(ids, asks), len(ids) - 1)
-            skip = np.where(ids[at] == asks, at, -1)
+            skip = place.reindex(rows, fill_value=-1).to_numpy()
             for a in range(0, len(asks), RUN):
-                for q, (found, points) in zip(asks[a : a + RUN], index.top(wanted[a : a + RUN], k, skip[a : a + RUN]), strict=True):
+                for q, r, (found, points) in zip(asks[a : a + RUN], rows[a : a + RUN], index.top(wanted[a : a + RUN], k, skip[a : a + RUN]), strict=True):
                     query.append(np.full(len(found), q))
+                    row.append(np.full(len(found), r))
                     vec.append(ids[found])
                     score.append(points)
-        return pd.DataFrame({"query_id": np.concatenate(query), "vec_id": np.concatenate(vec), "score": np.concatenate(score)})
+        return pd.DataFrame({"query_id": np.concatenate(query), "row": np.concatenate(row), "vec_id": np.concatenate(vec), "score": np.concatenate(score)})
 
     return run
 
@@ -121,7 +123,7 @@ def _pair(k: int):
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: for every query row its k best other rows. ``vectors``: id, vector (array<long>)."""
     clean = stored(vectors.where(F.col("id").isNotNull() & F.col("vector").isNotNull())
-                   .select(F.col("id").cast("long").alias("id"), "vector", is_query.alias("asks")), "vectors")
+                   .select(F.monotonically_increasing_id().alias("row"), F.col("id").cast("long").alias("id"), "vector", is_query.alias("asks")), "vectors")
     n, n_queries = clean.agg(F.count("*"), F.count(F.when(F.col("asks"), 1))).first()
     c_blocks, q_blocks = max(1, -(-n // candidates)), max(1, -(-n_queries // queries))
     def block(n_blocks: int) -> Column:
@@ -130,9 +132,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, candidates: int = CA
     def every(n_blocks: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
 
-    here = clean.select("id", "vector", F.lit(False).alias("is_query"), block(c_blocks).alias("c"), every(q_blocks).alias("q"))
-    asked = clean.where("asks").select("id", "vector", F.lit(True).alias("is_query"), every(c_blocks).alias("c"), block(q_blocks).alias("q"))
+    here = clean.select("row", "id", "vector", F.lit(False).alias("is_query"), block(c_blocks).alias("c"), every(q_blocks).alias("q"))
+    asked = clean.where("asks").select("row", "id", "vector", F.lit(True).alias("is_query"), every(c_blocks).alias("c"), block(q_blocks).alias("q"))
     sides = here.unionAll(asked)
-    found = sides.groupBy("c", "q").applyInPandas(_pair(k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = sides.groupBy("c", "q").applyInPandas(_pair(k), "query_id long, row long, vec_id long, score long")
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -281,3 +281,12 @@ def test_top_k(spark, candidates):
     assert impact_topk.top_k(vectors.limit(0), F.col("id") % 20 == 0).count() == 0
     alone = impact_topk.top_k(vectors.where("id in (0, 3)"), F.col("id") % 20 == 0).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in alone] == [(0, 1, 3)]
+
+
+def test_rows_that_share_an_id_are_rows_of_their_own(spark):
+    """Two vectors of id 20: each is the other's candidate, no row is its own, and each has its ranking."""
+    rows = [(20, [9, 0]), (20, [0, 9]), (21, [1, 1]), (22, [5, 0])]
+    df = spark.createDataFrame(rows, "id long, vector array<long>")
+    for candidates in (2, 8192):
+        got = sorted(map(tuple, impact_topk.top_k(df, F.col("id") == 20, candidates=candidates, k=3).collect()))
+        assert got == sorted([(20, 1, 22, 45), (20, 2, 21, 9), (20, 3, 20, 0), (20, 1, 21, 9), (20, 2, 20, 0), (20, 3, 22, 0)])
