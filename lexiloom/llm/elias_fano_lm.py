@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .texts import U64, bytes_of, counts, pieces, words
+from .texts import U64, bytes_of, counts, pieces, returned, words
 
 END = U64(0x5D1E9C7B3A482F61)
 MU = 20.0
@@ -47,6 +47,8 @@ HEAVY = 2000
 SHARD_TOKENS = 2_000_000
 #: distinct words that a task gathers before it hands them on
 GATHERED = 1_500_000
+#: texts of a run: their numbers have 16 bits
+RUN_ROWS = 1 << 16
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,7 +238,7 @@ def _shard_counts(table: pa.Table) -> pa.Table:
 def count_words(training: DataFrame, n_shards: int) -> tuple[DataFrame, Totals]:
     """Sorted word hashes and counts per shard, and the corpus's totals."""
     plain = training.select(F.col("text").cast("string").alias("text"))
-    parts = plain.mapInArrow(_count_task(n_shards), "shard int, words binary, n binary")
+    parts = plain.mapInArrow(returned(_count_task(n_shards)), "shard int, words binary, n binary")
     unigrams = stored(parts.groupBy("shard").applyInArrow(_shard_counts, UNIGRAMS), "unigrams")
     row = unigrams.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "once", "twice", "ends"))).first()
     heavy = (unigrams.select(F.explode("large").alias("x")).select("x.*")
@@ -274,7 +276,7 @@ def _event_task(n_shards: int, shared):
         heavy = shared.value.heavy
         base, number = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for rows in pieces(batch):
+            for rows in pieces(batch, rows=RUN_ROWS):
                 train = rows.column("train").to_numpy(zero_copy_only=False)
                 order = np.argsort(~train, kind="stable")  # training texts first
                 rows = rows.take(pa.array(order))
@@ -409,7 +411,7 @@ def score(docs: DataFrame, training: Column, mu: float = MU, shard_tokens: int =
     n_shards = max(1, -(-size // (6 * shard_tokens)))  # about six bytes a token
     unigrams, totals = count_words(plain.where("train"), n_shards)
     shared = docs.sparkSession.sparkContext.broadcast(totals)
-    events = plain.mapInArrow(_event_task(n_shards, shared), EVENTS)
+    events = plain.mapInArrow(returned(_event_task(n_shards, shared)), EVENTS)
     sums = events.groupBy("shard").cogroup(unigrams.select("shard", "words", "n").groupBy("shard")).applyInArrow(_score_task(shared, mu), SUMS)
     found = sums.groupBy("piece").applyInArrow(_gather, SCORES)
     whole = np.log10(totals.tokens + 0.1 * (totals.types + 1))

@@ -7,7 +7,9 @@ word. Long texts are read in segments cut at white space: only the word arrays g
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -45,6 +47,24 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> U64(32))
 
 
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def returned(task: Task) -> Task:
+    """A task that gives the memory it has freed back to the system when it ends: its Python process serves later tasks too."""
+    @functools.wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 class Words(NamedTuple):
     """One entry per word: hash, index of its text, first byte and the byte after its last."""
 
@@ -68,8 +88,8 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Runs of a batch's rows with about ``limit`` bytes of text each (a longer text is a run of its own)."""
+def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 20, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows with about ``limit`` bytes of text each (a longer text is a run of its own), and at most ``rows`` rows."""
     n = batch.num_rows
     if n == 0:
         return
@@ -77,6 +97,7 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 20) ->
     at = 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
+        to = to if rows is None else min(to, at + rows)
         yield batch.slice(at, to - at)
         at = to
 

@@ -146,3 +146,15 @@ def test_scores_without_training_or_texts(spark):
     none = elias_fano_lm.score(documents(spark), F.lit(False)).collect()
     assert len(none) == len(TEXTS) and all(r["score"] is None and r["base_score"] is None and r["n_known"] == 0 for r in none)
     assert elias_fano_lm.score(documents(spark, []), F.lit(True)).count() == 0
+
+
+def test_many_short_texts_in_one_batch(spark):
+    """More texts in an Arrow batch than 16 bits can number."""
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "0")
+    try:
+        docs = spark.range(140_000, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit("word").alias("text"))
+        found = elias_fano_lm.score(docs, F.col("doc_id") % 2 == 0).agg(F.count("*"), F.min("n_known"), F.max("n_known"), F.min("n_tokens"), F.max("n_tokens")).first()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert tuple(found) == (140_000, 2, 2, 2, 2)
