@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .texts import bytes_of, pieces
+from .texts import bytes_of, pieces, returned
 
 FIT_ROWS = 20_000
 PAIRS = TRIPLES = 1 << 16
@@ -108,7 +108,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         share = F.create_map(*[F.lit(x) for name in langs for x in (name, min(1.0, fit_rows / sizes[name]))])[F.col("lang")]
         # equal texts are drawn one by one: the draw also depends on the row's place
         draw = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 30)) / (1 << 30)
-        counts = (rows.where(draw < share).mapInArrow(_count, "lang string, feature int, n long")
+        counts = (rows.where(draw < share).mapInArrow(returned(_count), "lang string, feature int, n long")
                   .groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas())
     p = np.full((len(langs), FEATURES), SMOOTH)
     if langs:
@@ -190,4 +190,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
                            T.StructField("ambiguous", T.BooleanType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # features x bits: fixed by the number of languages
-    return kept.mapInArrow(_with_columns(_predict_task(shared), set(kept.columns)), schema)
+    return kept.mapInArrow(returned(_with_columns(_predict_task(shared), set(kept.columns))), schema)

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stored
-from .texts import mix, pieces
+from .texts import mix, pieces, returned
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 SPLIT = 1 << 16
@@ -170,7 +170,7 @@ def with_fingerprint(docs: DataFrame, width: int = SHINGLE, seed: int = SEED, wo
     plain = docs.drop(*names).withColumn("text", F.col("text").cast("string"))
     fields = [f for f in plain.schema.fields if f.name != "text"]
     schema = T.StructType([*fields, *(T.StructField(name, T.LongType()) for name in names)])
-    return plain.mapInArrow((_set_fingerprint_task if sets else _fingerprint_task)(width, seed, words), schema)
+    return plain.mapInArrow(returned((_set_fingerprint_task if sets else _fingerprint_task)(width, seed, words)), schema)
 
 
 # ---- buckets
@@ -369,7 +369,7 @@ def links(codes: DataFrame, words: int = 1, radius: int = RADIUS, limit: int | N
               .select(*kept, "t", "key", F.explode(F.coalesce("again", whole)).alias("mask"))
               .select(F.xxhash64("t", "key", "mask", masked).alias("bucket"), *kept))
     in_order = placed.repartition("bucket").sortWithinPartitions("bucket", gray_rank(F.col("fp")))
-    return in_order.mapInArrow(_link_task(words, limit, every), "a long, b long").distinct()
+    return in_order.mapInArrow(returned(_link_task(words, limit, every)), "a long, b long").distinct()
 
 
 # ---- verified links
@@ -399,7 +399,7 @@ def verified_links(plain: DataFrame, prints: DataFrame, codes: DataFrame, width:
     ids = met.select(F.col("a").alias("v")).unionAll(met.select(F.col("b").alias("v"))).distinct()
     holders = prints.groupBy("v").agg(F.min("_at").alias("_at")).join(ids, "v")
     texts = plain.select("_at", "text").join(holders, "_at").dropDuplicates(["v"]).select("v", "text")
-    sets = stored(texts.mapInArrow(_shingle_set_task(width, seed), "v long, grams array<long>"), "sets")
+    sets = stored(texts.mapInArrow(returned(_shingle_set_task(width, seed)), "v long, grams array<long>"), "sets")
     good = stored(similar(met, sets, similarity), "similar")
     loose = None
     for every in (False, True):

@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .texts import bytes_of, counts, pieces, ragged
-from .tokens import Encoder, _keys, _Known
+from .texts import bytes_of, counts, pieces, ragged, returned
+from .tokens import KEPT, Encoder, _keys, _Known
 
 RUN = 1 << 20
 #: pairs whose counts are broadcast: 16 bytes each
@@ -76,7 +76,7 @@ class ByteLevel(Encoder):
 class Pieces:
     """A piece model with byte fallback. Words between single spaces are encoded once, if no piece runs over a space."""
 
-    def __init__(self, path: str, kept: int = 1_000_000):
+    def __init__(self, path: str, kept: int = KEPT):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -103,7 +103,7 @@ class Pieces:
             lists = pc.split_pattern(cut, " ")
             off = lists.offsets.to_numpy().astype(np.int64)
             coded = lists.flatten().dictionary_encode()
-            if len(self.known.key) > self.kept:
+            if self.known.size_in_bytes() > self.kept:
                 self.known = _Known()
             keys = _keys(coded.dictionary, True)
             new = self.known.find(keys) < 0
@@ -236,7 +236,7 @@ def _align_task(path_a: str, path_b: str):
                      pa.array(found["groups_sha256"], pa.string()), found["pairs"], found["times"]],
                     names=["rid", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
 
-    return run
+    return returned(run)
 
 
 def _merged(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

@@ -8,6 +8,8 @@ The ids equal those of ``Tokenizer.encode(text, add_special_tokens=False)``.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,20 +17,25 @@ import pyarrow.compute as pc
 
 from .texts import U64, bytes_of, mix, ragged, string_hashes
 
-#: pieces kept by one process (about 30 bytes each); beyond that it starts anew
-KEPT = 2_000_000
+#: bytes of pieces and their ids that an encoder keeps; beyond that it starts anew
+KEPT = 48 << 20
 MARKS = frozenset(".,;:!?")
 #: white space, a space, then white space, the end or a special token: a cut at that space may differ
 UNSAFE = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}] ([\s\p{Z}\x{85}\x{1c}-\x{1f}<]|$)"
 SPACED = U64(0xA0761D6478BD642F)
-_open: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str, spaceless: bool) -> Encoder:
-    """The process's encoder for a file. ``spaceless``: the tokenizer drops white space and lower-cases."""
-    if (path, spaceless) not in _open:
-        _open[path, spaceless] = Encoder(path, spaceless)
-    return _open[path, spaceless]
+@contextmanager
+def encoder(path: str, spaceless: bool) -> Iterator[Encoder]:
+    """A task's encoder for a file. ``spaceless``: the tokenizer drops white space and lower-cases.
+
+    It goes with the task: opening takes a fifth of a second, and a process that kept it would hold some 200 MB for ever.
+    """
+    opened = Encoder(path, spaceless)
+    try:
+        yield opened
+    finally:
+        opened.close()
 
 
 class _Known:
@@ -39,6 +46,9 @@ class _Known:
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.uint32)
 
+    def size_in_bytes(self) -> int:
+        return self.key.nbytes + self.start.nbytes + self.size.nbytes + self.pool.nbytes
+
     def find(self, key: np.ndarray) -> np.ndarray:
         """The entry of every key, or -1."""
         if not len(self.key):
@@ -71,6 +81,10 @@ class Encoder:
         self.tokenizer, self.spaceless, self.kept = Tokenizer.from_file(path), spaceless, kept
         self.known = _Known()
 
+    def close(self) -> None:
+        """Let go of the tokenizer and the pieces."""
+        self.tokenizer, self.known = None, _Known()
+
     def _raw(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         flat: list[int] = []
         size = []
@@ -140,7 +154,7 @@ class Encoder:
             codes[off[:-1]] = first.indices.to_numpy() + len(pieces)
             spaced = np.arange(len(pieces) + len(first.dictionary)) < len(pieces)
             pieces = pa.concat_arrays([pieces, first.dictionary])
-        if len(self.known.key) > self.kept:
+        if self.known.size_in_bytes() > self.kept:
             self.known = _Known()
         keys = _keys(pieces, spaced)
         new = self.known.find(keys) < 0

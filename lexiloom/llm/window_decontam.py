@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import U64, bytes_of, ngrams, pieces, ragged, words
+from .texts import U64, bytes_of, ngrams, pieces, ragged, returned, words
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 15
 BLOCK_BYTES = 8 << 20
@@ -246,5 +246,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, si
         index = build([r["item_id"] for r in rows], [r["text"] for r in rows], radius)
         if len(index.item):
             shared = spark.sparkContext.broadcast(index)
-            passes.append(plain.mapInArrow(_search_task(shared, radius, similarity), HITS))
+            passes.append(plain.mapInArrow(returned(_search_task(shared, radius, similarity)), HITS))
     return reduce(DataFrame.unionAll, passes) if passes else spark.createDataFrame([], HITS)

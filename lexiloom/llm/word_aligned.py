@@ -26,8 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .texts import pieces, ragged
-from .tokens import encoder
+from .texts import pieces, ragged, returned
+from .tokens import Encoder, encoder
 
 #: fixed values of the code: ids per word for selectors 0 to 13, and the bits of each
 PER_WORD = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -135,7 +135,10 @@ def decode(segment: bytes, from_block: int = 0, to_block: int | None = None) ->
 
 def _encode_task(path: str, spaceless: bool, end_id: int, segment_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path, spaceless)
+        with encoder(path, spaceless) as coder:
+            yield from segments(batches, coder)
+
+    def segments(batches: Iterator[pa.RecordBatch], coder: Encoder) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, list]] = []
         seq = before = n_held = 0
         part = 0
@@ -163,7 +166,7 @@ def _encode_task(path: str, spaceless: bool, end_id: int, segment_ids: int):
         if held:
             yield segment()
 
-    return run
+    return returned(run)
 
 
 SCHEMA = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()),
@@ -175,7 +178,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, spaceless:
           segment_ids: int = SEGMENT_IDS) -> None:
     """Encode all texts and write the coded segments to ``path``, in ascending ``doc_id`` order over its parts."""
     ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-               .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+               .withColumn("row", F.monotonically_increasing_id())  # rows of one id, and equal rows, spread over tasks too
+               .repartitionByRange("doc_id", F.xxhash64("text"), "row").sortWithinPartitions("doc_id", F.xxhash64("text"), "row")
                .select("doc_id", "text", F.spark_partition_id().alias("part")))
     coded = ordered.mapInArrow(_encode_task(tokenizer, spaceless, end_id, segment_ids), SEGMENTS)
     coded.write.option("compression", "uncompressed").parquet(path)

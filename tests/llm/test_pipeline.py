@@ -65,6 +65,26 @@ def test_decontamination_takes_rows_not_ids(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == {rows[k] for k in (0, 2, 5, 6)} and got.count() == 4
 
 
+CLASHES = ("_doc", "_key", "_chunks", "_text_key", "_row", "key", "row", "rest", "fp", "v", "component", "removed", "a.b")
+
+
+def test_columns_of_any_name_pass_all_stages(spark, tmp_path):
+    rows = [(i, f"text number {i} " + " ".join(f"w{i}x{k}" for k in range(30)) + "\n" + PASSAGE, "en", *[f"{c}{i}" for c in CLASHES]) for i in range(4)]
+    rows += [(3, rows[3][1], "en", *["zz"] * len(CLASHES))]
+    names = ["doc_id", "text", "lang", *[c for c in CLASHES if c not in ("a.b", "removed")]]
+    docs = spark.createDataFrame([r[: len(names)] for r in rows], ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in names))
+    spark.createDataFrame([(1, " ".join(f"item{k}" for k in range(20)))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = str(tmp_path / name)
+        stage(spark, docs, str(tmp_path)).write.parquet(out)
+        docs = spark.read.parquet(out)
+        assert docs.columns == names
+    got = {r["doc_id"]: r for r in docs.collect()}
+    assert len(got) == docs.count() == 4
+    for i in range(4):  # of the two rows of id 3 the first by its other columns stays
+        assert [got[i][c] for c in names[3:]] == [f"{c}{i}" for c in names[3:]]
+
+
 @pytest.mark.parametrize("rows", [TEXTS, []])
 def test_awkward_and_empty_tables(spark, tmp_path, rows):
     d = folder_of(spark, tmp_path, rows, [])
