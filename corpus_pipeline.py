@@ -9,8 +9,8 @@ and hands it to the next. All but the last return the columns of documents.
 4. decontamination: documents that hold a passage of the benchmark go.
 5. packing: token sequences of balanced cost.
 
-Every stage keeps rows as they are unless its own decision removes them: null columns, equal rows and other columns
-pass. A null text has no language and goes at the first stage. Empty tables pass all stages.
+Every stage keeps rows as they are unless its own decision removes them: null columns, equal rows and other columns,
+whatever their names, pass. A null text has no language and goes at the first stage. Empty tables pass all stages.
 """
 
 from __future__ import annotations
@@ -44,21 +44,28 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Every row whole, as one column, with its id, its text and a key of the two: no other column's name can clash."""
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the smallest id; of equal rows one."""
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    groups = gray_simhash.near_duplicates(keyed, **NEAR, carry=("_row",))
-    first = F.min_by("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    staying = groups.groupBy("component").agg(first.alias("_row")).select("_row")
-    return keyed.join(staying, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    """One document of each group of near copies: the smallest id; of rows with its id and text the first by the other columns."""
+    keyed = _keyed(docs)
+    groups = gray_simhash.near_duplicates(keyed.select("doc_id", "text", "key"), **NEAR, carry=("key",))
+    first = F.min_by("key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    staying = groups.groupBy("component").agg(first.alias("key")).select("key")
+    others = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    kept = keyed.join(staying, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.to_json(F.struct(*others)) if others else F.lit("")).alias("row"))
+    return kept.select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    found = window_decontam.contaminated(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark)
-    return keyed.join(found.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(*docs.columns)
+    keyed = _keyed(docs)
+    found = window_decontam.contaminated(keyed.select(F.col("key").alias("doc_id"), "text"), benchmark)
+    return keyed.join(found.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
