@@ -414,6 +414,33 @@ def tagged_file_round_trip(spark, folder):
     return back.select("place", F.array_join("tokens", " ").alias("tokens"), F.array_join("tags", " ").alias("tags"))
 
 
+MARKED_SQL = SENT_LISTS_SQL.replace("list(tok ORDER BY pos)", "list(CASE WHEN pos % 5 = 1 THEN chr(1) || tok ELSE tok END ORDER BY pos)")
+
+
+@query("tagged_crlf", f"""WITH {SENTENCES_SQL}, {MARKED_SQL}
+SELECT row_number() OVER (ORDER BY doc_id, sent) - 1 AS place, array_to_string(toks, ' ') AS tokens,
+  array_to_string(gold, ' ') AS tags FROM sents""")
+def tagged_crlf(spark, folder):
+    """As above, with CR LF line ends, white space on blank lines and control characters in tokens."""
+    path = shared_dir(spark, "tagged-text")
+    sentences = inputs.tagged_sentences(spark, folder).withColumn(
+        "tokens", F.transform("tokens", lambda t, i: F.when(i % 5 == 1, F.concat(F.lit("\u0001"), t)).otherwise(t)))
+    tagged.write_sentences(sentences, tagged.tagged_text(F.col("tokens"), F.col("gold")), path, ["doc_id", "sent"], "\r\n", " \t")
+    rows = tagged.read_tagged(spark, path).withColumn("run", F.shiftright("sent_id", 12))
+    back = dense_index(rows, "place", ["file", "sent_id"], bucket=["file", "run"])
+    return back.select("place", F.array_join("tokens", " ").alias("tokens"), F.array_join("tags", " ").alias("tags"))
+
+
+@query("prediction_crlf", f"""WITH {SENTENCES_SQL}, {counts_sql('doc_id, sent', 'pos')}
+SELECT {COUNTS}, {PRF_SQL} FROM counts""")
+def prediction_crlf(spark, folder):
+    """Predictions with CR LF line ends and white space on blank lines, read back and scored."""
+    path = shared_dir(spark, "predictions")
+    text = tagged.prediction_text(F.col("tokens"), F.col("gold"), F.col("pred"))
+    tagged.write_sentences(inputs.tagged_sentences(spark, folder), text, path, ["doc_id", "sent"], "\r\n", "  ")
+    return metrics.with_prf(spans.chunk_counts(tagged.read_predictions(spark, path)), digits=4)
+
+
 @query("prediction_file_eval", f"""WITH {SENTENCES_SQL}, {counts_sql('doc_id, sent', 'pos')}
 SELECT {COUNTS}, {PRF_SQL} FROM counts""")
 def prediction_file_eval(spark, folder):

@@ -1,21 +1,25 @@
 """Blank-line separated tagged text: reader, evaluation file, prediction writer.
 
-A file is read with two newlines as the record separator, so one record is about one sentence and files are
-split between tasks. A blank line that holds white space does not separate records; records are therefore cut
-again at such lines. Files with other line ends can name their own separator.
+Files are read line by line, by Spark's own reader: LF, CR LF and CR all end a line, and a file of any size is split
+between tasks. A task gathers the lines of its byte range into sentences as they come. Only what touches the ends of a
+range is not whole yet: one piece before the range's first blank line and one after its last, which meet their
+neighbours on rows of (file, range). A line of white space is a blank line.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import UNICODE_SPACE, is_blank
+from ..functions.text import UNICODE_SPACE
 from ..operators.ordered import dense_index
+from ..session import stored
 
-MARK = "\u0001"
 _EDGE_SPACE = f"^[{UNICODE_SPACE}]+|[{UNICODE_SPACE}]+\\z"
 
 
@@ -24,60 +28,72 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, _EDGE_SPACE, "")
 
 
-def _records(spark: SparkSession, path: str | Sequence[str], separator: str) -> DataFrame:
-    return (spark.read.option("lineSep", separator).text(path)
-            .select("value", F.col("_metadata.file_path").alias("file"),
-                    F.col("_metadata.file_block_start").alias("block"),
-                    F.monotonically_increasing_id().alias("record")))
-
-
-def _last_line_blank(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """``(file, closed)``: whether the file's last line is blank, so its last sentence is closed."""
-    lines = _records(spark, path, "\n")
-    return lines.groupBy("file").agg(
-        F.max_by(is_blank(F.col("value")), F.struct("block", "record")).alias("closed"))
-
-
-def _groups(record: Column) -> Column:
-    """Lines of a record, stripped and cut into sentences at blank lines: ``array<array<string>>``.
-
-    Blank lines become a mark, and the joined lines are split at the marks.
-    """
-    body = F.regexp_replace(record, "\\n\\z", "")
-    lines = F.transform(F.split(body, "\\n"), strip)
-    marked = F.array_join(F.transform(lines, lambda x: F.when(x == "", F.lit(MARK)).otherwise(x)), "\n")
-    return F.transform(F.split(marked, f"\\n?{MARK}\\n?"),
-                       lambda g: F.when(g == "", F.array().cast("array<string>")).otherwise(F.split(g, "\\n")))
-
-
-def _sentence_lines(spark: SparkSession, path: str | Sequence[str], separator: str,
-                    strict_tail: bool) -> DataFrame:
-    """``(file, block, record, part, lines)`` in file order; a missing final blank line handled as asked."""
-    rows = _records(spark, path, separator)
-    last = (rows.groupBy("file").agg(F.max(F.struct("block", "record")).alias("__l"))
-            .select(F.col("file"), F.col("__l.block").alias("block"), F.col("__l.record").alias("record"),
-                    F.lit(True).alias("__last")))
-    cut = (rows.withColumn("__g", _groups(F.col("value")))
-           .select("file", "block", "record", (F.size("__g") - 1).alias("__end"),
-                   F.posexplode_outer("__g").alias("part", "lines")))
-    cut = cut.join(last, ["file", "block", "record"], "left")
-    tail = F.coalesce("__last", F.lit(False)) & (F.col("part") == F.col("__end"))
-    if strict_tail:
-        cut = cut.join(_last_line_blank(spark, path), "file", "left")
-        keep = ~tail | (F.col("closed") & (F.size("lines") > 0))
-    else:
-        keep = ~tail | (F.size("lines") > 0)
-    return cut.where(keep).select("file", "block", "record", "part", "lines")
-
-
-def read_tagged(spark: SparkSession, path: str | Sequence[str], strict_tail: bool = False,
-                separator: str = "\n\n") -> DataFrame:
+PIECES = "file string, block long, part long, lines array<string>, closed boolean"
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of lines between blank lines, by byte range. The last one of a range is open: what follows it lies elsewhere."""
+    key: tuple[str, int] | None = None
+    held: list[pa.Array] = []
+    part = 0
+
+    def rows(values: list[pa.Array], offsets: np.ndarray, closed: bool) -> pa.RecordBatch:
+        flat = pa.concat_arrays(values) if values else pa.array([], pa.string())
+        n = len(offsets) - 1
+        return pa.RecordBatch.from_arrays(
+            [pa.array([key[0]] * n), pa.array([key[1]] * n, pa.int64()), pa.array(np.arange(part, part + n)),
+             pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat), pa.array([closed] * n)],
+            names=["file", "block", "part", "lines", "closed"])
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        line, file, block = (batch.column(c) for c in ("line", "file", "block"))
+        other = pc.or_(pc.not_equal(file.slice(1), file.slice(0, n - 1)), pc.not_equal(block.slice(1), block.slice(0, n - 1)))
+        begin = [0, *(np.flatnonzero(other.to_numpy(zero_copy_only=False)) + 1).tolist(), n]
+        for a, b in zip(begin[:-1], begin[1:]):
+            here = (file[a].as_py(), block[a].as_py())
+            if here != key:
+                if key is not None:
+                    yield rows(held, np.array([0, sum(map(len, held))]), False)
+                key, held, part = here, [], 0
+            values = line.slice(a, b - a)
+            solid = pc.greater(pc.binary_length(values), 0)
+            ends = np.flatnonzero(~solid.to_numpy(zero_copy_only=False))
+            kept = values.filter(solid)
+            if not len(ends):
+                held.append(kept)
+                continue
+            stop = ends - np.arange(len(ends))  # solid lines before each blank one
+            before = sum(map(len, held))
+            yield rows([*held, kept.slice(0, stop[-1])], np.concatenate([[0], before + stop]), True)
+            held, part = [kept.slice(stop[-1])], part + len(ends)
+    if key is not None:
+        yield rows(held, np.array([0, sum(map(len, held))]), False)
+
+
+def _sentence_lines(spark: SparkSession, path: str | Sequence[str], strict_tail: bool) -> DataFrame:
+    """``(file, block, part, lines)`` in file order; a missing final blank line handled as asked."""
+    lines = spark.read.text(path).select(
+        strip(F.col("value")).alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    pieces = stored(lines.mapInArrow(_pieces, PIECES), "sentence-pieces")
+    border = (F.col("part") == 0) | ~F.col("closed")
+    before = Window.partitionBy("file").orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = pieces.where(border).withColumn("run", F.coalesce(F.count_if("closed").over(before), F.lit(0)))  # two rows per byte range
+    met = (ranges.groupBy("file", "run").agg(F.sort_array(F.collect_list(F.struct("block", "part", "lines"))).alias("p"), F.bool_or("closed").alias("closed"))
+           .select("file", F.col("p")[0]["block"].alias("block"), F.col("p")[0]["part"].alias("part"), F.flatten("p.lines").alias("lines"), "closed"))
+    kept = F.col("closed") if strict_tail else F.col("closed") | (F.size("lines") > 0)
+    return pieces.where(~border).unionByName(met.where(kept)).select("file", "block", "part", "lines")
+
+
+def read_tagged(spark: SparkSession, path: str | Sequence[str], strict_tail: bool = False) -> DataFrame:
     """``(file, sent_id, tokens, tags)`` of ``word<TAB>tag`` lines; ``sent_id`` is dense within a file.
 
     Consecutive blank lines give empty sentences. A line without exactly one tab raises. The last sentence
     is kept without a blank line after it; ``strict_tail=True`` loses it, as line-driven readers do.
     """
-    rows = _sentence_lines(spark, path, separator, strict_tail)
+    rows = _sentence_lines(spark, path, strict_tail)
 
     def halves(line: Column) -> Column:
         cells = F.split(line, "\\t")
@@ -85,20 +101,19 @@ def read_tagged(spark: SparkSession, path: str | Sequence[str], strict_tail: boo
             F.raise_error(F.concat(F.lit("not word<TAB>tag: "), line)).cast("array<string>"))
 
     parsed = rows.withColumn("__c", F.transform("lines", halves))
-    sentences = parsed.select("file", "block", "record", "part",
+    sentences = parsed.select("file", "block", "part",
                               F.transform("__c", lambda c: c[0]).alias("tokens"),
                               F.transform("__c", lambda c: c[1]).alias("tags"))
-    numbered = dense_index(sentences, "sent_id", ["record", "part"], ["file"], bucket=["block"])
+    numbered = dense_index(sentences, "sent_id", ["part"], ["file"], bucket=["block"])
     return numbered.select("file", "sent_id", "tokens", "tags")
 
 
-def read_predictions(spark: SparkSession, path: str | Sequence[str], separator: str = "\n\n",
-                     reject: bool = False) -> DataFrame:
+def read_predictions(spark: SparkSession, path: str | Sequence[str], reject: bool = False) -> DataFrame:
     """``(file, sent_id, gold, pred)`` from white-space columns; the last two are gold and prediction.
 
     A line with fewer than three columns raises; with ``reject`` it is left out and counted in ``rejected``.
     """
-    rows = _sentence_lines(spark, path, separator, False)
+    rows = _sentence_lines(spark, path, False)
     split = rows.withColumn("__c", F.transform("lines", lambda x: F.split(x, f"[{UNICODE_SPACE}]+")))
     if reject:
         split = split.withColumns({
@@ -109,10 +124,10 @@ def read_predictions(spark: SparkSession, path: str | Sequence[str], separator:
             F.raise_error(F.concat(F.lit("too few columns in line "), F.array_join(c, " ")))
             .cast("array<string>"))))
     extra = ["rejected"] if reject else []
-    pairs = split.select("file", "block", "record", "part", *extra,
+    pairs = split.select("file", "block", "part", *extra,
                          F.transform("__c", lambda c: F.element_at(c, -2)).alias("gold"),
                          F.transform("__c", lambda c: F.element_at(c, -1)).alias("pred"))
-    numbered = dense_index(pairs, "sent_id", ["record", "part"], ["file"], bucket=["block"])
+    numbered = dense_index(pairs, "sent_id", ["part"], ["file"], bucket=["block"])
     return numbered.select("file", "sent_id", "gold", "pred", *extra)
 
 
@@ -131,6 +146,7 @@ def tagged_text(tokens: Column, tags: Column) -> Column:
     return F.array_join(F.transform(zipped, lambda z: F.concat_ws("\t", z["t"], z["g"])), "\n")
 
 
-def write_sentences(df: DataFrame, text: Column, path: str, order: Sequence[str]) -> None:
-    """One text per row, a blank line after each, files in the order of ``order``."""
-    df.orderBy(*order).select(text.alias("value")).write.option("lineSep", "\n\n").text(path)
+def write_sentences(df: DataFrame, text: Column, path: str, order: Sequence[str], line_end: str = "\n", blank: str = "") -> None:
+    """One text per row, a blank line after each, files in the order of ``order``. ``blank``: white space on the blank lines."""
+    lines = F.replace(text, F.lit("\n"), F.lit(line_end))
+    df.orderBy(*order).select(lines.alias("value")).write.option("lineSep", f"{line_end}{blank}{line_end}").text(path)

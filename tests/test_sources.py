@@ -18,7 +18,7 @@ def put(tmp_path, text, name="a.txt"):
 def by_lines(text):
     """Sentences of a tagged file, line by line; the second result is the sentence left open at the end."""
     done, open_ = [], []
-    lines = text.split("\n")
+    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
     if lines[-1] == "":
         lines.pop()
     for line in (x.strip() for x in lines):
@@ -31,7 +31,8 @@ def by_lines(text):
 
 
 TEXTS = ["a\tX\nb\tO\n\nc\tY\n\n", "a\tX\n\nb\tO", "a\tX\n\nb\tO\n", "\n\na\tX\n\n\n\nb\tO\n\n\n", "a\tX\n \t \nb\tO\n\n",
-         "a\tX\r\n\r\nb\tO\r\n\r\nc\tO\r\n", "a\tX", "\n", "a\tX\n\n \n", "  a\tX  \n\n\nb\tO\n \n"]
+         "a\tX\r\n\r\nb\tO\r\n\r\nc\tO\r\n", "a\tX", "\n", "a\tX\n\n \n", "  a\tX  \n\n\nb\tO\n \n",
+         "a\tX\r\n \t\r\nb\tO\r\n\u3000\r\n", "a\u0001\tX\nb\u0001c\tO\n\n\u0001\tX\n", "a\tX\rb\tO\r\rc\tO", ""]
 
 
 @pytest.mark.parametrize("text", TEXTS)
@@ -44,18 +45,34 @@ def test_tagged_text_reads_like_lines(spark, tmp_path, text, strict):
     assert [r["sent_id"] for r in rows] == list(range(len(want)))
 
 
-def test_file_split_over_tasks(spark, tmp_path):
+@pytest.mark.parametrize("end,blank", [("\n", ""), ("\r\n", ""), ("\r\n", " \t"), ("\r", "  ")])
+@pytest.mark.parametrize("size", [40, 700])
+def test_file_split_over_tasks(spark, tmp_path, end, blank, size):
+    """Byte ranges of less than a sentence and of many: the rows are those of the lines, whatever ends them."""
     rng = random.Random(4)
-    text = "".join("".join(f"w{rng.randint(0, 99)}\tO\n" for _ in range(rng.randint(1, 9))) + "\n" for _ in range(400))
-    path = put(tmp_path, text)
+    text = "".join("".join(f"w{rng.randint(0, 99)}\tO\n" for _ in range(rng.choice([0, 1, 3, 9, 20]))) + "\n" for _ in range(60))
+    path = put(tmp_path, text.replace("\n\n", f"\n{blank}\n").replace("\n", end))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
     try:
         df = tagged.read_tagged(spark, path)
+        assert spark.read.text(path).rdd.getNumPartitions() >= 3
         rows = df.orderBy("sent_id").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert [list(zip(r["tokens"], r["tags"])) for r in rows] == by_lines(text)[0]
+    assert [r["sent_id"] for r in rows] == list(range(len(rows)))
+
+
+def test_several_files_in_one_task(spark, tmp_path):
+    texts = {"a.txt": "a\tX\n\nb\tO", "b.txt": "\nc\tY\n", "c.txt": "d\tO\n\n"}
+    for name, text in texts.items():
+        put(tmp_path, text, name)
+    rows = tagged.read_tagged(spark, str(tmp_path)).orderBy("file", "sent_id").collect()
+    got = {}
+    for r in rows:
+        got.setdefault(os.path.basename(r["file"]), []).append(list(zip(r["tokens"], r["tags"])))
+    assert got == {n: done + ([open_] if open_ else []) for n, (done, open_) in ((n, by_lines(t)) for n, t in texts.items())}
 
 
 def test_bad_lines_raise(spark, tmp_path):
