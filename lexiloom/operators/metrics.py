@@ -185,6 +185,24 @@ def improvements(df: DataFrame, score: str, order: Sequence[str], run: Sequence[
     return best.withColumn("improved", better).drop("__best")
 
 
+def resumed(df: DataFrame, points: DataFrame, score: str, order: Sequence[str], run: Sequence[str] = ("run_id",), higher: bool = True,
+            epoch: str = "epoch", bucket: Sequence[str] | None = None, **options) -> DataFrame:
+    """Epochs that go on from logged runs: ``epoch``, counted on from each run's log, and ``improved`` over the best score there.
+
+    ``points``: ``(*run, epoch, score)`` with the next epoch's number and the best score. A point enters its run as the
+    row before the first one, so only one row per run is joined and a run may hold any share of the rows. Runs without a
+    point start anew.
+    """
+    first = df.groupBy(*run).agg(*[F.min(F.struct(*dict.fromkeys([*(bucket or []), *order]))).alias("__f")])
+    state = points.select(*run, F.col("epoch").alias("__next"), F.col("score").cast("double").alias(score)).join(first, list(run)).select(
+        *run, F.col("__f.*"), "__next", score, F.lit(0).alias("__row"))
+    rows = df.withColumn("__row", F.lit(1)).unionByName(state, allowMissingColumns=True)
+    along = [*order, "__row"]
+    numbered = running(rows, F.when(F.col("__row") == 0, F.col("__next")).otherwise(F.lit(1).cast("bigint")), epoch, along, run, bucket=bucket, **options)
+    found = improvements(numbered, score, along, run, higher, bucket=bucket, **options)
+    return found.where("__row = 1").drop("__row", "__next")
+
+
 def best_epochs(improved: DataFrame, order: Sequence[str], columns: Sequence[str],
                 run: Sequence[str] = ("run_id",)) -> DataFrame:
     """The last improving epoch of every run: ``(*run, *columns, n_improved)``."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics, runs
 from ..operators.ordered import dense_index
+from ..session import stored
 from ..sources import runlog
 from . import inputs
 from .registry import registry
@@ -86,7 +87,32 @@ def run_log_json(spark, folder):
     """One nested JSON log per run, written and read back as rows."""
     once = _metrics(spark, folder).groupBy("run_id", "epoch", "phase", "metric").agg(
         F.max("value").alias("value"), F.max("end_time").alias("end_time"))
-    return runlog.read_log(runlog.write_log(once))
+    return runlog.read_log(runlog.write_log(once)).drop("json")
+
+
+@query("run_log_tree", f"""WITH {METRICS_SQL}
+SELECT run_id, epoch, phase, metric, value, max(end_time) OVER (PARTITION BY run_id, epoch) AS end_time FROM metrics""")
+def run_log_tree(spark, folder):
+    """Logs with reports in reports and names of dots, quotes, backslashes and braces: written, read, written and read again."""
+    once = _metrics(spark, folder).groupBy("run_id", "epoch", "phase", "metric").agg(
+        F.max("value").alias("value"), F.max("end_time").alias("end_time"))
+    odd = 'report.a\\.b.say "{hi}" \\\\.'
+    named = runlog.write_log(once.withColumn("metric", F.concat(F.lit(odd), F.col("metric"))))
+    again = runlog.write_log(runlog.read_log(named))
+    return runlog.read_log(again).withColumn("metric", F.when(F.startswith("metric", F.lit(odd)), F.substr("metric", F.lit(len(odd) + 1)))).drop("json")
+
+
+@query("run_log_resume", f"""WITH {EPOCHS_SQL},
+seen AS (SELECT *, coalesce(max(score) OVER (PARTITION BY run_id ORDER BY epoch
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM ep)
+SELECT run_id, epoch::BIGINT AS epoch, score, score > b AS improved FROM seen WHERE epoch >= 3""")
+def run_log_resume(spark, folder):
+    """The first three epochs of every run stand in its log; the others go on from it as if it had not stopped."""
+    epochs = stored(_epochs(spark, folder), "epochs")
+    logged = epochs.where("epoch < 3").select("run_id", "epoch", F.lit("valid").alias("phase"), F.lit("score").alias("metric"), F.col("score").alias("value"))
+    points = runlog.resume_points(runlog.read_log(runlog.write_log(logged)), "valid", "score")
+    later = epochs.where("epoch >= 3").drop("epoch")
+    return metrics.resumed(later, points, "score", ["ts", "event_id"], bucket=["bucket"]).select("run_id", "epoch", "score", "improved")
 
 
 SCORES_SQL = """

@@ -6,6 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from lexiloom.operators import metrics
 from lexiloom.sources import corpora, render, runlog, tagged
 
 
@@ -139,6 +140,38 @@ def test_nested_log_is_read(spark):
     assert rows[(10, "train", "loss")] == (1.0, "2024-01-02T00:00:00") and len(rows) == 7
 
 
+AWKWARD = {"Epoch 0": {"valid_log": {"a.b": {"c\\\\d": {'e"f{': {"g": {"h": {"deep": 1}}}}}, "": 2.5, "list": [1, {"x": 2}], "none": None, "text": "a{b", "ok": True, "empty": {}}},
+           "Epoch 12": {"train_log": {"loss": 1e-30, "n": 12345678901}, "end_time": "2024-01-02T00:00:00"}}
+
+
+def test_any_log_is_written_as_it_was_read(spark):
+    df = spark.createDataFrame([("r", json.dumps(AWKWARD)), ("s", json.dumps({"Epoch 1": {"test_log": {"x": 0.5}}})), ("t", None), ("u", "{}")], "run_id string, log string")
+    rows = runlog.read_log(df)
+    assert {r["run_id"]: json.loads(r["log"]) for r in runlog.write_log(rows).collect()} == {"r": AWKWARD, "s": {"Epoch 1": {"test_log": {"x": 0.5}}}}
+    got = {(r["epoch"], r["metric"]): r["value"] for r in rows.where("run_id = 'r'").collect()}
+    assert got[0, 'a\\.b.c\\\\\\\\d.e"f{.g.h.deep'] == 1.0 and got[0, "\\e"] == 2.5 and got[0, "text"] is None and got[12, "n"] == 12345678901.0
+
+
+def test_any_object_is_its_leaves(spark):
+    texts = [json.dumps(AWKWARD), '{"a":{"b":{}}}', "{}", '{"x":[{"y":{"z":1}}]}']
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, j string")
+    found = {r["id"]: json.loads(r["j"]) for r in runlog.nest(runlog.leaves(df, ["id"], "j"), ["id"], "j").collect()}
+    assert found == {i: json.loads(t) for i, t in enumerate(texts)}
+
+
+def test_resumed_runs_go_on(spark):
+    rows = [(u, e, float((e * 7 + u * 3) % 11) - (5 if u == 2 else 0)) for u in range(4) for e in range(12)]
+    df = spark.createDataFrame(rows, "run_id int, at int, score double")
+    whole = {(r["run_id"], r["at"]): r["improved"] for r in metrics.improvements(df, "score", ["at"]).collect()}
+    cut = {0: 5, 1: 1, 2: 9}
+    part = lambda u: F.coalesce(F.create_map(*[F.lit(x) for p in cut.items() for x in p])[u], F.lit(0))
+    logged = df.where(F.col("at") < part(F.col("run_id"))).select("run_id", F.col("at").alias("epoch"), F.lit("valid").alias("phase"), F.lit("f1").alias("metric"), F.col("score").alias("value"))
+    points = runlog.resume_points(runlog.read_log(runlog.write_log(logged)), "valid", "f1")
+    got = metrics.resumed(df.where(F.col("at") >= part(F.col("run_id"))), points, "score", ["at"], bits=1).collect()
+    assert len(got) == 48 - sum(cut.values())
+    assert all(r["epoch"] == r["at"] and r["improved"] == whole[r["run_id"], r["at"]] for r in got)
+
+
 def test_log_is_json(spark):
     rows = [("r", e, "valid", m, v) for e in (0, 1) for m, v in (("loss", 0.5), ("score", 2.0))]
     df = spark.createDataFrame(rows, "run_id string, epoch int, phase string, metric string, value double")
