@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .texts import pieces, returned
-from .tokens import Encoder, encoder
+from .tokens import encoder
 
 LENGTH = 2048
 GROUP_TOKENS = 1 << 20
@@ -75,10 +75,7 @@ def balance(sizes: np.ndarray, length: int, quadratic: float = QUADRATIC) -> tup
 
 def _pack_task(path: str, spaceless: bool, end_id: int, length: int, group_tokens: int, quadratic: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with encoder(path, spaceless) as coder:
-            yield from pack_all(batches, coder)
-
-    def pack_all(batches: Iterator[pa.RecordBatch], coder: Encoder) -> Iterator[pa.RecordBatch]:
+        coder = encoder(path, spaceless)
         base = TaskContext.get().partitionId() << 32
         n_seq = 0
         held: list[tuple] = []  # (doc_id, start, ids, doc_tokens)
@@ -137,7 +134,7 @@ def _pack_task(path: str, spaceless: bool, end_id: int, length: int, group_token
         if out:
             yield rows()
 
-    return returned(run)
+    return returned(run, keeps=True)
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()),

@@ -50,10 +50,19 @@ def mix(h: np.ndarray) -> np.ndarray:
 Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
-def returned(task: Task) -> Task:
-    """A task that gives the memory it has freed back to the system when it ends: its Python process serves later tasks too."""
+#: what a Python process keeps for the next task of the same kind
+held: dict[tuple, object] = {}
+
+
+def returned(task: Task, keeps: bool = False) -> Task:
+    """A task that gives the memory it has freed back to the system when it ends: its Python process serves later tasks too.
+
+    Unless it ``keeps`` what tasks of its kind have held, that goes when the task begins.
+    """
     @functools.wraps(task)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            held.clear()
         try:
             yield from task(batches)
         finally:

@@ -8,14 +8,12 @@ The ids equal those of ``Tokenizer.encode(text, add_special_tokens=False)``.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .texts import U64, bytes_of, mix, ragged, string_hashes
+from .texts import U64, bytes_of, held, mix, ragged, string_hashes
 
 #: bytes of pieces and their ids that an encoder keeps; beyond that it starts anew
 KEPT = 48 << 20
@@ -25,17 +23,15 @@ UNSAFE = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}] ([\s\p{Z}\x{85}\x{1c}-\x{1f}<]|$)"
 SPACED = U64(0xA0761D6478BD642F)
 
 
-@contextmanager
-def encoder(path: str, spaceless: bool) -> Iterator[Encoder]:
-    """A task's encoder for a file. ``spaceless``: the tokenizer drops white space and lower-cases.
+def encoder(path: str, spaceless: bool) -> Encoder:
+    """The process's encoder for a file. ``spaceless``: the tokenizer drops white space and lower-cases.
 
-    It goes with the task: opening takes a fifth of a second, and a process that kept it would hold some 200 MB for ever.
+    The process keeps one, with its pieces, for the next task that encodes; a task of another kind lets it go.
     """
-    opened = Encoder(path, spaceless)
-    try:
-        yield opened
-    finally:
-        opened.close()
+    if ("encoder", path, spaceless) not in held:
+        held.clear()
+        held["encoder", path, spaceless] = Encoder(path, spaceless)
+    return held["encoder", path, spaceless]
 
 
 class _Known:
@@ -81,10 +77,6 @@ class Encoder:
         self.tokenizer, self.spaceless, self.kept = Tokenizer.from_file(path), spaceless, kept
         self.known = _Known()
 
-    def close(self) -> None:
-        """Let go of the tokenizer and the pieces."""
-        self.tokenizer, self.known = None, _Known()
-
     def _raw(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         flat: list[int] = []
         size = []

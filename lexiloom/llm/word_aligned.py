@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .texts import pieces, ragged, returned
-from .tokens import Encoder, encoder
+from .tokens import encoder
 
 #: fixed values of the code: ids per word for selectors 0 to 13, and the bits of each
 PER_WORD = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -135,10 +135,7 @@ def decode(segment: bytes, from_block: int = 0, to_block: int | None = None) ->
 
 def _encode_task(path: str, spaceless: bool, end_id: int, segment_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with encoder(path, spaceless) as coder:
-            yield from segments(batches, coder)
-
-    def segments(batches: Iterator[pa.RecordBatch], coder: Encoder) -> Iterator[pa.RecordBatch]:
+        coder = encoder(path, spaceless)
         held: list[tuple[np.ndarray, np.ndarray, list]] = []
         seq = before = n_held = 0
         part = 0
@@ -166,7 +163,7 @@ def _encode_task(path: str, spaceless: bool, end_id: int, segment_ids: int):
         if held:
             yield segment()
 
-    return returned(run)
+    return returned(run, keeps=True)
 
 
 SCHEMA = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()),
