@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stored
+from .bloom import maybe_in
 from .texts import mix, pieces, returned
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -54,8 +55,10 @@ RUN = 1 << 16
 LANES = np.uint64(0x0101010101010101)
 #: of codes of several words: masks, a multiple of the words times 64 over the bits of a mask
 MASK_BITS, MASKS = 16, 64
-#: masks when the pairs met are verified, and tasks over which the pairs of one entry are dealt
-VERIFIED_MASKS, SALTS = 96, 64
+#: masks when the pairs met are verified
+VERIFIED_MASKS = 96
+#: share of the entries by which large buckets are told: one of more than SPLIT has some thousand of them
+SAMPLED = 64
 
 
 # ---- fingerprints
@@ -360,7 +363,9 @@ def links(codes: DataFrame, words: int = 1, radius: int = RADIUS, limit: int | N
     masked = F.xxhash64(*[F.col(name).bitwiseAND(F.col("mask")[w]) for w, name in enumerate(names)])
     dealt = (codes.select(*kept, F.posexplode(F.lit([_masks(bits, words) for bits in first])).alias("t", "mask"))
              .select(*kept, "t", masked.alias("key")))
-    large = dealt.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > split).select("t", "key")
+    # entries of one in SAMPLED say which buckets may be large; where a bucket is compared does not change what is found
+    seen = dealt.where(F.pmod(F.xxhash64("v"), F.lit(SAMPLED)) == 0).groupBy("t", "key").agg(F.count("*").alias("n"))
+    large = seen.where(F.col("n") > split // (2 * SAMPLED)).select("t", "key")
     again = codes.sparkSession.createDataFrame([(t, [_masks(bits, words) for bits in parts]) for t, parts in enumerate(finer)],
                                                "t int, again array<array<bigint>>")
     large = large.join(F.broadcast(again), "t")
@@ -376,13 +381,17 @@ def links(codes: DataFrame, words: int = 1, radius: int = RADIUS, limit: int | N
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs a, b those whose sets (v, grams) reach the Jaccard similarity. A hot a or b is dealt over SALTS tasks."""
-    def beside(rows: DataFrame, this: str, other: str) -> DataFrame:
-        salted = rows.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)))
-        held = salted.select(this, "salt").distinct().join(sets.select(F.col("v").alias(this), F.col("grams").alias(f"grams_{this}")), this)
-        return salted.join(held, [this, "salt"]).drop("salt")
+    """Of pairs a, b those whose sets (v, grams) reach the Jaccard similarity.
 
-    both = beside(beside(pairs, "a", "b"), "b", "a")
+    Sizes come first, as narrow rows: sets whose sizes differ by more cannot be that similar. The joins are plain, so that
+    adaptive execution splits the pairs of a hot a or b.
+    """
+    def beside(rows: DataFrame, this: str, value: str, name: str) -> DataFrame:
+        return rows.join(sets.select(F.col("v").alias(this), F.expr(value).alias(f"{name}_{this}")), this)
+
+    sized = beside(beside(pairs, "a", "size(grams)", "n"), "b", "size(grams)", "n")
+    close = sized.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9).select("a", "b")
+    both = beside(beside(close, "a", "grams", "grams"), "b", "grams", "grams")
     common, total = F.size(F.array_intersect("grams_a", "grams_b")), F.size("grams_a") + F.size("grams_b")
     return both.where(common >= similarity * (total - common) - 1e-9).select("a", "b")
 
@@ -398,7 +407,10 @@ def verified_links(plain: DataFrame, prints: DataFrame, codes: DataFrame, width:
     met = stored(links(codes, words, 0, limit, split, VERIFIED_MASKS), "met")
     ids = met.select(F.col("a").alias("v")).unionAll(met.select(F.col("b").alias("v"))).distinct()
     holders = prints.groupBy("v").agg(F.min("_at").alias("_at")).join(ids, "v")
-    texts = plain.select("_at", "text").join(holders, "_at").dropDuplicates(["v"]).select("v", "text")
+    holders = stored(holders, "holders")
+    # most texts have met no other: they are left out before the shuffle
+    meant = plain.select("_at", "text").where(maybe_in(holders, "_at")(F.col("_at")))
+    texts = meant.join(holders, "_at").dropDuplicates(["v"]).select("v", "text")
     sets = stored(texts.mapInArrow(returned(_shingle_set_task(width, seed)), "v long, grams array<long>"), "sets")
     good = stored(similar(met, sets, similarity), "similar")
     loose = None
