@@ -21,7 +21,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import cost_packing, ecoc_lang, gray_simhash, line_chunks, window_decontam
+from lexiloom.llm import bloom, cost_packing, ecoc_lang, gray_simhash, line_chunks, window_decontam
 from lexiloom.session import stored
 
 #: near copies: Jaccard similarity of the sets of five-word shingles; codes of four words name the candidates, within 72 of 256 bits
@@ -52,12 +52,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the smallest id; of rows with its id and text the first by the other columns."""
     keyed = _keyed(docs)
-    groups = gray_simhash.near_duplicates(keyed.select("doc_id", "text", "key"), **NEAR, carry=("key",))
+    groups = stored(gray_simhash.near_duplicates(keyed.select("doc_id", "text", "key"), **NEAR, carry=("key",)).select("doc_id", "key", "component"), "groups")
     first = F.min_by("key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    staying = groups.groupBy("component").agg(first.alias("key")).select("key")
+    staying = groups.groupBy("component").agg(first.alias("key")).select("key", F.lit(True).alias("stays"))
+    keys = groups.groupBy("key").agg(F.count("*").alias("n")).join(staying, "key", "left")
+    touched = stored(keys.where("stays IS NULL OR n > 1").select("key", F.lit(True).alias("touched"), "stays"), "touched")
+    # rows that no group touches stay where they are; a filter tells most of them before the others are shuffled
+    maybe = bloom.maybe_in(touched, "key")(F.col("key"))
+    marked = keyed.withColumn("maybe", maybe)
+    met = marked.where("maybe").join(touched, "key", "left").where("touched IS NULL OR stays")
     others = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    kept = keyed.join(staying, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.to_json(F.struct(*others)) if others else F.lit("")).alias("row"))
-    return kept.select("row.*")
+    kept = met.groupBy("key").agg(F.min_by("row", F.to_json(F.struct(*others)) if others else F.lit("")).alias("row"))
+    return marked.where("NOT maybe").select("row.*").unionAll(kept.select("row.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
