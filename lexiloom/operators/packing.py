@@ -38,6 +38,13 @@ def _assemble(slices: DataFrame, keys: Sequence[str], columns: Sequence[str], le
     return parts.select(*keys, "block_id", *[F.flatten(F.col("__parts")[c]).alias(c) for c in columns])
 
 
+def cut_stream(df: DataFrame, length: int, start: str, keys: Sequence[str] = (), columns: Sequence[str] = ("tokens",)) -> DataFrame:
+    """``(*keys, block_id, *columns)``: rows that know their first token's place, as blocks, full or not."""
+    parts = (_slices(df, start, columns, length, keys).groupBy(*keys, "block_id")
+             .agg(F.sort_array(F.collect_list(F.struct("__off", *columns))).alias("__parts")))
+    return parts.select(*keys, "block_id", *[F.flatten(F.col("__parts")[c]).alias(c) for c in columns])
+
+
 def pack_stream(df: DataFrame, length: int, order: Sequence[str] = ("row_id",),
                 columns: Sequence[str] = ("tokens",), keys: Sequence[str] = (), reverse: bool = True,
                 size: Column | None = None, bits: int = BITS) -> DataFrame:

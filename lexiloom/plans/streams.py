@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.vocab import tokenize
 from ..session import shared_dir
 from ..streaming import packing, text
+from . import inputs
 from .registry import registry
 
 QUERIES, ORACLES, query = registry()
@@ -43,9 +44,20 @@ WITH flat AS (SELECT role, conv_id, turn, generate_subscripts({WORDS_SQL}, 1) AS
 placed AS (SELECT role, tok, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn, pos) - 1 AS g FROM flat)"""
 
 
+ARRIVALS = 3
+
+
 def _carried(spark, folder):
-    words = tokenize(_talks(spark, folder), ["role", "conv_id", "turn"])
-    return text.drain(packing.pack_carry(words, LENGTH, ["role"], ["conv_id", "turn"], rest=True), "blocks")
+    """The table arrives in parts, one after the other by conversation, each a micro-batch of its own."""
+    arrived, out, log = (shared_dir(spark, f"talks-{x}") for x in ("in", "out", "log"))
+    talks = inputs.table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    low, high = talks.agg(F.min("conv_id"), F.max("conv_id")).first()
+    part = F.floor((F.col("conv_id") - low) * ARRIVALS / (high - low + 1))
+    for i in range(ARRIVALS):
+        talks.where(part == i).coalesce(1).write.mode("append").parquet(arrived)  # a file is an arrival
+    words = tokenize(text.read_stream(spark, arrived, TALKS, files_per_trigger=1), ["role", "conv_id", "turn"])
+    packing.pack_carry(words, LENGTH, out, log, ["role"], ["conv_id", "turn"]).awaitTermination()
+    return out
 
 
 @query("stream_pack", f"""{CARRY_SQL}
@@ -53,7 +65,8 @@ SELECT role, (g // {LENGTH})::BIGINT AS block_id, string_agg(tok, ' ' ORDER BY g
 FROM placed GROUP BY role, g // {LENGTH} HAVING count(*) = {LENGTH}""")
 def stream_pack(spark, folder):
     """One stream per role: its last tokens, fewer than a block, are all that waits."""
-    return _carried(spark, folder).where("full").select("role", "block_id", F.array_join("tokens", " ").alias("block"))
+    made = packing.blocks(spark, _carried(spark, folder))
+    return made.select("role", "block_id", F.array_join("tokens", " ").alias("block"))
 
 
 @query("stream_pack_rest", f"""{CARRY_SQL},
@@ -61,7 +74,7 @@ ends AS (SELECT role, count(*) AS n FROM placed GROUP BY role)
 SELECT role, (n // {LENGTH})::BIGINT AS block_id, coalesce(string_agg(tok, ' ' ORDER BY g)
   FILTER (g >= n // {LENGTH} * {LENGTH}), '') AS rest FROM placed JOIN ends USING (role) GROUP BY role, n""")
 def stream_pack_rest(spark, folder):
-    last = packing.last_rest(_carried(spark, folder), ["role"])
+    last = packing.rests(spark, _carried(spark, folder), ["role"])
     return last.select("role", "block_id", F.array_join("tokens", " ").alias("rest"))
 
 
