@@ -7,9 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -120,17 +118,3 @@ def apply_head(model, df: DataFrame, vec: str = "vec", out: str = "pred") -> Dat
     scored = model.transform(df.withColumn("__x", array_to_vector(vec)))
     return scored.withColumn(out, F.col("prediction").cast("int")).drop(
         "__x", "rawPrediction", "probability", "prediction")
-
-
-def head_grid(df: DataFrame, grid: dict[str, Sequence], kind: str = "linear", vec: str = "vec",
-              label: str = "label", layers: Sequence[int] | None = None, train_ratio: float = 0.8, seed: int = 42,
-              metric: str = "f1", parallelism: int = 2, **settings):
-    """Fit every setting of ``grid`` and score it on held-out rows; returns the fitted selection model."""
-    learner = _learner(kind, vec, label, layers, settings)
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(getattr(learner, name), list(values))
-    evaluator = MulticlassClassificationEvaluator(labelCol=label, metricName=metric)
-    search = TrainValidationSplit(estimator=learner, estimatorParamMaps=builder.build(), evaluator=evaluator,
-                                  trainRatio=train_ratio, seed=seed, parallelism=parallelism)
-    return search.fit(df.withColumn("__x", array_to_vector(vec)))

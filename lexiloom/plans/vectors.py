@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import numeric
-from ..operators import crf, crf_long, metrics, represent
+from ..operators import crf, crf_long, heads, metrics, represent
 from ..operators.ordered import dense_index
 from ..session import stored
 from . import inputs
@@ -147,33 +149,138 @@ def head_gradient(spark, folder):
     return found.select("label", "dim", (F.round("slope", 5) + F.lit(0.0)).alias("slope"))
 
 
-@query("head_fit")
+def _fits(spark, checks):
+    """One row per thing that a fit must reach, and whether it did."""
+    return spark.createDataFrame([(name, bool(holds)) for name, holds in checks.items()], "reached string, holds boolean")
+
+
+def _reached(*names):
+    return " UNION ALL ".join(f"SELECT '{name}' AS reached, true AS holds" for name in names)
+
+
+@query("head_fit", _reached("flat", "better than chance"))
 def head_fit(spark, folder):
-    """Linear head fitted by distributed L-BFGS; how often each label is predicted for each label."""
+    """Linear head fitted by distributed L-BFGS: the slope of its loss (with its penalty) all but vanishes."""
+    rows = inputs.table(spark, folder, "embeddings").select(F.col("embedding").alias("vec"), "label")
+    model = represent.fit_head(rows, "linear", maxIter=100, regParam=0.01, standardization=False, tol=1e-9)
+    weights, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    slopes = represent.head_gradient(rows, weights, bias)
+    kept = {(r["label"], r["dim"]): r["slope"] for r in slopes.collect()}  # labels x (dimensions + 1)
+    most = max((abs(v + (0.01 * weights[k, d] if d >= 0 else 0.0)) for (k, d), v in kept.items()), default=0.0)
+    wrong = represent.apply_head(model, rows).agg(F.avg((F.col("pred") != F.col("label")).cast("int"))).first()[0] or 0.0
+    return _fits(spark, {"flat": most < 1e-3, "better than chance": wrong < 0.9})
+
+
+LAYERS = {"hidden": [[((3 * i + 5 * j) % 7 - 3) / 10.0 for j in range(64)] for i in range(HIDDEN)], "hidden_bias": [(i - 4) / 10.0 for i in range(HIDDEN)],
+          "out": [[((2 * k + 3 * j) % 5 - 2) / 10.0 for j in range(HIDDEN)] for k in range(LABELS)], "out_bias": [(k - 5) / 10.0 for k in range(LABELS)]}
+
+
+def _forward_sql(n: int) -> str:
+    """Hidden units, probabilities and slopes at the weights u{n} (hidden; dim -1 is the bias) and o{n} (out)."""
+    return f"""
+a{n} AS MATERIALIZED (SELECT vec_id, label, u.i, sum(v * u.w) AS a FROM flat JOIN u{n} u USING (j) GROUP BY vec_id, label, u.i),
+h{n} AS MATERIALIZED (SELECT vec_id, label, i, greatest(a, 0) AS h, a > 0 AS fires FROM a{n} UNION ALL SELECT vec_id, label, -1, 1.0, false FROM embeddings),
+z{n} AS MATERIALIZED (SELECT h.vec_id, h.label, o.k, sum(h.h * o.w) AS z FROM h{n} h JOIN o{n} o USING (i) GROUP BY h.vec_id, h.label, o.k),
+p{n} AS MATERIALIZED (SELECT vec_id, label, k, exp(z) / sum(exp(z)) OVER (PARTITION BY vec_id) AS p FROM z{n}),
+gu{n} AS MATERIALIZED (SELECT b.i, f.j, avg(b.d * f.v) AS g FROM (SELECT p.vec_id, o.i, sum((p.p - (p.label = p.k)::INT) * o.w) * any_value(h.fires)::INT AS d
+    FROM p{n} p JOIN o{n} o USING (k) JOIN h{n} h ON h.vec_id = p.vec_id AND h.i = o.i WHERE o.i >= 0 GROUP BY p.vec_id, o.i) b
+  JOIN flat f USING (vec_id) GROUP BY b.i, f.j),
+go{n} AS MATERIALIZED (SELECT p.k, h.i, avg((p.p - (p.label = p.k)::INT) * h.h) AS g FROM p{n} p JOIN h{n} h USING (vec_id) GROUP BY p.k, h.i)"""
+
+
+LAYERS_SQL = f"""WITH flat AS MATERIALIZED (SELECT vec_id, label, j::INT AS j, CASE WHEN j < 0 THEN 1.0 ELSE embedding[j + 1]::DOUBLE END AS v FROM embeddings, range(-1, 64) t(j)),
+u0 AS (SELECT i::INT AS i, j::INT AS j, CASE WHEN j < 0 THEN (i - 4) / 10.0::DOUBLE ELSE (((3 * i + 5 * j) % 7) - 3) / 10.0::DOUBLE END AS w FROM range({HIDDEN}) a(i), range(-1, 64) b(j)),
+o0 AS (SELECT k::INT AS k, i::INT AS i, CASE WHEN i < 0 THEN (k - 5) / 10.0::DOUBLE ELSE (((2 * k + 3 * i) % 5) - 2) / 10.0::DOUBLE END AS w FROM range({LABELS}) a(k), range(-1, {HIDDEN}) b(i)),{_forward_sql(0)}"""
+
+
+def _layers():
+    return heads.TwoLayer(*[np.array(LAYERS[x]) for x in ("hidden", "hidden_bias", "out", "out_bias")])
+
+
+@query("two_layer_gradient", f"""{LAYERS_SQL}
+SELECT 'hidden' AS layer, i AS unit, j AS input, round(g, 5) + 0.0::DOUBLE AS slope FROM gu0
+UNION ALL SELECT 'out', k, i, round(g, 5) + 0.0::DOUBLE FROM go0""")
+def two_layer_gradient(spark, folder):
+    """Slope of the mean cross-entropy of a two-layer head in every weight; input -1 is the bias."""
     rows = inputs.table(spark, folder, "embeddings").select(F.col("embedding").alias("vec"), "label")
-    model = represent.fit_head(rows, "linear", maxIter=20, regParam=0.01)
-    guessed = represent.apply_head(model, rows)
-    return guessed.groupBy("label", "pred").agg(F.count("*").alias("n"))
+    head = _layers()
+    _, flat, _ = heads.two_layer_loss(rows, head)
+    slope = head.like(flat)
+    found = []
+    for layer, weights, bias in (("hidden", slope.hidden, slope.hidden_bias), ("out", slope.out, slope.out_bias)):
+        table = np.column_stack([bias, weights])
+        found += [(layer, i, j - 1, round(float(x), 5) + 0.0) for (i, j), x in np.ndenumerate(table)]
+    return spark.createDataFrame(found, "layer string, unit int, input int, slope double")
+
+
+@query("two_layer_step", f"""{LAYERS_SQL},
+u1 AS MATERIALIZED (SELECT i, j, w - 0.5 * g AS w FROM u0 JOIN gu0 USING (i, j)), o1 AS MATERIALIZED (SELECT k, i, w - 0.5 * g AS w FROM o0 JOIN go0 USING (k, i)),{_forward_sql(1)}
+SELECT 0 AS step, round(avg(-ln(p)), 5) AS loss FROM p0 WHERE k = label UNION ALL SELECT 1, round(avg(-ln(p)), 5) FROM p1 WHERE k = label""")
+def two_layer_step(spark, folder):
+    """The loss before and after one step of a half along the slope."""
+    rows = inputs.table(spark, folder, "embeddings").select(F.col("embedding").alias("vec"), "label")
+    head = _layers()
+    before, slope, _ = heads.two_layer_loss(rows, head)
+    after, _, _ = heads.two_layer_loss(rows, head.like(head.flat() - 0.5 * slope))
+    return spark.createDataFrame([(0, round(before, 5)), (1, round(after, 5))], "step int, loss double")
 
 
-@query("head_fit_two_layer")
+@query("head_fit_two_layer", _reached("falls", "better than chance"))
 def head_fit_two_layer(spark, folder):
+    """Two-layer head fitted by L-BFGS: no step raises the loss, and it ends below that of even odds."""
     rows = inputs.table(spark, folder, "embeddings").select(F.col("embedding").alias("vec"), "label")
-    model = represent.fit_head(rows, "two_layer", layers=[64, 16, 10], maxIter=10, seed=42)
-    guessed = represent.apply_head(model, rows)
-    return guessed.groupBy("label", "pred").agg(F.count("*").alias("n"))
+    _, losses = heads.fit_two_layer(rows, heads.two_layer_start(64, 16, LABELS), iterations=6)
+    return _fits(spark, {"falls": len(losses) > 1 and all(b < a for a, b in zip(losses, losses[1:])), "better than chance": losses[-1] < math.log(LABELS)})
+
+
+GRID = [heads.Setting(rate, penalty) for rate in (0.5, 2.0) for penalty in (0.0, 0.1)]
+
+
+def _descent_sql(steps: int) -> str:
+    cells = ", ".join(f"({i}, {x.rate}::DOUBLE, {x.penalty}::DOUBLE)" for i, x in enumerate(GRID))
+    parts = [f"""WITH cells AS (SELECT * FROM (VALUES {cells}) t(s, rate, penalty)),
+rows AS MATERIALIZED (SELECT vec_id, label, embedding, ('0x' || substr(md5('42:' || vec_id), 1, 8))::BIGINT % 10000 < 2000 AS held FROM embeddings),
+flat AS MATERIALIZED (SELECT vec_id, j::INT AS j, held, CASE WHEN j = 0 THEN 1.0 ELSE embedding[j]::DOUBLE END AS v FROM rows, range(65) t(j)),
+size AS (SELECT count(*) AS n FROM rows WHERE NOT held),
+w0 AS (SELECT s, k::INT AS k, j::INT AS j, 0.0::DOUBLE AS w FROM cells, range({LABELS}) a(k), range(65) b(j))"""]
+    for t in range(steps + 1):
+        parts.append(f"""
+z{t} AS MATERIALIZED (SELECT vec_id, w.s, w.k, sum(v * w.w) AS z FROM flat JOIN w{t} w USING (j) GROUP BY vec_id, w.s, w.k),
+p{t} AS MATERIALIZED (SELECT z.*, rows.label, rows.held, exp(z) / sum(exp(z)) OVER (PARTITION BY z.vec_id, s) AS p FROM z{t} z JOIN rows USING (vec_id)),
+l{t} AS MATERIALIZED (SELECT s, {t} AS steps, avg(-ln(p)) FILTER (NOT held) AS train_loss, avg(-ln(p)) FILTER (held) AS held_loss FROM p{t} WHERE k = label GROUP BY s),
+c{t} AS MATERIALIZED (SELECT s, avg((best = label)::INT) AS accuracy FROM (SELECT s, vec_id, label, arg_max(k, z) AS best FROM p{t} WHERE held GROUP BY s, vec_id, label) GROUP BY s)""")
+        if t < steps:
+            parts.append(f"""
+g{t} AS MATERIALIZED (SELECT p.s, p.k, f.j, sum((p.p - (p.label = p.k)::INT) * f.v) / any_value(n) AS g FROM p{t} p JOIN flat f USING (vec_id), size
+  WHERE NOT p.held GROUP BY p.s, p.k, f.j),
+w{t + 1} AS MATERIALIZED (SELECT s, k, j, w - rate * (g + penalty * w) AS w FROM w{t} JOIN g{t} USING (s, k, j) JOIN cells USING (s))""")
+    return ",".join(parts)
 
 
-@query("head_grid")
+def _scores_sql(source: str) -> str:
+    return f"""SELECT rate, penalty, steps, round(train_loss, 4) AS train_loss, round(held_loss, 4) AS held_loss, round(accuracy, 4) AS accuracy
+FROM ({source}) JOIN cells USING (s)"""
+
+
+def _searched(spark, folder, steps):
+    rows = inputs.table(spark, folder, "embeddings").select(F.col("embedding").alias("vec"), "label", heads.held_out(0.2, 42, F.col("vec_id")).alias("held"))
+    found = heads.grid_descent(rows, GRID, LABELS, 64, steps)
+    return spark.createDataFrame([(x.setting.rate, x.setting.penalty, x.steps, round(x.train_loss, 4), round(x.held_loss, 4), round(x.accuracy, 4)) for x in found],
+                                 "rate double, penalty double, steps int, train_loss double, held_loss double, accuracy double")
+
+
+@query("head_grid", f"{_descent_sql(3)} {_scores_sql('SELECT * FROM l3 JOIN c3 USING (s)')}")
 def head_grid(spark, folder):
-    """Held-out F1 of every setting of a small grid."""
-    rows = inputs.table(spark, folder, "embeddings").select(F.col("embedding").alias("vec"), "label")
-    grid = {"regParam": [0.01, 0.1], "maxIter": [5, 10]}
-    fitted = represent.head_grid(rows, grid)
-    settings = [{p.name: float(v) for p, v in m.items()} for m in fitted.getEstimatorParamMaps()]
-    return spark.createDataFrame(
-        [(s["regParam"], s["maxIter"], float(f)) for s, f in zip(settings, fitted.validationMetrics)],
-        "reg_param double, max_iter double, f1 double")
+    """Losses of every setting of a small grid after three steps, all settings in the same scans."""
+    return _searched(spark, folder, [3])
+
+
+@query("head_halving", f"""{_descent_sql(4)},
+kept AS (SELECT s FROM l2 QUALIFY row_number() OVER (ORDER BY round(held_loss, 9), s) <= 2)
+{_scores_sql("SELECT * FROM l4 JOIN c4 USING (s) WHERE s IN (SELECT s FROM kept) UNION ALL SELECT * FROM l2 JOIN c2 USING (s) WHERE s NOT IN (SELECT s FROM kept)")}""")
+def head_halving(spark, folder):
+    """The better half of the settings after two steps takes two more."""
+    return _searched(spark, folder, [2, 2])
 
 
 EMISSIONS_SQL = f"""
@@ -384,11 +491,14 @@ def crf_gradient_long(spark, folder):
     return found.select("slot", (F.round("value", 4) + F.lit(0.0)).alias("value"))
 
 
-@query("crf_fit")
+@query("crf_fit", _reached("even odds first", "falls"))
 def crf_fit(spark, folder):
-    """Mean negative log-likelihood before each of six gradient steps over all sequences."""
-    _, losses = crf.fit(stored(_sequences(spark, folder), "sequences"), K, iterations=6, rate=0.5)
-    return spark.createDataFrame(list(enumerate(losses)), "step int, nll double")
+    """Six gradient steps over all sequences from zero: the first loss is known, and every step lowers it."""
+    rows = stored(_sequences(spark, folder), "sequences")
+    _, losses = crf.fit(rows, K, iterations=6, rate=0.5)
+    start, _ = crf.fit(rows, K, iterations=0)
+    first = crf.mean_nll(rows, start).first()["nll"]
+    return _fits(spark, {"even odds first": abs(losses[0] - first) < 1e-6, "falls": all(b < a for a, b in zip(losses, losses[1:]))})
 
 
 BIGRAMS_SQL = """
