@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.arrays import fit_length, fit_mask, masked_reverse
 from ..functions.tags import tag_type_or_empty
 from ..functions.text import fixed_pieces
+from ..session import stored
 from .catalogues import FIXED_CATALOGUES
-from .ordered import dense_index
+from .ordered import dense_index, lookup
+from .vocab import token_counts
 
 IGNORED = -100
 
@@ -107,19 +109,63 @@ def select_rows(df: DataFrame, chosen: DataFrame, keys: Sequence[str]) -> DataFr
     return df.join(chosen.select(*keys), list(keys), "left_semi")
 
 
+UNKNOWN_PIECE = "[UNK]"
+
+
+def cut_words(words: DataFrame, vocabulary: DataFrame, word: str = "word", unknown: str = UNKNOWN_PIECE, longest: int = 16) -> DataFrame:
+    """``(word, pieces)`` of distinct words: at every place the longest piece of ``vocabulary`` (piece, inner) that fits.
+
+    ``inner`` pieces go on a word, the others begin one. A word that cannot be cut to its end is one ``unknown`` piece.
+    All substrings of up to ``longest`` characters meet the vocabulary in one join; the walk over the longest match of
+    every place is an expression. A substring that very many words share is answered in place (:func:`lookup`).
+    """
+    letters = F.char_length(word)
+    at = words.where(letters > 0).select(word, F.explode(F.sequence(F.lit(1), letters)).alias("__at"))
+    sizes = F.sequence(F.lit(1), F.least(F.lit(longest), letters - F.col("__at") + 1))
+    parts = at.select(word, "__at", F.explode(sizes).alias("__size")).withColumns({
+        "piece": F.substring(F.col(word), F.col("__at"), F.col("__size")), "inner": F.col("__at") > 1})
+    weighed = vocabulary.select("piece", "inner", F.lit(True).alias("__known"), (-F.char_length("piece")).alias("__weight"))  # short pieces are shared most
+    met = lookup(parts, weighed, ["piece", "inner"], "__weight", spread=[word, "__at"], how="inner")
+    best = met.groupBy(word, "__at").agg(F.max("__size").alias("__n"))
+    table = best.groupBy(word).agg(F.map_from_entries(F.collect_list(F.struct("__at", "__n"))).alias("__m"))
+    step = lambda a, i: F.when(a["next"] != i, a).when(F.col("__m")[i].isNull(), F.struct(F.lit(-1).alias("next"), a["pieces"].alias("pieces"))).otherwise(
+        F.struct((i + F.col("__m")[i]).alias("next"), F.concat(a["pieces"], F.array(F.substring(F.col(word), i, F.col("__m")[i]))).alias("pieces")))
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("pieces"))
+    walked = F.aggregate(F.sequence(F.lit(1), letters), start, step)
+    cut = table.select(word, walked.alias("__w")).select(word, F.when(F.col("__w.next") == letters + 1, F.col("__w.pieces")).alias("__p"))
+    return words.select(word).join(cut, word, "left").select(word, F.coalesce("__p", F.array(F.lit(unknown))).alias("pieces"))
+
+
+def vocabulary_pieces(df: DataFrame, vocabulary: DataFrame, keys: Sequence[str], tokens: str = "tokens", out: str = "cut",
+                      unknown: str = UNKNOWN_PIECE, longest: int = 16) -> DataFrame:
+    """``(*keys, out)``: every token of a row as its pieces (array of arrays). Only distinct words are cut.
+
+    ``keys`` name a row. The pieces of the most frequent words are broadcast, a fixed number of them; the others come by
+    shuffle (:func:`lookup`).
+    """
+    counted = token_counts(df, tokens).withColumnRenamed("token", "word")
+    table = stored(counted.join(cut_words(counted, vocabulary, "word", unknown, longest), "word"), "word-pieces")
+    exploded = df.select(*keys, F.posexplode_outer(tokens).alias("__pos", "word"))
+    found = lookup(exploded, table, ["word"], "count", spread=[*keys, "__pos"], how="left")
+    occurrence = F.when(F.col("word").isNotNull(), F.struct("__pos", "pieces"))
+    rows = found.groupBy(*keys).agg(F.sort_array(F.collect_list(occurrence)).alias("__l"))
+    return rows.select(*keys, F.col("__l.pieces").alias(out))
+
+
 def subword_rows(df: DataFrame, tokens: str, labels: str, length: int | None, width: int = 4,
-                 pieces: Callable[[Column], Column] | None = None, pad_piece: str = "", before: Sequence[str] = (),
+                 pieces: Callable[[Column], Column] | str | None = None, pad_piece: str = "", before: Sequence[str] = (),
                  after: Sequence[str] = ()) -> DataFrame:
     """Add ``pieces``, ``word_ids``, ``attention_mask`` and ``sub_labels``, cut or padded to ``length``.
 
     The first piece of a word carries the word's label, other pieces and pads carry -100. ``pieces`` cuts a
-    word (a column function); the default cuts every ``width`` characters. A word without pieces takes no
+    word (a column function) or names a column that has every token's pieces (:func:`vocabulary_pieces`); the default cuts
+    every ``width`` characters. A word without pieces takes no
     place and its label is lost, as with a tokenizer that returns nothing for it. ``before`` and ``after`` are
     special pieces around every sentence: they carry -100 and no word, are counted in ``length`` and never cut, and
     ``special_tokens_mask`` marks them and the pads.
     """
     cut = pieces or (lambda w: fixed_pieces(w, width))
-    df = df.withColumn("__pieces", F.transform(tokens, cut))
+    df = df.withColumn("__pieces", F.col(cut) if isinstance(cut, str) else F.transform(tokens, cut))
     df = df.withColumns({
         "pieces": F.flatten("__pieces"),
         "word_ids": F.flatten(F.transform("__pieces", lambda p, i: F.array_repeat(i, F.size(p)))),

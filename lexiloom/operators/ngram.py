@@ -1,4 +1,4 @@
-"""A backward bigram model: every token is predicted from the token to its right."""
+"""Backward n-gram models: every token is predicted from the tokens to its right."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import shifted_left
+from ..session import stored
 from .ordered import lookup
 
 END = "</s>"
@@ -45,3 +46,82 @@ def backward_nll(train: DataFrame, held_out: DataFrame, alpha: float = 1.0,
     scored = known.withColumn("__nll", -F.ln(p) * F.col("n"))
     return (scored.groupBy(*by).agg(F.sum("n").alias("tokens"), (F.sum("__nll") / F.sum("n")).alias("nll"))
             .withColumn("perplexity", F.exp("nll")))
+
+
+# ---- any order: interpolated Kneser-Ney ------------------------------------------------------------
+
+
+LEAST_DISCOUNT = 0.1
+
+
+def contexts(order: int) -> list[str]:
+    """Names of the context columns, the nearest token to the right first."""
+    return [f"ctx{k}" for k in range(1, order)]
+
+
+def backward_counts(df: DataFrame, order: int, tokens: str = "tokens", held: str = "held") -> DataFrame:
+    """``(ctx1, ..., tok, n, held_n)``: counts of every token with the ``order - 1`` tokens to its right, ``</s>`` beyond the end.
+
+    Rows marked ``held`` are counted beside the others in the same row, so that no table is joined with itself.
+    """
+    shifted, columns = F.col(tokens), []
+    for name in contexts(order):
+        shifted = shifted_left(shifted, F.lit(END))
+        columns.append(shifted.alias(name))
+    grams = F.when(F.size(tokens) > 0, F.arrays_zip(*columns, F.col(tokens).alias("tok")))
+    flat = df.select(F.coalesce(F.col(held), F.lit(False)).alias("__held"), F.inline_outer(grams)).where("tok IS NOT NULL")
+    return flat.groupBy(*contexts(order), "tok").agg(F.count_if(~F.col("__held")).alias("n"), F.count_if("__held").alias("held_n"))
+
+
+def continuation_tables(counts: DataFrame, order: int) -> dict[int, DataFrame]:
+    """Tables ``(ctx1, ..., tok, n)`` of orders ``order`` down to 1: below the highest, ``n`` is the number of different
+    tokens that a sequence is continued by to the right."""
+    tables = {order: stored(counts.where("n > 0").select(*contexts(order), "tok", "n"), f"grams-{order}")}
+    for k in range(order - 1, 0, -1):
+        tables[k] = stored(tables[k + 1].groupBy(*contexts(k), "tok").agg(F.count("*").alias("n")), f"grams-{k}")
+    return tables
+
+
+def discounts(table: DataFrame) -> tuple[float, float, float]:
+    """What is taken from counts of one, two and more, from how many counts of one to four there are.
+
+    At least ``LEAST_DISCOUNT``, so that a token never seen in a context has a chance there whatever the counts.
+    """
+    row = table.agg(*[F.count_if(F.col("n") == i).alias(f"c{i}") for i in (1, 2, 3, 4)]).first()
+    c = [row[f"c{i}"] or 0 for i in (1, 2, 3, 4)]
+    share = c[0] / (c[0] + 2 * c[1]) if c[0] else 0.5
+    return tuple(max(i - (i + 1) * share * c[i] / c[i - 1] if c[i - 1] else share, LEAST_DISCOUNT) for i in (1, 2, 3))
+
+
+def kneser_ney_nll(counts: DataFrame, order: int) -> DataFrame:
+    """``(order, tokens, nll, perplexity)`` of the held-out counts under the interpolated model of the others.
+
+        P(t | c1 ... ck) = (max(n - D(n), 0) + (D1 N1 + D2 N2 + D3 N3+) P(t | c1 ... ck-1)) / total,
+
+    the shorter context's probability where a context was never seen, and in the end one in the vocabulary and one place
+    for unknown tokens. Every order is one join with the sequences' counts and one with their contexts' totals; frequent
+    ones are answered in place (:func:`lookup`).
+    """
+    counts = stored(counts, "gram-counts")
+    tables = continuation_tables(counts, order)
+    size = tables[1].count()
+    scored = counts.where("held_n > 0").select(*contexts(order), "tok", "held_n", F.lit(1.0 / (size + 1)).alias("__p"))
+    for k in range(1, order + 1):
+        d1, d2, d3 = discounts(tables[k])
+        n = F.col("n")
+        taken = F.when(n == 1, d1).when(n == 2, d2).otherwise(d3)
+        here = tables[k].withColumn("__taken", taken)
+        names = contexts(k)
+        spread = [*contexts(order), "tok"]
+        scored = lookup(scored, here.select(*names, "tok", F.greatest(n - F.col("__taken"), F.lit(0.0)).alias("__kept"), "n"), [*names, "tok"], "n", spread=spread, how="left")
+        if names:
+            totals = here.groupBy(*names).agg(F.sum("n").alias("__total"), F.sum("__taken").alias("__left"), F.count("*").alias("__kinds"))
+            scored = lookup(scored, totals, names, "__kinds", spread=spread, how="left")
+        else:
+            row = here.agg(F.sum("n").alias("t"), F.sum("__taken").alias("l")).first()
+            scored = scored.withColumns({"__total": F.lit(row["t"] or 0), "__left": F.lit(row["l"] or 0.0)})
+        seen = F.coalesce(F.col("__total"), F.lit(0)) > 0
+        p = F.when(seen, (F.coalesce("__kept", F.lit(0.0)) + F.col("__left") * F.col("__p")) / F.col("__total")).otherwise(F.col("__p"))
+        scored = scored.select(*contexts(order), "tok", "held_n", p.alias("__p"))
+    nll = F.sum(-F.ln("__p") * F.col("held_n")) / F.sum("held_n")
+    return scored.agg(F.sum("held_n").alias("tokens"), nll.alias("nll")).select(F.lit(order).alias("order"), "tokens", "nll", F.exp("nll").alias("perplexity"))

@@ -47,7 +47,7 @@ def cut_stream(df: DataFrame, length: int, start: str, keys: Sequence[str] = (),
 
 def pack_stream(df: DataFrame, length: int, order: Sequence[str] = ("row_id",),
                 columns: Sequence[str] = ("tokens",), keys: Sequence[str] = (), reverse: bool = True,
-                size: Column | None = None, bits: int = BITS) -> DataFrame:
+                size: Column | None = None, bits: int = BITS, levels: int = 1) -> DataFrame:
     """Whole-corpus packing: ``(*keys, block_id, *columns)``, the last part of a stream dropped.
 
     The tokens of every document are reversed (``reverse``), documents follow one another in ``order``, and
@@ -58,7 +58,7 @@ def pack_stream(df: DataFrame, length: int, order: Sequence[str] = ("row_id",),
     """
     size = F.size(columns[0]).cast("bigint") if size is None else size
     narrow = df.select(*keys, *order, *columns, size.alias("__n"))
-    placed = running_total(narrow, F.col("__n"), "__start", order, keys, bits=bits, keep_bucket=True)
+    placed = running_total(narrow, F.col("__n"), "__start", order, keys, bits=bits, levels=levels, keep_bucket=True)
     if reverse:
         placed = placed.withColumns({c: F.reverse(c) for c in columns})
     group = [*keys, BUCKET]

@@ -124,6 +124,28 @@ def corpus_clean(spark, folder):
     return corpus.two_corpus_documents(first, second, "train").select("corpus_rank", "row_id", "text")
 
 
+TWO_BLOCK = 64
+
+
+@query("two_corpus_blocks", f"""WITH {LINES_SQL},
+parts AS (SELECT 0 AS r, doc_id AS a, line_no AS b, text FROM lines UNION ALL SELECT 1, conv_id, turn, text FROM conversations),
+clean AS (SELECT r, a, b, list_filter(string_split_regex(regexp_replace(text, '[{SPACE}]+\\z', ''), '[ \\t\\r\\n]+'), lambda x: x <> '') AS l
+  FROM parts WHERE text <> '' AND NOT starts_with(text, ' =')),
+flat AS (SELECT r, a, b, generate_subscripts(l, 1) AS pos, unnest(l) AS tok FROM clean),
+stream AS (SELECT tok, row_number() OVER (ORDER BY r, a, b, pos DESC) - 1 AS g FROM flat)
+SELECT (g // {TWO_BLOCK})::BIGINT AS block_id, string_agg(tok, ' ' ORDER BY g) AS block FROM stream
+GROUP BY g // {TWO_BLOCK} HAVING count(*) = {TWO_BLOCK}""")
+def two_corpus_blocks(spark, folder):
+    """Lines of the documents, then the conversations: cleaned, joined, tokenized, every text reversed, one stream cut into blocks."""
+    first = inputs.document_lines(spark, folder).select((F.shiftleft("doc_id", 20) + F.col("line_no")).alias("row_id"), "text")
+    second = inputs.table(spark, folder, "conversations").select((F.shiftleft("conv_id", 20) + F.col("turn")).alias("row_id"), "text")
+    united = corpus.two_corpus_documents(first, second, "train")
+    # one integer orders both corpora: the corpus above, the row's id in the 60 bits below
+    placed = united.withColumn("place", F.shiftleft(F.col("corpus_rank").cast("bigint"), 60) + F.col("row_id"))
+    blocks = packing.pack_stream(vocab.tokenize(placed, ["place"]), TWO_BLOCK, ["place"], bits=20, levels=3)
+    return blocks.select("block_id", F.array_join("tokens", " ").alias("block"))
+
+
 @query("corpus_stats", f"""WITH {CORPORA_SQL}, drawn AS (SELECT *,
   CASE WHEN {DRAW_SQL.format(key="corpus || ':' || row_id")} % 10000 < 500 THEN 'validation' ELSE 'train' END AS split,
   len(list_filter(string_split_regex(text, '[ \\t\\r\\n]+'), lambda x: x <> '')) AS k FROM corpora)
@@ -213,6 +235,47 @@ def backward_bigram_nll(spark, folder):
     return scored.select("tokens", F.round("nll", 4).alias("nll"), F.round("perplexity", 2).alias("perplexity"))
 
 
+def _kneser_ney_sql(order: int) -> str:
+    """Tokens and mean loss of the held-out tokens, one table of counts, discounts and contexts per order."""
+    def names(k, prefix=""):
+        return [f"{prefix}c{i}" for i in range(1, k)]
+
+    def listed(*columns):
+        return ", ".join(columns)
+
+    parts = [f"""g AS MATERIALIZED (SELECT tok, {listed(*[f"lead(tok, {i}, '</s>') OVER (PARTITION BY doc_id ORDER BY pos) AS c{i}" for i in range(1, order)])},
+  {DRAW_SQL.format(key='doc_id')} % 10000 < 500 AS held FROM flat)"""]
+    for k in range(order, 0, -1):
+        source = "g WHERE NOT held" if k == order else f"t{k + 1}"
+        parts.append(f"t{k} AS MATERIALIZED (SELECT {listed(*names(k), 'tok')}, count(*) AS n FROM {source} GROUP BY {listed(*names(k), 'tok')})")
+        parts.append(f"""k{k} AS (SELECT count(*) FILTER (n = 1) AS a, count(*) FILTER (n = 2) AS b, count(*) FILTER (n = 3) AS c, count(*) FILTER (n = 4) AS d FROM t{k}),
+y{k} AS (SELECT *, CASE WHEN a > 0 THEN a / (a + 2.0::DOUBLE * b) ELSE 0.5 END AS y FROM k{k}),
+d{k} AS MATERIALIZED (SELECT greatest(CASE WHEN a > 0 THEN 1 - 2 * y * b / a ELSE y END, 0.1) AS d1,
+  greatest(CASE WHEN b > 0 THEN 2 - 3 * y * c / b ELSE y END, 0.1) AS d2, greatest(CASE WHEN c > 0 THEN 3 - 4 * y * d / c ELSE y END, 0.1) AS d3 FROM y{k}),
+e{k} AS MATERIALIZED (SELECT t{k}.*, CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END AS taken FROM t{k}, d{k})""")
+        group = f"GROUP BY {listed(*names(k))}" if k > 1 else ""
+        parts.append(f"h{k} AS MATERIALIZED (SELECT {listed(*names(k), 'sum(n) AS total', 'sum(taken) AS lam')} FROM e{k} {group})")
+    parts.append("p0 AS (SELECT g.*, 1.0::DOUBLE / ((SELECT count(*) FROM t1) + 1) AS p FROM g WHERE held)")
+    for k in range(1, order + 1):
+        on = " AND ".join(f"e.{c} = q.{c}" for c in [*names(k), "tok"])
+        context = f"LEFT JOIN h{k} h ON " + " AND ".join(f"h.{c} = q.{c}" for c in names(k)) if k > 1 else f", h{k} h"
+        parts.append(f"""p{k} AS (SELECT q.* EXCLUDE (p), CASE WHEN h.total > 0 THEN (coalesce(greatest(e.n - e.taken, 0), 0) + h.lam * q.p) / h.total ELSE q.p END AS p
+  FROM p{k - 1} q LEFT JOIN e{k} e ON {on} {context})""")
+    return f"""{TOKENS_SQL},
+flat AS MATERIALIZED (SELECT doc_id, generate_subscripts(toks, 1) AS pos, unnest(toks) AS tok FROM toks),
+{', '.join(parts)}
+SELECT {order} AS "order", count(*) AS tokens, round(avg(-ln(p)), 4) AS nll, round(exp(avg(-ln(p))), 2) AS perplexity FROM p{order}"""
+
+
+@query("backward_trigram_nll", f"SELECT * FROM (WITH {_kneser_ney_sql(2)}) UNION ALL SELECT * FROM (WITH {_kneser_ney_sql(3)})")
+def backward_trigram_nll(spark, folder):
+    """Held-out loss of the backward model with one and with two tokens of context."""
+    split = corpus.holdout(inputs.documents(spark, folder), keys=["doc_id"])
+    tokens = vocab.tokenize(split.withColumn("held", F.col("split") == "validation"), ["held"])
+    found = [ngram.kneser_ney_nll(ngram.backward_counts(tokens, order), order) for order in (2, 3)]
+    return found[0].unionAll(found[1]).select("order", "tokens", F.round("nll", 4).alias("nll"), F.round("perplexity", 2).alias("perplexity"))
+
+
 BLOCK = 128
 BLOCKS_SQL = f"""
 parts AS (SELECT 'documents' AS corpus, doc_id AS a, 0 AS b, doc_id::VARCHAR AS key, text FROM documents

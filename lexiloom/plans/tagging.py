@@ -333,6 +333,43 @@ def subword_labels_special(spark, folder):
                        F.array_join("pieces", ",").alias("pieces"), _joined("special_tokens_mask").alias("special_tokens_mask"))
 
 
+# three quarters of the substrings of up to five characters, drawn by their hash, are pieces: those that begin words, and inner ones
+def _known_sql(piece: str) -> str:
+    return f"('0x' || substr(md5({piece}), 1, 1))::INT < 12"
+
+
+VOCABULARY_SQL = f"""{SENTENCES_SQL}, {SENT_LISTS_SQL},
+words_ AS MATERIALIZED (SELECT DISTINCT tok AS word FROM tagged),
+places AS MATERIALIZED (SELECT word, a::INT AS a, max(n)::INT AS n FROM (SELECT word, a, unnest(range(1, least(5, length(word) - a + 1) + 1)) AS n
+    FROM (SELECT word, unnest(range(1, length(word) + 1)) AS a FROM words_))
+  WHERE {_known_sql("CASE WHEN a > 1 THEN '##' ELSE '' END || substr(word, a::INT, n::INT)")} GROUP BY word, a),
+walk(word, a, pieces) AS (SELECT word, 1, []::VARCHAR[] FROM words_
+  UNION ALL SELECT w.word, w.a + p.n, list_append(pieces, substr(w.word, w.a, p.n)) FROM walk w JOIN places p ON p.word = w.word AND p.a = w.a),
+whole AS MATERIALIZED (SELECT word, pieces FROM walk WHERE a = length(word) + 1),
+cutting AS MATERIALIZED (SELECT w.word, coalesce(pieces, ['[UNK]']) AS pieces FROM words_ w LEFT JOIN whole USING (word)),
+sub AS (SELECT doc_id, sent, flatten(list(pieces ORDER BY pos)) AS pieces,
+  flatten(list(list_transform(pieces, lambda x, i: CASE WHEN i = 1 THEN list_position({TAG_LIST_SQL}, gold) - 1 ELSE -100 END) ORDER BY pos)) AS sub_labels
+  FROM tagged JOIN cutting ON word = tok GROUP BY doc_id, sent)"""
+
+
+@query("subword_vocab_labels", f"""WITH RECURSIVE {VOCABULARY_SQL}
+SELECT doc_id, sent::BIGINT AS sent, array_to_string(list_resize(sub_labels, {LENGTH}, -100), ',') AS sub_labels,
+  array_to_string(list_resize(pieces, {LENGTH}, ''), ',') AS pieces FROM sub""")
+def subword_vocab_labels(spark, folder):
+    """Words cut by the longest pieces of a vocabulary that the table's own words yield."""
+    rows = _label_sentences(spark, folder)
+    words = rows.select(F.explode_outer("tokens").alias("word")).where("word IS NOT NULL").distinct()
+    size, at = F.char_length("word"), F.col("a")
+    each = words.select("word", F.explode(F.sequence(F.lit(1), size)).alias("a")).select(
+        "word", "a", F.explode(F.sequence(F.lit(1), F.least(F.lit(5), size - at + 1))).alias("n"))
+    pieces = each.select(F.substring(F.col("word"), at, F.col("n")).alias("piece"), (at > 1).alias("inner")).distinct()
+    marked = F.concat(F.when(F.col("inner"), "##").otherwise(""), "piece")
+    known = pieces.where(md5_number(marked, digits=1) < 12)
+    cut = labels.vocabulary_pieces(rows, known, ["doc_id", "sent"], longest=5)
+    made = labels.subword_rows(rows.join(cut, ["doc_id", "sent"]), "tokens", "ids", LENGTH, pieces="cut")
+    return made.select("doc_id", "sent", _joined("sub_labels").alias("sub_labels"), F.array_join("pieces", ",").alias("pieces"))
+
+
 @query("features", f"""WITH {PIECES_SQL},
 coded AS (SELECT doc_id, sent, sub_labels, list_transform(pieces, lambda p: ('0x' || substr(md5(p), 1, 4))::INT + 1)
   AS ids FROM sub)

@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.errors import PySparkException
@@ -198,3 +200,61 @@ def test_special_pieces_around_a_sentence(spark):
     assert padded["attention_mask"] == [1, 1, 1, 1, 0, 0, 0]
     with pytest.raises(ValueError):
         labels.subword_rows(df, "tokens", "ids", 1, before=["<s>"], after=["</s>"])
+
+
+def test_words_are_cut_by_the_longest_pieces(spark):
+    known = [("un", False), ("u", False), ("a", False), ("able", True), ("ab", True), ("l", True), ("e", True), ("ff", True), ("f", True), ("aff", True), ("ü", False), ("日本", False)]
+    words = ["unaffable", "unable", "u", "able", "abl", "uffle", "zz", "", "unx", "ü", "日本", "ufff", "aaff"]
+
+    def plain(word):
+        out, at = [], 0
+        while at < len(word):
+            fits = [n for n in range(len(word) - at, 0, -1) if (word[at:at + n], at > 0) in set(known)]
+            if not fits:
+                return ["[UNK]"]
+            out.append(word[at:at + fits[0]])
+            at += fits[0]
+        return out or ["[UNK]"]
+
+    vocabulary = spark.createDataFrame(known, "piece string, inner boolean")
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    got = {r["word"]: r["pieces"] for r in labels.cut_words(df, vocabulary).collect()}
+    assert got == {w: plain(w) for w in words}
+    rows = spark.createDataFrame([(1, words[:4] * 2), (2, []), (3, words[4:])], "id int, tokens array<string>")
+    cut = {r["id"]: r["cut"] for r in labels.vocabulary_pieces(rows, vocabulary, ["id"]).collect()}
+    assert cut == {1: [plain(w) for w in words[:4] * 2], 2: [], 3: [plain(w) for w in words[4:]]}
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_kneser_ney_is_a_distribution_and_equals_plain_counting(spark, order):
+    rng = random.Random(3)
+    letters = ["a", "b", "c", "d", "e", "f"]
+    docs = [(i, [rng.choice(letters[: 2 + i % 5]) for _ in range(rng.randint(0, 9))], False) for i in range(40)]
+    held = [(100 + i, [x, *c], True) for i, c in enumerate([["a"], ["b", "a"], ["f", "f"], [], ["z", "a"]]) for x in [*letters, "new"]]
+    grams = lambda rows: [((*([*t, *["</s>"] * order][p + 1:p + order]),), t[p]) for _, t, _ in rows for p in range(len(t))]
+    tables = {order: Counter(grams(docs))}
+    for k in range(order - 1, 0, -1):
+        tables[k] = Counter((c[:k - 1], t) for c, t in tables[k + 1])
+
+    def taken(k):
+        c = [sum(n == i for n in tables[k].values()) for i in (1, 2, 3, 4)]
+        y = c[0] / (c[0] + 2 * c[1]) if c[0] else 0.5
+        d = [max(i - (i + 1) * y * c[i] / c[i - 1] if c[i - 1] else y, 0.1) for i in (1, 2, 3)]
+        return lambda n: d[min(n, 3) - 1]
+
+    def p(context, token, k):
+        if k == 0:
+            return 1 / (len(tables[1]) + 1)
+        here = {t: n for (c, t), n in tables[k].items() if c == context[:k - 1]}
+        low = p(context, token, k - 1)
+        if not here:
+            return low
+        d = taken(k)
+        return (max(here[token] - d(here[token]), 0) if token in here else 0) / sum(here.values()) + sum(map(d, here.values())) / sum(here.values()) * low
+
+    for context in [("a",) * (order - 1), ("f",) * (order - 1), ("z",) * (order - 1)]:
+        assert math.isclose(sum(p(context, t, order) for t in [*letters, "new"]), 1.0, abs_tol=1e-9)
+    df = spark.createDataFrame(docs + held, "id int, tokens array<string>, held boolean")
+    got = ngram.kneser_ney_nll(ngram.backward_counts(df, order), order).first()
+    want = [-math.log(p(c, t, order)) for c, t in grams(held)]
+    assert got["tokens"] == len(want) and math.isclose(got["nll"], sum(want) / len(want), rel_tol=1e-9)
