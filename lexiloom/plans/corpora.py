@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..operators import corpus, ngram, packing, vocab
+from ..operators.ordered import dense_index
 from ..session import shared_dir, stored
 from ..sources import corpora as readers
 from . import inputs
@@ -99,6 +100,37 @@ def shuffle_order(spark, folder):
     return corpus.shuffled(inputs.table(spark, folder, "documents").select("doc_id"), 7, ["doc_id"], place="place")
 
 
+def _permuted_sql(source: str, seed: int, epoch: int) -> str:
+    """The rounds of the permutation over the column x of a table with id, x, n, and the number of low bits l and of all bits b."""
+    sql = f"SELECT id, n, l, b, x >> l AS high, x & ((1::BIGINT << l) - 1) AS low FROM {source}"
+    for r in range(corpus.ROUNDS):
+        a, c = corpus._round_constants(seed, epoch, r)
+        value, target, mask = ("high", "low", "l") if r % 2 == 0 else ("low", "high", "b - l")
+        mixed = f"((({value} % {corpus.PRIME}) * {a} + {c}) % {corpus.PRIME}) & ((1::BIGINT << ({mask})) - 1)"
+        sql = f"SELECT id, n, l, b, {value}, xor({target}, {mixed}) AS {target} FROM ({sql})"
+    return f"SELECT id, n, l, b, (high << l) + low AS x FROM ({sql})"
+
+
+EPOCH_BATCH, EPOCHS = 32, 3
+
+
+def _epoch_sql(epoch: int) -> str:
+    return f"""walk{epoch} AS ({_permuted_sql('rows_', 11, epoch)} UNION ALL {_permuted_sql(f'(SELECT * FROM walk{epoch} WHERE x >= n)', 11, epoch)})"""
+
+
+@query("epoch_batches", f"""WITH RECURSIVE size AS (SELECT count(*) AS n FROM documents),
+rows_ AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) - 1 AS x, n, greatest(ceil(log2(n)), 2)::INT AS b, greatest(ceil(log2(n)), 2)::INT // 2 AS l FROM documents, size),
+{', '.join(_epoch_sql(e) for e in range(EPOCHS))}
+{' UNION ALL '.join(f"SELECT {e} AS epoch, id AS doc_id, x::BIGINT AS place, (x // {EPOCH_BATCH})::BIGINT AS batch_id FROM walk{e} WHERE x < n" for e in range(EPOCHS))}""")
+def epoch_batches(spark, folder):
+    """Batches of three epochs from one dense index."""
+    rows = inputs.table(spark, folder, "documents").select("doc_id")
+    n = rows.count()
+    indexed = dense_index(rows, "index", ["doc_id"])
+    each = [corpus.epoch_batches(indexed, n, EPOCH_BATCH, 11, e).select(F.lit(e).alias("epoch"), "doc_id", "place", "batch_id") for e in range(EPOCHS)]
+    return each[0].unionAll(each[1]).unionAll(each[2])
+
+
 @query("corpus_filter", f"""WITH {LINES_SQL}
 SELECT doc_id, line_no::BIGINT AS line_no, text FROM lines WHERE text <> '' AND NOT starts_with(text, ' =')""")
 def corpus_filter(spark, folder):

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 from collections import Counter
@@ -258,3 +259,30 @@ def test_kneser_ney_is_a_distribution_and_equals_plain_counting(spark, order):
     got = ngram.kneser_ney_nll(ngram.backward_counts(df, order), order).first()
     want = [-math.log(p(c, t, order)) for c, t in grams(held)]
     assert got["tokens"] == len(want) and math.isclose(got["nll"], sum(want) / len(want), rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 64, 65, 1000])
+def test_every_epoch_is_a_new_order_of_all_rows(spark, n):
+    rows = spark.range(n).withColumnRenamed("id", "index")
+    orders = []
+    for epoch in (0, 1):
+        got = corpus.epoch_batches(rows, n, 10, 5, epoch).orderBy("index").collect()
+        orders.append([r["place"] for r in got])
+        assert sorted(orders[-1]) == list(range(n)) and all(r["batch_id"] == r["place"] // 10 for r in got)
+    assert n < 64 or (orders[0] != orders[1] and sum(a == b for a, b in enumerate(orders[0])) < n / 8)
+
+
+def test_exact_holdout_moves_no_wide_row(spark):
+    df = spark.range(500).select(F.col("id").alias("row_id"), (F.col("id") % 3).cast("string").alias("g"), F.lit("wide").alias("text"))
+    df = df.withColumn("g", F.when(F.col("g") != "1", F.col("g")))  # a third has no group
+    got = corpus.holdout_exact(df, 0.1, by=["g"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("BroadcastExchange") == 1
+    counts = {r["g"]: (r["n"], r["v"]) for r in got.groupBy("g").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "validation").alias("v")).collect()}
+    assert counts == {k: (n, math.ceil(n * 0.1)) for k, n in (("0", 167), (None, 167), ("2", 166))}
+    draw = lambda i: int(hashlib.md5(f"42:{i}".encode()).hexdigest()[:8], 16)
+    held = {r["row_id"] for r in got.where("split = 'validation'").collect()}
+    for k in range(3):
+        ids = sorted((i for i in range(500) if i % 3 == k), key=lambda i: (draw(i), i))
+        assert {i for i in held if i % 3 == k} == set(ids[: math.ceil(len(ids) * 0.1)])
+    assert corpus.holdout_exact(df.where("false"), 0.1).count() == 0 == corpus.holdout_exact(df.where("false"), 0.1, by=["g"]).count()
