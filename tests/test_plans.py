@@ -60,7 +60,10 @@ def test_blocks_inside_a_bucket_need_no_second_shuffle(spark):
 
 def test_expression_operators_have_no_python(spark, folder):
     python_allowed = {"head_scores", "head_gradient", "crf_gradient", "tokens_by_function"}
-    skip = {"corpus_to_blocks", "text_files_read", "processed_split", "head_fit", "head_fit_two_layer", "head_grid", "crf_fit", "tagged_file_round_trip", "prediction_file_eval",
+    # results that are made while the query is built
+    skip = {"corpus_to_blocks", "text_files_read", "processed_split", "head_fit", "head_fit_two_layer", "head_grid", "head_halving", "crf_fit", "tagged_file_round_trip", "prediction_file_eval",
+            "tagged_crlf", "prediction_crlf", "run_log_tree", "run_log_resume", "two_layer_gradient", "two_layer_step", "subword_vocab_labels", "backward_trigram_nll",
+            "crf_partition_long", "crf_partition_wide", "crf_viterbi_long", "crf_viterbi_wide", "crf_gradient_long",
             "written_splits", "encode", "encode_lines", "span_prf_flat", "backward_bigram_nll"}
     for name, fn in catalog.QUERIES.items():
         if name in skip or name.startswith("stream_"):
