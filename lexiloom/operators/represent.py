@@ -12,45 +12,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .ordered import lookup, running_total
-
-
-def sequence_lengths(df: DataFrame, seq: str = "seq_id", mask: str | None = None) -> DataFrame:
-    """``(seq, n, rows)``: valid positions and all positions of every sequence."""
-    valid = F.col(mask) == 1 if mask else F.lit(True)
-    return df.groupBy(seq).agg(F.sum(valid.cast("bigint")).alias("n"), F.count("*").alias("rows"))
+from .ordered import running_total
 
 
 def mirror_join(forward: DataFrame, backward: DataFrame, seq: str = "seq_id", pos: str = "pos",
-                vec: str = "vec", mask: str | None = None, mode: str = "concat",
-                lengths: DataFrame | None = None) -> DataFrame:
+                vec: str = "vec", mask: str | None = None, mode: str = "concat") -> DataFrame:
     """``(seq, pos, vec)``: forward state and un-reversed backward state of every token, concatenated.
 
     ``mask`` is that of both sides, pads anywhere. As in un-reversing an array, the backward states of valid
     positions, last one first, belong to the first positions, and those of pads follow in their own order; with
     pads at the end that is position n-1-p for p of n, and pads in place. Positions count from 0 without holes.
-    The join keys are sequence *and* position, so a long sequence spreads like many short ones; places come from
-    narrow rows, by bucketed counts and :func:`lookup`, which do not gather a sequence's rows. A forward row without a backward row
-    raises. ``mode="forward"`` keeps the forward states alone.
+    The backward state of a valid position goes to the number of valid positions after it, that of a pad to its own
+    position moved on by that number: one bucketed count from the end over narrow rows says both, whatever the length.
+    The joins are on sequence *and* position, so a long sequence spreads like many short ones. A forward row without a
+    backward row raises. ``mode="forward"`` keeps the forward states alone.
     """
     if mode == "forward":
         return forward.select(seq, pos, vec)
     if mode != "concat":
         raise ValueError(f"mode {mode!r} is neither 'concat' nor 'forward'")
-    lengths = sequence_lengths(forward, seq, mask) if lengths is None else lengths
-    # narrow rows: where the backward state of every position goes
-    places = forward.select(seq, pos, *([mask] if mask else []))
-    if mask:
-        places = running_total(places, F.col(mask).cast("bigint"), "__valid", [pos], [seq])
-    places = lookup(places, lengths.select(seq, "n", "rows"), [seq], "rows", spread=[seq, pos])
-    if mask:
-        at = F.when(F.col(mask) == 1, F.col("n") - 1 - F.col("__valid")).otherwise(F.col("n") + F.col(pos) - F.col("__valid"))
-    else:
-        at = F.col("n") - 1 - F.col(pos)
-    placed = places.select(seq, F.col(pos).cast("bigint").alias("__from"), at.cast("bigint").alias("__at"))
-    right = (backward.select(seq, F.col(pos).cast("bigint").alias("__from"), F.col(vec).alias("__back"))
+    place = F.col(pos).cast("bigint")
+    valid = (F.col(mask) == 1) if mask else F.lit(True)
+    places = forward.select(seq, place.alias("__from"), valid.alias("__valid"), (-place).alias("__back_order"))
+    places = running_total(places, F.col("__valid").cast("bigint"), "__after", ["__back_order"], [seq])
+    placed = places.select(seq, "__from", (F.col("__after") + F.when(F.col("__valid"), 0).otherwise(F.col("__from"))).alias("__at"))
+    right = (backward.select(seq, place.alias("__from"), F.col(vec).alias("__back"))
              .join(placed, [seq, "__from"]).drop("__from"))
-    left = forward.select(seq, pos, vec, F.col(pos).cast("bigint").alias("__at"))
+    left = forward.select(seq, pos, vec, place.alias("__at"))
     joined = left.join(right, [seq, "__at"], "left")
     both = F.when(F.col("__back").isNotNull(), F.concat(vec, "__back")).otherwise(
         F.raise_error(F.format_string("no backward state for position %d", F.col(pos))).cast("array<float>"))
