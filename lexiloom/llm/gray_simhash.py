@@ -18,8 +18,10 @@ With ``similarity``, codes only say which texts meet, and a link is a pair whose
 Jaccard similarity. Bits are then votes of distinct shingles and equal sets, not equal codes, are one entry. First the links of
 the search above are compared by their shingles, joined by entry in Spark. Groups of entries that met but did not become one
 component are then searched again: every entry beside the nearest entry of each other component in its buckets, then all
-pairs of different components, so no pair that met is left out. A large group of true copies costs one comparison per entry and
-bucket; one whose entries met and are mostly less similar is compared pair by pair.
+pairs of different components, so no pair that met is left out. In the first search a bucket's entries are linked to the most
+central of them, which the copies of one text resemble more than each other. In the others, pairs go only if they can be
+similar enough: each group's sets are laid beside one set of reference; two sets share what both hold of it, and beyond it
+no more than the smaller remainder.
 
 Buckets larger than ``split`` entries are dealt out again by blocks of bits they have not used yet, one more than a pair may
 differ in, so that the pair agrees in one of them.
@@ -57,6 +59,9 @@ LANES = np.uint64(0x0101010101010101)
 MASK_BITS, MASKS = 16, 64
 #: masks when the pairs met are verified
 VERIFIED_MASKS = 96
+#: elements of a set of reference that others are laid beside, one bit each
+REFERENCE = 512
+REFERENCE_BITS = [f"b{k}" for k in range(REFERENCE // 64)]
 #: share of the entries by which large buckets are told: one of more than SPLIT has some thousand of them
 SAMPLED = 64
 
@@ -294,8 +299,37 @@ def bucket_links(bucket: np.ndarray, codes: np.ndarray, limit: int) -> np.ndarra
     return label
 
 
-def cross_pairs(codes: np.ndarray, part: np.ndarray, limit: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of entries of different parts that differ in at most ``limit`` bits: all, or for an entry and a part the nearest."""
+def central(label: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """For every entry the one of its component that is nearest to the majority of the component's bits."""
+    order = np.argsort(label, kind="stable")
+    start = np.flatnonzero(np.append(True, label[order][1:] != label[order][:-1]))
+    size = np.diff(start, append=len(order))
+    bits = np.unpackbits(codes[order].view(np.uint8), axis=1)
+    most = np.packbits(2 * np.add.reduceat(bits, start, axis=0, dtype=np.int64) > size[:, None], axis=1).view(np.uint64)
+    far = np.bitwise_count(codes[order] ^ np.repeat(most, size, axis=0)).sum(1, dtype=np.int64)
+    group = np.repeat(np.arange(len(start)), size)
+    best = np.lexsort((order, far, group))[start]
+    out = np.empty(len(label), np.int64)
+    out[order] = np.repeat(order[best], size)
+    return out
+
+
+def may_be_similar(n: np.ndarray, m: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets i and j can reach the similarity, from their sizes ``n`` and what they share with one set of reference.
+
+    ``bits`` says which of its first elements they hold, ``m`` how many: two sets share what both hold of these, and of the
+    rest at most the smaller remainder.
+    """
+    common = np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64) + np.minimum(n[i] - m[i], n[j] - m[j])
+    common = np.minimum(common, np.minimum(n[i], n[j]))
+    return common >= similarity * (n[i] + n[j] - common) - 1e-9
+
+
+def cross_pairs(codes: np.ndarray, part: np.ndarray, limit: int, every: bool, can=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of entries of different parts that differ in at most ``limit`` bits: all, or for an entry and a part the nearest.
+
+    ``can`` leaves out pairs that cannot be meant: from positions i and j to whether they can.
+    """
     n = len(codes)
     step = max(1, (1 << 20) // max(n, 1))
     for at in range(0, n, step):
@@ -305,6 +339,9 @@ def cross_pairs(codes: np.ndarray, part: np.ndarray, limit: int, every: bool) ->
         i, j = np.nonzero((apart <= limit) & (part[at : at + step, None] != part[None]))
         far = apart[i, j]
         i = i + at
+        if can is not None and len(i):
+            ok = can(i, j)
+            i, j, far = i[ok], j[ok], far[ok]
         if every:
             yield i[i < j], j[i < j]
         elif len(i):
@@ -314,9 +351,10 @@ def cross_pairs(codes: np.ndarray, part: np.ndarray, limit: int, every: bool) ->
             yield i[best], j[best]
 
 
-def _link_task(words: int, limit: int, every: bool | None = None):
-    """Links of the search; with ``every`` given, rows have a part before the code and all or the nearest cross pairs count."""
-    head = 2 if every is None else 3
+def _link_task(words: int, limit: int, every: bool | None = None, similarity: float = 0.0):
+    """Links of the search, of several words to the component's most central entry; with ``every`` given, rows have a part, a size
+    and the bits of ``may_be_similar`` before the code, and all or the nearest cross pairs that can be similar count."""
+    head = 2 if every is None else 5 + REFERENCE // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((0, words + head), np.int64)  # bucket, entry, part, code
@@ -325,12 +363,15 @@ def _link_task(words: int, limit: int, every: bool | None = None):
             codes = np.ascontiguousarray(rows[:, head:]).view(np.uint64)
             if every is None:
                 label = bucket_links(rows[:, 0], codes, limit)
+                label = central(label, codes) if words > 1 and len(label) else label
                 far = np.flatnonzero(label != np.arange(len(label)))
                 yield pa.RecordBatch.from_arrays([pa.array(rows[far, 1]), pa.array(rows[label[far], 1])], names=["a", "b"])
                 return
             start = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
             for s, e in zip(start.tolist(), [*start[1:].tolist(), len(rows)], strict=True):
-                for i, j in cross_pairs(codes[s:e], rows[s:e, 2], limit, every) if e - s > 1 else ():
+                n, m, bits = rows[s:e, 3], rows[s:e, 4], np.ascontiguousarray(rows[s:e, 5:head]).view(np.uint64)
+                can = lambda i, j: may_be_similar(n, m, bits, i, j, similarity)  # noqa: B023, E731
+                for i, j in cross_pairs(codes[s:e], rows[s:e, 2], limit, every, can) if e - s > 1 else ():
                     yield pa.RecordBatch.from_arrays([pa.array(rows[s + i, 1]), pa.array(rows[s + j, 1])], names=["a", "b"])
 
         for batch in batches:
@@ -346,10 +387,11 @@ def _link_task(words: int, limit: int, every: bool | None = None):
 
 
 def links(codes: DataFrame, words: int = 1, radius: int = RADIUS, limit: int | None = None, split: int = SPLIT,
-          masks: int = MASKS, every: bool | None = None) -> DataFrame:
+          masks: int = MASKS, every: bool | None = None, similarity: float = 0.0) -> DataFrame:
     """Links a, b between entries ``v`` of codes fp, fp1, ...: enough of the near ones to join their components.
 
-    With ``every`` given, of the entries' column ``part``: pairs of different parts, all or the nearest (see cross_pairs).
+    With ``every`` given, of the entries' column ``part``: pairs of different parts, all or the nearest (see cross_pairs), which
+    by the columns n, m, b0, b1, ... can have the similarity (see may_be_similar).
     """
     names = word_names(words)
     limit = radius if limit is None else limit
@@ -358,7 +400,7 @@ def links(codes: DataFrame, words: int = 1, radius: int = RADIUS, limit: int | N
         first = [parts[i] + parts[j] for i, j in combinations(range(len(parts)), 2)]
     else:
         first = drawn_masks(words, masks)
-    kept = ["v", *(["part"] if every is not None else []), *names]
+    kept = ["v", *(["part", "n", "m", *REFERENCE_BITS] if every is not None else []), *names]
     finer = [blocks([b for b in range(64 * words) if b not in bits], limit + 1) for bits in first]
     masked = F.xxhash64(*[F.col(name).bitwiseAND(F.col("mask")[w]) for w, name in enumerate(names)])
     dealt = (codes.select(*kept, F.posexplode(F.lit([_masks(bits, words) for bits in first])).alias("t", "mask"))
@@ -374,7 +416,7 @@ def links(codes: DataFrame, words: int = 1, radius: int = RADIUS, limit: int | N
               .select(*kept, "t", "key", F.explode(F.coalesce("again", whole)).alias("mask"))
               .select(F.xxhash64("t", "key", "mask", masked).alias("bucket"), *kept))
     in_order = placed.repartition("bucket").sortWithinPartitions("bucket", gray_rank(F.col("fp")))
-    return in_order.mapInArrow(returned(_link_task(words, limit, every)), "a long, b long").distinct()
+    return in_order.mapInArrow(returned(_link_task(words, limit, every, similarity)), "a long, b long").distinct()
 
 
 # ---- verified links
@@ -396,6 +438,30 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(common >= similarity * (total - common) - 1e-9).select("a", "b")
 
 
+def _reference_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A set's size, how many of the first elements of its reference it holds, and which."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bits = np.zeros((batch.num_rows, REFERENCE), np.uint8)
+        for i, (grams, others) in enumerate(zip(batch.column("grams"), batch.column("reference"), strict=True)):
+            first = others.values.to_numpy()[:REFERENCE]
+            bits[i, : len(first)] = np.isin(first, grams.values.to_numpy(), assume_unique=True)
+        words = np.packbits(bits, axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(batch.column("grams").value_lengths().to_numpy().astype(np.int64)),
+                                          pa.array(bits.sum(1, dtype=np.int64)), *[pa.array(np.ascontiguousarray(w)) for w in words.T]],
+                                         names=["v", "n", "m", *REFERENCE_BITS])
+
+
+def against_reference(groups: DataFrame, met: DataFrame, sets: DataFrame) -> DataFrame:
+    """v, n, m, b0, b1, ...: every entry (v, loose) beside its group's set of reference, the entry that most others met."""
+    degree = met.groupBy(F.col("b").alias("v")).agg(F.count("*").alias("c"))
+    reference = groups.join(degree, "v", "left").groupBy("loose").agg(F.max_by("v", F.struct(F.coalesce("c", F.lit(0)), "v")).alias("r"))
+    grams = reference.join(sets.select(F.col("v").alias("r"), F.slice("grams", 1, REFERENCE).alias("reference")), "r").select("loose", "reference")
+    both = groups.join(grams, "loose").join(sets, "v").select("v", "grams", "reference")
+    return both.mapInArrow(returned(_reference_task), ", ".join(["v long", "n long", "m long", *(f"{b} long" for b in REFERENCE_BITS)]))
+
+
 def roots_of(entries: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """The entries with the least entry of their component under ``name``."""
     return entries.join(components(edges).withColumnRenamed("root", name), "v", "left").withColumn(name, F.coalesce(name, "v"))
@@ -419,12 +485,13 @@ def verified_links(plain: DataFrame, prints: DataFrame, codes: DataFrame, width:
             if good.count() == met.count():
                 break
             loose = stored(roots_of(ids, met, "loose"), "loose")
+            seen = stored(against_reference(loose, met, sets), "reference")
         parts = stored(roots_of(loose, good, "part"), "parts")
         open_ = parts.groupBy("loose").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("loose")
-        left = stored(codes.join(parts.join(open_, "loose").select("v", "part"), "v"), "open")
+        left = stored(codes.join(parts.join(open_, "loose").select("v", "part"), "v").join(seen, "v"), "open")
         if left.isEmpty():
             break
-        pairs = links(left, words, 0, limit, split, VERIFIED_MASKS, every)
+        pairs = links(left, words, 0, limit, split, VERIFIED_MASKS, every, similarity)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         good = stored(good.unionAll(similar(pairs, sets, similarity)), "similar")
     return good

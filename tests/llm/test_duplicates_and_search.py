@@ -290,3 +290,23 @@ def test_rows_that_share_an_id_are_rows_of_their_own(spark):
     for candidates in (2, 8192):
         got = sorted(map(tuple, impact_topk.top_k(df, F.col("id") == 20, candidates=candidates, k=3).collect()))
         assert got == sorted([(20, 1, 22, 45), (20, 2, 21, 9), (20, 3, 20, 0), (20, 1, 21, 9), (20, 2, 20, 0), (20, 3, 22, 0)])
+
+
+def test_pairs_left_out_by_the_reference_are_not_similar():
+    rng = np.random.default_rng(8)
+    base = rng.choice(5000, 300, replace=False)
+    sets = [set(np.where(rng.random(300) < rate, rng.integers(5000, 9000, 300), base).tolist()) for rate in rng.uniform(0, 0.5, 120)]
+    sets += [set(), set(base.tolist()), set(base[:100].tolist())]
+    n = np.array([len(x) for x in sets])
+    held = np.zeros((len(sets), gray_simhash.REFERENCE), np.uint8)
+    held[:, :300] = [[b in x for b in base.tolist()] for x in sets]
+    bits, m = np.packbits(held, axis=1).view(np.uint64), held.sum(1, dtype=np.int64)
+    i, j = np.triu_indices(len(sets), 1)
+    can = gray_simhash.may_be_similar(n, m, bits, i, j, 0.8)
+    real = np.array([len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9 for a, b in zip(i, j)])
+    assert (can | ~real).all() and can.sum() < 0.5 * len(i) and real.sum() > 50
+
+
+def test_the_central_entry_of_a_component():
+    codes = np.array([[0b1111, 0], [0b0111, 0], [0b0110, 1], [0b0111, 3], [9, 9]], np.uint64)
+    assert gray_simhash.central(np.array([0, 0, 0, 0, 4]), codes).tolist() == [1, 1, 1, 1, 4]
