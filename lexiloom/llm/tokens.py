@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from .texts import U64, bytes_of, held, mix, ragged, string_hashes
 
 #: bytes of pieces and their ids that an encoder keeps; beyond that it starts anew
-KEPT = 48 << 20
+KEPT = 64 << 20
 MARKS = frozenset(".,;:!?")
 #: white space, a space, then white space, the end or a special token: a cut at that space may differ
 UNSAFE = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}] ([\s\p{Z}\x{85}\x{1c}-\x{1f}<]|$)"
