@@ -20,7 +20,7 @@ the run of its word.
 3. Sums meet by run of texts.
 
 Words are told apart by 64-bit hashes, predecessors of one word by 32 bits. A shard holds about ``SHARD_TOKENS``
-tokens whatever the size of the corpus.
+tokens, unless one pair of words has more: all occurrences of a pair stay in one shard.
 
 Cases: null and blank texts are their end alone; without any training text every word is unknown and base_score and
 score are null; equal rows are scored one by one; a null ``doc_id`` is held out if the caller's column says so (null:
