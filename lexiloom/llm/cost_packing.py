@@ -30,6 +30,8 @@ from .tokens import encoder
 
 LENGTH = 2048
 GROUP_TOKENS = 1 << 20
+#: bytes of text that are encoded at once, and of pieces that the encoder keeps: this stage runs where others have left memory
+RUN, KEPT = 1 << 20, 24 << 20
 #: weight of n^2 beside n: attention reaches the linear cost at a whole sequence
 QUADRATIC = 1 / LENGTH
 
@@ -75,7 +77,7 @@ def balance(sizes: np.ndarray, length: int, quadratic: float = QUADRATIC) -> tup
 
 def _pack_task(path: str, spaceless: bool, end_id: int, length: int, group_tokens: int, quadratic: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path, spaceless)
+        coder = encoder(path, spaceless, KEPT)
         base = TaskContext.get().partitionId() << 32
         n_seq = 0
         held: list[tuple] = []  # (doc_id, start, ids, doc_tokens)
@@ -101,7 +103,7 @@ def _pack_task(path: str, spaceless: bool, end_id: int, length: int, group_token
             n_held = sum(len(x[2]) for x in held)
 
         for batch in batches:
-            for part in pieces(batch, limit=4 << 20):
+            for part in pieces(batch, limit=RUN):
                 ids, per = coder.encode_ended(part.column("text"), end_id)
                 stop = np.cumsum(per)
                 for doc, b, n in zip(part.column("doc_id").to_pylist(), stop.tolist(), per.tolist(), strict=True):

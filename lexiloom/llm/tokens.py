@@ -23,15 +23,16 @@ UNSAFE = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}] ([\s\p{Z}\x{85}\x{1c}-\x{1f}<]|$)"
 SPACED = U64(0xA0761D6478BD642F)
 
 
-def encoder(path: str, spaceless: bool) -> Encoder:
+def encoder(path: str, spaceless: bool, kept: int = KEPT) -> Encoder:
     """The process's encoder for a file. ``spaceless``: the tokenizer drops white space and lower-cases.
 
     The process keeps one, with its pieces, for the next task that encodes; a task of another kind lets it go.
     """
-    if ("encoder", path, spaceless) not in held:
+    key = ("encoder", path, spaceless, kept)
+    if key not in held:
         held.clear()
-        held["encoder", path, spaceless] = Encoder(path, spaceless)
-    return held["encoder", path, spaceless]
+        held[key] = Encoder(path, spaceless, kept)
+    return held[key]
 
 
 class _Known:
