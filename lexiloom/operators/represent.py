@@ -16,8 +16,8 @@ from .ordered import running_total
 
 
 def mirror_join(forward: DataFrame, backward: DataFrame, seq: str = "seq_id", pos: str = "pos",
-                vec: str = "vec", mask: str | None = None, mode: str = "concat") -> DataFrame:
-    """``(seq, pos, vec)``: forward state and un-reversed backward state of every token, concatenated.
+                vec: str = "vec", mask: str | None = None, mode: str = "concat", keep: Sequence[str] = ()) -> DataFrame:
+    """``(seq, pos, vec, *keep)``: forward state and un-reversed backward state of every token, concatenated.
 
     ``mask`` is that of both sides, pads anywhere. As in un-reversing an array, the backward states of valid
     positions, last one first, belong to the first positions, and those of pads follow in their own order; with
@@ -25,10 +25,11 @@ def mirror_join(forward: DataFrame, backward: DataFrame, seq: str = "seq_id", po
     The backward state of a valid position goes to the number of valid positions after it, that of a pad to its own
     position moved on by that number: one bucketed count from the end over narrow rows says both, whatever the length.
     The joins are on sequence *and* position, so a long sequence spreads like many short ones. A forward row without a
-    backward row raises. ``mode="forward"`` keeps the forward states alone.
+    backward row raises; a state that is NULL makes a NULL. ``keep`` names further columns of ``forward``.
+    ``mode="forward"`` keeps the forward states alone.
     """
     if mode == "forward":
-        return forward.select(seq, pos, vec)
+        return forward.select(seq, pos, vec, *keep)
     if mode != "concat":
         raise ValueError(f"mode {mode!r} is neither 'concat' nor 'forward'")
     place = F.col(pos).cast("bigint")
@@ -36,13 +37,13 @@ def mirror_join(forward: DataFrame, backward: DataFrame, seq: str = "seq_id", po
     places = forward.select(seq, place.alias("__from"), valid.alias("__valid"), (-place).alias("__back_order"))
     places = running_total(places, F.col("__valid").cast("bigint"), "__after", ["__back_order"], [seq])
     placed = places.select(seq, "__from", (F.col("__after") + F.when(F.col("__valid"), 0).otherwise(F.col("__from"))).alias("__at"))
-    right = (backward.select(seq, place.alias("__from"), F.col(vec).alias("__back"))
+    right = (backward.select(seq, place.alias("__from"), F.col(vec).alias("__back"), F.lit(True).alias("__met"))
              .join(placed, [seq, "__from"]).drop("__from"))
-    left = forward.select(seq, pos, vec, place.alias("__at"))
+    left = forward.select(seq, pos, vec, *keep, place.alias("__at"))
     joined = left.join(right, [seq, "__at"], "left")
-    both = F.when(F.col("__back").isNotNull(), F.concat(vec, "__back")).otherwise(
+    both = F.when(F.col("__met"), F.concat(vec, "__back")).otherwise(
         F.raise_error(F.format_string("no backward state for position %d", F.col(pos))).cast("array<float>"))
-    return joined.select(seq, pos, both.alias(vec))
+    return joined.select(seq, pos, both.alias(vec), *keep)
 
 
 def head_scores(df: DataFrame, hidden: np.ndarray, hidden_bias: np.ndarray, out: np.ndarray,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric
@@ -64,28 +65,46 @@ def mean_batch_loss(spark, folder):
     return metrics.epoch_loss(_logits(spark, folder), "batch").select(F.round("loss", 4).alias("loss"))
 
 
-def _states(spark, folder):
-    """Forward states are dimensions 1-32; backward states, 33-64, stand at the mirrored position.
+def _placed_vectors(spark, folder, valid):
+    """Ten neighbouring ids are one sequence, whichever of them there are; ``place`` counts its ``n`` vectors from 0.
 
-    Sequences of ten, of which the last ``seq_id % 4`` positions are pads.
+    ``mask`` marks its ``n_valid`` valid ones.
     """
     rows = inputs.table(spark, folder, "embeddings").select(
         F.floor(F.col("vec_id") / 10).cast("bigint").alias("seq_id"), (F.col("vec_id") % 10).alias("pos"),
-        "embedding")
-    rows = rows.withColumn("mask", (F.col("pos") < 10 - F.col("seq_id") % 4).cast("int"))
-    forward = rows.select("seq_id", "pos", "mask", F.slice("embedding", 1, 32).alias("vec"))
-    place = F.when(F.col("mask") == 1, 9 - F.col("seq_id") % 4 - F.col("pos")).otherwise(F.col("pos"))
-    return forward, rows.select("seq_id", place.alias("pos"), F.slice("embedding", 33, 32).alias("vec"))
+        "embedding").withColumn("mask", valid.cast("int"))
+    whole = Window.partitionBy("seq_id")
+    return rows.withColumns({
+        "place": F.row_number().over(whole.orderBy("pos", "embedding")) - 1,
+        "n": F.count("*").over(whole), "n_valid": F.coalesce(F.sum("mask").over(whole), F.lit(0))})
+
+
+def _sides(rows, place):
+    return (rows.select("seq_id", "pos", "place", "mask", F.slice("embedding", 1, 32).alias("vec")),
+            rows.select("seq_id", place.alias("place"), F.slice("embedding", 33, 32).alias("vec")))
+
+
+def _states(spark, folder):
+    """Forward states are dimensions 1-32; backward states, 33-64, stand at the mirrored position.
+
+    Sequences of up to ten, in which the last ``seq_id % 4`` of ten positions are pads.
+    """
+    rows = _placed_vectors(spark, folder, F.col("pos") < 10 - F.col("seq_id") % 4)
+    return _sides(rows, F.when(F.col("mask") == 1, F.col("n_valid") - 1 - F.col("place")).otherwise(F.col("place")))
+
+
+def _joined_states(forward, backward):
+    joined = represent.mirror_join(forward, backward, pos="place", mask="mask", keep=["pos"])
+    weighted = F.transform("vec", lambda v, i: v.cast("double") * (i + 1))
+    return joined.select("seq_id", "pos", F.size("vec").cast("bigint").alias("width"),
+                         F.round(numeric.total(weighted), 4).alias("checksum"))
 
 
 @query("mirror_join", """
 SELECT vec_id // 10 AS seq_id, vec_id % 10 AS pos, len(embedding)::BIGINT AS width,
   round(list_sum(list_transform(embedding, lambda v, i: v::DOUBLE * i)), 4) AS checksum FROM embeddings""")
 def mirror_join(spark, folder):
-    joined = represent.mirror_join(*_states(spark, folder), mask="mask")
-    weighted = F.transform("vec", lambda v, i: v.cast("double") * (i + 1))
-    return joined.select("seq_id", "pos", F.size("vec").cast("bigint").alias("width"),
-                         F.round(numeric.total(weighted), 4).alias("checksum"))
+    return _joined_states(*_states(spark, folder))
 
 
 @query("mirror_join_left", """
@@ -93,16 +112,9 @@ SELECT vec_id // 10 AS seq_id, vec_id % 10 AS pos, len(embedding)::BIGINT AS wid
   round(list_sum(list_transform(embedding, lambda v, i: v::DOUBLE * i)), 4) AS checksum FROM embeddings""")
 def mirror_join_left(spark, folder):
     """Pads in front: the backward states of valid positions stand behind them, in reversed order."""
-    rows = inputs.table(spark, folder, "embeddings").select(
-        F.floor(F.col("vec_id") / 10).cast("bigint").alias("seq_id"), (F.col("vec_id") % 10).alias("pos"), "embedding")
-    pads = F.col("seq_id") % 4
-    forward = rows.select("seq_id", "pos", (F.col("pos") >= pads).cast("int").alias("mask"), F.slice("embedding", 1, 32).alias("vec"))
-    place = F.when(F.col("pos") < 10 - pads, 9 - F.col("pos")).otherwise(F.col("pos") - 10 + pads)
-    backward = rows.select("seq_id", place.alias("pos"), F.slice("embedding", 33, 32).alias("vec"))
-    joined = represent.mirror_join(forward, backward, mask="mask")
-    weighted = F.transform("vec", lambda v, i: v.cast("double") * (i + 1))
-    return joined.select("seq_id", "pos", F.size("vec").cast("bigint").alias("width"),
-                         F.round(numeric.total(weighted), 4).alias("checksum"))
+    rows = _placed_vectors(spark, folder, F.col("pos") >= F.col("seq_id") % 4)
+    return _joined_states(*_sides(rows, F.when(F.col("place") < F.col("n_valid"), F.col("n") - 1 - F.col("place"))
+                                  .otherwise(F.col("place") - F.col("n_valid"))))
 
 
 @query("forward_states", """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import numeric
 from lexiloom.operators import metrics, represent, runs
+from lexiloom.plans import vectors
 
 
 def states(spark, mask):
@@ -34,6 +35,17 @@ def test_mirror_join_modes_and_missing_rows(spark):
         represent.mirror_join(forward, backward.where("pos > 0")).collect()
 
 
+@pytest.mark.parametrize("name", ["mirror_join", "mirror_join_left", "forward_states"])
+def test_mirror_joins_of_sequences_with_missing_and_repeated_vectors(spark, tmp_path, name):
+    ids = [*range(10), *range(10, 16), 21, 24, 29, 31, 31, 39, 70]
+    rows = [(v, [float((7 * k + 3 * i) % 11) for i in range(64)]) for k, v in enumerate(ids)] + [(25, None)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = vectors.QUERIES[name](spark, str(tmp_path)).collect()
+    wide = 64 if name != "forward_states" else 32
+    want = [(v // 10, v % 10, None if x is None else sum(y * (i + 1) for i, y in enumerate(x[:wide]))) for v, x in rows]
+    assert sorted(((r["seq_id"], r["pos"], r["checksum"]) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_head_scores(spark):
     rng = np.random.default_rng(1)
     w1, b1, w2, b2 = rng.normal(size=(4, 3)), rng.normal(size=4), rng.normal(size=(2, 4)), rng.normal(size=2)
