@@ -66,7 +66,7 @@ def mean_batch_loss(spark, folder):
 
 
 def _placed_vectors(spark, folder, valid):
-    """Ten neighbouring ids are one sequence, whichever of them there are; ``place`` counts its ``n`` vectors from 0.
+    """Ten neighbouring ids are one sequence, whichever of them there are; ``place`` counts its ``n`` positions from 0.
 
     ``mask`` marks its ``n_valid`` valid ones.
     """
@@ -75,8 +75,8 @@ def _placed_vectors(spark, folder, valid):
         "embedding").withColumn("mask", valid.cast("int"))
     whole = Window.partitionBy("seq_id")
     return rows.withColumns({
-        "place": F.row_number().over(whole.orderBy("pos", "embedding")) - 1,
-        "n": F.count("*").over(whole), "n_valid": F.coalesce(F.sum("mask").over(whole), F.lit(0))})
+        "place": F.dense_rank().over(whole.orderBy("pos")) - 1, "n": F.size(F.collect_set("pos").over(whole)),
+        "n_valid": F.size(F.collect_set(F.when(F.col("mask") == 1, F.col("pos"))).over(whole))})
 
 
 def _sides(rows, place):
