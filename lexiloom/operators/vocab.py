@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from ..functions.arrays import fit_length, fit_mask, special_mask
 from ..functions.text import is_blank, words
 from .ordered import lookup
 
+# characters that a caller's tokenizer gets at once
+BATCH_CHARS = 1 << 20
+
 
 def tokenize(df: DataFrame, keys: Sequence[str], text: str = "text", out: str = "tokens") -> DataFrame:
     """Token arrays of every text; other columns are dropped. No shuffle."""
@@ -20,8 +24,22 @@ def tokenize(df: DataFrame, keys: Sequence[str], text: str = "text", out: str =
 
 def tokenize_with(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
                   schema: str) -> DataFrame:
-    """Tokenize with the caller's own batch function (a sub-word library), in Arrow batches."""
-    return df.mapInPandas(fn, schema)
+    """Tokenize with the caller's own batch function (a sub-word library), in Arrow batches.
+
+    The function gets a batch in pieces of up to ``BATCH_CHARS`` characters, as tokens take many times the room of a text.
+    """
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            size = np.zeros(len(batch), np.int64)
+            for name in batch.columns:
+                size += np.array([len(v) if isinstance(v, str) else 0 for v in batch[name]], np.int64)
+            part = (np.cumsum(size) // BATCH_CHARS) if len(batch) else size
+            ends = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(batch)]
+            for a, b in zip(ends[:-1], ends[1:]):
+                if b > a or not len(batch):
+                    yield batch.iloc[a:b].reset_index(drop=True)
+
+    return df.mapInPandas(lambda batches: fn(pieces(batches)), schema)
 
 
 def token_counts(df: DataFrame, tokens: str = "tokens") -> DataFrame:
