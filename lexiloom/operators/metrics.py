@@ -125,9 +125,9 @@ def evaluation_summary(df: DataFrame, gold: str = "gold", pred: str = "pred", se
     counted = cells.groupBy("overall", "type").agg(*[F.sum(n).cast("bigint").alias(n) for n in names])
     # chunks also go to the overall row, which is there without any
     start = df.sparkSession.createDataFrame([(True, "ALL", *[0] * 7)], "overall boolean, type string, " + ", ".join(f"{n} bigint" for n in names))
-    total = counted.select(F.lit(True).alias("overall"), F.lit("ALL").alias("type"), *names)
-    both = (counted.where(~F.col("overall")).unionByName(total).unionByName(start)
-            .groupBy("overall", "type").agg(*[F.sum(n).alias(n) for n in names]))
+    total = F.struct(F.lit(True).alias("overall"), F.lit("ALL").alias("type"), *names)
+    shares = counted.select(F.inline(F.array(F.when(~F.col("overall"), F.struct("overall", "type", *names)), total))).where("type IS NOT NULL")
+    both = shares.unionByName(start).groupBy("overall", "type").agg(*[F.sum(n).alias(n) for n in names])
     top = F.col("overall")
     percent = {"accuracy": F.try_divide(F.col("same").cast("double"), F.col("tokens").cast("double")),
                "accuracy_inside": F.try_divide(F.col("same_inside").cast("double"), F.col("inside").cast("double"))}
