@@ -78,8 +78,8 @@ def kshot(df: DataFrame, k: int, order: Sequence[str], tags: str = "tags") -> Da
     """The first ``k`` eligible sentences of every type, in ``order``; adds ``type``.
 
     ``order`` names a row. Only these keys are ranked: first inside ``KSHOT_RUNS`` runs per type, so that a type
-    that holds most sentences is many tasks, then among the runs' first ``k``. The rows themselves come by a join
-    with the chosen keys.
+    that holds most sentences is many tasks, then among the runs' first ``k``. The chosen keys, ``k`` of each type, are
+    broadcast, and the rows meet them where they stand; for a ``k`` too large for that see :func:`kshot_by_prefix`.
     """
     kind = kshot_type(F.col(tags))
     typed = df.select(*order, kind.alias("type")).where(F.col("type").isNotNull())
@@ -88,7 +88,7 @@ def kshot(df: DataFrame, k: int, order: Sequence[str], tags: str = "tags") -> Da
     for group in (["type", "__run"], ["type"]):
         rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
         first = first.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
-    return df.join(first.drop("__run"), list(order)).select(*df.columns, "type")
+    return df.join(F.broadcast(first.drop("__run")), list(order)).select(*df.columns, "type")
 
 
 def kshot_by_prefix(df: DataFrame, k: int, order: Sequence[str], tags: str = "tags", bits: int = 12) -> DataFrame:
