@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 EMPTY_NAME = "\\e"
 
 
@@ -28,6 +30,7 @@ def _depth(text: Column) -> Column:
 
 def leaves(objects: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """``(*keys, path, json)``: the values of JSON objects that hold no further names: scalars, arrays and empty objects."""
+    objects = stored(objects.select(*keys, column), "objects")  # read for the depth and for the values
     depth = objects.agg(F.max(_depth(F.col(column)))).head()[0] or 0
     rows = objects.where(F.col(column).isNotNull()).select(*keys, F.array().cast("array<string>").alias("path"), F.parse_json(column).alias("v"))
     for _ in range(depth):
@@ -40,8 +43,8 @@ def leaves(objects: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
 
 def nest(rows: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
     """``(*keys, out)``: the JSON objects whose leaves are given. The innermost names are folded first."""
+    rows = stored(rows.select(*keys, "path", "json"), "leaves")  # read for the depth and for the folding
     depth = rows.agg(F.max(F.size("path"))).head()[0] or 0
-    rows = rows.select(*keys, "path", "json")
     for d in range(depth, 0, -1):
         deep = F.size("path") == d
         entry = F.struct(F.when(deep, F.element_at("path", -1)).alias("key"), F.col("json").alias("json"))

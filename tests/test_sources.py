@@ -177,3 +177,24 @@ def test_log_is_json(spark):
     df = spark.createDataFrame(rows, "run_id string, epoch int, phase string, metric string, value double")
     text = runlog.write_log(df).first()["log"]
     assert json.loads(text) == {f"Epoch {e}": {"valid_log": {"loss": 0.5, "score": 2.0}} for e in (0, 1)}
+
+
+def _counted(spark, df):
+    """The rows, and how many were made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(run, df.schema), made
+
+
+def test_logs_are_worked_out_once(spark):
+    df = spark.createDataFrame([("r", e, "valid", "a.b", float(e)) for e in range(5)], "run_id string, epoch int, phase string, metric string, value double")
+    rows, made = _counted(spark, df)
+    log = runlog.write_log(rows)
+    assert log.count() == 1 and made.value == 5
+    logs, made = _counted(spark, log)
+    assert runlog.read_log(logs).count() == 5 and made.value == 1
