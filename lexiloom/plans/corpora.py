@@ -304,8 +304,8 @@ def backward_trigram_nll(spark, folder):
     """Held-out loss of the backward model with one and with two tokens of context."""
     split = corpus.holdout(inputs.documents(spark, folder), keys=["doc_id"])
     tokens = vocab.tokenize(split.withColumn("held", F.col("split") == "validation"), ["held"])
-    found = [ngram.kneser_ney_nll(ngram.backward_counts(tokens, order), order) for order in (2, 3)]
-    return found[0].unionAll(found[1]).select("order", "tokens", F.round("nll", 4).alias("nll"), F.round("perplexity", 2).alias("perplexity"))
+    found = ngram.kneser_ney_nll(ngram.backward_counts(tokens, 3), 3, (2, 3))
+    return found.select("order", "tokens", F.round("nll", 4).alias("nll"), F.round("perplexity", 2).alias("perplexity"))
 
 
 BLOCK = 128

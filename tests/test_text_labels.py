@@ -259,6 +259,21 @@ def test_kneser_ney_is_a_distribution_and_equals_plain_counting(spark, order):
     got = ngram.kneser_ney_nll(ngram.backward_counts(df, order), order).first()
     want = [-math.log(p(c, t, order)) for c, t in grams(held)]
     assert got["tokens"] == len(want) and math.isclose(got["nll"], sum(want) / len(want), rel_tol=1e-9)
+    for r in ngram.kneser_ney_nll(ngram.backward_counts(df, 3), 3, (2, 3)).collect():  # both orders from one table of counts
+        assert r["order"] != order or math.isclose(r["nll"], got["nll"], rel_tol=1e-9) and r["tokens"] == len(want)
+
+
+def test_context_totals_are_added_up_once(spark):
+    pairs = spark.createDataFrame([("a", "b", 2), ("a", "c", 1), ("b", "a", 4)], "ctx string, tok string, n bigint")
+    read = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    ngram.backward_nll(pairs.mapInArrow(run, pairs.schema), pairs, 1.0).collect()
+    assert read.value == 9  # the vocabulary, the pairs' counts and the totals
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 64, 65, 1000])
