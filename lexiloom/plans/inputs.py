@@ -71,9 +71,15 @@ def _tagged_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 yield _tagged(batch.column("doc_id").slice(a, b - a), batch.column("text").slice(a, b - a))
 
 
-def tagged_sentences(spark: SparkSession, folder: str) -> DataFrame:
-    """``(doc_id, sent, tokens, gold, pred)``: one row per non-empty sentence of the documents."""
+def tagged_sentences(spark: SparkSession, folder: str, ranged: bool = False) -> DataFrame:
+    """``(doc_id, sent, tokens, gold, pred)``: one row per non-empty sentence of the documents.
+
+    ``ranged``: in ranges of ``doc_id``, for work in its order. Texts are dealt out before they are tagged, so that they are
+    tagged once; a sort of the sentences would tag them for its sample too.
+    """
     rows = documents(spark, folder).select("doc_id", "text")
+    if ranged:
+        rows = rows.repartitionByRange("doc_id")
     kind = rows.schema["doc_id"].dataType.simpleString()
     lists = ", ".join(f"{c} array<string>" for c in ("tokens", "gold", "pred"))
     return rows.mapInArrow(_tagged_batches, f"doc_id {kind}, sent bigint, {lists}")

@@ -444,8 +444,8 @@ SELECT row_number() OVER (ORDER BY doc_id, sent) - 1 AS place, array_to_string(t
 def tagged_file_round_trip(spark, folder):
     """Write tagged text in order, read it back, number the sentences over all files."""
     path = shared_dir(spark, "tagged-text")
-    sentences = inputs.tagged_sentences(spark, folder)
-    tagged.write_sentences(sentences, tagged.tagged_text(F.col("tokens"), F.col("gold")), path, ["doc_id", "sent"])
+    sentences = inputs.tagged_sentences(spark, folder, ranged=True)
+    tagged.write_sentences(sentences, tagged.tagged_text(F.col("tokens"), F.col("gold")), path, ["doc_id", "sent"], ranged=True)
     rows = tagged.read_tagged(spark, path).withColumn("run", F.shiftright("sent_id", 12))
     back = dense_index(rows, "place", ["file", "sent_id"], bucket=["file", "run"])
     return back.select("place", F.array_join("tokens", " ").alias("tokens"), F.array_join("tags", " ").alias("tags"))
@@ -460,9 +460,9 @@ SELECT row_number() OVER (ORDER BY doc_id, sent) - 1 AS place, array_to_string(t
 def tagged_crlf(spark, folder):
     """As above, with CR LF line ends, white space on blank lines and control characters in tokens."""
     path = shared_dir(spark, "tagged-text")
-    sentences = inputs.tagged_sentences(spark, folder).withColumn(
+    sentences = inputs.tagged_sentences(spark, folder, ranged=True).withColumn(
         "tokens", F.transform("tokens", lambda t, i: F.when(i % 5 == 1, F.concat(F.lit("\u0001"), t)).otherwise(t)))
-    tagged.write_sentences(sentences, tagged.tagged_text(F.col("tokens"), F.col("gold")), path, ["doc_id", "sent"], "\r\n", " \t")
+    tagged.write_sentences(sentences, tagged.tagged_text(F.col("tokens"), F.col("gold")), path, ["doc_id", "sent"], "\r\n", " \t", ranged=True)
     rows = tagged.read_tagged(spark, path).withColumn("run", F.shiftright("sent_id", 12))
     back = dense_index(rows, "place", ["file", "sent_id"], bucket=["file", "run"])
     return back.select("place", F.array_join("tokens", " ").alias("tokens"), F.array_join("tags", " ").alias("tags"))
@@ -474,7 +474,7 @@ def prediction_crlf(spark, folder):
     """Predictions with CR LF line ends and white space on blank lines, read back and scored."""
     path = shared_dir(spark, "predictions")
     text = tagged.prediction_text(F.col("tokens"), F.col("gold"), F.col("pred"))
-    tagged.write_sentences(inputs.tagged_sentences(spark, folder), text, path, ["doc_id", "sent"], "\r\n", "  ")
+    tagged.write_sentences(inputs.tagged_sentences(spark, folder, ranged=True), text, path, ["doc_id", "sent"], "\r\n", "  ", ranged=True)
     return metrics.with_prf(spans.chunk_counts(tagged.read_predictions(spark, path)), digits=4)
 
 
@@ -483,9 +483,9 @@ SELECT {COUNTS}, {PRF_SQL} FROM counts""")
 def prediction_file_eval(spark, folder):
     """Write predictions as text, read the file back and score it."""
     path = shared_dir(spark, "predictions")
-    sentences = inputs.tagged_sentences(spark, folder)
+    sentences = inputs.tagged_sentences(spark, folder, ranged=True)
     text = tagged.prediction_text(F.col("tokens"), F.col("gold"), F.col("pred"))
-    tagged.write_sentences(sentences, text, path, ["doc_id", "sent"])
+    tagged.write_sentences(sentences, text, path, ["doc_id", "sent"], ranged=True)
     return metrics.with_prf(spans.chunk_counts(tagged.read_predictions(spark, path)), digits=4)
 
 

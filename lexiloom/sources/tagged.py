@@ -8,7 +8,7 @@ neighbours on rows of (file, range). A line of white space is a blank line.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import UNICODE_SPACE
-from ..operators.ordered import dense_index
 from ..session import stored
 
 _EDGE_SPACE = f"^[{UNICODE_SPACE}]+|[{UNICODE_SPACE}]+\\z"
+# the characters of UNICODE_SPACE
+SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
@@ -50,6 +51,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not n:
             continue
         line, file, block = (batch.column(c) for c in ("line", "file", "block"))
+        line = pc.utf8_trim(line, characters=SPACES)
         other = pc.or_(pc.not_equal(file.slice(1), file.slice(0, n - 1)), pc.not_equal(block.slice(1), block.slice(0, n - 1)))
         begin = [0, *(np.flatnonzero(other.to_numpy(zero_copy_only=False)) + 1).tolist(), n]
         for a, b in zip(begin[:-1], begin[1:]):
@@ -76,7 +78,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sentence_lines(spark: SparkSession, path: str | Sequence[str], strict_tail: bool) -> DataFrame:
     """``(file, block, part, lines)`` in file order; a missing final blank line handled as asked."""
     lines = spark.read.text(path).select(
-        strip(F.col("value")).alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     pieces = stored(lines.mapInArrow(_pieces, PIECES), "sentence-pieces")
     border = (F.col("part") == 0) | ~F.col("closed")
     before = Window.partitionBy("file").orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)
@@ -84,7 +86,50 @@ def _sentence_lines(spark: SparkSession, path: str | Sequence[str], strict_tail:
     met = (ranges.groupBy("file", "run").agg(F.sort_array(F.collect_list(F.struct("block", "part", "lines"))).alias("p"), F.bool_or("closed").alias("closed"))
            .select("file", F.col("p")[0]["block"].alias("block"), F.col("p")[0]["part"].alias("part"), F.flatten("p.lines").alias("lines"), "closed"))
     kept = F.col("closed") if strict_tail else F.col("closed") | (F.size("lines") > 0)
-    return pieces.where(~border).unionByName(met.where(kept)).select("file", "block", "part", "lines")
+    rows = pieces.where(~border).unionByName(met.where(kept)).select("file", "block", "part", "lines")
+    # a range's sentences have parts without holes, so its first number makes the others: one row per byte range is joined
+    sizes = rows.groupBy("file", "block").agg(F.min("part").alias("low"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("file", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("low")).alias("first"))
+    return rows.join(F.broadcast(first), ["file", "block"]).select("file", (F.col("first") + F.col("part")).alias("sent_id"), "lines")
+
+
+def _by_lines(parse: Callable[[pa.Array, np.ndarray], tuple[list[pa.Array], np.ndarray, list[pa.Array]]], names: Sequence[str]):
+    """Sentences whose lines ``parse`` cuts into columns: from lines and offsets to columns, their offsets and further columns."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = batch.column("lines")
+            offsets = lines.offsets.to_numpy().astype(np.int64)
+            columns, offsets, extra = parse(lines.flatten(), offsets - offsets[0])
+            lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), c) for c in columns]
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("sent_id"), *lists, *extra], names=["file", "sent_id", *names])
+
+    return run
+
+
+def _halves(lines: pa.Array, offsets: np.ndarray) -> tuple[list[pa.Array], np.ndarray, list[pa.Array]]:
+    bad = np.flatnonzero(pc.count_substring(lines, "\t").to_numpy(zero_copy_only=False) != 1)
+    if len(bad):
+        raise ValueError(f"not word<TAB>tag: {lines[bad[0]].as_py()}")
+    cells = pc.list_flatten(pc.split_pattern(lines, "\t"))
+    at = np.arange(0, len(cells), 2)
+    return [cells.take(pa.array(at)), cells.take(pa.array(at + 1))], offsets, []
+
+
+def _last_two(reject: bool):
+    def parse(lines: pa.Array, offsets: np.ndarray) -> tuple[list[pa.Array], np.ndarray, list[pa.Array]]:
+        cut = pc.utf8_split_whitespace(lines)  # at runs of SPACES
+        ends = cut.offsets.to_numpy().astype(np.int64)
+        cells, ends = cut.flatten(), ends - ends[0]
+        wide = np.diff(ends) >= 3
+        if not reject and not wide.all():
+            raise ValueError(f"too few columns in line {' '.join(cut[int(np.argmin(wide))].as_py())}")
+        kept = np.append(0, np.cumsum(wide))[offsets]
+        last = ends[1:][wide]
+        extra = [pa.array(np.diff(offsets) - np.diff(kept), pa.int32())] if reject else []
+        return [cells.take(pa.array(last - 2)), cells.take(pa.array(last - 1))], kept, extra
+
+    return parse
 
 
 def read_tagged(spark: SparkSession, path: str | Sequence[str], strict_tail: bool = False) -> DataFrame:
@@ -94,18 +139,7 @@ def read_tagged(spark: SparkSession, path: str | Sequence[str], strict_tail: boo
     is kept without a blank line after it; ``strict_tail=True`` loses it, as line-driven readers do.
     """
     rows = _sentence_lines(spark, path, strict_tail)
-
-    def halves(line: Column) -> Column:
-        cells = F.split(line, "\\t")
-        return F.when(F.size(cells) == 2, cells).otherwise(
-            F.raise_error(F.concat(F.lit("not word<TAB>tag: "), line)).cast("array<string>"))
-
-    parsed = rows.withColumn("__c", F.transform("lines", halves))
-    sentences = parsed.select("file", "block", "part",
-                              F.transform("__c", lambda c: c[0]).alias("tokens"),
-                              F.transform("__c", lambda c: c[1]).alias("tags"))
-    numbered = dense_index(sentences, "sent_id", ["part"], ["file"], bucket=["block"])
-    return numbered.select("file", "sent_id", "tokens", "tags")
+    return rows.mapInArrow(_by_lines(_halves, ["tokens", "tags"]), "file string, sent_id bigint, tokens array<string>, tags array<string>")
 
 
 def read_predictions(spark: SparkSession, path: str | Sequence[str], reject: bool = False) -> DataFrame:
@@ -114,21 +148,9 @@ def read_predictions(spark: SparkSession, path: str | Sequence[str], reject: boo
     A line with fewer than three columns raises; with ``reject`` it is left out and counted in ``rejected``.
     """
     rows = _sentence_lines(spark, path, False)
-    split = rows.withColumn("__c", F.transform("lines", lambda x: F.split(x, f"[{UNICODE_SPACE}]+")))
-    if reject:
-        split = split.withColumns({
-            "rejected": F.size(F.filter("__c", lambda c: F.size(c) < 3)),
-            "__c": F.filter("__c", lambda c: F.size(c) >= 3)})
-    else:
-        split = split.withColumn("__c", F.transform("__c", lambda c: F.when(F.size(c) >= 3, c).otherwise(
-            F.raise_error(F.concat(F.lit("too few columns in line "), F.array_join(c, " ")))
-            .cast("array<string>"))))
     extra = ["rejected"] if reject else []
-    pairs = split.select("file", "block", "part", *extra,
-                         F.transform("__c", lambda c: F.element_at(c, -2)).alias("gold"),
-                         F.transform("__c", lambda c: F.element_at(c, -1)).alias("pred"))
-    numbered = dense_index(pairs, "sent_id", ["part"], ["file"], bucket=["block"])
-    return numbered.select("file", "sent_id", "gold", "pred", *extra)
+    schema = "file string, sent_id bigint, gold array<string>, pred array<string>" + ", rejected int" * reject
+    return rows.mapInArrow(_by_lines(_last_two(reject), ["gold", "pred", *extra]), schema)
 
 
 def prediction_text(tokens: Column, gold: Column, pred: Column) -> Column:
@@ -146,7 +168,12 @@ def tagged_text(tokens: Column, tags: Column) -> Column:
     return F.array_join(F.transform(zipped, lambda z: F.concat_ws("\t", z["t"], z["g"])), "\n")
 
 
-def write_sentences(df: DataFrame, text: Column, path: str, order: Sequence[str], line_end: str = "\n", blank: str = "") -> None:
-    """One text per row, a blank line after each, files in the order of ``order``. ``blank``: white space on the blank lines."""
+def write_sentences(df: DataFrame, text: Column, path: str, order: Sequence[str], line_end: str = "\n", blank: str = "",
+                    ranged: bool = False) -> None:
+    """One text per row, a blank line after each, files in the order of ``order``. ``blank``: white space on the blank lines.
+
+    ``ranged``: the rows come in ranges of the first column of ``order``, so that each task sorts its own.
+    """
     lines = F.replace(text, F.lit("\n"), F.lit(line_end))
-    df.orderBy(*order).select(lines.alias("value")).write.option("lineSep", f"{line_end}{blank}{line_end}").text(path)
+    ordered = df.sortWithinPartitions(*order) if ranged else df.orderBy(*order)
+    ordered.select(lines.alias("value")).write.option("lineSep", f"{line_end}{blank}{line_end}").text(path)

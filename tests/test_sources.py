@@ -198,3 +198,26 @@ def test_logs_are_worked_out_once(spark):
     assert log.count() == 1 and made.value == 5
     logs, made = _counted(spark, log)
     assert runlog.read_log(logs).count() == 5 and made.value == 1
+
+
+def test_ranged_sentences_are_written_in_order_and_made_once(spark, tmp_path):
+    df = spark.createDataFrame([(d, s, f"w{d}-{s}", "O") for d in range(9, -1, -1) for s in (1, 0)], "doc_id int, sent int, w string, t string")
+    rows, made = _counted(spark, df.select("doc_id", "sent", F.array("w").alias("tokens"), F.array("t").alias("tags")).repartitionByRange(3, "doc_id"))
+    tagged.write_sentences(rows, tagged.tagged_text(F.col("tokens"), F.col("tags")), f"{tmp_path}/out", ["doc_id", "sent"], ranged=True)
+    assert made.value == 20
+    back = tagged.read_tagged(spark, f"{tmp_path}/out").orderBy("file", "sent_id").collect()
+    assert [r["tokens"] for r in back] == [[f"w{d}-{s}"] for d in range(10) for s in (0, 1)]
+
+
+@pytest.mark.parametrize("size", [700, 1 << 20])
+def test_sentences_are_numbered_without_a_shuffle_of_them(spark, tmp_path, size):
+    lines = [["a\tO", "b\u00a0\tB-X"], [], ["c\tO"] * 400, [], [], *([f"d{i}-{k}\tO" for i in range(5)] for k in range(40))]
+    (tmp_path / "x.txt").write_bytes("\r\n".join(w for s in lines for w in [*s, " \u2003"]).encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        frame = tagged.read_tagged(spark, str(tmp_path / "x.txt"))
+        got = {r["sent_id"]: list(zip(r["tokens"], r["tags"])) for r in frame.collect()}
+        shuffled = [x for x in frame._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window" in x and "sent_id" in x]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {i: [tuple(w.split("\t")) for w in s] for i, s in enumerate(lines)} and not shuffled
