@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.operators import labels, metrics, vocab
-from lexiloom.plans import inputs
+from lexiloom.plans import inputs, tagging
 
 TEXTS = ["", " \t", None, ".", "a longword. second sentence here\n\n.third", "...leading dots, abcdefghijk abcdefghijkl\r\nx überlangää  odd",
          "\U0001f600\U0001f600\U0001f600\U0001f600\U0001f600\U0001f600\U0001f600 seventy1 seventy2 seventy3 seventy4 elevenchars nøne", "a\x0bb c\x00d. ." * 3,
@@ -74,3 +74,8 @@ def test_a_callers_tokenizer_gets_bounded_pieces(spark, monkeypatch):
 
     made = pd.concat(vocab.tokenize_with(Rows(), words, ""))
     assert made["doc_id"].tolist() == list(range(30)) and len(seen) > 5 and max(seen) <= 50 + 70
+
+
+def test_sentences_to_be_cut_by_a_vocabulary_are_tagged_once(spark, folder):
+    frame = tagging.QUERIES["subword_vocab_labels"](spark, folder)
+    assert "MapInArrow" not in frame._jdf.queryExecution().optimizedPlan().toString() and frame.count() > 0
