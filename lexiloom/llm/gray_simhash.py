@@ -21,7 +21,8 @@ component are then searched again: every entry beside the nearest entry of each
 pairs of different components, so no pair that met is left out. In the first search a bucket's entries are linked to the most
 central of them, which the copies of one text resemble more than each other. In the others, pairs go only if they can be
 similar enough: each group's sets are laid beside one set of reference; two sets share what both hold of it, and beyond it
-no more than the smaller remainder.
+no more than the smaller remainder. What a set holds beyond the reference also goes to one of some bits by its hash, and a bit
+is the parity of its elements: two sets differ by at least as many elements as bits, so hardly a pair goes that is not similar.
 
 Buckets larger than ``split`` entries are dealt out again by blocks of bits they have not used yet, one more than a pair may
 differ in, so that the pair agrees in one of them.
@@ -60,8 +61,14 @@ MASK_BITS, MASKS = 16, 64
 #: masks when the pairs met are verified
 VERIFIED_MASKS = 96
 #: elements of a set of reference that others are laid beside, one bit each
-REFERENCE = 512
+REFERENCE = 384
 REFERENCE_BITS = [f"b{k}" for k in range(REFERENCE // 64)]
+#: bits of parity of the elements beyond these
+PARITY = 192
+PARITY_BITS = [f"p{k}" for k in range(PARITY // 64)]
+#: a set's size n and how many of the reference it holds m, as n << COUNTED | m, which of these, and the parities
+COUNTED = 16
+SUMMARY = ["nm", *REFERENCE_BITS, *PARITY_BITS]
 #: share of the entries by which large buckets are told: one of more than SPLIT has some thousand of them
 SAMPLED = 64
 
@@ -314,13 +321,19 @@ def central(label: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def may_be_similar(n: np.ndarray, m: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+def may_be_similar(n: np.ndarray, m: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float,
+                   parity: np.ndarray | None = None) -> np.ndarray:
     """Whether sets i and j can reach the similarity, from their sizes ``n`` and what they share with one set of reference.
 
     ``bits`` says which of its first elements they hold, ``m`` how many: two sets share what both hold of these, and of the
-    rest at most the smaller remainder.
+    rest at most the smaller remainder. ``parity`` counts the rest by hash, modulo two: an element that both hold changes the
+    same bit of both, so the rests differ by at least one element for each bit that differs.
     """
-    common = np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64) + np.minimum(n[i] - m[i], n[j] - m[j])
+    rest = np.minimum(n[i] - m[i], n[j] - m[j])
+    if parity is not None:
+        apart = np.bitwise_count(parity[i] ^ parity[j]).sum(1, dtype=np.int64)
+        rest = np.minimum(rest, (n[i] - m[i] + n[j] - m[j] - apart) // 2)
+    common = np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64) + rest
     common = np.minimum(common, np.minimum(n[i], n[j]))
     return common >= similarity * (n[i] + n[j] - common) - 1e-9
 
@@ -352,9 +365,10 @@ def cross_pairs(codes: np.ndarray, part: np.ndarray, limit: int, every: bool, ca
 
 
 def _link_task(words: int, limit: int, every: bool | None = None, similarity: float = 0.0):
-    """Links of the search, of several words to the component's most central entry; with ``every`` given, rows have a part, a size
+    """Links of the search, of several words to the component's most central entry; with ``every`` given, rows have a part, sizes
     and the bits of ``may_be_similar`` before the code, and all or the nearest cross pairs that can be similar count."""
-    head = 2 if every is None else 5 + REFERENCE // 64
+    head = 2 if every is None else 3 + len(SUMMARY)
+    known = 4 + len(REFERENCE_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((0, words + head), np.int64)  # bucket, entry, part, code
@@ -369,8 +383,9 @@ def _link_task(words: int, limit: int, every: bool | None = None, similarity: fl
                 return
             start = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
             for s, e in zip(start.tolist(), [*start[1:].tolist(), len(rows)], strict=True):
-                n, m, bits = rows[s:e, 3], rows[s:e, 4], np.ascontiguousarray(rows[s:e, 5:head]).view(np.uint64)
-                can = lambda i, j: may_be_similar(n, m, bits, i, j, similarity)  # noqa: B023, E731
+                n, m = rows[s:e, 3] >> COUNTED, rows[s:e, 3] & ((1 << COUNTED) - 1)
+                bits, parity = (np.ascontiguousarray(x).view(np.uint64) for x in (rows[s:e, 4:known], rows[s:e, known:head]))
+                can = lambda i, j: may_be_similar(n, m, bits, i, j, similarity, parity)  # noqa: B023, E731
                 for i, j in cross_pairs(codes[s:e], rows[s:e, 2], limit, every, can) if e - s > 1 else ():
                     yield pa.RecordBatch.from_arrays([pa.array(rows[s + i, 1]), pa.array(rows[s + j, 1])], names=["a", "b"])
 
@@ -391,7 +406,7 @@ def links(codes: DataFrame, words: int = 1, radius: int = RADIUS, limit: int | N
     """Links a, b between entries ``v`` of codes fp, fp1, ...: enough of the near ones to join their components.
 
     With ``every`` given, of the entries' column ``part``: pairs of different parts, all or the nearest (see cross_pairs), which
-    by the columns n, m, b0, b1, ... can have the similarity (see may_be_similar).
+    by the columns nm, b0, b1, ..., p0, p1, ... can have the similarity (see may_be_similar).
     """
     names = word_names(words)
     limit = radius if limit is None else limit
@@ -400,7 +415,7 @@ def links(codes: DataFrame, words: int = 1, radius: int = RADIUS, limit: int | N
         first = [parts[i] + parts[j] for i, j in combinations(range(len(parts)), 2)]
     else:
         first = drawn_masks(words, masks)
-    kept = ["v", *(["part", "n", "m", *REFERENCE_BITS] if every is not None else []), *names]
+    kept = ["v", *(["part", *SUMMARY] if every is not None else []), *names]
     finer = [blocks([b for b in range(64 * words) if b not in bits], limit + 1) for bits in first]
     masked = F.xxhash64(*[F.col(name).bitwiseAND(F.col("mask")[w]) for w, name in enumerate(names)])
     dealt = (codes.select(*kept, F.posexplode(F.lit([_masks(bits, words) for bits in first])).alias("t", "mask"))
@@ -439,27 +454,29 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _reference_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A set's size, how many of the first elements of its reference it holds, and which."""
+    """A set's size, how many of the first elements of its reference it holds, which, and the parities of its others."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        bits = np.zeros((batch.num_rows, REFERENCE), np.uint8)
+        bits, odd = np.zeros((batch.num_rows, REFERENCE), np.uint8), np.zeros((batch.num_rows, PARITY), np.uint8)
         for i, (grams, others) in enumerate(zip(batch.column("grams"), batch.column("reference"), strict=True)):
-            first = others.values.to_numpy()[:REFERENCE]
-            bits[i, : len(first)] = np.isin(first, grams.values.to_numpy(), assume_unique=True)
-        words = np.packbits(bits, axis=1).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(batch.column("grams").value_lengths().to_numpy().astype(np.int64)),
-                                          pa.array(bits.sum(1, dtype=np.int64)), *[pa.array(np.ascontiguousarray(w)) for w in words.T]],
-                                         names=["v", "n", "m", *REFERENCE_BITS])
+            first, own = others.values.to_numpy()[:REFERENCE], grams.values.to_numpy()
+            bits[i, : len(first)] = np.isin(first, own, assume_unique=True)
+            rest = np.setdiff1d(own, first, assume_unique=True)
+            odd[i] = np.bincount(rest % PARITY, minlength=PARITY) % 2
+        words = np.concatenate([np.packbits(x, axis=1).view(np.int64) for x in (bits, odd)], axis=1)
+        size = batch.column("grams").value_lengths().to_numpy().astype(np.int64) << COUNTED | bits.sum(1, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(size), *[pa.array(np.ascontiguousarray(w)) for w in words.T]],
+                                         names=["v", *SUMMARY])
 
 
 def against_reference(groups: DataFrame, met: DataFrame, sets: DataFrame) -> DataFrame:
-    """v, n, m, b0, b1, ...: every entry (v, loose) beside its group's set of reference, the entry that most others met."""
+    """v, nm, b0, b1, ..., p0, p1, ...: every entry (v, loose) beside its group's set of reference, the entry that most others met."""
     degree = met.groupBy(F.col("b").alias("v")).agg(F.count("*").alias("c"))
     reference = groups.join(degree, "v", "left").groupBy("loose").agg(F.max_by("v", F.struct(F.coalesce("c", F.lit(0)), "v")).alias("r"))
     grams = reference.join(sets.select(F.col("v").alias("r"), F.slice("grams", 1, REFERENCE).alias("reference")), "r").select("loose", "reference")
     both = groups.join(grams, "loose").join(sets, "v").select("v", "grams", "reference")
-    return both.mapInArrow(returned(_reference_task), ", ".join(["v long", "n long", "m long", *(f"{b} long" for b in REFERENCE_BITS)]))
+    return both.mapInArrow(returned(_reference_task), ", ".join(f"{name} long" for name in ["v", *SUMMARY]))
 
 
 def roots_of(entries: DataFrame, edges: DataFrame, name: str) -> DataFrame:

@@ -307,6 +307,34 @@ def test_pairs_left_out_by_the_reference_are_not_similar():
     assert (can | ~real).all() and can.sum() < 0.5 * len(i) and real.sum() > 50
 
 
+def test_pairs_that_met_go_no_further_unless_they_can_be_similar(spark):
+    """300 sets of one group share 60 of 100 elements, a similarity of 0.43: no pair of them is sent, those of 0.82 or more are."""
+    rng = np.random.default_rng(3)
+    common = rng.integers(-(1 << 62), 1 << 62, 60).tolist()
+    made = [common + rng.integers(-(1 << 62), 1 << 62, 40).tolist() for _ in range(300)]
+    made += [made[k][:-10] + rng.integers(-(1 << 62), 1 << 62, 10).tolist() for k in (0, 1)] + [made[2] + [1, 2]]
+    sets = spark.createDataFrame([(v, sorted(x)) for v, x in enumerate(made)], "v long, grams array<long>")
+    groups = spark.createDataFrame([(v, 0) for v in range(len(made))], "v long, loose long")
+    met = spark.createDataFrame([(v, 250) for v in range(250)], "a long, b long")
+    seen = gray_simhash.against_reference(groups, met, sets)
+    codes = seen.select("*", F.col("v").alias("part"), *[F.lit(0).cast("long").alias(name) for name in gray_simhash.word_names(4)])
+    got = {frozenset(r) for r in gray_simhash.links(codes, 4, 0, 72, masks=16, every=True, similarity=0.8).collect()}
+    assert got >= {frozenset(x) for x in ((0, 300), (1, 301), (2, 302))} and len(got) < 100
+
+
+def test_the_parity_of_a_set_never_leaves_out_a_similar_pair():
+    rng = np.random.default_rng(4)
+    for size in (5, 60, 400, 3000):  # fewer elements than bits, and many more
+        base = rng.choice(1 << 40, size, replace=False)
+        made = [set(np.where(rng.random(size) < rate, rng.integers(1 << 40, 1 << 41, size), base).tolist()) for rate in rng.uniform(0, 0.3, 60)]
+        odd = np.stack([np.bincount(np.array(list(x)) % gray_simhash.PARITY, minlength=gray_simhash.PARITY) % 2 for x in made]).astype(np.uint8)
+        n, m, bits = np.array([len(x) for x in made]), np.zeros(60, np.int64), np.zeros((60, 1), np.uint64)
+        i, j = np.triu_indices(60, 1)
+        can = gray_simhash.may_be_similar(n, m, bits, i, j, 0.8, np.packbits(odd, axis=1).view(np.uint64))
+        real = np.array([len(made[a] & made[b]) >= 0.8 * len(made[a] | made[b]) - 1e-9 for a, b in zip(i, j)])
+        assert (can | ~real).all() and real.any() and (size > 400 or can.sum() < len(i))
+
+
 def test_the_central_entry_of_a_component():
     codes = np.array([[0b1111, 0], [0b0111, 0], [0b0110, 1], [0b0111, 3], [9, 9]], np.uint64)
     assert gray_simhash.central(np.array([0, 0, 0, 0, 4]), codes).tolist() == [1, 1, 1, 1, 4]
