@@ -3,6 +3,7 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -301,3 +302,21 @@ def test_exact_holdout_moves_no_wide_row(spark):
         ids = sorted((i for i in range(500) if i % 3 == k), key=lambda i: (draw(i), i))
         assert {i for i in held if i % 3 == k} == set(ids[: math.ceil(len(ids) * 0.1)])
     assert corpus.holdout_exact(df.where("false"), 0.1).count() == 0 == corpus.holdout_exact(df.where("false"), 0.1, by=["g"]).count()
+
+
+def test_encoding_joins_distinct_tokens_of_packs(spark, monkeypatch):
+    """Rows of one key become one in the order of places, null tokens go, empty and null arrays stay; a pack holds a token once."""
+    rows = [(1, ["a", "b", "a"]), (1, ["c", None, "z"]), (None, ["b"]), (2, []), (3, None), (None, ["a", "q"]), (4, ["z", None, "a"])]
+    df = spark.createDataFrame(rows, "k long, tokens array<string>")
+    table = spark.createDataFrame([("a", 9, 5), ("b", 4, 6), ("c", 1, 7)], "token string, count long, id long")
+    want = {1: [5, 7, 6, -1, 5], None: [5, 6, -1], 2: [], 3: [], 4: [-1, 5]}
+    got = vocab.encode(df, table, ["k"]).collect()
+    assert {r["k"]: r["input_ids"] for r in got} == want and len(got) == len(want)
+    batch = pa.RecordBatch.from_pylist([{"__key": {"k": k}, "__tokens": ["a", "b", None] * 20} for k in range(500)])
+    packs = list(vocab._packed(iter([batch.slice(0, 300), batch.slice(300)])))
+    assert [p.num_rows for p in packs] == [1] and packs[0].column("__distinct").to_pylist() == [["a", "b"]]
+    assert packs[0].column("__sizes").to_pylist() == [[60] * 500] and len(packs[0].column("__codes")[0]) == 30000
+    monkeypatch.setattr(vocab, "PACK_TOKENS", 200)
+    packs = list(vocab._packed(iter([batch.slice(0, 299), batch.slice(299)])))
+    assert [len(p.column("__keys")[0]) for p in packs] == [4] * 125
+    assert [x["k"] for p in packs for x in p.column("__keys")[0].as_py()] == list(range(500))
