@@ -9,7 +9,7 @@ import xxhash
 from helpers import PASSAGE, TEXTS, documents, tokens
 from pyspark.sql import functions as F
 
-from lexiloom.llm import gray_simhash, impact_topk, line_chunks, window_decontam
+from lexiloom.llm import gray_simhash, impact_topk, line_chunks, queries, window_decontam
 
 
 def fingerprint(text):
@@ -172,6 +172,52 @@ def test_line_chunks(spark):
     assert line_chunks.dedup(documents(spark, [])).count() == 0
 
 
+def brute_whole(rows):
+    """Texts without the lines of chunks that an earlier row holds, whatever its text, and of what a row repeats itself."""
+    owner, places, out = {}, {}, []
+    spans = [sorted({(a, a + n) for a, n in zip(c.line.tolist(), c.lines.tolist())}) for c in (line_chunks.Chunks(pa.array([r[1]])) for r in rows)]
+    lines = [(r[1] or "").split("\n") for r in rows]
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, rows[i][2:]))
+    for i in order:
+        for a, b in spans[i]:
+            owner.setdefault("\n".join(lines[i][a:b]), (i, a))
+            places.setdefault("\n".join(lines[i][a:b]), set()).add((rows[i][1], a))
+    for i in range(len(rows)):
+        fate = {}
+        for a, b in spans[i]:
+            chunk = "\n".join(lines[i][a:b])
+            at = owner[chunk]
+            if at[0] == i and len(places[chunk]) == 1:  # only copies hold it: the first row is as if alone
+                continue
+            rank = 2 if at[0] != i else 1 if at[1] == a else 0
+            fate |= {k: max(rank, fate.get(k, 0)) for k in range(a, b)}
+        kept = [x for k, x in enumerate(lines[i]) if fate.get(k, 1) == 1]
+        out.append((rows[i][0], None if rows[i][1] is None else "\n".join(kept), *rows[i][2:]))
+    return out
+
+
+def test_chunks_of_whole_copies_go_too(spark):
+    """Copies under other ids, rows that come twice, rows without an id: one of the equal texts keeps its lines."""
+    text = ["\n".join(f"{c} line {k} with some words that fill it {k * 7}" for k in range(9)) for c in "pqr"]
+    twice = text[0] + "\nend\n" + text[0]
+    rows = [(4, text[0]), (2, text[0]), (2, text[0]), (9, text[0]), (3, "start\n" + text[1] + "\nx"), (5, text[1]), (6, text[1]), (None, text[1]),
+            (None, text[2]), (None, text[2]), (1, twice), (7, twice), (8, "short"), (10, "short"), (11, None), (11, None), (12, ""), (13, PASSAGE), (14, PASSAGE)]
+    got = line_chunks.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), copies=True)
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter(brute_whole(rows))
+    assert {r["doc_id"]: r["text"] for r in got.collect()}[14] == ""
+    named = [(d, t, k % 2, f"n{k}") for k, (d, t) in enumerate(rows)]  # of equal texts and ids the first by the other columns stays
+    got = line_chunks.dedup(spark.createDataFrame(named, "doc_id long, text string, `_doc` long, `_text_key` string"), copies=True)
+    assert Counter(tuple(r)[:4] for r in got.collect()) == Counter(brute_whole(named))
+    assert line_chunks.dedup(spark.createDataFrame([], "doc_id long, text string"), copies=True).count() == 0
+
+
+def test_query_takes_out_whole_copies(spark, tmp_path):
+    text = "\n".join(f"line {k} with some words that fill it {k * 7}" for k in range(9))
+    spark.createDataFrame([(1, text), (2, text), (2, text), (3, "own\n" + text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["doc_id"], r["removed"] > 0, r["kept_chars"]) for r in queries.op8_line_chunks(spark, str(tmp_path)).collect())
+    assert [r[:2] for r in got] == [(1, False), (2, True), (2, True), (3, True)] and got[0][2] == len(text)
+
+
 def test_equal_hashes_with_other_bytes_stay():
     rows = [{"hash": 1, "text": t, "first_null": False, "first_doc": d, "first_key": d, "first_line": 0,
              "members": [{"doc_id": d, "text_key": d, "line": 0, "lines": 2}]} for d, t in ((1, b"a"), (2, b"b"), (3, b"a"))]
