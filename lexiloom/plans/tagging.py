@@ -438,17 +438,21 @@ def prediction_lines(spark, folder):
     return inputs.tagged_sentences(spark, folder).select("doc_id", "sent", text.alias("lines"))
 
 
+def _numbered(rows):
+    """Tokens and tags, joined as texts, numbered over all files."""
+    runs = rows.withColumn("run", F.shiftright("sent_id", 12))
+    return dense_index(runs, "place", ["file", "sent_id"], bucket=["file", "run"]).select("place", "tokens", "tags")
+
+
 @query("tagged_file_round_trip", f"""WITH {SENTENCES_SQL}, {SENT_LISTS_SQL}
 SELECT row_number() OVER (ORDER BY doc_id, sent) - 1 AS place, array_to_string(toks, ' ') AS tokens,
   array_to_string(gold, ' ') AS tags FROM sents""")
 def tagged_file_round_trip(spark, folder):
     """Write tagged text in order, read it back, number the sentences over all files."""
     path = shared_dir(spark, "tagged-text")
-    sentences = inputs.tagged_sentences(spark, folder, ranged=True)
+    sentences = inputs.tagged_sentences(spark, folder, ranged=True, columns=["tokens", "gold"])
     tagged.write_sentences(sentences, tagged.tagged_text(F.col("tokens"), F.col("gold")), path, ["doc_id", "sent"], ranged=True)
-    rows = tagged.read_tagged(spark, path).withColumn("run", F.shiftright("sent_id", 12))
-    back = dense_index(rows, "place", ["file", "sent_id"], bucket=["file", "run"])
-    return back.select("place", F.array_join("tokens", " ").alias("tokens"), F.array_join("tags", " ").alias("tags"))
+    return _numbered(tagged.read_tagged(spark, path, joined=" "))
 
 
 MARKED_SQL = SENT_LISTS_SQL.replace("list(tok ORDER BY pos)", "list(CASE WHEN pos % 5 = 1 THEN chr(1) || tok ELSE tok END ORDER BY pos)")
@@ -460,12 +464,9 @@ SELECT row_number() OVER (ORDER BY doc_id, sent) - 1 AS place, array_to_string(t
 def tagged_crlf(spark, folder):
     """As above, with CR LF line ends, white space on blank lines and control characters in tokens."""
     path = shared_dir(spark, "tagged-text")
-    sentences = inputs.tagged_sentences(spark, folder, ranged=True).withColumn(
-        "tokens", F.transform("tokens", lambda t, i: F.when(i % 5 == 1, F.concat(F.lit("\u0001"), t)).otherwise(t)))
+    sentences = inputs.tagged_sentences(spark, folder, ranged=True, columns=["tokens", "gold"]).withColumn("tokens", inputs.with_control(F.col("tokens")))
     tagged.write_sentences(sentences, tagged.tagged_text(F.col("tokens"), F.col("gold")), path, ["doc_id", "sent"], "\r\n", " \t", ranged=True)
-    rows = tagged.read_tagged(spark, path).withColumn("run", F.shiftright("sent_id", 12))
-    back = dense_index(rows, "place", ["file", "sent_id"], bucket=["file", "run"])
-    return back.select("place", F.array_join("tokens", " ").alias("tokens"), F.array_join("tags", " ").alias("tags"))
+    return _numbered(tagged.read_tagged(spark, path, joined=" "))
 
 
 @query("prediction_crlf", f"""WITH {SENTENCES_SQL}, {counts_sql('doc_id, sent', 'pos')}

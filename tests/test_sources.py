@@ -221,3 +221,25 @@ def test_sentences_are_numbered_without_a_shuffle_of_them(spark, tmp_path, size)
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == {i: [tuple(w.split("\t")) for w in s] for i, s in enumerate(lines)} and not shuffled
+
+
+def test_lines_are_cut_once_where_they_are_read(spark, tmp_path):
+    """What reads the sentences again, for their number or their order, parses no line again."""
+    path = put(tmp_path, "a\tX\nb\tO\n\n\nc\u0001 d\tY\n\ne\tbad\tline")
+    frame = tagged.read_tagged(spark, path, strict_tail=True)
+    assert "MapInArrow" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r)[1:] for r in frame.orderBy("sent_id").collect()] == [(0, ["a", "b"], ["X", "O"]), (1, [], []), (2, ["c\u0001 d"], ["Y"])]
+    joined = tagged.read_tagged(spark, path, strict_tail=True, joined=" ").orderBy("sent_id").collect()
+    assert [tuple(r)[1:] for r in joined] == [(0, "a b", "X O"), (1, "", ""), (2, "c\u0001 d", "Y")]
+    with pytest.raises(PySparkException, match="not word<TAB>tag: e\tbad\tline"):  # the tail that is kept
+        tagged.read_tagged(spark, path).count()
+    path = put(tmp_path, "only two\n\na b C D\nx y\nz y X Y\n\nlast one", "p.txt")
+    rows = tagged.read_predictions(spark, path, reject=True).orderBy("sent_id").collect()
+    assert [tuple(r)[1:] for r in rows] == [(0, [], [], 1), (1, ["C", "X"], ["D", "Y"], 1), (2, [], [], 1)]
+
+
+def test_lines_of_unequal_and_null_lists(spark):
+    rows = [(["a", "b"], ["X"]), (["a", None], ["X", "Y"]), ([], []), (None, ["X"]), (["a"], ["X", "Y", None]), ([None], [None])]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t array<string>, g array<string>").coalesce(1)
+    got = [r["x"] for r in df.select("i", tagged.tagged_text(F.col("t"), F.col("g")).alias("x")).orderBy("i").collect()]
+    assert got == ["a\tX\nb", "a\tX\nY", "", None, "a\tX\nY\n", ""]
