@@ -320,3 +320,52 @@ def test_encoding_joins_distinct_tokens_of_packs(spark, monkeypatch):
     packs = list(vocab._packed(iter([batch.slice(0, 299), batch.slice(299)])))
     assert [len(p.column("__keys")[0]) for p in packs] == [4] * 125
     assert [x["k"] for p in packs for x in p.column("__keys")[0].as_py()] == list(range(500))
+
+
+def test_cut_rows_that_repeat_or_hold_nulls(spark):
+    """Rows of one key become one, by place and then by pieces; null tokens take no place; a row without an id is a key too."""
+    vocabulary = spark.createDataFrame([("ab", False), ("c", True), ("é", False), ("日本", True), ("a", False)], "piece string, inner boolean")
+    rows = [(1, ["abc", "x", "é日本"]), (2, ["abc", None, "a"]), (2, ["a", "[UNK]"]), (3, []), (4, [None]), (None, ["ab"]), (5, None), (6, ["", "abc"])]
+    df = spark.createDataFrame(rows, "id int, tokens array<string>").withColumn("other", F.col("id") * 10)
+    want = {1: [["ab", "c"], ["[UNK]"], ["é", "日本"]], 2: [["a"], ["ab", "c"], ["[UNK]"], ["a"]], 3: [], 4: [], None: [["ab"]], 5: [], 6: [["[UNK]"], ["ab", "c"]]}
+    cut = labels.vocabulary_pieces(df, vocabulary, ["id"])
+    assert {r["id"]: r["cut"] for r in cut.collect()} == want
+    kept = labels.vocabulary_pieces(df, vocabulary, ["id"], keep=["other"])
+    assert sorted((r["id"], r["other"], r["cut"]) for r in kept.collect()) == sorted((i, 10 * i, want[i]) for i, _ in rows if i is not None)
+
+
+def test_pieces_go_back_to_their_rows_as_texts(spark):
+    """What is dealt out by word grows with the distinct words of the packs, and no array of arrays is shuffled."""
+    vocabulary = spark.createDataFrame([("ab", False)], "piece string, inner boolean")
+    df = spark.createDataFrame([(1, ["ab"] * 50)], "id int, tokens array<string>")
+    cut = labels.vocabulary_pieces(df, vocabulary, ["id"], keep=["tokens"])
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(__distinct" in plan and "posexplode(tokens" not in plan
+    assert cut.first()["cut"] == [["ab"]] * 50
+
+
+def test_words_are_cut_by_packs(spark, monkeypatch):
+    """The walk by the longest piece, whatever the packs; what meets the vocabulary are a pack's distinct substrings."""
+    rng = __import__("random").Random(3)
+    words = ["".join(rng.choice("abé日") for _ in range(rng.randint(1, 9))) for _ in range(300)] + ["", None]
+    known = {(p, i) for p in ("a", "b", "é", "ab", "ba", "aba", "日a", "é日é") for i in (False, True) if (len(p) + i) % 3}
+    df = spark.createDataFrame([(w,) for w in words], "word string").repartition(3)
+    vocabulary = spark.createDataFrame(sorted(known), "piece string, inner boolean")
+
+    def plain(w):
+        at, out = 0, []
+        while w and at < len(w):
+            n = max((n for n in range(1, 4) if at + n <= len(w) and (w[at:at + n], at > 0) in known), default=None)
+            if n is None:
+                return ["[UNK]"]
+            out.append(w[at:at + n])
+            at += n
+        return out or ["[UNK]"]
+
+    cut = labels.cut_words(df, vocabulary, longest=3)
+    assert "posexplode" not in cut._jdf.queryExecution().optimizedPlan().toString() and "sequence(1" not in cut._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(repr, ((r["word"], r["pieces"]) for r in cut.collect()))) == sorted(map(repr, ((w, plain(w)) for w in words)))
+    monkeypatch.setattr(labels, "PACK_LETTERS", 40)
+    import pyarrow as pa
+    packs = list(labels._word_packs(iter([pa.RecordBatch.from_pydict({"word": words})]), 3))
+    assert len(packs) > 20 and [w for p in packs for w in p.column("__words")[0].as_py()] == words
